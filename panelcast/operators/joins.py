@@ -1,0 +1,18 @@
+"""Join helpers with a checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast-hint ``df`` only if it provably has at most ``max_rows`` rows.
+
+    The proof is a ``limit(max_rows + 1).count()``, which stops reading as
+    soon as the bound is exceeded. Above the bound the plain DataFrame is
+    returned and the planner (with AQE's runtime statistics) picks a shuffle
+    join instead.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
