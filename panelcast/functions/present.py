@@ -2,7 +2,7 @@
 
 A spec is a list of ``(column, kind)``: ``"s"`` text, ``"i"`` BIGINT,
 ``"d"`` DATE shown as ``yyyy-MM-dd``, ``"t"`` TIMESTAMP shown as
-``yyyy-MM-dd HH:mm:ss``, ``"b"`` boolean, or an int ``n`` meaning DOUBLE
+``yyyy-MM-dd HH:mm:ss``, ``"b"`` boolean, ``"a"`` text array joined by ``"; "``, or an int ``n`` meaning DOUBLE
 rounded to n decimals. The same spec renders the Spark DataFrame and the
 SQL oracle, so both sides agree on names, types and rounding.
 """
@@ -31,6 +31,8 @@ def present(df: DataFrame, spec: Spec) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind == "b":
             c = c.cast("boolean")
+        elif kind == "a":
+            c = F.concat_ws("; ", c)
         elif isinstance(kind, int):
             c = F.round(c.cast("double"), kind)
         else:
@@ -53,6 +55,8 @@ def present_sql(sql: str, spec: Spec) -> str:
             e = f"strftime(CAST({q} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
         elif kind == "b":
             e = f"CAST({q} AS BOOLEAN)"
+        elif kind == "a":
+            e = f"array_to_string({q}, '; ')"
         elif isinstance(kind, int):
             e = f"round(CAST({q} AS DOUBLE), {kind})"
         else:

@@ -121,3 +121,36 @@ def corr_ctes(view: str, target: str) -> list[str]:
         "rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id"
         " ORDER BY abs(correlation) DESC, series_id, feature_idx) AS rank FROM cr)",
     ]
+
+
+def raw_obs_sql() -> str:
+    return ("SELECT event_type AS series_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date,"
+            " CASE WHEN event_id % 17 = 0 THEN '.' ELSE CAST(value AS VARCHAR) END AS value"
+            " FROM events")
+
+
+def collected_ctes(target: str = "1-URGENT") -> list[str]:
+    return [
+        panel_cte("monthly_orders", "mo"),
+        panel_cte("daily_ship", "ds"),
+        panel_cte("nation_monthly", "nm"),
+        "cp AS ("
+        f"SELECT *, 'target' AS category FROM mo WHERE series_id = '{target}'"
+        f" UNION ALL SELECT *, 'market_returns' FROM mo WHERE series_id <> '{target}'"
+        " UNION ALL SELECT *, 'bond_market' FROM ds"
+        " UNION ALL SELECT *, 'macro_indicators' FROM nm)",
+        "keys AS (SELECT DISTINCT category, series_id, category || '_' || lower(series_id) AS key FROM cp)",
+        "cat AS (SELECT series_id, category, CASE WHEN category = 'target' THEN 'target'"
+        " ELSE 'predictor' END AS role, key FROM keys"
+        " UNION ALL SELECT 'NO-OBSERVATIONS', 'macro_indicators', 'predictor',"
+        " 'macro_indicators_no-observations')",
+    ]
+
+
+def dirty_ctes() -> list[str]:
+    return [
+        panel_cte("monthly_orders"),
+        "dirty0 AS (SELECT entity_id, series_id, date,"
+        " CASE WHEN month(date) = 6 THEN NULL ELSE value END AS value FROM panel)",
+        "dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE month(date) = 1)",
+    ]

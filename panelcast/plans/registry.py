@@ -86,3 +86,200 @@ def _target_join(spark, d):
           + " SELECT entity_id, rank, variable, correlation FROM rk")
 def _corr_rank(spark, d):
     return RL.corr_rank(panel_view(spark, d, "monthly_orders"), TARGET)
+
+# --------------------------------------------------------------- step 2: ingest and sinks
+
+from panelcast.sources import observations as OB, catalog as CT  # noqa: E402
+from panelcast import sinks as SK  # noqa: E402
+from panelcast.sources import views as VW  # noqa: E402
+
+
+@register("obs_normalise", [("series_id", "s"), ("date", "d"), ("value", 2)],
+          f"SELECT series_id, CAST(date AS DATE) AS date, TRY_CAST(value AS DOUBLE) AS value"
+          f" FROM ({S.raw_obs_sql()}) r WHERE value <> '.'")
+def _obs_normalise(spark, d):
+    return OB.normalise(OB.raw_observations(spark, d))
+
+
+RANGE = ("1996-01-01", "1997-12-31")
+
+
+@register("obs_date_range", PANEL_SPEC,
+          S.with_(S.panel_cte("daily_ship"))
+          + f" SELECT * FROM panel WHERE date BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'")
+def _obs_date_range(spark, d):
+    return VW.daily_ship(spark, d, *RANGE)
+
+
+@register("date_repair", [("series_id", "s"), ("date", "d"), ("n_obs", "i"), ("n_missing", "i")],
+          f"SELECT series_id, CAST(date AS DATE) AS date, count(*) AS n_obs,"
+          f" sum(CASE WHEN value = '.' THEN 1 ELSE 0 END) AS n_missing"
+          f" FROM ({S.raw_obs_sql()}) r GROUP BY 1, 2")
+def _date_repair(spark, d):
+    from pyspark.sql import functions as F
+    rep = OB.repair_date(OB.raw_observations(spark, d))
+    return rep.groupBy("series_id", "date").agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        F.sum((F.col("value") == ".").cast("int")).alias("n_missing"))
+
+
+CAT_SPEC = [("series_id", "s"), ("date", "d"), ("value", 2), ("category", "s"),
+            ("role", "s"), ("key", "s")]
+
+
+@register("catalog_join", CAT_SPEC,
+          S.with_(*S.collected_ctes())
+          + " SELECT cp.series_id, cp.date, cp.value, cat.category, cat.role, cat.key"
+            " FROM cp JOIN cat ON cp.series_id = cat.series_id")
+def _catalog_join(spark, d):
+    cp = CT.collected_panel(spark, d)
+    return CT.catalog_join(cp.drop("category", "entity_id"), CT.catalog(cp))
+
+
+@register("panel_union", PANEL_SPEC + [("category", "s")],
+          S.with_(*S.collected_ctes()) + " SELECT * FROM cp")
+def _panel_union(spark, d):
+    return CT.collected_panel(spark, d)
+
+
+@register("panel_keys", [("category", "s"), ("series_id", "s"), ("key", "s")],
+          S.with_(*S.collected_ctes()) + " SELECT * FROM keys")
+def _panel_keys(spark, d):
+    return CT.series_keys(CT.collected_panel(spark, d))
+
+
+@register("role_split", CAT_SPEC,
+          S.with_(*S.collected_ctes())
+          + " SELECT cp.series_id, cp.date, cp.value, cat.category, cat.role, cat.key"
+            " FROM cp JOIN cat ON cp.series_id = cat.series_id WHERE NOT starts_with(cat.key, 'target_')")
+def _role_split(spark, d):
+    from pyspark.sql import functions as F
+    cp = CT.collected_panel(spark, d)
+    joined = CT.role_of_key(CT.catalog_join(cp.drop("category", "entity_id"), CT.catalog(cp)))
+    return joined.filter(F.col("role") == "predictor")
+
+
+@register("project_cols",
+          [("entity_id", "s"), ("date", "d"), ("mom_pct", 6)]
+          + [(v, 6 if v.endswith("mom_pct") else 2) for v in WIDE_VARS[:10]],
+          S.with_(*S.analysis_ctes("monthly_orders", TARGET)[:5])
+          + " SELECT ty.entity_id, ty.date, ty.mom_pct, "
+          + ", ".join(f"max(CASE WHEN variable = '{v}' THEN x END) AS \"{v}\"" for v in WIDE_VARS[:10])
+          + " FROM ty JOIN pl ON ty.entity_id = pl.entity_id AND ty.date = pl.date GROUP BY 1, 2, 3")
+def _project_cols(spark, d):
+    tj = RL.target_join(panel_view(spark, d, "monthly_orders"), TARGET, WIDE_VARS)
+    return tj.select("entity_id", "date", "mom_pct", *[f"`{v}`" for v in WIDE_VARS[:10]])
+
+
+@register("nested_export",
+          [("category", "s"), ("series_id", "s"), ("block", "i"), ("n_records", "i"),
+           ("first_date", "d"), ("last_date", "d"), ("value_sum", 2)],
+          S.with_(*S.collected_ctes())
+          + " SELECT category, series_id, block, count(*) AS n_records, min(date) AS first_date,"
+            " max(date) AS last_date, sum(value) AS value_sum FROM (SELECT *, CAST(floor((row_number()"
+            " OVER (PARTITION BY category, series_id ORDER BY date) - 1) / 512) AS BIGINT) AS block"
+            " FROM cp) b GROUP BY 1, 2, 3")
+def _nested_export(spark, d):
+    return SK.nested_blocks(CT.collected_panel(spark, d), 512)
+
+
+# --------------------------------------------------------------- step 3: statistics and quality
+
+from panelcast.operators import quality as QL  # noqa: E402
+
+STAT_SQL = ("SELECT entity_id, series_id, count({v}) AS count, avg({v}) AS mean,"
+            " stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max FROM {src} GROUP BY 1, 2")
+
+
+def _stat_spec(dp):
+    return [("entity_id", "s"), ("series_id", "s"), ("count", "i"), ("mean", dp), ("std", dp),
+            ("min", dp), ("max", dp)]
+
+
+@register("value_stats", _stat_spec(2),
+          S.with_(S.panel_cte("supplier_monthly")) + " " + STAT_SQL.format(v="value", src="panel"))
+def _value_stats(spark, d):
+    return QL.value_stats(panel_view(spark, d, "supplier_monthly"))
+
+
+@register("mom_stats", _stat_spec(6),
+          S.with_(S.panel_cte("supplier_monthly"),
+                  f"m AS (SELECT *, {S.mom_expr()} AS mom_pct FROM panel)")
+          + " " + STAT_SQL.format(v="mom_pct", src="m"))
+def _mom_stats(spark, d):
+    return QL.value_stats(FT.mom_pct(panel_view(spark, d, "supplier_monthly")), "mom_pct")
+
+
+@register("describe_quartiles",
+          _stat_spec(2) + [("q25", 4), ("q50", 4), ("q75", 4)],
+          S.with_(S.panel_cte("supplier_monthly"))
+          + " SELECT entity_id, series_id, count(value) AS count, avg(value) AS mean,"
+            " stddev_samp(value) AS std, min(value) AS min, max(value) AS max,"
+            " quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,"
+            " quantile_cont(value, 0.75) AS q75 FROM panel GROUP BY 1, 2")
+def _describe_quartiles(spark, d):
+    return QL.describe(panel_view(spark, d, "supplier_monthly"))
+
+
+@register("date_ranges", [("entity_id", "s"), ("series_id", "s"), ("first_date", "d"),
+                          ("last_date", "d")],
+          S.with_(S.panel_cte("nation_priority"))
+          + " SELECT entity_id, series_id, min(date) AS first_date, max(date) AS last_date"
+            " FROM panel GROUP BY 1, 2")
+def _date_ranges(spark, d):
+    return QL.date_ranges(panel_view(spark, d, "nation_priority"))
+
+
+@register("duplicate_count", [("entity_id", "s"), ("series_id", "s"), ("duplicate_rows", "i")],
+          S.with_(*S.dirty_ctes())
+          + " SELECT entity_id, series_id, count(*) - count(DISTINCT (entity_id, series_id, date, value))"
+            " AS duplicate_rows FROM dirty GROUP BY 1, 2")
+def _duplicate_count(spark, d):
+    return QL.duplicate_count(QL.dirty_panel(panel_view(spark, d, "monthly_orders")))
+
+
+@register("distinct_rows", PANEL_SPEC,
+          S.with_(*S.dirty_ctes()) + " SELECT DISTINCT * FROM dirty")
+def _distinct_rows(spark, d):
+    return QL.dirty_panel(panel_view(spark, d, "monthly_orders")).distinct()
+
+
+@register("quality_report",
+          [("name", "s"), ("status", "s"), ("rows", "i"), ("date_range", "s"), ("issues", "a")],
+          S.with_(*S.dirty_ctes(), S.panel_cte("user_daily", "ud"),
+                  "src AS (SELECT * FROM dirty UNION ALL SELECT * FROM ud)",
+                  "agg AS (SELECT series_id AS name, count(*) AS rows,"
+                  " sum(CAST(entity_id IS NULL AS INT) + CAST(series_id IS NULL AS INT)"
+                  " + CAST(date IS NULL AS INT) + CAST(value IS NULL AS INT)) AS nulls,"
+                  " min(date) AS f, max(date) AS l,"
+                  " count(DISTINCT (entity_id, series_id, date, value)) AS dist FROM src GROUP BY 1)",
+                  "iss AS (SELECT *, list_filter([CASE WHEN nulls > 0 THEN 'Missing values: ' || nulls END,"
+                  " CASE WHEN date_diff('day', f, l) < 365 THEN 'Short time series: '"
+                  " || date_diff('day', f, l) || ' days' END,"
+                  " CASE WHEN rows - dist > 0 THEN 'Duplicate rows: ' || (rows - dist) END],"
+                  " lambda x: x IS NOT NULL) AS lst FROM agg)")
+          + " SELECT name, 'ok' AS status, rows, CAST(f AS VARCHAR) || ' to ' || CAST(l AS VARCHAR)"
+            " AS date_range, CASE WHEN len(lst) = 0 THEN ['No issues detected'] ELSE lst END AS issues"
+            " FROM iss UNION ALL SELECT 'NO-OBSERVATIONS', 'empty', 0, NULL, ['No data available']")
+def _quality_report(spark, d):
+    src = QL.dirty_panel(panel_view(spark, d, "monthly_orders")).unionByName(
+        panel_view(spark, d, "user_daily"))
+    cat = src.select("series_id").distinct().unionByName(
+        spark.createDataFrame([(CT.EMPTY_SERIES,)], "series_id string"))
+    return QL.quality_report(src, cat)
+
+
+@register("collection_summary", [("category", "s"), ("n_series", "i")],
+          S.with_(*S.collected_ctes())
+          + " SELECT coalesce(category, 'total') AS category, count(DISTINCT series_id) AS n_series"
+            " FROM cp GROUP BY ROLLUP (category)")
+def _collection_summary(spark, d):
+    return QL.collection_summary(CT.collected_panel(spark, d))
+
+
+@register("head_sample", PANEL_SPEC,
+          S.with_(S.panel_cte("supplier_monthly"))
+          + " SELECT entity_id, series_id, date, value FROM (SELECT *, row_number() OVER"
+            " (PARTITION BY entity_id, series_id ORDER BY date) AS rn FROM panel) WHERE rn <= 5")
+def _head_sample(spark, d):
+    return QL.head_sample(panel_view(spark, d, "supplier_monthly"))

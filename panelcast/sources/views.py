@@ -29,6 +29,17 @@ def to_panel(df: DataFrame, entity: Column, series: Column, date: Column,
               .agg(F.sum(value.cast("decimal(18,2)")).cast("double").alias("value")))
 
 
+def bound_days(df: DataFrame, ts: str, start: str | None, end: str | None) -> DataFrame:
+    """Inclusive day bounds on a raw timestamp column, written as range
+    predicates on the column itself so they push down to the scan."""
+    c = F.col(ts)
+    if start is not None:
+        df = df.filter(c >= F.lit(start).cast("date").cast(df.schema[ts].dataType))
+    if end is not None:
+        df = df.filter(c < F.date_add(F.lit(end).cast("date"), 1).cast(df.schema[ts].dataType))
+    return df
+
+
 def month_of(c: str) -> Column:
     return F.trunc(F.col(c).cast("date"), "month")
 
@@ -74,9 +85,13 @@ def supplier_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_extendedprice"))
 
 
-def daily_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shipped value per return flag and day: long daily series."""
+def daily_ship(spark: SparkSession, sf_dir: str, start: str | None = None,
+               end: str | None = None) -> DataFrame:
+    """Shipped value per return flag and day: long daily series. Optional
+    inclusive day bounds are applied to the raw timestamp column, where the
+    Parquet reader can use them (row-group statistics)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_returnflag", "l_shipdate", "l_extendedprice"])
+    li = bound_days(li, "l_shipdate", start, end)
     return to_panel(li, _all(), F.col("l_returnflag"), F.col("l_shipdate").cast("date"),
                     F.col("l_extendedprice"))
 
