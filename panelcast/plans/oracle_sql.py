@@ -154,3 +154,42 @@ def dirty_ctes() -> list[str]:
         " CASE WHEN month(date) = 6 THEN NULL ELSE value END AS value FROM panel)",
         "dirty AS (SELECT * FROM dirty0 UNION ALL SELECT * FROM dirty0 WHERE month(date) = 1)",
     ]
+
+
+def feature_matrix_ctes(view: str, target: str, n_pred: int = 10, L: int = 3, TL: int = 3) -> list[str]:
+    k = "entity_id, variable"
+    wv = f"OVER (PARTITION BY {k} ORDER BY date)"
+
+    def fr(n):
+        return f"OVER (PARTITION BY {k} ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    sm = lambda agg, n: f"CASE WHEN count(x) {fr(n)} = {n} THEN {agg}(x) {fr(n)} END"
+    base = f"P + P * {L} + {TL}"
+    parts = ["SELECT entity_id, date, mom_pct, variable AS feature, pidx AS ordinal, x AS value FROM sel"]
+    for j in range(1, L + 1):
+        parts.append(f"SELECT entity_id, date, mom_pct, variable || '_lag{j}', P + pidx * {L} + {j - 1},"
+                     f" lag(x, {j}) {wv} FROM sel")
+    parts += [
+        f"SELECT entity_id, date, mom_pct, variable || '_ma3', {base} + pidx * 3, {sm('avg', 3)} FROM sel",
+        f"SELECT entity_id, date, mom_pct, variable || '_vol3', {base} + pidx * 3 + 1,"
+        f" {sm('stddev_samp', 3)} FROM sel",
+        f"SELECT entity_id, date, mom_pct, variable || '_ma6', {base} + pidx * 3 + 2, {sm('avg', 6)} FROM sel",
+        f"SELECT entity_id, date, mom_pct, variable || '_mom3', {base} + 3 * P + pidx * 2,"
+        f" x - lag(x, 3) {wv} FROM sel",
+        f"SELECT entity_id, date, mom_pct, variable || '_mom6', {base} + 3 * P + pidx * 2 + 1,"
+        f" x / lag(x, 6) {wv} - 1 FROM sel",
+    ]
+    for j in range(1, TL + 1):
+        parts.append(f"SELECT entity_id, date, mom_pct, 'mom_pct_lag{j}', P + P * {L} + {j - 1},"
+                     f" lag(mom_pct, {j}) OVER (PARTITION BY entity_id ORDER BY date)"
+                     f" FROM sel WHERE pidx = 0")
+    return analysis_ctes(view, target) + [
+        "vars AS (SELECT entity_id, series_id, feature_idx, variable, row_number() OVER"
+        " (PARTITION BY entity_id ORDER BY series_id, feature_idx) - 1 AS pidx"
+        " FROM (SELECT DISTINCT entity_id, series_id, feature_idx, variable FROM al))",
+        f"vsel AS (SELECT entity_id, variable, pidx, count(*) OVER (PARTITION BY entity_id) AS P"
+        f" FROM vars WHERE pidx < {n_pred})",
+        "sel AS (SELECT al.*, vsel.pidx, vsel.P FROM al JOIN vsel USING (entity_id, variable))",
+        "fr AS (" + "\nUNION ALL\n".join(parts) + ")",
+        "fm AS (SELECT * FROM fr QUALIFY count(value) OVER (PARTITION BY entity_id, date)"
+        " = count(*) OVER (PARTITION BY entity_id, date))",
+    ]

@@ -192,7 +192,7 @@ STAT_SQL = ("SELECT entity_id, series_id, count({v}) AS count, avg({v}) AS mean,
 
 
 def _stat_spec(dp):
-    return [("entity_id", "s"), ("series_id", "s"), ("count", "i"), ("mean", dp), ("std", dp),
+    return [("entity_id", "s"), ("series_id", "s"), ("count", "i"), ("mean", 6), ("std", dp),
             ("min", dp), ("max", dp)]
 
 
@@ -283,3 +283,96 @@ def _collection_summary(spark, d):
             " (PARTITION BY entity_id, series_id ORDER BY date) AS rn FROM panel) WHERE rn <= 5")
 def _head_sample(spark, d):
     return QL.head_sample(panel_view(spark, d, "supplier_monthly"))
+
+# --------------------------------------------------------------- step 4: windows and scalars
+
+from panelcast.operators import matrix as MX  # noqa: E402
+
+
+def _win_sql(view, exprs):
+    return S.with_(S.panel_cte(view)) + " SELECT *, " + ", ".join(
+        f"{e} AS {n}" for n, e in exprs) + " FROM panel"
+
+
+SK_W = "entity_id, series_id"
+
+
+@register("yoy_change", PANEL_SPEC + [("yoy_change", 6)],
+          _win_sql("supplier_monthly", [("yoy_change", f"value / lag(value, 12) {S.w()} - 1")]))
+def _yoy(spark, d):
+    return FT.yoy_change(panel_view(spark, d, "supplier_monthly"))
+
+
+@register("log_value", PANEL_SPEC + [("log_value", 6)],
+          _win_sql("supplier_monthly", [("log_value", "ln(value)")]))
+def _log_value(spark, d):
+    return FT.log_value(panel_view(spark, d, "supplier_monthly"))
+
+
+@register("date_parts",
+          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("value", 2), ("mom_pct", 6),
+           ("log_value", 6), ("yoy_change", 6), ("year", "i"), ("month", "i"), ("quarter", "i")],
+          S.with_(*S.analysis_ctes("monthly_orders", TARGET)[:3]) + " SELECT * FROM ty")
+def _date_parts(spark, d):
+    target, _ = RL.role_split(panel_view(spark, d, "monthly_orders"), TARGET)
+    return FT.target_features(target)
+
+
+@register("rolling_mean3", PANEL_SPEC + [("ma3", 3)],
+          _win_sql("daily_ship", [("ma3", S.strict("avg", 3))]))
+def _rm3(spark, d):
+    return FT.rolling_features(panel_view(spark, d, "daily_ship"), means=(3,), stds=())
+
+
+@register("rolling_std3", PANEL_SPEC + [("vol3", 2)],
+          _win_sql("daily_ship", [("vol3", S.strict("stddev_samp", 3))]))
+def _rs3(spark, d):
+    return FT.rolling_features(panel_view(spark, d, "daily_ship"), means=(), stds=(3,))
+
+
+@register("rolling_mean6", PANEL_SPEC + [("ma6", 3)],
+          _win_sql("daily_ship", [("ma6", S.strict("avg", 6))]))
+def _rm6(spark, d):
+    return FT.rolling_features(panel_view(spark, d, "daily_ship"), means=(6,), stds=())
+
+
+@register("predictor_lags", PANEL_SPEC + [(f"value_lag{k}", 2) for k in (1, 2, 3)],
+          _win_sql("nation_priority", [(f"value_lag{k}", f"lag(value, {k}) {S.w()}") for k in (1, 2, 3)]))
+def _plags(spark, d):
+    return FT.lags(panel_view(spark, d, "nation_priority"), "value", 3)
+
+
+@register("ar_lags",
+          [("entity_id", "s"), ("date", "d"), ("mom_pct", 6)]
+          + [(f"mom_pct_lag{k}", 6) for k in (1, 2, 3)],
+          S.with_(*S.analysis_ctes("nation_priority", TARGET)[:3])
+          + " SELECT entity_id, date, mom_pct, "
+          + ", ".join(f"lag(mom_pct, {k}) OVER (PARTITION BY entity_id ORDER BY date) AS mom_pct_lag{k}"
+                      for k in (1, 2, 3)) + " FROM ty")
+def _arlags(spark, d):
+    target, _ = RL.role_split(panel_view(spark, d, "nation_priority"), TARGET)
+    ty = FT.target_features(target).select("entity_id", "date", "mom_pct")
+    return FT.lags(ty, "mom_pct", 3, keys=("entity_id",))
+
+
+@register("momentum_diff3", PANEL_SPEC + [("mom3", 2)],
+          _win_sql("supplier_monthly", [("mom3", f"value - lag(value, 3) {S.w()}")]))
+def _md3(spark, d):
+    return FT.momentum(panel_view(spark, d, "supplier_monthly")).drop("mom6")
+
+
+@register("momentum_ratio6", PANEL_SPEC + [("mom6", 6)],
+          _win_sql("supplier_monthly", [("mom6", f"value / lag(value, 6) {S.w()} - 1")]))
+def _mr6(spark, d):
+    return FT.momentum(panel_view(spark, d, "supplier_monthly")).drop("mom3")
+
+
+FM_SPEC = [("entity_id", "s"), ("date", "d"), ("mom_pct", 6), ("feature", "s"),
+           ("ordinal", "i"), ("value", 4)]
+
+
+@register("feature_matrix", FM_SPEC,
+          S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET))
+          + " SELECT entity_id, date, mom_pct, feature, ordinal, value FROM fm")
+def _fm(spark, d):
+    return MX.feature_matrix(RL.analysis_frame(panel_view(spark, d, "monthly_orders"), TARGET))
