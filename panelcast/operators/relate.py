@@ -103,14 +103,17 @@ def lead_lag(analysis: DataFrame, max_lag: int = 6, y: str = "mom_pct") -> DataF
     per (entity, variable). Output (entity_id, series_id, feature_idx,
     variable, lag, correlation)."""
     w = Window.partitionBy("entity_id", "variable").orderBy("date")
-    pairs = [F.struct(F.lit(0).alias("lag"), F.col(y).alias("yy"), F.col("x").alias("xx"))]
+    # shifted columns first (a generator cannot hold window functions), then stack
+    lagged = analysis.select(
+        "entity_id", "series_id", "feature_idx", "variable", F.col(y).alias("_y"), "x",
+        *[F.lag("x", k).over(w).alias(f"_x{k}") for k in range(1, max_lag + 1)],
+        *[F.lag(y, k).over(w).alias(f"_y{k}") for k in range(1, max_lag + 1)])
+    pairs = [F.struct(F.lit(0).alias("lag"), F.col("_y").alias("yy"), F.col("x").alias("xx"))]
     for k in range(1, max_lag + 1):
-        pairs.append(F.struct(F.lit(k).alias("lag"), F.col(y).alias("yy"),
-                              F.lag("x", k).over(w).alias("xx")))
-        pairs.append(F.struct(F.lit(-k).alias("lag"), F.lag(y, k).over(w).alias("yy"),
-                              F.col("x").alias("xx")))
-    stacked = analysis.select("entity_id", "series_id", "feature_idx", "variable",
-                              F.inline(F.array(*pairs)))
+        pairs.append(F.struct(F.lit(k).alias("lag"), F.col("_y").alias("yy"), F.col(f"_x{k}").alias("xx")))
+        pairs.append(F.struct(F.lit(-k).alias("lag"), F.col(f"_y{k}").alias("yy"), F.col("x").alias("xx")))
+    stacked = lagged.select("entity_id", "series_id", "feature_idx", "variable",
+                            F.inline(F.array(*pairs)))
     return (stacked.groupBy("entity_id", "series_id", "feature_idx", "variable", "lag")
             .agg(F.corr("yy", "xx").alias("correlation"))
             .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation"))

@@ -376,3 +376,112 @@ FM_SPEC = [("entity_id", "s"), ("date", "d"), ("mom_pct", 6), ("feature", "s"),
           + " SELECT entity_id, date, mom_pct, feature, ordinal, value FROM fm")
 def _fm(spark, d):
     return MX.feature_matrix(RL.analysis_frame(panel_view(spark, d, "monthly_orders"), TARGET))
+
+# --------------------------------------------------------------- step 5: relate
+
+PRI_SERIES = ("1-URGENT", "2-HIGH")
+
+
+@register("full_join_pair", [("entity_id", "s"), ("date", "d"), ("urgent", 2), ("high", 2)],
+          S.with_(S.panel_cte("nation_priority"))
+          + f" SELECT * FROM (SELECT entity_id, date, value AS urgent FROM panel WHERE series_id = '{PRI_SERIES[0]}')"
+            f" FULL OUTER JOIN (SELECT entity_id, date, value AS high FROM panel WHERE series_id = '{PRI_SERIES[1]}')"
+            " USING (entity_id, date)")
+def _full_join_pair(spark, d):
+    from pyspark.sql import functions as F
+    p = panel_view(spark, d, "nation_priority")
+    a = p.filter(F.col("series_id") == PRI_SERIES[0]).select("entity_id", "date", F.col("value").alias("urgent"))
+    b = p.filter(F.col("series_id") == PRI_SERIES[1]).select("entity_id", "date", F.col("value").alias("high"))
+    return RL.full_join_pair(a, b)
+
+
+@register("predictors_wide",
+          [("entity_id", "s"), ("date", "d")] + [(v, 6 if v.endswith("mom_pct") else 4) for v in WIDE_VARS],
+          S.with_(*S.analysis_ctes("nation_priority", TARGET)[:5])
+          + " SELECT entity_id, date, "
+          + ", ".join(f"max(CASE WHEN variable = '{v}' THEN x END) AS \"{v}\"" for v in WIDE_VARS)
+          + " FROM pl GROUP BY 1, 2")
+def _predictors_wide(spark, d):
+    return RL.predictors_wide(panel_view(spark, d, "nation_priority"), TARGET, WIDE_VARS)
+
+
+@register("complete_cases",
+          [("entity_id", "s"), ("date", "d"), ("mom_pct", 6), ("variable", "s"), ("x", 4)],
+          S.with_(*S.analysis_ctes("nation_priority", TARGET))
+          + " SELECT entity_id, date, mom_pct, variable, x FROM al")
+def _complete_cases(spark, d):
+    return RL.analysis_frame(panel_view(spark, d, "nation_priority"), TARGET)
+
+
+LL = 6
+
+
+@register("lead_lag_corr", [("entity_id", "s"), ("variable", "s"), ("lag", "i"), ("correlation", 6)],
+          S.with_(*S.corr_ctes("nation_priority", TARGET),
+                  "alt AS (SELECT al.* FROM al SEMI JOIN (SELECT entity_id, variable FROM rk WHERE rank <= 5) t"
+                  " USING (entity_id, variable))",
+                  "lg AS (SELECT entity_id, variable, mom_pct, x, "
+                  + ", ".join(f"lag(x, {k}) OVER (PARTITION BY entity_id, variable ORDER BY date) AS xl{k},"
+                              f" lag(mom_pct, {k}) OVER (PARTITION BY entity_id, variable ORDER BY date) AS yl{k}"
+                              for k in range(1, LL + 1)) + " FROM alt)",
+                  "ll AS (" + " UNION ALL ".join(
+                      [f"SELECT entity_id, variable, 0 AS lag, corr(mom_pct, x) AS correlation FROM lg GROUP BY 1, 2"]
+                      + [f"SELECT entity_id, variable, {k}, corr(mom_pct, xl{k}) FROM lg GROUP BY 1, 2"
+                         for k in range(1, LL + 1)]
+                      + [f"SELECT entity_id, variable, -{k}, corr(yl{k}, x) FROM lg GROUP BY 1, 2"
+                         for k in range(1, LL + 1)]) + ")")
+          + " SELECT * FROM ll WHERE correlation IS NOT NULL AND NOT isnan(correlation)")
+def _lead_lag(spark, d):
+    return RL.lead_lag_top(panel_view(spark, d, "nation_priority"), TARGET, top_k=5, max_lag=LL)
+
+
+@register("topk_predictors", [("entity_id", "s"), ("rank", "i"), ("variable", "s"), ("correlation", 6)],
+          S.with_(*S.corr_ctes("nation_priority", TARGET))
+          + " SELECT entity_id, rank, variable, correlation FROM rk WHERE rank <= 5")
+def _topk(spark, d):
+    return RL.corr_rank(panel_view(spark, d, "nation_priority"), TARGET, top_k=5)
+
+
+# --------------------------------------------------------------- step 6: splits
+
+from panelcast.operators import split as SP  # noqa: E402
+
+SPLIT_SQL = ("SELECT *, CASE WHEN rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'"
+             " WHEN rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) + CAST(trunc(n * 0.15::DOUBLE) AS BIGINT)"
+             " THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER"
+             " (PARTITION BY entity_id, series_id ORDER BY date) - 1 AS rn,"
+             " count(*) OVER (PARTITION BY entity_id, series_id) AS n FROM panel)")
+
+
+@register("ts_split", PANEL_SPEC + [("rn", "i"), ("n", "i"), ("split", "s")],
+          S.with_(S.panel_cte("daily_ship")) + " " + SPLIT_SQL)
+def _ts_split(spark, d):
+    return SP.ts_split(panel_view(spark, d, "daily_ship"))
+
+
+@register("split_counts",
+          [("entity_id", "s"), ("series_id", "s"), ("split", "s"), ("rows", "i"),
+           ("first_date", "d"), ("last_date", "d")],
+          S.with_(S.panel_cte("nation_priority"), f"sp AS ({SPLIT_SQL})")
+          + " SELECT entity_id, series_id, split, count(*) AS rows, min(date) AS first_date,"
+            " max(date) AS last_date FROM sp GROUP BY 1, 2, 3")
+def _split_counts(spark, d):
+    return SP.split_counts(SP.ts_split(panel_view(spark, d, "nation_priority")))
+
+
+@register("expanding_folds",
+          [("entity_id", "s"), ("series_id", "s"), ("fold", "i"), ("n_train", "i"), ("n_test", "i"),
+           ("train_start", "d"), ("train_end", "d"), ("test_start", "d"), ("test_end", "d")],
+          S.with_(S.panel_cte("daily_ship"),
+                  "rn AS (SELECT entity_id, series_id, date, row_number() OVER (PARTITION BY entity_id,"
+                  " series_id ORDER BY date) - 1 AS rn, count(*) OVER (PARTITION BY entity_id, series_id) AS n,"
+                  " min(date) OVER (PARTITION BY entity_id, series_id) AS train_start,"
+                  " lag(date) OVER (PARTITION BY entity_id, series_id ORDER BY date) AS train_end,"
+                  " lead(date, 11) OVER (PARTITION BY entity_id, series_id ORDER BY date) AS test_end FROM panel)",
+                  "fo AS (SELECT entity_id, series_id, unnest(range(60, n - 12, 12)) AS e"
+                  " FROM (SELECT DISTINCT entity_id, series_id, n FROM rn) x)")
+          + " SELECT fo.entity_id, fo.series_id, CAST((e - 60) / 12 AS BIGINT) AS fold, e AS n_train,"
+            " 12 AS n_test, train_start, train_end, date AS test_start, test_end"
+            " FROM fo JOIN rn ON rn.entity_id = fo.entity_id AND rn.series_id = fo.series_id AND rn.rn = fo.e")
+def _folds(spark, d):
+    return SP.expanding_folds(panel_view(spark, d, "daily_ship"))
