@@ -193,3 +193,37 @@ def feature_matrix_ctes(view: str, target: str, n_pred: int = 10, L: int = 3, TL
         "fm AS (SELECT * FROM fr QUALIFY count(value) OVER (PARTITION BY entity_id, date)"
         " = count(*) OVER (PARTITION BY entity_id, date))",
     ]
+
+
+def ar_ctes(view: str) -> list[str]:
+    """Per-series AR(3) rows, 70/15/15 split, Gram by covar_pop, Cramer solve."""
+    k = "entity_id, series_id"
+    lagc = ", ".join(f"lag(mom_pct, {j}) OVER (PARTITION BY {k} ORDER BY date) AS x{j}" for j in (1, 2, 3))
+    det = "a11*(a22*a33 - a23*a23) - a12*(a12*a33 - a23*a13) + a13*(a12*a23 - a22*a13)"
+    return [
+        panel_cte(view),
+        f"m AS (SELECT {k}, date, {mom_expr()} AS mom_pct FROM panel)",
+        f"lg AS (SELECT {k}, date, mom_pct AS y, {lagc} FROM m)",
+        "ar AS (SELECT * FROM lg WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL)",
+        f"sp AS (SELECT *, CASE WHEN rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'"
+        f" WHEN rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) + CAST(trunc(n * 0.15::DOUBLE) AS BIGINT)"
+        f" THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER"
+        f" (PARTITION BY {k} ORDER BY date) - 1 AS rn, count(*) OVER (PARTITION BY {k}) AS n FROM ar))",
+        f"g AS (SELECT {k}, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3,"
+        " covar_pop(x1, x1) AS a11, covar_pop(x1, x2) AS a12, covar_pop(x1, x3) AS a13,"
+        " covar_pop(x2, x2) AS a22, covar_pop(x2, x3) AS a23, covar_pop(x3, x3) AS a33,"
+        " covar_pop(x1, y) AS b1, covar_pop(x2, y) AS b2, covar_pop(x3, y) AS b3, var_pop(y) AS vy"
+        f" FROM sp WHERE split = 'train' GROUP BY 1, 2)",
+        f"d AS (SELECT *, {det} AS det FROM g)",
+        "cf AS (SELECT *,"
+        " (b1*(a22*a33 - a23*a23) - a12*(b2*a33 - a23*b3) + a13*(b2*a23 - a22*b3)) / det AS c1,"
+        " (a11*(b2*a33 - a23*b3) - b1*(a12*a33 - a23*a13) + a13*(a12*b3 - b2*a13)) / det AS c2,"
+        " (a11*(a22*b3 - b2*a23) - a12*(a12*b3 - b2*a13) + b1*(a12*a23 - a22*a13)) / det AS c3 FROM d)",
+        "fit AS (SELECT entity_id, series_id, n, CASE WHEN n >= 10 THEN 'ok' ELSE 'Insufficient training data' END"
+        " AS status, CASE WHEN n >= 10 THEN my - (m1*c1 + m2*c2 + m3*c3) END AS intercept,"
+        " CASE WHEN n >= 10 THEN c1 END AS c1, CASE WHEN n >= 10 THEN c2 END AS c2,"
+        " CASE WHEN n >= 10 THEN c3 END AS c3 FROM cf)",
+        "pr AS (SELECT sp.entity_id, sp.series_id, sp.date, sp.split, sp.y,"
+        " fit.intercept + (((0.0 + sp.x1 * fit.c1) + sp.x2 * fit.c2) + sp.x3 * fit.c3) AS prediction"
+        " FROM sp JOIN fit USING (entity_id, series_id) WHERE fit.status = 'ok' AND sp.split <> 'train')",
+    ]

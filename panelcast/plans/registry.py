@@ -485,3 +485,85 @@ def _split_counts(spark, d):
             " FROM fo JOIN rn ON rn.entity_id = fo.entity_id AND rn.series_id = fo.series_id AND rn.rn = fo.e")
 def _folds(spark, d):
     return SP.expanding_folds(panel_view(spark, d, "daily_ship"))
+
+# --------------------------------------------------------------- step 7: linear models
+
+from pyspark.sql import functions as _F  # noqa: E402
+
+from panelcast.operators import linear as LN, evaluate as EV  # noqa: E402
+
+SER = ["entity_id", "series_id"]
+
+
+def _ar_split(spark, d):
+    rows = LN.ar_rows(panel_view(spark, d, "supplier_monthly"))
+    return SP.ts_split(rows, keys=SER).drop("rn", "n")
+
+
+def _ar_fits(spark, d):
+    sp = _ar_split(spark, d)
+    return sp, LN.fit_ar(sp.filter(_F.col("split") == "train"), SER)
+
+
+@register("ar3_gram",
+          [("entity_id", "s"), ("series_id", "s"), ("n", "i"), ("mean_y", 6)]
+          + [(f"mean_x{i}", 6) for i in (1, 2, 3)]
+          + [(f"sxx{i}{j}", 4) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+          + [(f"sxy{i}", 4) for i in (1, 2, 3)] + [("syy", 4)],
+          S.with_(*S.ar_ctes("supplier_monthly")[:7])
+          + " SELECT entity_id, series_id, n, my AS mean_y, m1 AS mean_x1, m2 AS mean_x2, m3 AS mean_x3, "
+          + ", ".join(f"a{i}{j} * n AS sxx{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+          + ", b1 * n AS sxy1, b2 * n AS sxy2, b3 * n AS sxy3, vy * n AS syy FROM g")
+def _ar3_gram(spark, d):
+    sp = _ar_split(spark, d)
+    g = LN.gram(sp.filter(_F.col("split") == "train"), SER, 3)
+    cols = [_F.col("mean_x")[i].alias(f"mean_x{i + 1}") for i in range(3)]
+    cols += [_F.col("xtx")[i * 3 + j].alias(f"sxx{i + 1}{j + 1}") for i in range(3) for j in range(3) if i <= j]
+    cols += [_F.col("xty")[i].alias(f"sxy{i + 1}") for i in range(3)]
+    return g.select(*SER, "n", "mean_y", *cols, "yty").withColumnRenamed("yty", "syy")
+
+
+@register("ar3_fit",
+          [("entity_id", "s"), ("series_id", "s"), ("n_train", "i"), ("status", "s"), ("intercept", 6),
+           ("lag1", 6), ("lag2", 6), ("lag3", 6)],
+          S.with_(*S.ar_ctes("supplier_monthly"))
+          + " SELECT entity_id, series_id, n AS n_train, status, intercept, c1 AS lag1, c2 AS lag2, c3 AS lag3 FROM fit")
+def _ar3_fit(spark, d):
+    _, fits = _ar_fits(spark, d)
+    return fits.select(*SER, "n_train", "status", "intercept",
+                       *[_F.col("coef")[i].alias(f"lag{i + 1}") for i in range(3)])
+
+
+@register("predict_linear",
+          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("split", "s"), ("y", 6),
+           ("prediction", 6)],
+          S.with_(*S.ar_ctes("supplier_monthly"))
+          + " SELECT entity_id, series_id, date, split, y, prediction FROM pr")
+def _predict_linear(spark, d):
+    sp, fits = _ar_fits(spark, d)
+    return LN.predict(sp.filter(_F.col("split") != "train"), fits, SER)
+
+
+@register("eval_metrics",
+          [("entity_id", "s"), ("series_id", "s"), ("split", "s"), ("rmse", 6), ("mae", 6),
+           ("directional_accuracy", 6), ("n_predictions", "i")],
+          S.with_(*S.ar_ctes("supplier_monthly"))
+          + " SELECT entity_id, series_id, split, sqrt(avg((y - prediction) * (y - prediction))) AS rmse,"
+            " avg(abs(y - prediction)) AS mae,"
+            " avg(CAST(CAST(sign(y) AS DOUBLE) = CAST(sign(prediction) AS DOUBLE) AS DOUBLE))"
+            " AS directional_accuracy, count(*) AS n_predictions FROM pr GROUP BY 1, 2, 3")
+def _eval_metrics(spark, d):
+    sp, fits = _ar_fits(spark, d)
+    return EV.metrics(LN.predict(sp.filter(_F.col("split") != "train"), fits, SER), SER + ["split"])
+
+
+@register("standardise", PANEL_SPEC + [("split", "s"), ("z", 6)],
+          S.with_(S.panel_cte("supplier_monthly"), "sp AS (" + SPLIT_SQL + ")",
+                  "st AS (SELECT entity_id, series_id, avg(value) AS m, stddev_pop(value) AS s"
+                  " FROM sp WHERE split = 'train' GROUP BY 1, 2)")
+          + " SELECT sp.entity_id, sp.series_id, sp.date, sp.value, sp.split,"
+            " (sp.value - st.m) / CASE WHEN st.s = 0 THEN 1.0 ELSE st.s END AS z"
+            " FROM sp JOIN st USING (entity_id, series_id)")
+def _standardise(spark, d):
+    sp = SP.ts_split(panel_view(spark, d, "supplier_monthly"))
+    return LN.standardise(sp.filter(_F.col("split") == "train"), sp, SER, "value")
