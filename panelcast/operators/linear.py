@@ -27,20 +27,26 @@ INSUFFICIENT = "Insufficient training data"
 
 def gram(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     """Per group: n, mean_y, mean_x[p], centred xtx[p*p] (row-major), xty[p],
-    yty, and the feature names."""
+    yty, and the feature names.
+
+    One partial + final aggregate, no join back: centred sums are
+    ``n * covar_pop``, whose buffers Spark merges with the stable pairwise
+    co-moment update, so large levels do not cancel as raw sums would."""
     keys = list(keys)
-    means = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y"),
-        F.array(*[F.avg(F.col("x")[i]) for i in range(p)]).alias("mean_x"),
-        F.first("features").alias("features"))
-    c = df.join(means.select(*keys, "mean_y", "mean_x"), keys)
-    xc = [F.col("x")[i] - F.col("mean_x")[i] for i in range(p)]
-    yc = F.col("y") - F.col("mean_y")
-    sums = c.groupBy(*keys).agg(
-        F.array(*[F.sum(xc[i] * xc[j]) for i in range(p) for j in range(p)]).alias("xtx"),
-        F.array(*[F.sum(xc[i] * yc) for i in range(p)]).alias("xty"),
-        F.sum(yc * yc).alias("yty"))
-    return means.join(sums, keys)
+    x = [F.col("x")[i] for i in range(p)]
+    n = F.count(F.lit(1))
+    cov = {}
+    for i in range(p):
+        for j in range(i, p):
+            cov[(i, j)] = F.covar_pop(x[i], x[j])
+    xtx = [cov[(min(i, j), max(i, j))] * n for i in range(p) for j in range(p)]
+    return df.groupBy(*keys).agg(
+        n.alias("n"), F.avg("y").alias("mean_y"),
+        F.array(*[F.avg(x[i]) for i in range(p)]).alias("mean_x"),
+        F.first("features").alias("features"),
+        F.array(*xtx).alias("xtx"),
+        F.array(*[F.covar_pop(x[i], F.col("y")) * n for i in range(p)]).alias("xty"),
+        (F.var_pop("y") * n).alias("yty"))
 
 
 def _fit_schema(keys_schema: T.StructType) -> T.StructType:

@@ -62,12 +62,22 @@ def complete_dates(pred_features: DataFrame, target_y: DataFrame) -> DataFrame:
               .select("entity_id", "date", "mom_pct"))
 
 
-def analysis_frame(panel: DataFrame, target_series: str) -> DataFrame:
+def analysis_frame(panel: DataFrame, target_series: str, materialize: bool = True) -> DataFrame:
     """Complete-case analysis frame in long form:
-    (entity_id, date, mom_pct, series_id, feature_idx, variable, x)."""
-    target, preds = role_split(panel, target_series)
-    ty = target_features(target).select("entity_id", "date", "mom_pct")
-    pf = predictor_features(preds)
+    (entity_id, date, mom_pct, series_id, feature_idx, variable, x).
+
+    The per-series feature frame feeds four branches (target, predictor
+    count, complete dates, long unpivot); it is materialized once so the
+    landed tables are read once."""
+    # one Window stage for every series; the target's change uses the same
+    # formula, so target and predictors are split after it (one scan, one sort)
+    feats = predictor_features(panel)
+    if materialize:
+        from panelcast.session import materialize as _mat
+        feats = _mat(feats)
+    is_target = F.col("series_id") == F.lit(target_series)
+    ty = feats.filter(is_target).select("entity_id", "date", "mom_pct")
+    pf = feats.filter(~is_target)
     dates = complete_dates(pf, ty)
     return predictors_long(pf).join(dates, ["entity_id", "date"])
 

@@ -567,3 +567,57 @@ def _eval_metrics(spark, d):
 def _standardise(spark, d):
     sp = SP.ts_split(panel_view(spark, d, "supplier_monthly"))
     return LN.standardise(sp.filter(_F.col("split") == "train"), sp, SER, "value")
+
+# --------------------------------------------------------------- step 8: forest and comparison
+
+from panelcast.plans import comparison as CMP  # noqa: E402
+from panelcast.operators import forest as FR  # noqa: E402
+
+MET_SPEC = [("entity_id", "s"), ("model", "s"), ("split", "s"), ("rmse", 6), ("mae", 6),
+            ("directional_accuracy", 6), ("n_predictions", "i")]
+
+
+@register("ridge_fit",
+          [("entity_id", "s"), ("model", "s"), ("status", "s"), ("n_train", "i"), ("intercept", 6)],
+          notes="20x20 standardised ridge per entity; checked against numpy in tests")
+def _ridge_fit(spark, d):
+    fm = CMP.split_matrix(panel_view(spark, d, "nation_priority"), TARGET)
+    v = CMP.vectors(fm, CMP.RIDGE_FEATURES)
+    return LN.fit_ridge(v.filter(_F.col("split") == "train"), ["entity_id"], CMP.RIDGE_FEATURES)
+
+
+@register("forest_fit", MET_SPEC, notes="pooled Spark ML forest; not bit-comparable to other engines")
+def _forest_fit(spark, d):
+    fm = CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)
+    vec = CMP.vectors(fm, CMP.FOREST_FEATURES)
+    m = FR.fit_forest(vec.filter(_F.col("split") == "train"))
+    return EV.metrics(FR.predict_forest(m, vec.filter(_F.col("split") != "train")),
+                      ["entity_id", "model", "split"])
+
+
+@register("top_importance", [("rank", "i"), ("feature", "s"), ("importance", 6)],
+          notes="forest importances; rows-only")
+def _top_importance(spark, d):
+    cmp = CMP.compare(panel_view(spark, d, "monthly_orders"), TARGET)
+    return FR.top_importance(cmp.importance, 10)
+
+
+@register("model_compare", MET_SPEC, notes="AR + ridge + forest metrics; rows-only")
+def _model_compare(spark, d):
+    return CMP.compare(panel_view(spark, d, "monthly_orders"), TARGET).metrics
+
+
+@register("model_table",
+          [("entity_id", "s"), ("model", "s"), ("rmse", 6), ("mae", 6), ("directional_accuracy", 6),
+           ("n_predictions", "i"), ("n_features", "i"), ("best", "b"), ("skill", "s")],
+          notes="linear models per nation; rows-only")
+def _model_table(spark, d):
+    cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
+    return CMP.model_table(cmp)
+
+
+@register("best_model", [("entity_id", "s"), ("best_model", "s"), ("rmse", 6)],
+          notes="minimum test RMSE per nation; rows-only")
+def _best_model(spark, d):
+    cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
+    return CMP.best_model(cmp.metrics)

@@ -60,3 +60,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="panelcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
+
+
+def materialize(df):
+    """Write ``df`` once to the session's reliable checkpoint folder and read
+    it back: branches that reuse it stop re-reading the raw tables, and the
+    lineage is cut, so a lost executor does not replay the upstream plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
