@@ -40,3 +40,13 @@ def ieee_ln(x) -> Column:
 def ratio_minus_one(a, b) -> Column:
     """a / b - 1 in IEEE arithmetic (year-on-year, momentum ratio)."""
     return ieee_div(a, b) - F.lit(1.0)
+
+
+def pearson(y, x) -> Column:
+    """Pearson correlation aggregate that is NULL (not an ANSI error) when a
+    side is constant or has fewer than two pairs; null pairs are skipped."""
+    y, x = _c(y).cast("double"), _c(x).cast("double")
+    both = y.isNotNull() & x.isNotNull()
+    yy, xx = F.when(both, y), F.when(both, x)
+    den = F.var_pop(yy) * F.var_pop(xx)
+    return F.when(den > 0, F.covar_pop(yy, xx) / F.sqrt(F.when(den > 0, den)))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.functions.ieee import pearson
 from panelcast.operators.features import predictor_features, target_features
 
 # Predictor feature suffixes, in their column order.
@@ -86,7 +87,7 @@ def correlations(analysis: DataFrame, y: str = "mom_pct") -> DataFrame:
     """Pearson correlation of the target with every variable (null pairs
     skipped; NULL / NaN results dropped)."""
     return (analysis.groupBy("entity_id", "series_id", "feature_idx", "variable")
-            .agg(F.corr(y, "x").alias("correlation"))
+            .agg(pearson(y, "x").alias("correlation"))
             .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation")))
 
 
@@ -125,7 +126,7 @@ def lead_lag(analysis: DataFrame, max_lag: int = 6, y: str = "mom_pct") -> DataF
     stacked = lagged.select("entity_id", "series_id", "feature_idx", "variable",
                             F.inline(F.array(*pairs)))
     return (stacked.groupBy("entity_id", "series_id", "feature_idx", "variable", "lag")
-            .agg(F.corr("yy", "xx").alias("correlation"))
+            .agg(pearson("yy", "xx").alias("correlation"))
             .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
             .withColumn("lag", F.col("lag").cast("bigint")))
 

@@ -71,6 +71,11 @@ def read_cached_series(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHED_SERIES).option("multiLine", True).json(path)
 
 
+def read_series_records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-lines records as written by ``sinks.write_series_json``."""
+    return spark.read.schema(CACHED_SERIES).json(path)
+
+
 def read_fresh_series(spark: SparkSession, path: str, max_age_days: int = 1,
                       now: _dt.datetime | None = None) -> DataFrame:
     """SC4: only files whose age in whole days is <= ``max_age_days`` (so a
