@@ -41,8 +41,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         targets = targets.unionByName(t)
     targets = targets.withColumn("_tid", F.concat_ws(":", F.col("_p").cast("string"), "_side"))
     done = None
-    for _ in range(max_passes):
-        targets = targets.checkpoint()
+    cached = []
+    for it in range(max_passes):
+        # pass 0 is one aggregate of the cached data; later passes cut lineage
+        targets = targets.persist() if it == 0 else targets.checkpoint(eager=True)
+        cached.append(targets)
         resolved = targets.filter((F.col("_a") == F.col("_b")) | (F.col("_cnt") <= finish_rows))
         exact = targets.filter(F.col("_a") == F.col("_b")).select(*keys, "_p", "_side", "_frac",
                                                                   F.col("_a").alias("_val"))
@@ -85,6 +88,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     out = both.groupBy(*keys).pivot("_p", [float(p) for p in probs]).agg(F.first("_q"))
     for p in probs:
         out = out.withColumnRenamed(str(float(p)), f"q{int(round(p * 100))}")
-    out = out.checkpoint()
+    out = out.persist()
+    out = out.checkpoint(eager=True)
+    for t in cached:
+        t.unpersist(blocking=False)
     data.unpersist(blocking=False)
     return out

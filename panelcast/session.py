@@ -67,4 +67,7 @@ def materialize(df):
     it back: branches that reuse it stop re-reading the raw tables, and the
     lineage is cut, so a lost executor does not replay the upstream plan."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist()          # the checkpoint write then reads the cache
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
