@@ -621,3 +621,115 @@ def _model_table(spark, d):
 def _best_model(spark, d):
     cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
     return CMP.best_model(cmp.metrics)
+
+# --------------------------------------------------------------- step 9: second tier
+
+from panelcast.operators import align as AL, derived as DV  # noqa: E402
+
+
+@register("align_monthly",
+          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("mean_value", 4), ("last_value", 2),
+           ("n_obs", "i"), ("first_obs", "d"), ("last_obs", "d")],
+          S.with_(S.panel_cte("daily_ship"))
+          + " SELECT entity_id, series_id, CAST(date_trunc('month', date) AS DATE) AS date,"
+            " avg(value) AS mean_value, arg_max(value, date) AS last_value, count(value) AS n_obs,"
+            " min(date) AS first_obs, max(date) AS last_obs FROM panel GROUP BY 1, 2, 3")
+def _align_monthly(spark, d):
+    return AL.to_monthly(panel_view(spark, d, "daily_ship"))
+
+
+DELAY = 15
+
+
+@register("asof_release",
+          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("value", 2), ("source_date", "d")],
+          S.with_(S.panel_cte("monthly_orders", "mo"), S.panel_cte("daily_ship", "ds"),
+                  f"t AS (SELECT DISTINCT entity_id, date FROM mo WHERE series_id = '{TARGET}')",
+                  "s AS (SELECT DISTINCT entity_id, series_id FROM ds)",
+                  "g AS (SELECT t.entity_id, s.series_id, t.date FROM t JOIN s USING (entity_id))",
+                  f"r AS (SELECT entity_id, series_id, CAST(date + INTERVAL {DELAY} DAY AS DATE) AS avail,"
+                  " date AS src, value FROM ds)")
+          + " SELECT g.entity_id, g.series_id, g.date, r.value, r.src AS source_date FROM g"
+            " ASOF LEFT JOIN r ON g.entity_id = r.entity_id AND g.series_id = r.series_id AND g.date >= r.avail")
+def _asof(spark, d):
+    mo = panel_view(spark, d, "monthly_orders")
+    targets = mo.filter(_F.col("series_id") == TARGET)
+    return AL.asof_align(targets, panel_view(spark, d, "daily_ship"), DELAY)
+
+
+@register("latest_vintage",
+          [("series_id", "s"), ("date", "d"), ("value", 2), ("vintage", "t"), ("n_revisions", "i")],
+          "SELECT series_id, date, value, vintage, n_revisions FROM (SELECT event_type AS series_id,"
+          " CAST(ts AS DATE) AS date, value, ts AS vintage, count(*) OVER (PARTITION BY event_type,"
+          " CAST(ts AS DATE)) AS n_revisions, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE)"
+          " ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def _latest_vintage(spark, d):
+    ev = VW.read_table(spark, d, "events", ["event_id", "event_type", "ts", "value"])
+    obs = ev.select(_F.col("event_type").alias("series_id"), _F.col("ts").cast("date").alias("date"),
+                    "value", _F.col("ts").alias("vintage"), "event_id")
+    return AL.latest_vintage(obs, vintage="vintage", tie="event_id")
+
+
+@register("lags12", PANEL_SPEC + [(f"value_lag{k}", 2) for k in range(1, 13)],
+          _win_sql("nation_monthly", [(f"value_lag{k}", f"lag(value, {k}) {S.w()}") for k in range(1, 13)]))
+def _lags12(spark, d):
+    return FT.lags(panel_view(spark, d, "nation_monthly"), "value", 12)
+
+
+VOL_DAYS = (30, 91, 182)
+
+
+@register("rolling_vol_days", PANEL_SPEC + [(f"vol{v}d", 2) for v in VOL_DAYS],
+          _win_sql("daily_ship", [(f"vol{v}d", f"stddev_samp(value) OVER (PARTITION BY entity_id, series_id"
+                                   f" ORDER BY date RANGE BETWEEN INTERVAL {v - 1} DAY PRECEDING AND CURRENT ROW)")
+                                  for v in VOL_DAYS]))
+def _rolling_vol_days(spark, d):
+    return DV.rolling_vol_days(panel_view(spark, d, "daily_ship"), VOL_DAYS)
+
+
+@register("regime_stats",
+          [("entity_id", "s"), ("series_id", "s"), ("regime", "s"), ("n", "i"), ("mean", 6), ("std", 6)],
+          S.with_(S.panel_cte("supplier_monthly"),
+                  f"r AS (SELECT *, {S.mom_expr()} AS mom_pct, {S.strict('avg', 6)} AS ma6 FROM panel)",
+                  "rg AS (SELECT *, CASE WHEN ma6 IS NULL THEN NULL WHEN value > ma6 THEN 'high' ELSE 'low' END"
+                  " AS regime FROM r)")
+          + " SELECT entity_id, series_id, regime, count(mom_pct) AS n, avg(mom_pct) AS mean,"
+            " stddev_samp(mom_pct) AS std FROM rg WHERE regime IS NOT NULL GROUP BY 1, 2, 3")
+def _regime_stats(spark, d):
+    return DV.regime_stats(DV.regimes(FT.mom_pct(panel_view(spark, d, "supplier_monthly"))), "mom_pct")
+
+
+PAIRS = (("2_high_mom_pct", "3_medium_vol3"), ("4_not_specified_level", "5_low_mom_pct"))
+
+
+@register("interactions",
+          [("entity_id", "s"), ("date", "d")] + [(f"{a}_x_{b}", 2) for a, b in PAIRS],
+          S.with_(*S.analysis_ctes("monthly_orders", TARGET)[:5],
+                  "wd AS (SELECT entity_id, date, "
+                  + ", ".join(f"max(CASE WHEN variable = '{v}' THEN x END) AS \"{v}\""
+                              for v in sorted({c for p in PAIRS for c in p}))
+                  + " FROM pl GROUP BY 1, 2)")
+          + " SELECT entity_id, date, " + ", ".join(f"\"{a}\" * \"{b}\" AS \"{a}_x_{b}\"" for a, b in PAIRS)
+          + " FROM wd")
+def _interactions(spark, d):
+    w = RL.predictors_wide(panel_view(spark, d, "monthly_orders"), TARGET, WIDE_VARS)
+    return DV.interactions(w, PAIRS)
+
+
+@register("calendar_effects",
+          [("entity_id", "s"), ("series_id", "s"), ("month", "i"), ("n", "i"), ("mean", 6),
+           ("quarter_end", "b")],
+          S.with_(S.panel_cte("supplier_monthly"), f"m AS (SELECT *, {S.mom_expr()} AS mom_pct FROM panel)")
+          + " SELECT entity_id, series_id, month(date) AS month, count(mom_pct) AS n, avg(mom_pct) AS mean,"
+            " month(date) % 3 = 0 AS quarter_end FROM m GROUP BY 1, 2, 3")
+def _calendar_effects(spark, d):
+    return DV.calendar_effects(FT.mom_pct(panel_view(spark, d, "supplier_monthly")), "mom_pct")
+
+
+@register("spread", [("entity_id", "s"), ("date", "d"), ("a", 2), ("b", 2), ("spread", 2)],
+          S.with_(S.panel_cte("nation_priority"))
+          + " SELECT a.entity_id, a.date, a.value AS a, b.value AS b, a.value - b.value AS spread"
+            " FROM panel a JOIN panel b ON a.entity_id = b.entity_id AND a.date = b.date"
+            " WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'")
+def _spread(spark, d):
+    return DV.spread(panel_view(spark, d, "nation_priority"), "1-URGENT", "5-LOW")
