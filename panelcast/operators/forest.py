@@ -43,3 +43,23 @@ def top_importance(imp: DataFrame, k: int = 10) -> DataFrame:
     """T5: top-k features by importance (ties by name)."""
     w = Window.orderBy(F.col("importance").desc(), "feature")
     return imp.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+
+
+def fit_pooled(train: DataFrame, kind: str, seed: int = SEED, reg: float = 1.0, max_iter: int = 100):
+    """R10 lasso (``elasticNetParam=1``) and R11 gradient-boosted trees over the
+    pooled rows; both distributed ``pyspark.ml`` estimators."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    df = train.withColumn("fv", array_to_vector("x"))
+    if kind == "lasso":
+        est = LinearRegression(featuresCol="fv", labelCol="y", elasticNetParam=1.0, regParam=reg,
+                               standardization=True, maxIter=max_iter)
+    elif kind == "gbt":
+        est = GBTRegressor(featuresCol="fv", labelCol="y", seed=seed, maxIter=max_iter, maxDepth=3)
+    else:
+        raise ValueError(kind)
+    return est.fit(df)
+
+
+def predict_pooled(model, df: DataFrame, name: str) -> DataFrame:
+    return (model.transform(df.withColumn("fv", array_to_vector("x")))
+            .drop("fv").withColumn("model", F.lit(name)))

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,3 +167,74 @@ def standardise(train: DataFrame, apply_to: DataFrame, keys: Sequence[str], col:
     st = train.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
     s = F.when(F.col("_s") == 0, F.lit(1.0)).otherwise(F.col("_s"))
     return apply_to.join(st, keys).withColumn(out, (F.col(col) - F.col("_m")) / s).drop("_m", "_s")
+
+
+def var_rows(panel: DataFrame, keys: Sequence[str] = ("entity_id",), order: int = 1,
+             value: str = "mom_pct") -> DataFrame:
+    """VAR(order) design: for each entity and complete date, one row per
+    equation (series) with y = that series now and x = every series at lags
+    1..order (series in sorted order). Only dates where all series of the
+    entity have current and lagged values are kept."""
+    keys = list(keys)
+    from panelcast.operators.features import mom_pct as add_mom
+    w = Window.partitionBy(*keys, "series_id").orderBy("date")
+    base = add_mom(panel, keys=keys + ["series_id"], out="mom_pct") if value == "mom_pct" else panel
+    lagged = base.select(*keys, "series_id", "date", F.col(value).alias("_y"),
+                         *[F.lag(value, k).over(w).alias(f"_l{k}") for k in range(1, order + 1)])
+    ok = F.col("_y").isNotNull()
+    for k in range(1, order + 1):
+        ok = ok & F.col(f"_l{k}").isNotNull()
+    lagged = lagged.filter(ok)
+    n_series = panel.groupBy(*keys).agg(F.countDistinct("series_id").alias("_k"))
+    per_date = (lagged.groupBy(*keys, "date")
+                .agg(F.array_sort(F.collect_list(F.struct("series_id", "_y", *[f"_l{k}" for k in range(1, order + 1)])))
+                     .alias("_s"), F.count(F.lit(1)).alias("_c"))
+                .join(n_series, keys).filter(F.col("_c") == F.col("_k")))
+    def lag_of(k):
+        return lambda s: s[f"_l{k}"]
+
+    def name_of(k):
+        return lambda s: F.concat(s["series_id"], F.lit(f"_lag{k}"))
+    xs = F.flatten(F.array(*[F.transform("_s", lag_of(k)) for k in range(1, order + 1)]))
+    names = F.flatten(F.array(*[F.transform("_s", name_of(k)) for k in range(1, order + 1)]))
+    return per_date.select(*keys, "date", xs.alias("x"), names.alias("features"),
+                           F.posexplode(F.transform("_s", lambda s: F.struct(s["series_id"].alias("equation"),
+                                                                               s["_y"].alias("y"))))) \
+        .select(*keys, "date", "x", "features", F.col("col.equation").alias("equation"), F.col("col.y").alias("y"))
+
+
+def chow_test(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """Chow structural-break F statistic at each group's midpoint, from
+    the Gram sums of the two halves and of the pooled sample (k = p + 1)."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("date")
+    h = rows.select("*", F.row_number().over(w).alias("_r"),
+                    F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    h = h.withColumn("half", (F.col("_r") > F.col("_n") / 2).cast("int"))
+    pooled = gram(h, keys, p).withColumn("half", F.lit(-1))
+    halves = gram(h, keys + ["half"], p)
+    g = pooled.unionByName(halves)
+    schema = T.StructType([rows.schema[k] for k in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("chow_f", T.DoubleType())])
+
+    def ssr(r) -> float:
+        a = np.asarray(r["xtx"], float).reshape(p, p)
+        b = np.asarray(r["xty"], float)
+        beta = _solve(a, b)
+        return float(r["yty"] - beta @ b)
+
+    def stat(grp: pd.DataFrame) -> pd.DataFrame:
+        parts = {int(r["half"]): r for _, r in grp.iterrows()}
+        if not {-1, 0, 1} <= set(parts):
+            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        k = p + 1
+        n = int(parts[-1]["n"])
+        s_p, s_1, s_2 = ssr(parts[-1]), ssr(parts[0]), ssr(parts[1])
+        den = (s_1 + s_2) / (n - 2 * k) if n > 2 * k else float("nan")
+        f = ((s_p - s_1 - s_2) / k) / den if den and den > 0 else None
+        row = {kk: grp.iloc[0][kk] for kk in keys}
+        row.update(n=n, chow_f=f)
+        return pd.DataFrame([row], columns=[f.name for f in schema.fields])
+
+    # each group has exactly three Gram rows (pooled and two halves)
+    return g.groupBy(*keys).applyInPandas(stat, schema)

@@ -227,3 +227,40 @@ def ar_ctes(view: str) -> list[str]:
         " fit.intercept + (((0.0 + sp.x1 * fit.c1) + sp.x2 * fit.c2) + sp.x3 * fit.c3) AS prediction"
         " FROM sp JOIN fit USING (entity_id, series_id) WHERE fit.status = 'ok' AND sp.split <> 'train')",
     ]
+
+
+def cv_ctes(view: str, m: int, step: int, horizon: int) -> list[str]:
+    """Prefix-sum expanding CV of AR(3) per series; fold coefficients by Cramer."""
+    k = "entity_id, series_id"
+    wr = f"OVER (PARTITION BY {k} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+    sums = ", ".join([f"sum(x{i}) {wr} AS sx{i}" for i in (1, 2, 3)]
+                     + [f"sum(x{i} * x{j}) {wr} AS s{i}{j}" for i, j in pairs]
+                     + [f"sum(x{i} * y) {wr} AS s{i}y" for i in (1, 2, 3)])
+    cen = ", ".join([f"s{i}{j} - sx{i} * sx{j} / s_n AS a{i}{j}" for i, j in pairs]
+                    + [f"s{i}y - sx{i} * sy / s_n AS b{i}" for i in (1, 2, 3)])
+    det = "a11*(a22*a33 - a23*a23) - a12*(a12*a33 - a23*a13) + a13*(a12*a23 - a22*a13)"
+    return ar_ctes(view)[:4] + [
+        f"ps AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY date) - 1 AS rn,"
+        f" count(*) OVER (PARTITION BY {k}) AS n, CAST(count(*) {wr} AS DOUBLE) AS s_n,"
+        f" sum(y) {wr} AS sy, {sums} FROM ar)",
+        f"fe AS (SELECT entity_id, series_id, (rn + 1 - {m}) // {step} AS fold, s_n, sx1, sx2, sx3, sy, {cen}"
+        f" FROM ps WHERE rn + 1 >= {m} AND (rn + 1 - {m}) % {step} = 0 AND rn + 1 < n - {horizon})",
+        f"fd AS (SELECT *, {det} AS det FROM fe)",
+        "fc AS (SELECT *,"
+        " (b1*(a22*a33 - a23*a23) - a12*(b2*a33 - a23*b3) + a13*(b2*a23 - a22*b3)) / det AS c1,"
+        " (a11*(b2*a33 - a23*b3) - b1*(a12*a33 - a23*a13) + a13*(a12*b3 - b2*a13)) / det AS c2,"
+        " (a11*(a22*b3 - b2*a23) - a12*(a12*b3 - b2*a13) + b1*(a12*a23 - a22*a13)) / det AS c3 FROM fd)",
+        "ff AS (SELECT entity_id, series_id, fold, c1, c2, c3,"
+        " sy / s_n - (c1 * sx1 + c2 * sx2 + c3 * sx3) / s_n AS intercept FROM fc)",
+        f"cvp AS (SELECT ps.entity_id, ps.series_id, ff.fold, ps.y,"
+        f" ff.intercept + (((0.0 + ps.x1 * ff.c1) + ps.x2 * ff.c2) + ps.x3 * ff.c3) AS prediction"
+        f" FROM ps JOIN ff ON ps.entity_id = ff.entity_id AND ps.series_id = ff.series_id"
+        f" AND ff.fold = (ps.rn - {m}) // {step}"
+        f" WHERE ps.rn >= {m} AND (ps.rn - {m}) % {step} < {horizon})",
+    ]
+
+
+METRICS_SELECT = ("sqrt(avg((y - prediction) * (y - prediction))) AS rmse, avg(abs(y - prediction)) AS mae,"
+                  " avg(CAST(CAST(sign(y) AS DOUBLE) = CAST(sign(prediction) AS DOUBLE) AS DOUBLE))"
+                  " AS directional_accuracy, count(*) AS n_predictions")

@@ -733,3 +733,148 @@ def _calendar_effects(spark, d):
             " WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'")
 def _spread(spark, d):
     return DV.spread(panel_view(spark, d, "nation_priority"), "1-URGENT", "5-LOW")
+
+# --------------------------------------------------------------- step 9: second tier
+
+from panelcast.operators import diagnostics as DG, validation as VL  # noqa: E402
+from panelcast.streaming import incremental as INC  # noqa: E402
+
+
+def _pooled(spark, d, kind):
+    fm = CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)
+    vec = CMP.vectors(fm, CMP.RIDGE_FEATURES).filter(_F.size("x") == CMP.RIDGE_FEATURES)
+    m = FR.fit_pooled(vec.filter(_F.col("split") == "train"), kind)
+    return EV.metrics(FR.predict_pooled(m, vec.filter(_F.col("split") != "train"), kind),
+                      ["entity_id", "model", "split"])
+
+
+@register("lasso_fit", MET_SPEC, notes="pooled L1 linear regression (pyspark.ml); rows-only")
+def _lasso(spark, d):
+    return _pooled(spark, d, "lasso")
+
+
+@register("gbt_fit", MET_SPEC, notes="pooled gradient-boosted trees (pyspark.ml); rows-only")
+def _gbt(spark, d):
+    return _pooled(spark, d, "gbt")
+
+
+@register("var_fit",
+          [("entity_id", "s"), ("equation", "s"), ("status", "s"), ("n_train", "i"), ("intercept", 6)],
+          notes="VAR(1) per nation, one OLS per equation on shared lags; numpy-checked in tests")
+def _var(spark, d):
+    rows = LN.var_rows(panel_view(spark, d, "nation_priority"))
+    fits = LN.fit_linear(rows, ["entity_id", "equation"], "var", 5)
+    return fits.withColumnRenamed("n_train", "n_train")
+
+
+CV_SPEC = [("entity_id", "s"), ("series_id", "s"), ("fold", "i"), ("rmse", 6), ("mae", 6),
+           ("directional_accuracy", 6), ("n_predictions", "i")]
+
+
+@register("expanding_cv_ar", CV_SPEC,
+          S.with_(*S.cv_ctes("daily_ship", 60, 12, 12))
+          + f" SELECT entity_id, series_id, fold, {S.METRICS_SELECT} FROM cvp GROUP BY 1, 2, 3")
+def _cv(spark, d):
+    return VL.cv_metrics(LN.ar_rows(panel_view(spark, d, "daily_ship")), SER, 3, 60, 12, 12)
+
+
+@register("walk_forward_ar", [c for c in CV_SPEC if c[0] != "fold"],
+          S.with_(*S.cv_ctes("supplier_monthly", 24, 1, 1))
+          + f" SELECT entity_id, series_id, {S.METRICS_SELECT} FROM cvp GROUP BY 1, 2")
+def _walk_forward(spark, d):
+    p = VL.cv_predictions(LN.ar_rows(panel_view(spark, d, "supplier_monthly")), SER, 3, 24, 1, 1)
+    return EV.metrics(p, SER)
+
+
+@register("holdout_split", PANEL_SPEC + [("split", "s")],
+          S.with_(S.panel_cte("supplier_monthly"))
+          + " SELECT *, CASE WHEN row_number() OVER (PARTITION BY entity_id, series_id ORDER BY date DESC)"
+            " <= 24 THEN 'holdout' ELSE 'train' END AS split FROM panel")
+def _holdout(spark, d):
+    return VL.holdout(panel_view(spark, d, "supplier_monthly"), SER, 24)
+
+
+@register("corr_matrix", [("entity_id", "s"), ("a", "s"), ("b", "s"), ("n", "i"), ("correlation", 6)],
+          S.with_(S.panel_cte("nation_monthly"))
+          + " SELECT x.entity_id, x.series_id AS a, y.series_id AS b, count(*) AS n,"
+            " CASE WHEN isnan(corr(x.value, y.value)) THEN NULL ELSE corr(x.value, y.value) END AS correlation"
+            " FROM panel x JOIN panel y ON x.entity_id = y.entity_id AND x.date = y.date"
+            " AND x.series_id < y.series_id GROUP BY 1, 2, 3")
+def _corr_matrix(spark, d):
+    return DG.correlation_matrix(panel_view(spark, d, "nation_monthly"))
+
+
+@register("winsorize",
+          PANEL_SPEC + [("lower", 4), ("upper", 4), ("clipped", 4), ("is_outlier", "b")],
+          S.with_(S.panel_cte("supplier_monthly"),
+                  "q AS (SELECT entity_id, series_id, quantile_cont(value, 0.05) AS lower,"
+                  " quantile_cont(value, 0.95) AS upper FROM panel GROUP BY 1, 2)")
+          + " SELECT p.*, lower, upper, least(greatest(value, lower), upper) AS clipped,"
+            " value < lower OR value > upper AS is_outlier FROM panel p JOIN q USING (entity_id, series_id)")
+def _winsorize(spark, d):
+    return DG.winsorize(panel_view(spark, d, "supplier_monthly"), 0.05, 0.95)
+
+
+@register("decompose", PANEL_SPEC + [("trend", 5), ("seasonal", 4), ("resid", 4)],
+          S.with_(S.panel_cte("supplier_monthly"),
+                  "t AS (SELECT *, CASE WHEN count(value) OVER (PARTITION BY entity_id, series_id ORDER BY date"
+                  " ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN (sum(value) OVER (PARTITION BY"
+                  " entity_id, series_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) - 0.5 *"
+                  f" (lag(value, 6) {S.w()} + lead(value, 6) {S.w()})) / 12.0 END AS trend FROM panel)",
+                  "s AS (SELECT entity_id, series_id, month(date) AS mon, avg(value - trend) AS s FROM t GROUP BY 1, 2, 3)",
+                  "s2 AS (SELECT *, s - avg(s) OVER (PARTITION BY entity_id, series_id) AS seasonal FROM s)")
+          + " SELECT t.entity_id, t.series_id, t.date, t.value, t.trend, s2.seasonal,"
+            " t.value - t.trend - s2.seasonal AS resid FROM t LEFT JOIN s2 ON t.entity_id = s2.entity_id"
+            " AND t.series_id = s2.series_id AND month(t.date) = s2.mon")
+def _decompose(spark, d):
+    return DG.decompose(panel_view(spark, d, "supplier_monthly"))
+
+
+@register("resid_autocorr",
+          [("entity_id", "s"), ("series_id", "s"), ("resid_autocorr", 6), ("n_pairs", "i")],
+          S.with_(*S.ar_ctes("supplier_monthly"),
+                  "tr AS (SELECT sp.entity_id, sp.series_id, sp.date, sp.y - (fit.intercept + (((0.0 + sp.x1 * fit.c1)"
+                  " + sp.x2 * fit.c2) + sp.x3 * fit.c3)) AS e FROM sp JOIN fit USING (entity_id, series_id)"
+                  " WHERE fit.status = 'ok' AND sp.split = 'train')",
+                  "tl AS (SELECT *, lag(e) OVER (PARTITION BY entity_id, series_id ORDER BY date) AS el FROM tr)")
+          + " SELECT entity_id, series_id, CASE WHEN isnan(corr(e, el)) THEN NULL ELSE corr(e, el) END"
+            " AS resid_autocorr, count(el) AS n_pairs FROM tl GROUP BY 1, 2")
+def _resid_autocorr(spark, d):
+    sp, fits = _ar_fits(spark, d)
+    pred = LN.predict(sp.filter(_F.col("split") == "train"), fits, SER)
+    return DG.residual_autocorr(pred, SER)
+
+
+@register("chow_break", [("entity_id", "s"), ("series_id", "s"), ("n", "i"), ("chow_f", 6)],
+          notes="Chow F at the midpoint from Gram sums of halves; numpy-checked in tests")
+def _chow(spark, d):
+    return LN.chow_test(LN.ar_rows(panel_view(spark, d, "supplier_monthly")), SER, 3)
+
+
+@register("cross_check",
+          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("value_a", 2), ("value_b", 2),
+           ("diff", 2), ("status", "s")],
+          S.with_(S.panel_cte("monthly_orders", "pa"),
+                  "pb AS (SELECT 'all' AS entity_id, o_orderpriority AS series_id,"
+                  " CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS date,"
+                  " sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS value"
+                  " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)")
+          + " SELECT entity_id, series_id, date, pa.value AS value_a, pb.value AS value_b,"
+            " pa.value - pb.value AS diff, CASE WHEN pa.value IS NULL THEN 'missing_a'"
+            " WHEN pb.value IS NULL THEN 'missing_b' WHEN abs(pa.value - pb.value) > 0.01 THEN 'mismatch'"
+            " ELSE 'match' END AS status FROM pa FULL OUTER JOIN pb USING (entity_id, series_id, date)")
+def _cross_check(spark, d):
+    a = panel_view(spark, d, "monthly_orders")
+    li = VW.read_table(spark, d, "lineitem", ["l_orderkey", "l_extendedprice", "l_tax", "l_discount"])
+    o = VW.read_table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderdate"])
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    b = j.groupBy(_F.lit("all").alias("entity_id"), _F.col("o_orderpriority").alias("series_id"),
+                  VW.month_of("o_orderdate").alias("date")).agg(
+        _F.sum(_F.col("l_extendedprice") * (1 + _F.col("l_tax")) * (1 - _F.col("l_discount"))).alias("value"))
+    return DG.cross_check(a, b, 0.01)
+
+
+@register("stream_hourly", [("entity_id", "s"), ("series_id", "s"), ("date", "t"), ("value", 2)],
+          S.with_(S.panel_cte("hourly_events")) + " SELECT * FROM panel")
+def _stream_hourly(spark, d):
+    return INC.hourly_panel_incremental(spark, d)
