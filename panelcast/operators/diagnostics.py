@@ -27,14 +27,14 @@ def correlation_matrix(panel: DataFrame, keys: Sequence[str] = ("entity_id",),
     Values are centred by each series' mean first (numerically stable).
     ``max_series`` bounds K per entity (the partial-sum rows grow with K^2)."""
     keys = list(keys)
-    stats = panel.groupBy(*keys, "series_id").agg(F.avg("value").alias("_m"))
-    names = stats.select("series_id").distinct()
+    names = panel.select("series_id").distinct()
     if names.limit(max_series + 1).count() > max_series:
         raise ValueError(f"more than {max_series} series: use a blocked correlation job")
     series = sorted(r.series_id for r in names.collect())     # K names, bounded above
     k = len(series)
-    centred = panel.join(stats, keys + ["series_id"]).select(
-        *keys, "date", "series_id", (F.col("value") - F.col("_m")).alias("v"))
+    per_series = Window.partitionBy(*keys, "series_id")      # one row per period
+    centred = panel.select(*keys, "date", "series_id",
+                           (F.col("value") - F.avg("value").over(per_series)).alias("v"))
     wide = centred.groupBy(*keys, "date").pivot("series_id", series).agg(F.first("v"))
     schema = T.StructType([wide.schema[c] for c in keys] + [
         T.StructField("a", T.StringType()), T.StructField("b", T.StringType()),

@@ -94,10 +94,12 @@ def momentum(df: DataFrame, value: str = "value", keys: Sequence[str] = SERIES_K
     )
 
 
-def target_features(target: DataFrame, keys: Sequence[str] = ("entity_id",),
+def target_features(target: DataFrame, keys: Sequence[str] = SERIES_KEYS,
                     value: str = "value") -> DataFrame:
     """Target frame: value plus mom_pct (x100), log_value, yoy_change
-    (fraction) and year / month / quarter, in one Window stage."""
+    (fraction) and year / month / quarter, in one Window stage. Keyed by
+    (entity, series): the target is one series per entity, and a series key
+    keeps the window hash-partitioned even when the entity is constant."""
     w = series_window(keys)
     v = F.col(value)
     return target.select(

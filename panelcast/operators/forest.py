@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Forest settings of the reference (100 trees, seed 42, every
@@ -33,16 +33,18 @@ def predict_forest(model, df: DataFrame) -> DataFrame:
 
 
 def importances(model, features: list[str], spark) -> DataFrame:
-    """M5: (feature, importance) pairs of the fitted forest (normalised to 1)."""
-    imp = model.featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features, [float(v) for v in imp])),
-                                 "feature string, importance double")
+    """M5: (feature, importance, rank) of the fitted forest (normalised to 1).
+    The vector has one entry per feature (at most the feature cap), so it is
+    ranked here, by importance descending then name."""
+    imp = [float(v) for v in model.featureImportances.toArray().tolist()]
+    ranked = sorted(zip(features, imp), key=lambda t: (-t[1], t[0]))
+    return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)],
+                                 "feature string, importance double, rank bigint")
 
 
 def top_importance(imp: DataFrame, k: int = 10) -> DataFrame:
     """T5: top-k features by importance (ties by name)."""
-    w = Window.orderBy(F.col("importance").desc(), "feature")
-    return imp.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    return imp.filter(F.col("rank") <= k)
 
 
 def fit_pooled(train: DataFrame, kind: str, seed: int = SEED, reg: float = 1.0, max_iter: int = 100):

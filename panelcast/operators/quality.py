@@ -72,6 +72,9 @@ def quality_report(df: DataFrame, catalog: DataFrame | None = None,
         F.sum(null_count(df)).alias("_nulls"),
         F.min(date).alias("_first"), F.max(date).alias("_last"),
         F.count_distinct(_row_struct(df)).alias("_distinct"))
+    if catalog is not None:           # read twice below: keep the small aggregate
+        from panelcast.session import materialize
+        agg = materialize(agg)
     span = F.datediff("_last", "_first")
     dups = F.col("rows") - F.col("_distinct")
     issues = F.filter(F.array(

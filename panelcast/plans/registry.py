@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelcast.functions.present import Spec, present, present_sql
 from panelcast.plans import oracle_sql as S
 from panelcast.operators import features as FT, relate as RL
+from panelcast.session import materialize
 from panelcast.sources.views import panel_view
 
 # The flagship target series and the other four order priorities.
@@ -132,7 +133,7 @@ CAT_SPEC = [("series_id", "s"), ("date", "d"), ("value", 2), ("category", "s"),
           + " SELECT cp.series_id, cp.date, cp.value, cat.category, cat.role, cat.key"
             " FROM cp JOIN cat ON cp.series_id = cat.series_id")
 def _catalog_join(spark, d):
-    cp = CT.collected_panel(spark, d)
+    cp = materialize(CT.collected_panel(spark, d))
     return CT.catalog_join(cp.drop("category", "entity_id"), CT.catalog(cp))
 
 
@@ -154,7 +155,7 @@ def _panel_keys(spark, d):
             " FROM cp JOIN cat ON cp.series_id = cat.series_id WHERE NOT starts_with(cat.key, 'target_')")
 def _role_split(spark, d):
     from pyspark.sql import functions as F
-    cp = CT.collected_panel(spark, d)
+    cp = materialize(CT.collected_panel(spark, d))
     joined = CT.role_of_key(CT.catalog_join(cp.drop("category", "entity_id"), CT.catalog(cp)))
     return joined.filter(F.col("role") == "predictor")
 
@@ -389,7 +390,7 @@ PRI_SERIES = ("1-URGENT", "2-HIGH")
             " USING (entity_id, date)")
 def _full_join_pair(spark, d):
     from pyspark.sql import functions as F
-    p = panel_view(spark, d, "nation_priority")
+    p = materialize(panel_view(spark, d, "nation_priority"))
     a = p.filter(F.col("series_id") == PRI_SERIES[0]).select("entity_id", "date", F.col("value").alias("urgent"))
     b = p.filter(F.col("series_id") == PRI_SERIES[1]).select("entity_id", "date", F.col("value").alias("high"))
     return RL.full_join_pair(a, b)
@@ -732,7 +733,7 @@ def _calendar_effects(spark, d):
             " FROM panel a JOIN panel b ON a.entity_id = b.entity_id AND a.date = b.date"
             " WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'")
 def _spread(spark, d):
-    return DV.spread(panel_view(spark, d, "nation_priority"), "1-URGENT", "5-LOW")
+    return DV.spread(materialize(panel_view(spark, d, "nation_priority")), "1-URGENT", "5-LOW")
 
 # --------------------------------------------------------------- step 9: second tier
 
