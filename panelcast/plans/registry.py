@@ -629,7 +629,7 @@ from panelcast.operators import align as AL, derived as DV  # noqa: E402
 
 
 @register("align_monthly",
-          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("mean_value", 4), ("last_value", 2),
+          [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("mean_value", 6), ("last_value", 2),
            ("n_obs", "i"), ("first_obs", "d"), ("last_obs", "d")],
           S.with_(S.panel_cte("daily_ship"))
           + " SELECT entity_id, series_id, CAST(date_trunc('month', date) AS DATE) AS date,"
