@@ -2,7 +2,8 @@
 
 A spec is a list of ``(column, kind)``: ``"s"`` text, ``"i"`` BIGINT,
 ``"d"`` DATE shown as ``yyyy-MM-dd``, ``"t"`` TIMESTAMP shown as
-``yyyy-MM-dd HH:mm:ss``, ``"b"`` boolean, ``"a"`` text array joined by ``"; "``, or an int ``n`` meaning DOUBLE
+``yyyy-MM-dd HH:mm:ss``, ``"b"`` boolean, ``"a"`` text array joined by ``"; "``, ``"f"`` DOUBLE unrounded
+(only for values computed bit-identically by both engines), or an int ``n`` meaning DOUBLE
 rounded to n decimals. The same spec renders the Spark DataFrame and the
 SQL oracle, so both sides agree on names, types and rounding.
 """
@@ -33,6 +34,8 @@ def present(df: DataFrame, spec: Spec) -> DataFrame:
             c = c.cast("boolean")
         elif kind == "a":
             c = F.concat_ws("; ", c)
+        elif kind == "f":
+            c = c.cast("double")
         elif isinstance(kind, int):
             c = F.round(c.cast("double"), kind)
         else:
@@ -57,6 +60,8 @@ def present_sql(sql: str, spec: Spec) -> str:
             e = f"CAST({q} AS BOOLEAN)"
         elif kind == "a":
             e = f"array_to_string({q}, '; ')"
+        elif kind == "f":
+            e = f"CAST({q} AS DOUBLE)"
         elif isinstance(kind, int):
             e = f"round(CAST({q} AS DOUBLE), {kind})"
         else:

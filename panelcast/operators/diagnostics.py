@@ -4,6 +4,7 @@ residual autocorrelation, structural-break statistic, cross-publisher check."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -87,28 +88,41 @@ def winsorize(panel: DataFrame, lower: float = 0.05, upper: float = 0.95,
 
 
 def decompose(panel: DataFrame, period: int = 12, keys: Sequence[str] = SERIES_KEYS,
-              value: str = "value") -> DataFrame:
-    """Classical additive decomposition. Trend = centred moving average
-    (2 x period MA for an even period), seasonal = mean detrended value per
-    month of year, centred to sum zero, residual = value - trend - seasonal."""
+              value: str = "value", scale: int = 2) -> DataFrame:
+    """Classical additive decomposition of monthly series. Trend =
+    centred moving average (2 x 12 MA), seasonal = mean detrended value per
+    month of year centred to mean zero, residual = value - trend - seasonal.
+
+    Reproducible under any partitioning: sums are accumulated as exact
+    DECIMALs (values carry ``scale`` decimals) and divided once in DOUBLE,
+    and the centring mean adds the twelve month means in calendar order, so
+    the result does not depend on the order in which Spark merges partials."""
+    if period != 12:
+        raise ValueError("decompose works on monthly series (period 12)")
+    keys = list(keys)
     w = series_window(keys)
     h = period // 2
-    v = F.col(value)
+    vd = F.col(value).cast(f"decimal(20,{scale})")
     frame = w.rowsBetween(-h, h)
-    full = F.count(v).over(frame) == 2 * h + 1
-    s = F.sum(v).over(frame)
-    if period % 2 == 0:
-        trend = (s - F.lit(0.5) * (F.lag(v, h).over(w) + F.lead(v, h).over(w))) / F.lit(float(period))
-    else:
-        trend = s / F.lit(float(period))
-    t = panel.withColumn("trend", F.when(full, trend)).withColumn("_dt", v - F.col("trend"))
-    keys = list(keys)
-    mon = F.month("date")
-    season = t.groupBy(*keys, mon.alias("_mon")).agg(F.avg("_dt").alias("_s"))
-    season = season.withColumn("seasonal", F.col("_s") - F.avg("_s").over(Window.partitionBy(*keys)))
-    return (t.withColumn("_mon", mon)
-             .join(season.select(*keys, "_mon", "seasonal"), keys + ["_mon"], "left")
-             .withColumn("resid", v - F.col("trend") - F.col("seasonal")).drop("_dt", "_mon"))
+    full = F.count(vd).over(frame) == 2 * h + 1
+    half = F.lit(Decimal("0.5"))                                   # exact, not a DOUBLE literal
+    num = F.sum(vd).over(frame) - (F.lag(vd, h).over(w) + F.lead(vd, h).over(w)) * half
+    t = panel.select("*", F.when(full, num).alias("_num"))
+    t = t.select("*", (F.col("_num").cast("double") / F.lit(float(period))).alias("trend"),
+                 (vd * F.lit(period) - F.col("_num")).alias("_d"),      # period * (value - trend)
+                 F.month("date").alias("_mon"))
+    s = t.groupBy(*keys, "_mon").agg(
+        (F.sum("_d").cast("double") / (F.lit(float(period)) * F.count("_d"))).alias("_s"))
+    wide = s.groupBy(*keys).pivot("_mon", list(range(1, period + 1))).agg(F.first("_s"))
+    total, cnt = F.lit(0.0), F.lit(0)
+    for m in range(1, period + 1):
+        total = total + F.coalesce(F.col(str(m)), F.lit(0.0))
+        cnt = cnt + F.col(str(m)).isNotNull().cast("int")
+    mean = wide.select(*keys, (total / cnt.cast("double")).alias("_mean"))
+    season = s.join(mean, keys).select(*keys, "_mon", (F.col("_s") - F.col("_mean")).alias("seasonal"))
+    return (t.join(season, keys + ["_mon"], "left")
+             .withColumn("resid", F.col(value) - F.col("trend") - F.col("seasonal"))
+             .drop("_num", "_d", "_mon"))
 
 
 def residual_autocorr(pred: DataFrame, keys: Sequence[str], y: str = "y", p: str = "prediction",

@@ -816,17 +816,29 @@ def _winsorize(spark, d):
     return DG.winsorize(panel_view(spark, d, "supplier_monthly"), 0.05, 0.95)
 
 
-@register("decompose", PANEL_SPEC + [("trend", 5), ("seasonal", 4), ("resid", 4)],
+@register("decompose", PANEL_SPEC + [("trend", "f"), ("seasonal", "f"), ("resid", "f")],
           S.with_(S.panel_cte("supplier_monthly"),
-                  "t AS (SELECT *, CASE WHEN count(value) OVER (PARTITION BY entity_id, series_id ORDER BY date"
-                  " ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN (sum(value) OVER (PARTITION BY"
-                  " entity_id, series_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) - 0.5 *"
-                  f" (lag(value, 6) {S.w()} + lead(value, 6) {S.w()})) / 12.0 END AS trend FROM panel)",
-                  "s AS (SELECT entity_id, series_id, month(date) AS mon, avg(value - trend) AS s FROM t GROUP BY 1, 2, 3)",
-                  "s2 AS (SELECT *, s - avg(s) OVER (PARTITION BY entity_id, series_id) AS seasonal FROM s)")
+                  "t0 AS (SELECT *, CASE WHEN count(value) OVER (PARTITION BY entity_id, series_id ORDER BY date"
+                  " ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN sum(CAST(value AS DECIMAL(20,2))) OVER"
+                  " (PARTITION BY entity_id, series_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)"
+                  f" - (lag(CAST(value AS DECIMAL(20,2)), 6) {S.w()} + lead(CAST(value AS DECIMAL(20,2)), 6) {S.w()})"
+                  " * 0.5 END AS num FROM panel)",
+                  "t AS (SELECT *, CAST(num AS DOUBLE) / 12.0 AS trend,"
+                  " CAST(value AS DECIMAL(20,2)) * 12 - num AS dd, month(date) AS mon FROM t0)",
+                  "s AS (SELECT entity_id, series_id, mon, CAST(sum(dd) AS DOUBLE) / (12.0 * count(dd)) AS s"
+                  " FROM t GROUP BY 1, 2, 3)",
+                  "wd AS (SELECT entity_id, series_id, "
+                  + ", ".join(f"max(CASE WHEN mon = {m} THEN s END) AS s{m}" for m in range(1, 13))
+                  + " FROM s GROUP BY 1, 2)",
+                  "mn AS (SELECT entity_id, series_id, ("
+                  + "(" * 11 + "0.0 + coalesce(s1, 0.0)" + "".join(f") + coalesce(s{m}, 0.0)" for m in range(2, 13))
+                  + ") / CAST(" + " + ".join(f"CAST(s{m} IS NOT NULL AS INT)" for m in range(1, 13))
+                  + " AS DOUBLE) AS mean FROM wd)",
+                  "s2 AS (SELECT s.entity_id, s.series_id, s.mon, s.s - mn.mean AS seasonal FROM s JOIN mn"
+                  " ON s.entity_id = mn.entity_id AND s.series_id = mn.series_id)")
           + " SELECT t.entity_id, t.series_id, t.date, t.value, t.trend, s2.seasonal,"
             " t.value - t.trend - s2.seasonal AS resid FROM t LEFT JOIN s2 ON t.entity_id = s2.entity_id"
-            " AND t.series_id = s2.series_id AND month(t.date) = s2.mon")
+            " AND t.series_id = s2.series_id AND t.mon = s2.mon")
 def _decompose(spark, d):
     return DG.decompose(panel_view(spark, d, "supplier_monthly"))
 
