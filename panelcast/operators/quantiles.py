@@ -22,8 +22,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     finish_rows: int = 20_000, max_passes: int = 64) -> DataFrame:
     """Returns ``keys`` + one DOUBLE column ``q{int(p*100)}`` per probability."""
     keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")) \
-             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")).persist()
+    clean = df.select(*keys, F.col(value).cast("double").alias("_v")) \
+              .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= finish_rows:
+        return _ranked_quantiles(clean, keys, probs)
+    data = clean.persist()
     stats = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
                                     F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # one target per (group, wanted 0-based rank)
@@ -94,3 +98,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         t.unpersist(blocking=False)
     data.unpersist(blocking=False)
     return out
+
+
+def _ranked_quantiles(clean: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """Every group holds at most ``finish_rows`` values (checked by the
+    caller): rank each group in one window pass and interpolate."""
+    w = Window.partitionBy(*keys).orderBy("_v")
+    r = clean.select(*keys, "_v", (F.row_number().over(w) - 1).alias("_r"),
+                     F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    aggs = []
+    for p in probs:
+        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        lo = F.max(F.when(F.col("_r") == F.floor(h), F.col("_v")))
+        hi = F.max(F.when(F.col("_r") == F.ceil(h), F.col("_v")))
+        frac = F.first(h - F.floor(h))
+        aggs.append((lo + (hi - lo) * frac).alias(f"q{int(round(p * 100))}"))
+    return r.groupBy(*keys).agg(*aggs)
