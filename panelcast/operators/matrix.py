@@ -4,7 +4,8 @@ Long form ``(entity_id, date, mom_pct, feature, ordinal, value)``. ``ordinal``
 is the position the feature would have as a column of the wide matrix:
 the first ``P`` predictor variables, then their lags, then the target lags,
 then ma3 / vol3 / ma6 per predictor, then mom3 / mom6 per predictor. Models
-select features as "the first N ordinals".
+select features as "the first N ordinals". ``lags_only`` keeps only lagged
+features (a forecast rather than a nowcast: no same-month predictor values).
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def select_predictors(analysis: DataFrame, n_predictors: int = 10) -> DataFrame:
 
 
 def feature_matrix(analysis: DataFrame, n_predictors: int = 10, max_lags: int = 3,
-                   y: str = "mom_pct", target_lags: int = 3) -> DataFrame:
+                   y: str = "mom_pct", target_lags: int = 3, lags_only: bool = False) -> DataFrame:
     sel = analysis.join(select_predictors(analysis, n_predictors), ["entity_id", "variable"])
     w = Window.partitionBy("entity_id", "variable").orderBy("date")
     P, L, i, x = F.col("P"), max_lags, F.col("pidx"), F.col("x")
@@ -68,6 +69,9 @@ def feature_matrix(analysis: DataFrame, n_predictors: int = 10, max_lags: int =
     tgt_rows = tlag.select("entity_id", "date", y, F.inline(F.array(*tl)))
     rows = pred_rows.unionByName(tgt_rows)
     # drop a date when any of its features is NULL (NaN / inf stay)
+    if lags_only:
+        # forecast setting: drop features that use same-period predictor values
+        rows = rows.filter(F.col("feature").rlike("_lag[0-9]+$"))
     wd = Window.partitionBy("entity_id", "date")
     return (rows.withColumn("_nn", F.count("value").over(wd) == F.count(F.lit(1)).over(wd))
                 .filter("_nn").drop("_nn"))

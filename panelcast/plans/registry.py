@@ -891,3 +891,21 @@ def _cross_check(spark, d):
           S.with_(S.panel_cte("hourly_events")) + " SELECT * FROM panel")
 def _stream_hourly(spark, d):
     return INC.hourly_panel_incremental(spark, d)
+
+
+@register("feature_matrix_lags_only", FM_SPEC,
+          S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET))
+          + " SELECT entity_id, date, mom_pct, feature, ordinal, value FROM"
+            " (SELECT *, count(*) OVER (PARTITION BY entity_id, date) AS c FROM fr"
+            " WHERE regexp_matches(feature, '_lag[0-9]+$')) z"
+            " QUALIFY count(value) OVER (PARTITION BY entity_id, date) = c")
+def _fm_lags(spark, d):
+    return MX.feature_matrix(RL.analysis_frame(panel_view(spark, d, "monthly_orders"), TARGET),
+                             lags_only=True)
+
+
+@register("metrics_long", [("entity_id", "s"), ("model", "s"), ("metric", "s"), ("value", 6)],
+          notes="chart table of the per-nation linear model metrics; rows-only")
+def _metrics_long(spark, d):
+    cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
+    return CMP.metrics_long(CMP.model_table(cmp))

@@ -32,3 +32,20 @@ def test_entry_runs(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["entity_id", "rank", "variable", "correlation"]
+
+
+def test_no_single_partition_cartesian_or_nested_loop_plans(spark):
+    """Every registered query (model fits aside) plans without a single
+    partition exchange, cartesian product or nested-loop join."""
+    from __spark_entry__ import queries
+    skip = {"forest_fit", "top_importance", "model_compare", "lasso_fit", "gbt_fit", "stream_hourly",
+            "model_table", "best_model", "metrics_long", "ridge_fit"}
+    bad = {}
+    for name, fn in queries().items():
+        if name in skip:
+            continue
+        plan = _plan(fn(spark, SF))
+        flags = [k for k in ("SinglePartition", "CartesianProduct", "BroadcastNestedLoopJoin") if k in plan]
+        if flags:
+            bad[name] = flags
+    assert bad == {}

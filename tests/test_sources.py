@@ -75,3 +75,15 @@ def test_json_roundtrip_and_nested_blocks(spark):
     assert [b.n_records for b in blocks] == [10, 10, 5]
     recs = [r for b in blocks for r in json.loads(b.records_json)]
     assert [r["value"] for r in recs] == [float(i) for i in range(25)]
+
+
+def test_parquet_sink_partitioned_by_category(spark):
+    d = _tmp()
+    rows = [("e", s, dt.date(2000, 1, 1), 1.0, c) for s, c in (("a", "market"), ("b", "macro"), ("c", "macro"))]
+    p = spark.createDataFrame(rows, "entity_id string, series_id string, date date, value double, category string")
+    SK.write_panel_parquet(p, os.path.join(d, "pq"))
+    assert sorted(os.listdir(os.path.join(d, "pq")))[-2:] == ["category=macro", "category=market"]
+    back = spark.read.parquet(os.path.join(d, "pq")).filter(F.col("category") == "macro")
+    assert back.count() == 2 and "series_id" in back.columns
+    SK.write_nested(SK.nested_blocks(p, 10), os.path.join(d, "nested"))
+    assert spark.read.json(os.path.join(d, "nested")).count() == 3
