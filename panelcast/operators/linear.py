@@ -49,6 +49,14 @@ def gram(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
         (F.var_pop("y") * n).alias("yty"))
 
 
+def available_features(columns: Sequence[str], wanted: Sequence[str]) -> list[str]:
+    """PF9: the wanted feature columns that exist (order kept); error if none."""
+    got = [c for c in wanted if c in set(columns)]
+    if not got:
+        raise ValueError("No AR features available")
+    return got
+
+
 def _fit_schema(keys_schema: T.StructType) -> T.StructType:
     return T.StructType(list(keys_schema.fields) + [
         T.StructField("model", T.StringType()),

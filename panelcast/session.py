@@ -45,8 +45,9 @@ def get_spark(master: str | None = None, app: str = "panelcast",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one. Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    Uses ``spark.checkpoint.dir`` when the cluster names one. Only a local
+    session (tests) without it gets a fresh scratch folder; on a cluster the
+    setting is required.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: a machine-local scratch "
+                           "folder would not survive the loss of an executor")
     local = tempfile.mkdtemp(prefix="panelcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

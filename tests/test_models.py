@@ -83,3 +83,10 @@ def test_fold_bounds_match_python_range(spark):
         for f in folds:
             assert f.test_start == dt.date(2000, 1, 1) + dt.timedelta(days=f.n_train)
             assert f.test_end == dt.date(2000, 1, 1) + dt.timedelta(days=f.n_train + 11)
+
+
+def test_available_features():
+    import pytest
+    assert LN.available_features(["date", "y", "y_lag2", "y_lag1"], ["y_lag1", "y_lag2", "y_lag3"]) == ["y_lag1", "y_lag2"]
+    with pytest.raises(ValueError):
+        LN.available_features(["date"], ["y_lag1"])
