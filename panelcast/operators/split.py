@@ -27,7 +27,11 @@ def ts_split(df: DataFrame, keys: Sequence[str] = SERIES_KEYS, train_size: float
              validation_size: float = 0.15, order: str = "date") -> DataFrame:
     """V1: first int(n*0.7) rows train, next int(n*0.15) validation, rest test
     (``int`` truncation, no shuffling)."""
-    p = positions(df, keys, order)
+    return assign_split(positions(df, keys, order), train_size, validation_size)
+
+
+def assign_split(p: DataFrame, train_size: float = 0.7, validation_size: float = 0.15) -> DataFrame:
+    """Split label from 0-based position ``rn`` and length ``n`` columns."""
     n_train = (F.col("n") * F.lit(float(train_size))).cast("bigint")
     n_val = (F.col("n") * F.lit(float(validation_size))).cast("bigint")
     split = (F.when(F.col("rn") < n_train, F.lit("train"))

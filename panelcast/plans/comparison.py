@@ -35,9 +35,12 @@ def split_matrix(panel: DataFrame, target: str, n_predictors: int = N_PREDICTORS
                  max_lags: int = MAX_LAGS) -> DataFrame:
     """Long feature matrix with the 70 / 15 / 15 split of each entity's dates."""
     fm = MX.feature_matrix(RL.analysis_frame(panel, target), n_predictors, max_lags)
-    dates = fm.filter(F.col("ordinal") == 0).select("entity_id", "date")
-    sp = SP.ts_split(dates, keys=KEYS).select("entity_id", "date", "split")
-    return fm.join(sp, ["entity_id", "date"])
+    # date position per entity without a self-join: dense rank over the
+    # entity's rows (dates x features, bounded by the calendar and the cap)
+    w = Window.partitionBy(*KEYS).orderBy("date")
+    ranked = fm.withColumn("rn", (F.dense_rank().over(w) - 1).cast("bigint"))
+    ranked = ranked.withColumn("n", F.max("rn").over(Window.partitionBy(*KEYS)) + 1)
+    return SP.assign_split(ranked).drop("rn", "n")
 
 
 def vectors(fm: DataFrame, n_features: int | None = None,
