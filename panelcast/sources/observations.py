@@ -66,6 +66,19 @@ def repair_date(df: DataFrame, col: str = "date") -> DataFrame:
     return df
 
 
+def read_series_files(spark: SparkSession, path: str,
+                      schema: T.StructType | None = None) -> DataFrame:
+    """SC5: one scan over a folder of per-series Parquet files; the series
+    key is the file stem (``_metadata.file_name`` without ``.parquet``), and
+    a text ``date`` is repaired to DATE (SC8)."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.parquet(path)
+    key = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[a-z0-9]+)*\.parquet$", 1)
+    return repair_date(df.select("*", key.alias("key")))
+
+
 def read_cached_series(spark: SparkSession, path: str) -> DataFrame:
     """SC3: JSON array-of-records files (one array per file), explicit schema."""
     return spark.read.schema(CACHED_SERIES).option("multiLine", True).json(path)

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import shutil
 import tempfile
 import time
 
@@ -87,3 +88,16 @@ def test_parquet_sink_partitioned_by_category(spark):
     assert back.count() == 2 and "series_id" in back.columns
     SK.write_nested(SK.nested_blocks(p, 10), os.path.join(d, "nested"))
     assert spark.read.json(os.path.join(d, "nested")).count() == 3
+
+
+def test_multi_file_parquet_scan_keys_by_stem(spark):
+    d = _tmp()
+    for key in ("target_ppi", "macro_indicators_unrate"):
+        spark.createDataFrame([("2000-01-01", 1.0, key.upper())], "date string, value double, series_id string") \
+             .coalesce(1).write.parquet(os.path.join(d, "tmp_" + key))
+        part = [f for f in os.listdir(os.path.join(d, "tmp_" + key)) if f.endswith(".parquet")][0]
+        os.makedirs(os.path.join(d, "all"), exist_ok=True)
+        shutil.copyfile(os.path.join(d, "tmp_" + key, part), os.path.join(d, "all", key + ".parquet"))
+    df = OB.read_series_files(spark, os.path.join(d, "all"))
+    assert sorted(r.key for r in df.collect()) == ["macro_indicators_unrate", "target_ppi"]
+    assert dict(df.dtypes)["date"] == "date"
