@@ -25,13 +25,21 @@ MIN_ROWS = {"ar": 10, "ridge": 20, "forest": 30}
 INSUFFICIENT = "Insufficient training data"
 
 
-def gram(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+WIDE_GRAM = 8   # above this many features the Gram is built map-side in NumPy
+
+
+def gram(df: DataFrame, keys: Sequence[str], p: int, method: str = "auto") -> DataFrame:
     """Per group: n, mean_y, mean_x[p], centred xtx[p*p] (row-major), xty[p],
     yty, and the feature names.
 
-    One partial + final aggregate, no join back: centred sums are
-    ``n * covar_pop``, whose buffers Spark merges with the stable pairwise
-    co-moment update, so large levels do not cancel as raw sums would."""
+    ``sql`` (default for p <= 8): one partial + final aggregate, no join back;
+    centred sums are ``n * covar_pop``, whose buffers Spark merges with the
+    stable pairwise co-moment update. ``pandas`` (default for wider p, where
+    p(p+1)/2 aggregate functions would leave code generation): each Arrow
+    batch is reduced to centred co-moments per group in NumPy, and the few
+    partial rows per group are merged exactly (parallel co-moment formula)."""
+    if method == "pandas" or (method == "auto" and p > WIDE_GRAM):
+        return _gram_partials(df, list(keys), p)
     keys = list(keys)
     x = [F.col("x")[i] for i in range(p)]
     n = F.count(F.lit(1))
@@ -57,6 +65,57 @@ def available_features(columns: Sequence[str], wanted: Sequence[str]) -> list[st
     return got
 
 
+def _gram_schema(df: DataFrame, keys: list[str], with_names: bool = True) -> T.StructType:
+    fields = [df.schema[k] for k in keys] + [
+        T.StructField("n", T.LongType()), T.StructField("mean_y", T.DoubleType()),
+        T.StructField("mean_x", T.ArrayType(T.DoubleType())),
+        T.StructField("features", T.ArrayType(T.StringType())),
+        T.StructField("xtx", T.ArrayType(T.DoubleType())),
+        T.StructField("xty", T.ArrayType(T.DoubleType())), T.StructField("yty", T.DoubleType())]
+    return T.StructType(fields)
+
+
+def _gram_partials(df: DataFrame, keys: list[str], p: int) -> DataFrame:
+    schema = _gram_schema(df, keys)
+    names = [f.name for f in schema.fields]
+
+    def partial(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            out = []
+            for key, g in pdf.groupby(keys, sort=False, dropna=False):
+                key = key if isinstance(key, tuple) else (key,)
+                x = np.stack(g["x"].map(np.asarray).to_numpy()).astype(float).reshape(-1, p)
+                y = g["y"].to_numpy(float)
+                mx, my = x.mean(0), y.mean()
+                xc, yc = x - mx, y - my
+                rec = dict(zip(keys, key))
+                rec.update(n=len(y), mean_y=my, mean_x=mx.tolist(), features=list(g["features"].iloc[0]),
+                           xtx=(xc.T @ xc).ravel().tolist(), xty=(xc.T @ yc).tolist(), yty=float(yc @ yc))
+                out.append(rec)
+            yield pd.DataFrame(out, columns=names)
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        n_b = parts["n"].to_numpy(float)
+        mx_b = np.stack(parts["mean_x"].map(np.asarray).to_numpy()).astype(float)
+        my_b = parts["mean_y"].to_numpy(float)
+        n = n_b.sum()
+        mx, my = (n_b[:, None] * mx_b).sum(0) / n, (n_b * my_b).sum() / n
+        dx, dy = mx_b - mx, my_b - my
+        xtx = sum(np.asarray(a, float).reshape(p, p) for a in parts["xtx"]) + (n_b[:, None] * dx).T @ dx
+        xty = sum(np.asarray(a, float) for a in parts["xty"]) + (n_b[:, None] * dx).T @ dy
+        yty = parts["yty"].sum() + (n_b * dy) @ dy
+        rec = {k: parts.iloc[0][k] for k in keys}
+        rec.update(n=int(n), mean_y=my, mean_x=mx.tolist(), features=list(parts["features"].iloc[0]),
+                   xtx=xtx.ravel().tolist(), xty=xty.tolist(), yty=float(yty))
+        return pd.DataFrame([rec], columns=names)
+
+    vec = df.select(*keys, "y", "x", "features")
+    # one partial row per (group, Arrow batch); the merge group is that small
+    return vec.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merge, schema)
+
+
 def _fit_schema(keys_schema: T.StructType) -> T.StructType:
     return T.StructType(list(keys_schema.fields) + [
         T.StructField("model", T.StringType()),

@@ -90,3 +90,20 @@ def test_available_features():
     assert LN.available_features(["date", "y", "y_lag2", "y_lag1"], ["y_lag1", "y_lag2", "y_lag3"]) == ["y_lag1", "y_lag2"]
     with pytest.raises(ValueError):
         LN.available_features(["date"], ["y_lag1"])
+
+
+def test_wide_gram_paths_agree(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(300, 12)) * 50 + 1000
+    y = X @ rng.normal(size=12) + rng.normal(size=300)
+    df = _rows(spark, X, y).repartition(7)            # several partial rows per group
+    a = LN.gram(df, ["entity_id"], 12, method="sql").collect()[0]
+    b = LN.gram(df, ["entity_id"], 12, method="pandas").collect()[0]
+    assert a.n == b.n == 300
+    assert np.allclose(a.xtx, b.xtx, rtol=1e-9) and np.allclose(a.xty, b.xty, rtol=1e-9)
+    assert np.allclose(a.mean_x, b.mean_x, rtol=1e-12) and abs(a.yty - b.yty) < 1e-6 * abs(a.yty)
+    fa = LN.solve_gram(LN.gram(df, ["entity_id"], 12, method="pandas"), ["entity_id"], "ridge", 1.0, True).collect()[0]
+    Xc = X - X.mean(0)
+    sd = X.std(0)
+    w = np.linalg.solve((Xc / sd).T @ (Xc / sd) + np.eye(12), (Xc / sd).T @ (y - y.mean()))
+    assert np.allclose(fa.coef, w / sd, rtol=1e-7)
