@@ -8,7 +8,7 @@ feature (top-k, head samples).
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -765,7 +765,7 @@ def _gbt(spark, d):
 def _var(spark, d):
     rows = LN.var_rows(panel_view(spark, d, "nation_priority"))
     fits = LN.fit_linear(rows, ["entity_id", "equation"], "var", 5)
-    return fits.withColumnRenamed("n_train", "n_train")
+    return fits
 
 
 CV_SPEC = [("entity_id", "s"), ("series_id", "s"), ("fold", "i"), ("rmse", 6), ("mae", 6),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.schemas import CACHED_SERIES, PAYLOAD
+from panelcast.schemas import CACHED_SERIES
 
 # Fixed value: the publisher's missing-observation marker.
 MISSING_MARKER = "."

@@ -1,7 +1,6 @@
 import datetime as dt
 import math
 
-from pyspark.sql import functions as F
 
 from panelcast.functions.ieee import ieee_div, ieee_ln
 from panelcast.operators import features as FT

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from panelcast.operators import evaluate as EV, linear as LN, split as SP
 
