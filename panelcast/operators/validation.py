@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,3 +102,66 @@ def holdout(df: DataFrame, keys: Sequence[str], last: int = 24) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col("date").desc())
     return df.withColumn("split", F.when(F.row_number().over(w) <= last, F.lit("holdout"))
                          .otherwise(F.lit("train")))
+
+
+def ridge_fold_fits(rows: DataFrame, keys: Sequence[str], p: int, alpha: float = 1.0,
+                    min_train: int = 60, step: int = 12, horizon: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Expanding-window folds for standardised ridge (M3), without copying
+    training rows per fold: rows are tagged with their ``step``-row block,
+    each (group, block) is reduced to centred co-moments (NumPy partials),
+    and the block Grams are merged cumulatively per group (at most n / step
+    small rows), giving every fold's training Gram. Returns (tagged rows,
+    fold coefficients in original units)."""
+    from panelcast.operators.linear import _gram_partials, _solve
+    if horizon > step:
+        raise ValueError("horizon must not exceed step")
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("date")
+    tagged = rows.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rn"),
+                         F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
+    k = F.col("rn") - min_train
+    tagged = tagged.withColumn("block", F.when(F.col("rn") < min_train, F.lit(-1))
+                               .otherwise(F.floor(k / step)).cast("bigint"))
+    blocks = _gram_partials(tagged.select(*keys, "block", "y", "x", "features"), keys + ["block"], p)
+    n_rows = tagged.groupBy(*keys).agg(F.first("n").alias("n_rows"))
+    schema = T.StructType([rows.schema[c] for c in keys] + [
+        T.StructField("fold", T.LongType()), T.StructField("n_train", T.LongType()),
+        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType())])
+
+    def prefix(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("block")
+        n_total = int(g["n_rows"].iloc[0])
+        out = []
+        n, mx, my, cxx, cxy = 0.0, np.zeros(p), 0.0, np.zeros((p, p)), np.zeros(p)
+        for r in g.itertuples(index=False):
+            b = int(r.block)
+            if b >= 0:                                   # fold b trains on everything before block b
+                e = min_train + step * b
+                if e < n_total - horizon and n > 0:
+                    scale = np.sqrt(np.clip(np.diag(cxx) / n, 0.0, None))
+                    scale[scale == 0.0] = 1.0
+                    a = cxx / np.outer(scale, scale) + alpha * np.eye(p)
+                    coef = _solve(a, cxy / scale) / scale
+                    rec = {c: getattr(r, c) for c in keys}
+                    rec.update(fold=b, n_train=int(n), coef=coef.tolist(), intercept=float(my - mx @ coef))
+                    out.append(rec)
+            nb, mb, yb = float(r.n), np.asarray(r.mean_x, float), float(r.mean_y)
+            tot = n + nb
+            dx, dy = mb - mx, yb - my
+            cxx = cxx + np.asarray(r.xtx, float).reshape(p, p) + np.outer(dx, dx) * n * nb / tot
+            cxy = cxy + np.asarray(r.xty, float) + dx * dy * n * nb / tot
+            mx, my, n = mx + dx * nb / tot, my + dy * nb / tot, tot
+        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    fits = blocks.join(n_rows, keys).groupBy(*keys).applyInPandas(prefix, schema)
+    test = tagged.filter((F.col("block") >= 0) & (k % step < horizon)).withColumnRenamed("block", "fold")
+    return test, fits
+
+
+def ridge_cv_metrics(rows: DataFrame, keys: Sequence[str], p: int, alpha: float = 1.0,
+                     min_train: int = 60, step: int = 12, horizon: int = 12) -> DataFrame:
+    """Out-of-fold ridge metrics per (group, fold)."""
+    keys = list(keys)
+    test, fits = ridge_fold_fits(rows, keys, p, alpha, min_train, step, horizon)
+    pred = test.join(fits, keys + ["fold"]).withColumn("prediction", F.col("intercept") + dot("x", "coef"))
+    return metrics(pred, keys + ["fold"])

@@ -911,3 +911,9 @@ def _fm_lags(spark, d):
 def _metrics_long(spark, d):
     cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
     return CMP.metrics_long(CMP.model_table(cmp))
+
+
+@register("expanding_cv_ridge", CV_SPEC,
+          notes="standardised ridge on expanding folds via block co-moment merges; refit-checked in tests")
+def _cv_ridge(spark, d):
+    return VL.ridge_cv_metrics(LN.ar_rows(panel_view(spark, d, "daily_ship")), SER, 3, 1.0, 60, 12, 12)

@@ -127,3 +127,22 @@ def test_latest_vintage(spark):
                                  ("s", dt.date(2020, 1, 1), 9.0, 2)], "series_id string, date date, value double, vintage int")
     r = AL.latest_vintage(obs).collect()[0]
     assert r.value == 2.0 and r.n_revisions == 3
+
+
+def test_ridge_fold_fits_equal_refitting(spark):
+    df = _ar_frame(spark, n=120)
+    pdf = df.orderBy("date").toPandas()
+    X, y = np.stack(pdf.x.to_numpy()), pdf.y.to_numpy()
+    n = len(y)
+    _, fits = VL.ridge_fold_fits(df, ["entity_id", "series_id"], 3, 1.0, 60, 12, 12)
+    got = {r.fold: r for r in fits.collect()}
+    folds = list(range(60, n - 12, 12))
+    assert sorted(got) == list(range(len(folds)))
+    for f, e in enumerate(folds):
+        Xt, yt = X[:e], y[:e]
+        mu, sd = Xt.mean(0), Xt.std(0)
+        Z = (Xt - mu) / sd
+        w = np.linalg.solve(Z.T @ Z + np.eye(3), Z.T @ (yt - yt.mean()))
+        assert got[f].n_train == e
+        assert np.allclose(got[f].coef, w / sd, rtol=1e-8, atol=1e-12)
+        assert abs(got[f].intercept - (yt.mean() - mu @ (w / sd))) < 1e-8
