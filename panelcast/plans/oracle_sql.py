@@ -264,3 +264,30 @@ def cv_ctes(view: str, m: int, step: int, horizon: int) -> list[str]:
 METRICS_SELECT = ("sqrt(avg((y - prediction) * (y - prediction))) AS rmse, avg(abs(y - prediction)) AS mae,"
                   " avg(CAST(CAST(sign(y) AS DOUBLE) = CAST(sign(prediction) AS DOUBLE) AS DOUBLE))"
                   " AS directional_accuracy, count(*) AS n_predictions")
+
+
+def ridge_cv_ctes(view: str, m: int, step: int, horizon: int, alpha: float = 1.0) -> list[str]:
+    """Expanding-fold standardised ridge (3 features): prefix sums, population
+    std scaling (zero std -> 1), (Z'Z + alpha I) w = Z'y by Cramer."""
+    base = cv_ctes(view, m, step, horizon)[:6]           # ... ps, fe (centred sums per fold)
+    d = ", ".join(f"CASE WHEN a{i}{i} <= 0 THEN 1.0 ELSE sqrt(a{i}{i} / s_n) END AS d{i}" for i in (1, 2, 3))
+    r = ", ".join([f"a{i}{j} / (d{i} * d{j}){' + ' + repr(alpha) if i == j else ''} AS r{i}{j}"
+                   for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+                  + [f"b{i} / d{i} AS q{i}" for i in (1, 2, 3)])
+    det = "r11*(r22*r33 - r23*r23) - r12*(r12*r33 - r23*r13) + r13*(r12*r23 - r22*r13)"
+    return base + [
+        f"sd AS (SELECT *, {d} FROM fe)",
+        f"rr AS (SELECT *, {r} FROM sd)",
+        f"rd AS (SELECT *, {det} AS rdet FROM rr)",
+        "rw AS (SELECT *,"
+        " (q1*(r22*r33 - r23*r23) - r12*(q2*r33 - r23*q3) + r13*(q2*r23 - r22*q3)) / rdet / d1 AS c1,"
+        " (r11*(q2*r33 - r23*q3) - q1*(r12*r33 - r23*r13) + r13*(r12*q3 - q2*r13)) / rdet / d2 AS c2,"
+        " (r11*(r22*q3 - q2*r23) - r12*(r12*q3 - q2*r13) + q1*(r12*r23 - r22*r13)) / rdet / d3 AS c3 FROM rd)",
+        "rf AS (SELECT entity_id, series_id, fold, c1, c2, c3,"
+        " sy / s_n - (c1 * sx1 + c2 * sx2 + c3 * sx3) / s_n AS intercept FROM rw)",
+        f"rcv AS (SELECT ps.entity_id, ps.series_id, rf.fold, ps.y,"
+        f" rf.intercept + (((0.0 + ps.x1 * rf.c1) + ps.x2 * rf.c2) + ps.x3 * rf.c3) AS prediction"
+        f" FROM ps JOIN rf ON ps.entity_id = rf.entity_id AND ps.series_id = rf.series_id"
+        f" AND rf.fold = (ps.rn - {m}) // {step}"
+        f" WHERE ps.rn >= {m} AND (ps.rn - {m}) % {step} < {horizon})",
+    ]

@@ -914,6 +914,7 @@ def _metrics_long(spark, d):
 
 
 @register("expanding_cv_ridge", CV_SPEC,
-          notes="standardised ridge on expanding folds via block co-moment merges; refit-checked in tests")
+          S.with_(*S.ridge_cv_ctes("daily_ship", 60, 12, 12))
+          + f" SELECT entity_id, series_id, fold, {S.METRICS_SELECT} FROM rcv GROUP BY 1, 2, 3")
 def _cv_ridge(spark, d):
     return VL.ridge_cv_metrics(LN.ar_rows(panel_view(spark, d, "daily_ship")), SER, 3, 1.0, 60, 12, 12)
