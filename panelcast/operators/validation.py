@@ -108,11 +108,11 @@ def ridge_fold_fits(rows: DataFrame, keys: Sequence[str], p: int, alpha: float =
                     min_train: int = 60, step: int = 12, horizon: int = 12) -> tuple[DataFrame, DataFrame]:
     """Expanding-window folds for standardised ridge (M3), without copying
     training rows per fold: rows are tagged with their ``step``-row block,
-    each (group, block) is reduced to centred co-moments (NumPy partials),
+    each (group, block) is reduced to centred co-moments (``gram``),
     and the block Grams are merged cumulatively per group (at most n / step
     small rows), giving every fold's training Gram. Returns (tagged rows,
     fold coefficients in original units)."""
-    from panelcast.operators.linear import _gram_partials, _solve
+    from panelcast.operators.linear import _solve, gram
     if horizon > step:
         raise ValueError("horizon must not exceed step")
     keys = list(keys)
@@ -122,7 +122,7 @@ def ridge_fold_fits(rows: DataFrame, keys: Sequence[str], p: int, alpha: float =
     k = F.col("rn") - min_train
     tagged = tagged.withColumn("block", F.when(F.col("rn") < min_train, F.lit(-1))
                                .otherwise(F.floor(k / step)).cast("bigint"))
-    blocks = _gram_partials(tagged.select(*keys, "block", "y", "x", "features"), keys + ["block"], p)
+    blocks = gram(tagged.select(*keys, "block", "y", "x", "features"), keys + ["block"], p)
     n_rows = tagged.groupBy(*keys).agg(F.first("n").alias("n_rows"))
     schema = T.StructType([rows.schema[c] for c in keys] + [
         T.StructField("fold", T.LongType()), T.StructField("n_train", T.LongType()),
