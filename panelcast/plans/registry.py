@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelcast.functions.present import Spec, present, present_sql
 from panelcast.plans import oracle_sql as S
 from panelcast.operators import features as FT, relate as RL
-from panelcast.session import materialize
+from panelcast.session import materialize, ship_package
 from panelcast.sources.views import panel_view
 
 # The flagship target series and the other four order priorities.
@@ -44,7 +44,11 @@ def register(name: str, spec: Spec, sql: str | None = None, notes: str = ""):
 
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = REGISTRY[name]
-    return lambda spark, sf_dir: present(q.build(spark, sf_dir), q.spec)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return present(q.build(spark, sf_dir), q.spec)
+    return run
 
 
 def oracle(name: str) -> str | None:

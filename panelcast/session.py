@@ -7,10 +7,13 @@ only filled in where a setting is missing, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,12 +69,65 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
-def materialize(df):
-    """Write ``df`` once to the session's reliable checkpoint folder and read
-    it back: branches that reuse it stop re-reading the raw tables, and the
-    lineage is cut, so a lost executor does not replay the upstream plan."""
-    checkpoint_dir(df.sparkSession)
-    cached = df.persist()          # the checkpoint write then reads the cache
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package.
+
+    A worker unpickles functions of ``panelcast`` by import, and the driver's
+    ``sys.path`` does not travel. The sources go as one zip through
+    ``addPyFile`` (served by the driver), once per application.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_panelcast_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="panelcast-src-")), "panelcast.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._panelcast_shipped = True
+
+
+class Spool(list):
+    """Intermediate Parquet tables in the session's shared folder.
+
+    ``put`` writes a frame once and reads it back: later branches stop
+    re-reading the raw tables, keep column pruning and size statistics, and
+    the lineage is cut, so a lost executor replays only the read. ``drop``
+    deletes tables that nothing reads any more; whatever is left goes when the
+    driver's Python ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        super().__init__()
+        self.spark = spark
+        self.base = f"{checkpoint_dir(spark)}/panelcast-{uuid.uuid4().hex[:12]}"
+        atexit.register(self.drop)
+
+    def put(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        path = f"{self.base}/{len(self)}"
+        self.append(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep_last: int = 0) -> None:
+        """Delete all tables but the last ``keep_last`` ones."""
+        sc = self.spark.sparkContext
+        if sc._jsc is None:
+            return
+        for path in [p for p in self[:len(self) - keep_last] if p]:
+            try:
+                hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+                hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
+            except Exception:           # the session is already gone
+                return
+            self[self.index(path)] = ""
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the session's shared folder and read it back."""
+    return Spool(df.sparkSession).put(df)
