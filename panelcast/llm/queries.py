@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, embed_dedup, line_dedup, simhash_dedup
-from panelcast.llm.common import table
+from panelcast.llm import (chat_format, decontaminate, embed_dedup, line_dedup, mix_sources, simhash_dedup,
+                           token_count)
+from panelcast.llm.common import spool, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +26,38 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sp = spool(spark)
+    rows = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(chat_format.PROBE, rows.schema))
+    messages = sp.put(chat_format.number_turns(spark, rows, sp))
+    out = chat_format.read_back(chat_format.format_paths(spark, messages))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mix_sources.sized(table(spark, sf_dir, "documents"))
+    docs = spool(spark).put(docs.select("doc_id", "source", "size", "_mx_hash"))
+    return mix_sources.mix_sized(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    out = token_count.count_tokens(spark, table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup,
-                                   op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op5_chat_format, op6_mix_sources, op8_token_counts,
+    op9_simhash_near_dedup)}
 
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
-           "op3_embedding_near_dedup": embed_dedup.ORACLE}
+           "op3_embedding_near_dedup": embed_dedup.ORACLE, "op5_chat_format": chat_format.ORACLE,
+           "op6_mix_sources": mix_sources.ORACLE}
