@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import (chat_format, decontaminate, embed_dedup, line_dedup, mix_sources, simhash_dedup,
-                           token_count)
-from panelcast.llm.common import spool, table
+from panelcast.llm import (chat_format, decontaminate, embed_dedup, line_dedup, mix_sources, quality_rules,
+                           simhash_dedup, token_count)
+from panelcast.llm.common import doc_mod, spool, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_mod(F.col("doc_id"), 5) == 0
+    out = quality_rules.classify(spark, table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "labels"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op5_chat_format, op6_mix_sources, op8_token_counts,
-    op9_simhash_near_dedup)}
+    op9_simhash_near_dedup, op10_quality_rules)}
 
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
            "op3_embedding_near_dedup": embed_dedup.ORACLE, "op5_chat_format": chat_format.ORACLE,
