@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import (chat_format, decontaminate, embed_dedup, line_dedup, mix_sources, quality_rules,
+from panelcast.llm import (chat_format, decontaminate, embed_dedup, lang_crf, line_dedup, mix_sources, quality_rules,
                            simhash_dedup, token_count)
 from panelcast.llm.common import doc_mod, spool, table
 
@@ -42,6 +42,14 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources.mix_sized(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_mod(F.col("doc_id"), 4) == 2
+    docs = table(spark, sf_dir, "documents")
+    model = lang_crf.fit(spark, docs, ~held_out)
+    out = lang_crf.identify(spark, docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     out = token_count.count_tokens(spark, table(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -62,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op5_chat_format, op6_mix_sources, op8_token_counts,
+    op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op5_chat_format, op6_mix_sources, op7_language_id, op8_token_counts,
     op9_simhash_near_dedup, op10_quality_rules)}
 
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
