@@ -35,6 +35,15 @@ def doc_mod(c: Column, n: int) -> Column:
     return F.crc32(F.encode(c.cast("string"), "UTF-8")) % F.lit(n)
 
 
+def shielded(docs: DataFrame, needed: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn(docs)`` where only the ``needed`` columns keep their names, so a
+    column that happens to be named like one of an operator's own comes through
+    unchanged. Returns the columns of ``docs``."""
+    names = {c: c if c in needed else f"_x{i}" for i, c in enumerate(docs.columns)}
+    out = fn(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None],
                 schema: str) -> DataFrame:
     """``mapInArrow`` of a function from one batch to one batch (or none)."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import (chat_format, decontaminate, embed_dedup, lang_crf, line_dedup, mix_sources, quality_rules,
-                           simhash_dedup, token_count)
+from panelcast.llm import (chat_format, decontaminate, embed_dedup, html_extract, lang_crf, line_dedup,
+                           mix_sources, quality_rules, simhash_dedup, token_count)
 from panelcast.llm.common import doc_mod, spool, table
 
 
@@ -26,6 +26,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     sp = spool(spark)
     rows = table(spark, sf_dir, "conversations").select(
@@ -70,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op5_chat_format, op6_mix_sources, op7_language_id, op8_token_counts,
+    op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op4_html_extract, op5_chat_format, op6_mix_sources, op7_language_id, op8_token_counts,
     op9_simhash_near_dedup, op10_quality_rules)}
 
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
