@@ -3,7 +3,7 @@ tables, rerank with the original vectors.
 
 * **Fit.** On at most ``SAMPLE`` distinct vectors: centre, principal axes, and
   the rotation that iterative quantisation learns by alternating signs and an
-  orthogonal Procrustes step. Every vector is coded (64 bits or its dimension).
+  orthogonal Procrustes step. Every vector is coded in 64 bits.
 * **Retrieve.** Each of T tables keeps s of the code's bits; two vectors are
   candidates if they agree in one table. s grows with log2 of the row count, so
   buckets stay small; T follows from the recall aimed at, given the chance
@@ -39,27 +39,34 @@ from panelcast.llm.common import (components, group_pairs, groups_of_sorted, map
 
 SAMPLE = 20_000               # vectors that the rotation is learned on
 ROUNDS = 30
+BITS = 64
 BLOCK = 1024
 RECALL = 0.97                 # aimed at for pairs exactly at the threshold
 
 
 def fit_itq(x: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection): code = (v - mean) @ projection > 0, unit vectors in."""
+    """(mean, projection): code = (v - mean) @ projection > 0, unit vectors in.
+    A rotation gives one bit for each axis; vectors of fewer than ``BITS``
+    dimensions get several rotations, each learned from its own start."""
     mean = x.mean(0)
-    _, vecs = np.linalg.eigh(np.cov((x - mean).T) if len(x) > 1 else np.eye(x.shape[1]))
-    axes = vecs[:, ::-1][:, :min(64, x.shape[1])]
+    dim = x.shape[1]
+    vecs = np.linalg.eigh(np.cov((x - mean).T).reshape(dim, dim) if len(x) > 1 else np.eye(dim))[1]
+    axes = vecs[:, ::-1][:, :min(BITS, dim)]
     v = (x - mean) @ axes
-    r = np.linalg.qr(np.random.default_rng(seed).normal(size=(axes.shape[1],) * 2))[0]
-    for _ in range(rounds):
-        b = np.where(v @ r > 0, 1.0, -1.0)
-        u, _, wt = np.linalg.svd(v.T @ b)
-        r = u @ wt
-    return mean, axes @ r
+    rng, parts = np.random.default_rng(seed), []
+    while sum(p.shape[1] for p in parts) < BITS:
+        r = np.linalg.qr(rng.normal(size=(axes.shape[1],) * 2))[0]
+        for _ in range(rounds):
+            b = np.where(v @ r > 0, 1.0, -1.0)
+            u, _, wt = np.linalg.svd(v.T @ b)
+            r = u @ wt
+        parts.append(axes @ r)
+    return mean, np.concatenate(parts, axis=1)[:, :BITS]
 
 
 def table_masks(bits: int, n: int, threshold: float, recall: float = RECALL, seed: int = 4) -> list[int]:
     """Bit masks of the tables, consecutive cuts of random bit orders."""
-    s = min(bits, max(6, ceil(log2(max(n, 2)))))
+    s = min(bits - 8, max(6, ceil(log2(max(n, 2)))))
     agree = (1 - acos(threshold) / pi) ** s
     tables = max(1, ceil(log(1 - recall) / log(1 - agree))) if agree < 1 else 1
     rng, queue, masks = np.random.default_rng(seed), [], []
