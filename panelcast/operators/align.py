@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.windows import SERIES_KEYS
+from panelcast.session import materialize
 
 
 def to_monthly(panel: DataFrame, keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
@@ -26,27 +27,22 @@ def to_monthly(panel: DataFrame, keys: Sequence[str] = SERIES_KEYS) -> DataFrame
 
 
 def asof_align(targets: DataFrame, predictors: DataFrame, delay_days: int = 0,
-               keys: Sequence[str] = ("entity_id",), max_series: int = 10_000) -> DataFrame:
+               keys: Sequence[str] = ("entity_id",)) -> DataFrame:
     """R2: for each target date and predictor series, the latest predictor
     value already *released* on that date (observation date + ``delay_days``
     <= target date). ``targets`` has (keys, date); ``predictors`` has (keys,
     series_id, date, value). Output (keys, series_id, date, value,
     source_date); NULL when nothing was released yet.
 
-    Implementation: the target dates are replicated per predictor series
-    (explode of the checked, bounded list of series names, then a semi join
-    to the (entity, series) pairs that exist) and unioned with the releases, then
-    ``last(ignorenulls)`` over each (keys, series) ordered by date, releases
-    sorting before targets on the same day. No range or cross join."""
+    Implementation: an entity's target dates meet its series in a join on the
+    entity (the result has a row for each of those pairs), are unioned with
+    the releases, and ``last(ignorenulls)`` over each (keys, series) ordered by
+    date carries the last release forward, releases sorting before targets on
+    the same day. No range or cross join."""
     keys = list(keys)
+    predictors = materialize(predictors)          # read for the names and for the releases
     pairs = predictors.select(*keys, "series_id").distinct()
-    names = pairs.select("series_id").distinct()
-    if names.limit(max_series + 1).count() > max_series:
-        raise ValueError(f"more than {max_series} predictor series")
-    series = sorted(r.series_id for r in names.collect())      # bounded, checked above
-    grid = (targets.select(*keys, "date").distinct()
-            .select(*keys, "date", F.explode(F.array(*[F.lit(s) for s in series])).alias("series_id"))
-            .join(pairs, keys + ["series_id"], "left_semi"))       # only pairs that exist
+    grid = materialize(targets.select(*keys, "date").distinct()).join(pairs, keys)
     t = grid.select(*keys, "series_id", F.col("date").alias("_d"), F.lit(1).alias("_kind"),
                     F.lit(None).cast("double").alias("_v"), F.lit(None).cast("date").alias("_src"))
     r = predictors.select(*keys, "series_id", F.date_add("date", delay_days).alias("_d"),

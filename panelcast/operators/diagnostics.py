@@ -15,75 +15,80 @@ from pyspark.sql import types as T
 from panelcast.functions.ieee import pearson
 from panelcast.functions.windows import SERIES_KEYS, series_window
 from panelcast.operators.quantiles import exact_quantiles
+from panelcast.session import materialize
 
 
-def correlation_matrix(panel: DataFrame, keys: Sequence[str] = ("entity_id",),
-                       max_series: int = 2_000) -> DataFrame:
+BLOCK = 256       # series in a block of the correlation matrix
+
+
+def correlation_matrix(panel: DataFrame, keys: Sequence[str] = ("entity_id",), block: int = BLOCK) -> DataFrame:
     """Pairwise-complete Pearson correlation of every pair of series
-    (a < b) per entity, over the dates both series have.
+    (a < b) of an entity that share at least one date.
 
-    No pair rows are emitted per date: each Arrow batch of date rows (one
-    column per series, NaN where absent) is reduced with masked matrix
-    products to K x K partial sums, which are merged by ``groupBy(a, b)``.
-    Values are centred by each series' mean first (numerically stable).
-    ``max_series`` bounds K per entity (the partial-sum rows grow with K^2)."""
+    An entity's series are dealt into blocks of about ``block``; each pair of
+    blocks is one task group of at most two blocks' series by the calendar, in
+    which masked matrix products give all pairs at once. No pair rows are made
+    per date, and the number of series has no bound. Values are centred by
+    each series' mean first (numerically stable)."""
     keys = list(keys)
-    names = panel.select("series_id").distinct()
-    if names.limit(max_series + 1).count() > max_series:
-        raise ValueError(f"more than {max_series} series: use a blocked correlation job")
-    series = sorted(r.series_id for r in names.collect())     # K names, bounded above
-    k = len(series)
+    panel = materialize(panel)               # read for the block counts and for the values
+    blocks = (panel.select(*keys, "series_id").distinct().groupBy(*keys)
+              .agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("_nb")))
     per_series = Window.partitionBy(*keys, "series_id")      # one row per period
     centred = panel.select(*keys, "date", "series_id",
                            (F.col("value") - F.avg("value").over(per_series)).alias("v"))
-    wide = centred.groupBy(*keys, "date").pivot("series_id", series).agg(F.first("v"))
-    schema = T.StructType([wide.schema[c] for c in keys] + [
+    own = F.pmod(F.xxhash64("series_id"), F.col("_nb")).cast("int")
+    dealt = (centred.join(blocks, keys).withColumn("_b", own)
+             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+             .withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o"))
+             .select(*keys, "_i", "_j", "_b", "date", "series_id", "v"))
+    schema = T.StructType([panel.schema[c] for c in keys] + [
         T.StructField("a", T.StringType()), T.StructField("b", T.StringType()),
-        T.StructField("n", T.DoubleType()), T.StructField("sx", T.DoubleType()),
-        T.StructField("sy", T.DoubleType()), T.StructField("sxx", T.DoubleType()),
-        T.StructField("syy", T.DoubleType()), T.StructField("sxy", T.DoubleType())])
-    iu = np.triu_indices(k, 1)
-
-    def partial(batches):
-        for pdf in batches:
-            for key, g in pdf.groupby(keys, sort=False, dropna=False):
-                key = key if isinstance(key, tuple) else (key,)
-                x = g[series].to_numpy(dtype=float)
-                m = ~np.isnan(x)
-                x0 = np.where(m, x, 0.0)
-                mf = m.astype(float)
-                n = mf.T @ mf
-                sx = x0.T @ mf            # sum of x_a over rows where b present
-                sxx = (x0 * x0).T @ mf
-                sxy = x0.T @ x0
-                out = pd.DataFrame({
-                    "a": np.asarray(series)[iu[0]], "b": np.asarray(series)[iu[1]],
-                    "n": n[iu], "sx": sx[iu], "sy": sx.T[iu], "sxx": sxx[iu], "syy": sxx.T[iu],
-                    "sxy": sxy[iu]})
-                for kname, kval in zip(keys, key):
-                    out.insert(0, kname, kval)
-                yield out[[f.name for f in schema.fields]]
-
-    sums = (wide.mapInPandas(partial, schema)
-            .groupBy(*keys, "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
-    n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    den = vx * vy
-    return sums.select(*keys, "a", "b", n.cast("bigint").alias("n"),
-                       F.when((n > 1) & (den > 0), cov / F.sqrt(F.when(den > 0, den))).alias("correlation"))
+        T.StructField("n", T.LongType()), T.StructField("correlation", T.DoubleType())])
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = g["_i"].iloc[0], g["_j"].iloc[0]
+        block_of = g.drop_duplicates("series_id").set_index("series_id")["_b"]
+        w = g.pivot(index="date", columns="series_id", values="v").sort_index(axis=1)
+        names = np.asarray(w.columns, dtype=object)
+        x = w.to_numpy(dtype=float)
+        m = ~np.isnan(x)
+        x0, mf = np.where(m, x, 0.0), m.astype(float)
+        n = mf.T @ mf
+        sx, sxx, sxy = x0.T @ mf, (x0 * x0).T @ mf, x0.T @ x0    # sums over the rows where both are present
+        at, bt = np.triu_indices(len(names), 1)
+        nb = block_of.loc[names].to_numpy()
+        keep = (n[at, bt] > 0) & ((i == j) | (nb[at] != nb[bt]))
+        at, bt = at[keep], bt[keep]
+        k = n[at, bt]
+        cov = sxy[at, bt] - sx[at, bt] * sx[bt, at] / k
+        den = (sxx[at, bt] - sx[at, bt] ** 2 / k) * (sxx[bt, at] - sx[bt, at] ** 2 / k)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where((k > 1) & (den > 0), cov / np.sqrt(den), np.nan)
+        out = pd.DataFrame({"a": names[at], "b": names[bt], "n": k.astype("int64"), "correlation": r})
+        for at_key, c in enumerate(keys):
+            out.insert(at_key, c, g[c].iloc[0])
+        return out
+
+    out = dealt.groupBy(*keys, "_i", "_j").applyInPandas(pairs, schema)
+    return out.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
 
 
 def winsorize(panel: DataFrame, lower: float = 0.05, upper: float = 0.95,
               keys: Sequence[str] = SERIES_KEYS, value: str = "value") -> DataFrame:
-    """Clip each series to its own exact [lower, upper] quantiles."""
+    """Clip each series to its own exact [lower, upper] quantiles. NULL
+    stays NULL and NaN stays NaN (not outliers); a series without a value
+    keeps its rows with NULL bounds."""
     keys = list(keys)
+    panel = materialize(panel)               # read for the quantiles and for the clipping
     q = exact_quantiles(panel, keys, value, (lower, upper))
     lo, hi = f"q{int(round(lower * 100))}", f"q{int(round(upper * 100))}"
-    return (panel.join(q, keys)
-            .withColumn("clipped", F.least(F.greatest(F.col(value), F.col(lo)), F.col(hi)))
-            .withColumn("is_outlier", (F.col(value) < F.col(lo)) | (F.col(value) > F.col(hi)))
+    v = F.col(value)
+    known = v.isNotNull() & ~F.isnan(v)
+    return (panel.join(q, keys, "left")
+            .withColumn("clipped", F.when(known, F.least(F.greatest(v, F.col(lo)), F.col(hi))).otherwise(v))
+            .withColumn("is_outlier", F.when(known, (v < F.col(lo)) | (v > F.col(hi)))
+                        .when(v.isNotNull(), F.lit(False)))
             .withColumnRenamed(lo, "lower").withColumnRenamed(hi, "upper"))
 
 
@@ -111,6 +116,7 @@ def decompose(panel: DataFrame, period: int = 12, keys: Sequence[str] = SERIES_K
     t = t.select("*", (F.col("_num").cast("double") / F.lit(float(period))).alias("trend"),
                  (vd * F.lit(period) - F.col("_num")).alias("_d"),      # period * (value - trend)
                  F.month("date").alias("_mon"))
+    t = materialize(t)                       # read for the season and for the result
     s = t.groupBy(*keys, "_mon").agg(
         (F.sum("_d").cast("double") / (F.lit(float(period)) * F.count("_d"))).alias("_s"))
     wide = s.groupBy(*keys).pivot("_mon", list(range(1, period + 1))).agg(F.first("_s"))

@@ -1,12 +1,14 @@
 """Linear models fitted per group through distributed Gram sums.
 
-A fit never moves a group's rows to one place. Pass 1 aggregates means per
-group; pass 2 aggregates centred cross-products (partial + final hash
-aggregates, so a large group is combined map-side). Only the small
-(p x p) Gram row of each group reaches Python, where ``mapInPandas`` solves
-it. Scoring is a JVM-side dot product against the joined coefficients.
-
-Input rows: group keys, ``y`` DOUBLE, ``x`` ARRAY<DOUBLE> of length p,
+A fit never moves a group's rows to one place. Either the Gram is one
+partial + final aggregate on the JVM (:func:`gram`, a known small number of
+features), or each Arrow batch is reduced to centred co-moments per group in
+NumPy and the few partial rows per group are merged exactly
+(:func:`gram_any`, any number of features, each group its own). Only the small
+(p x p) Gram row of each group reaches the solver, which works on stacked
+matrices. Scoring is a JVM-side dot product against the joined coefficients.
+
+Input rows: group keys, ``y`` DOUBLE, ``x`` ARRAY<DOUBLE>,
 ``features`` ARRAY<STRING> (names, same for all rows of a group).
 """
 
@@ -20,26 +22,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Minimum training rows per model kind, from the reference.
+# Minimum training rows per model kind.
 MIN_ROWS = {"ar": 10, "ridge": 20, "forest": 30}
+OK = "ok"
 INSUFFICIENT = "Insufficient training data"
+NOT_FINITE = "Non-finite features"
+MIXED = "Rows with different feature counts"
 
 
-WIDE_GRAM = 8   # above this many features the Gram is built map-side in NumPy
-
-
-def gram(df: DataFrame, keys: Sequence[str], p: int, method: str = "auto") -> DataFrame:
+def gram(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     """Per group: n, mean_y, mean_x[p], centred xtx[p*p] (row-major), xty[p],
-    yty, and the feature names.
-
-    ``sql`` (default for p <= 8): one partial + final aggregate, no join back;
-    centred sums are ``n * covar_pop``, whose buffers Spark merges with the
-    stable pairwise co-moment update. ``pandas`` (default for wider p, where
-    p(p+1)/2 aggregate functions would leave code generation): each Arrow
-    batch is reduced to centred co-moments per group in NumPy, and the few
-    partial rows per group are merged exactly (parallel co-moment formula)."""
-    if method == "pandas" or (method == "auto" and p > WIDE_GRAM):
-        return _gram_partials(df, list(keys), p)
+    yty, and the feature names, as one partial + final aggregate; centred sums
+    are ``n * covar_pop``, whose buffers Spark merges with the stable pairwise
+    co-moment update. For rows that all have ``p`` features, p small."""
     keys = list(keys)
     x = [F.col("x")[i] for i in range(p)]
     n = F.count(F.lit(1))
@@ -57,14 +52,6 @@ def gram(df: DataFrame, keys: Sequence[str], p: int, method: str = "auto") -> Da
         (F.var_pop("y") * n).alias("yty"))
 
 
-def available_features(columns: Sequence[str], wanted: Sequence[str]) -> list[str]:
-    """PF9: the wanted feature columns that exist (order kept); error if none."""
-    got = [c for c in wanted if c in set(columns)]
-    if not got:
-        raise ValueError("No AR features available")
-    return got
-
-
 def _gram_schema(df: DataFrame, keys: list[str], with_names: bool = True) -> T.StructType:
     fields = [df.schema[k] for k in keys] + [
         T.StructField("n", T.LongType()), T.StructField("mean_y", T.DoubleType()),
@@ -75,7 +62,11 @@ def _gram_schema(df: DataFrame, keys: list[str], with_names: bool = True) -> T.S
     return T.StructType(fields)
 
 
-def _gram_partials(df: DataFrame, keys: list[str], p: int) -> DataFrame:
+def gram_any(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """As :func:`gram` for any number of features, taken from each group's own
+    rows. A group whose rows differ in their feature count gets a row with
+    NULL sums."""
+    keys = list(keys)
     schema = _gram_schema(df, keys)
     names = [f.name for f in schema.fields]
 
@@ -84,29 +75,36 @@ def _gram_partials(df: DataFrame, keys: list[str], p: int) -> DataFrame:
             if pdf.empty:
                 continue
             out = []
-            for key, g in pdf.groupby(keys, sort=False, dropna=False):
-                key = key if isinstance(key, tuple) else (key,)
-                x = np.stack(g["x"].map(np.asarray).to_numpy()).astype(float).reshape(-1, p)
+            pdf["_p"] = pdf["x"].map(len)
+            for key, g in pdf.groupby([*keys, "_p"], sort=False, dropna=False):
+                x = np.stack(g["x"].map(np.asarray).to_numpy()).astype(float).reshape(-1, key[-1])
                 y = g["y"].to_numpy(float)
                 mx, my = x.mean(0), y.mean()
-                xc, yc = x - mx, y - my
-                rec = dict(zip(keys, key))
-                rec.update(n=len(y), mean_y=my, mean_x=mx.tolist(), features=list(g["features"].iloc[0]),
-                           xtx=(xc.T @ xc).ravel().tolist(), xty=(xc.T @ yc).tolist(), yty=float(yc @ yc))
+                with np.errstate(invalid="ignore"):        # inf stays visible in the sums
+                    xc, yc = x - mx, y - my
+                    rec = dict(zip(keys, key))
+                    rec.update(n=len(y), mean_y=my, mean_x=mx.tolist(), features=list(g["features"].iloc[0]),
+                               xtx=(xc.T @ xc).ravel().tolist(), xty=(xc.T @ yc).tolist(), yty=float(yc @ yc))
                 out.append(rec)
             yield pd.DataFrame(out, columns=names)
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
         n_b = parts["n"].to_numpy(float)
+        rec = dict.fromkeys(names) | {k: parts.iloc[0][k] for k in keys}
+        sizes = {len(m) for m in parts["mean_x"]}
+        if len(sizes) > 1:
+            rec.update(n=int(n_b.sum()))
+            return pd.DataFrame([rec], columns=names)
+        p = sizes.pop()
         mx_b = np.stack(parts["mean_x"].map(np.asarray).to_numpy()).astype(float)
         my_b = parts["mean_y"].to_numpy(float)
         n = n_b.sum()
-        mx, my = (n_b[:, None] * mx_b).sum(0) / n, (n_b * my_b).sum() / n
-        dx, dy = mx_b - mx, my_b - my
-        xtx = sum(np.asarray(a, float).reshape(p, p) for a in parts["xtx"]) + (n_b[:, None] * dx).T @ dx
-        xty = sum(np.asarray(a, float) for a in parts["xty"]) + (n_b[:, None] * dx).T @ dy
-        yty = parts["yty"].sum() + (n_b * dy) @ dy
-        rec = {k: parts.iloc[0][k] for k in keys}
+        with np.errstate(invalid="ignore"):
+            mx, my = (n_b[:, None] * mx_b).sum(0) / n, (n_b * my_b).sum() / n
+            dx, dy = mx_b - mx, my_b - my
+            xtx = sum(np.asarray(a, float).reshape(p, p) for a in parts["xtx"]) + (n_b[:, None] * dx).T @ dx
+            xty = sum(np.asarray(a, float) for a in parts["xty"]) + (n_b[:, None] * dx).T @ dy
+            yty = parts["yty"].sum() + (n_b * dy) @ dy
         rec.update(n=int(n), mean_y=my, mean_x=mx.tolist(), features=list(parts["features"].iloc[0]),
                    xtx=xtx.ravel().tolist(), xty=xty.tolist(), yty=float(yty))
         return pd.DataFrame([rec], columns=names)
@@ -129,11 +127,23 @@ def _fit_schema(keys_schema: T.StructType) -> T.StructType:
     ])
 
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def solve_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of stacked systems (n, p, p), (n, p). A singular one gets its
+    least-norm solution and does not change how the others are solved."""
     try:
-        return np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:   # singular: least-norm solution
-        return np.linalg.lstsq(a, b, rcond=None)[0]
+        return np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        out = np.empty_like(b)
+        for i, (ai, bi) in enumerate(zip(a, b)):
+            try:
+                out[i] = np.linalg.solve(ai, bi)
+            except np.linalg.LinAlgError:
+                out[i] = np.linalg.lstsq(ai, bi, rcond=None)[0]
+        return out
+
+
+def _stack(col: pd.Series) -> np.ndarray:
+    return np.stack(col.map(np.asarray).to_numpy()).astype(float)
 
 
 def solve_gram(g: DataFrame, keys: Sequence[str], model: str, alpha: float = 0.0,
@@ -141,61 +151,75 @@ def solve_gram(g: DataFrame, keys: Sequence[str], model: str, alpha: float = 0.0
     """Solve each group's Gram row. OLS when ``alpha == 0``; ridge
     ``min ||y - Zw||^2 + alpha ||w||^2`` on standardised features (population
     std, a constant feature scales by 1) with an unpenalised intercept.
-    Coefficients are returned in original units."""
+    Coefficients are returned in original units. Every group gets a row; a
+    ``status`` other than ``ok`` says why it has no coefficients. Without a
+    fixed minimum a model needs p + 2 rows."""
     keys = list(keys)
-    min_rows = min_rows if min_rows is not None else MIN_ROWS.get(model, 1)
+    fixed = min_rows if min_rows is not None else MIN_ROWS.get(model)
     keys_schema = T.StructType([g.schema[k] for k in keys])
     schema = _fit_schema(keys_schema)
+    names = [f.name for f in schema.fields]
 
     def fit(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                rec = {k: getattr(r, k) for k in keys}
-                n = int(r.n)
-                rec.update(model=model, n_train=n, features=list(r.features),
-                           mean_x=None, scale_x=None, coef=None, intercept=None)
-                if n < min_rows:
-                    rec["status"] = INSUFFICIENT
-                    out.append(rec)
+            if pdf.empty:
+                continue
+            out = pdf[keys].copy()
+            out["model"], out["n_train"] = model, pdf["n"].astype("int64")
+            out["features"] = pdf["features"]
+            for c in ("coef", "intercept", "mean_x", "scale_x"):
+                out[c] = None
+            p = pdf["features"].map(lambda f: -1 if f is None else len(f))
+            out["status"] = MIXED
+            known = p >= 0
+            few = pdf["n"] < (fixed if fixed is not None else p + 2)
+            out.loc[known, "status"] = OK
+            out.loc[known & few, "status"] = INSUFFICIENT
+            for size in sorted(set(p[out["status"] == OK])):
+                at = np.flatnonzero((out["status"] == OK) & (p == size))
+                part = pdf.iloc[at]
+                n, my = part["n"].to_numpy(float), part["mean_y"].to_numpy(float)
+                mx, b = _stack(part["mean_x"]), _stack(part["xty"])
+                a = _stack(part["xtx"]).reshape(-1, size, size)
+                good = np.isfinite(a).all((1, 2)) & np.isfinite(b).all(1) & np.isfinite(mx).all(1) & np.isfinite(my)
+                out.iloc[at[~good], out.columns.get_loc("status")] = NOT_FINITE
+                at, n, my, mx, a, b = at[good], n[good], my[good], mx[good], a[good], b[good]
+                if not len(at):
                     continue
-                p = len(r.mean_x)
-                mx = np.asarray(r.mean_x, dtype=float)
-                a = np.asarray(r.xtx, dtype=float).reshape(p, p)
-                b = np.asarray(r.xty, dtype=float)
-                scale = np.ones(p)
+                scale = np.ones_like(mx)
                 if standardize:
-                    scale = np.sqrt(np.clip(np.diag(a) / n, 0.0, None))
+                    scale = np.sqrt(np.clip(np.einsum("nii->ni", a) / n[:, None], 0.0, None))
                     scale[scale == 0.0] = 1.0
-                    a = a / np.outer(scale, scale)
-                    b = b / scale
-                w = _solve(a + alpha * np.eye(p), b)
+                w = solve_each(a / (scale[:, :, None] * scale[:, None, :]) + alpha * np.eye(size), b / scale)
                 coef = w / scale
-                rec.update(status="ok", coef=coef.tolist(),
-                           intercept=float(r.mean_y - mx @ coef),
-                           mean_x=mx.tolist(), scale_x=scale.tolist())
-                out.append(rec)
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+                intercept = my - (mx * coef).sum(1)
+                for i, j in enumerate(at):
+                    row = out.index[j]
+                    out.at[row, "coef"], out.at[row, "intercept"] = coef[i].tolist(), float(intercept[i])
+                    out.at[row, "mean_x"], out.at[row, "scale_x"] = mx[i].tolist(), scale[i].tolist()
+            out["intercept"] = out["intercept"].astype(float)
+            yield out[names]
 
     return g.mapInPandas(fit, schema)
 
 
-def fit_linear(df: DataFrame, keys: Sequence[str], model: str, p: int, alpha: float = 0.0,
+def fit_linear(df: DataFrame, keys: Sequence[str], model: str, p: int | None = None, alpha: float = 0.0,
                standardize: bool = False) -> DataFrame:
-    """Gram + solve. ``df`` needs y, x (length ``p``), features; rows whose
-    vector has another length are not used."""
-    df = df.filter(F.size("x") == p)
-    return solve_gram(gram(df, keys, p), keys, model, alpha, standardize)
+    """Gram + solve. ``df`` needs y, x, features; ``p`` names the number of
+    features where it is the same small number for all rows."""
+    g = gram(df, keys, p) if p is not None else gram_any(df, keys)
+    return solve_gram(g, keys, model, alpha, standardize)
 
 
-def fit_ar(df: DataFrame, keys: Sequence[str], p: int = 3) -> DataFrame:
-    """M1: OLS with intercept of y on its lags (features already in ``x``)."""
+def fit_ar(df: DataFrame, keys: Sequence[str], p: int | None = 3) -> DataFrame:
+    """M1: OLS with intercept of y on its lags (features already in ``x``);
+    ``p=None`` uses the lags that each group has."""
     return fit_linear(df, keys, "ar", p)
 
 
-def fit_ridge(df: DataFrame, keys: Sequence[str], p: int, alpha: float = 1.0) -> DataFrame:
+def fit_ridge(df: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> DataFrame:
     """M3: ridge, alpha = 1, on standardised features."""
-    return fit_linear(df, keys, "ridge", p, alpha=alpha, standardize=True)
+    return fit_linear(df, keys, "ridge", alpha=alpha, standardize=True)
 
 
 def ar_rows(panel: DataFrame, keys: Sequence[str] = ("entity_id", "series_id"),
@@ -278,30 +302,38 @@ def chow_test(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     h = rows.select("*", F.row_number().over(w).alias("_r"),
                     F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
     h = h.withColumn("half", (F.col("_r") > F.col("_n") / 2).cast("int"))
-    pooled = gram(h, keys, p).withColumn("half", F.lit(-1))
-    halves = gram(h, keys + ["half"], p)
-    g = pooled.unionByName(halves)
+    part = F.struct("n", "mean_y", "mean_x", "xtx", "xty", "yty")
+    g = gram(h, keys + ["half"], p).groupBy(*keys).agg(
+        F.max(F.when(F.col("half") == 0, part)).alias("_a"), F.max(F.when(F.col("half") == 1, part)).alias("_b"))
+    g = g.filter("_a IS NOT NULL AND _b IS NOT NULL").select(*keys, *[
+        F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("_a", "_b") for c in ("n", "mean_y", "mean_x", "xtx", "xty", "yty")])
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("n", T.LongType()), T.StructField("chow_f", T.DoubleType())])
 
-    def ssr(r) -> float:
-        a = np.asarray(r["xtx"], float).reshape(p, p)
-        b = np.asarray(r["xty"], float)
-        beta = _solve(a, b)
-        return float(r["yty"] - beta @ b)
-
-    def stat(grp: pd.DataFrame) -> pd.DataFrame:
-        parts = {int(r["half"]): r for _, r in grp.iterrows()}
-        if not {-1, 0, 1} <= set(parts):
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        k = p + 1
-        n = int(parts[-1]["n"])
-        s_p, s_1, s_2 = ssr(parts[-1]), ssr(parts[0]), ssr(parts[1])
-        den = (s_1 + s_2) / (n - 2 * k) if n > 2 * k else float("nan")
-        f = ((s_p - s_1 - s_2) / k) / den if den and den > 0 else None
-        row = {kk: grp.iloc[0][kk] for kk in keys}
-        row.update(n=n, chow_f=f)
-        return pd.DataFrame([row], columns=[f.name for f in schema.fields])
-
-    # each group has exactly three Gram rows (pooled and two halves)
-    return g.groupBy(*keys).applyInPandas(stat, schema)
+    def ssr(a, b, yty):
+        return yty - (solve_each(a, b) * b).sum(1)
+
+    def stat(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            half = {}
+            for s in ("_a", "_b"):
+                half[s] = (pdf[f"{s}_n"].to_numpy(float), pdf[f"{s}_mean_y"].to_numpy(float),
+                           _stack(pdf[f"{s}_mean_x"]), _stack(pdf[f"{s}_xtx"]).reshape(-1, p, p),
+                           _stack(pdf[f"{s}_xty"]), pdf[f"{s}_yty"].to_numpy(float))
+            (n1, y1, x1, a1, b1, c1), (n2, y2, x2, a2, b2, c2) = half["_a"], half["_b"]
+            n, share = n1 + n2, n1 * n2 / (n1 + n2)
+            dx, dy = x2 - x1, y2 - y1                   # pooled sums from the two halves
+            pooled = ssr(a1 + a2 + share[:, None, None] * dx[:, :, None] * dx[:, None, :],
+                         b1 + b2 + (share * dy)[:, None] * dx, c1 + c2 + share * dy * dy)
+            parts = ssr(a1, b1, c1) + ssr(a2, b2, c2)
+            k = p + 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                f = np.where((n > 2 * k) & (parts > 0), ((pooled - parts) / k) / (parts / (n - 2 * k)), np.nan)
+            out = pdf[keys].copy()
+            out["n"], out["chow_f"] = n.astype("int64"), f
+            yield out
+
+    r = g.mapInPandas(stat, schema)
+    return r.withColumn("chow_f", F.when(~F.isnan("chow_f"), F.col("chow_f")))

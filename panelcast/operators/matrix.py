@@ -2,10 +2,13 @@
 
 Long form ``(entity_id, date, mom_pct, feature, ordinal, value)``. ``ordinal``
 is the position the feature would have as a column of the wide matrix:
-the first ``P`` predictor variables, then their lags, then the target lags,
-then ma3 / vol3 / ma6 per predictor, then mom3 / mom6 per predictor. Models
-select features as "the first N ordinals". ``lags_only`` keeps only lagged
-features (a forecast rather than a nowcast: no same-month predictor values).
+the predictor variables (all, or the first ``n_predictors`` on request), then
+their lags, then the target lags, then ma3 / vol3 / ma6 per predictor, then
+mom3 / mom6 per predictor. ``lags_only`` keeps only lagged features (a forecast
+rather than a nowcast: no same-month predictor values).
+
+All features of a series are columns of one window stage; incomplete dates are
+dropped there, and the unpivot comes last.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.ieee import ratio_minus_one
 from panelcast.functions.windows import strict_mean, strict_std
+from panelcast.operators.relate import FEATURE_SUFFIXES, series_key
+from panelcast.session import materialize
 
 
 def _feat(name: Column, ordinal: Column, value: Column) -> Column:
@@ -22,72 +27,52 @@ def _feat(name: Column, ordinal: Column, value: Column) -> Column:
                     value.cast("double").alias("value"))
 
 
-def select_predictors(analysis: DataFrame, n_predictors: int = 10) -> DataFrame:
-    """The first ``n_predictors`` variables per entity in column order
-    (series id, then level / mom_pct / ma3 / vol3): (entity_id, variable, pidx, P)."""
-    v = analysis.select("entity_id", "series_id", "feature_idx", "variable").distinct()
-    w = Window.partitionBy("entity_id").orderBy("series_id", "feature_idx")
-    v = v.withColumn("pidx", (F.row_number().over(w) - 1).cast("bigint")) \
-         .filter(F.col("pidx") < n_predictors)
-    wp = Window.partitionBy("entity_id")
-    return v.select("entity_id", "variable", "pidx", F.count(F.lit(1)).over(wp).alias("P"))
-
-
-def feature_matrix(analysis: DataFrame, n_predictors: int = 10, max_lags: int = 3,
-                   y: str = "mom_pct", target_lags: int = 3, lags_only: bool = False) -> DataFrame:
-    sel = analysis.join(select_predictors(analysis, n_predictors), ["entity_id", "variable"])
-    w = Window.partitionBy("entity_id", "variable").orderBy("date")
-    P, L, i, x = F.col("P"), max_lags, F.col("pidx"), F.col("x")
-    base_roll = P + P * L + target_lags
-    # window columns first (a generator cannot hold window functions), then unpivot
-    lagged = sel.select(
-        "entity_id", "date", y, "variable", "pidx", "P", "x",
-        *[F.lag(x, k).over(w).alias(f"_lag{k}") for k in range(1, L + 1)],
-        strict_mean(x, w, 3).alias("_ma3"), strict_std(x, w, 3).alias("_vol3"),
-        strict_mean(x, w, 6).alias("_ma6"),
-        (x - F.lag(x, 3).over(w)).alias("_mom3"),
-        ratio_minus_one(x, F.lag(x, 6).over(w)).alias("_mom6"))
-    name = F.col("variable")
-    feats = [_feat(name, i, x)]
-    feats += [_feat(F.concat(name, F.lit(f"_lag{k}")), P + i * L + (k - 1), F.col(f"_lag{k}"))
-              for k in range(1, L + 1)]
-    feats += [
-        _feat(F.concat(name, F.lit("_ma3")), base_roll + i * 3, F.col("_ma3")),
-        _feat(F.concat(name, F.lit("_vol3")), base_roll + i * 3 + 1, F.col("_vol3")),
-        _feat(F.concat(name, F.lit("_ma6")), base_roll + i * 3 + 2, F.col("_ma6")),
-        _feat(F.concat(name, F.lit("_mom3")), base_roll + 3 * P + i * 2, F.col("_mom3")),
-        _feat(F.concat(name, F.lit("_mom6")), base_roll + 3 * P + i * 2 + 1, F.col("_mom6")),
-    ]
-    pred_rows = lagged.select("entity_id", "date", y, F.inline(F.array(*feats)))
-    # target lags: one row per (entity, date) is the first selected variable
+def feature_matrix(analysis: DataFrame, n_predictors: int | None = None, max_lags: int = 3,
+                   target_lags: int = 3, lags_only: bool = False) -> DataFrame:
+    """``analysis``: rows of :func:`relate.analysis_series`."""
+    analysis = materialize(analysis)
+    per = Window.partitionBy("entity_id")
+    k = len(FEATURE_SUFFIXES)
+    series = analysis.select("entity_id", "series_id").distinct().select(
+        "entity_id", "series_id", (F.row_number().over(per.orderBy("series_id")) - 1).alias("_s"),
+        (F.count(F.lit(1)).over(per) * k).alias("_all"))
+    P = F.col("_all") if n_predictors is None else F.least(F.col("_all"), F.lit(n_predictors))
+    w = Window.partitionBy("entity_id", "series_id").orderBy("date")
+    L = max_lags
+    columns, feats = [], []
+    for at, suffix in enumerate(FEATURE_SUFFIXES):
+        x = F.col(suffix)
+        own = {"": x} | {f"_lag{j}": F.lag(x, j).over(w) for j in range(1, L + 1)} | {
+            "_ma3": strict_mean(x, w, 3), "_vol3": strict_std(x, w, 3), "_ma6": strict_mean(x, w, 6),
+            "_mom3": x - F.lag(x, 3).over(w), "_mom6": ratio_minus_one(x, F.lag(x, 6).over(w))}
+        i = F.col("_s") * k + at
+        base_roll = F.col("P") + F.col("P") * L + target_lags
+        order = {"": i} | {f"_lag{j}": F.col("P") + i * L + (j - 1) for j in range(1, L + 1)} | {
+            "_ma3": base_roll + i * 3, "_vol3": base_roll + i * 3 + 1, "_ma6": base_roll + i * 3 + 2,
+            "_mom3": base_roll + 3 * F.col("P") + i * 2, "_mom6": base_roll + 3 * F.col("P") + i * 2 + 1}
+        for end, value in own.items():
+            if lags_only and not end.startswith("_lag"):
+                continue                       # forecast setting: no same-period predictor values
+            columns.append(value.alias(f"_{at}{end}"))
+            feats.append(F.when(i < F.col("P"), _feat(
+                F.concat_ws("_", series_key("series_id"), F.lit(suffix + end)), order[end], F.col(f"_{at}{end}"))))
+    # window columns first (a generator cannot hold window functions)
+    rows = analysis.join(series, ["entity_id", "series_id"]).select(
+        "entity_id", "series_id", "date", "_s", P.cast("bigint").alias("P"), *columns)
+    rows = rows.select("entity_id", "date", "P", F.filter(F.array(*feats), lambda f: f.isNotNull()).alias("_f"))
+    rows = materialize(rows)
     wt = Window.partitionBy("entity_id").orderBy("date")
-    tlag = sel.filter(F.col("pidx") == 0).select(
-        "entity_id", "date", y, "P",
-        *[F.lag(y, k).over(wt).alias(f"_tl{k}") for k in range(1, target_lags + 1)])
-    tl = [_feat(F.lit(f"{y}_lag{k}"), P + P * L + (k - 1), F.col(f"_tl{k}"))
-          for k in range(1, target_lags + 1)]
-    tgt_rows = tlag.select("entity_id", "date", y, F.inline(F.array(*tl)))
-    rows = pred_rows.unionByName(tgt_rows)
+    tlag = analysis.select("entity_id", "date", "y").distinct().select(
+        "entity_id", "date", "y", *[F.lag("y", j).over(wt).alias(f"_t{j}") for j in range(1, target_lags + 1)])
     # drop a date when any of its features is NULL (NaN / inf stay)
-    if lags_only:
-        # forecast setting: drop features that use same-period predictor values
-        rows = rows.filter(F.col("feature").rlike("_lag[0-9]+$"))
-    wd = Window.partitionBy("entity_id", "date")
-    return (rows.withColumn("_nn", F.count("value").over(wd) == F.count(F.lit(1)).over(wd))
-                .filter("_nn").drop("_nn"))
-
-
-def feature_vectors(fm: DataFrame, n_features: int | None = None,
-                    ordinals: list[int] | None = None, y: str = "mom_pct") -> DataFrame:
-    """Wide edge for models: (entity_id, date, y, features ARRAY<STRING>,
-    x ARRAY<DOUBLE>) with the first ``n_features`` ordinals (or an explicit
-    list). Each (entity, date) group holds at most one row per feature."""
-    if ordinals is not None:
-        f = fm.filter(F.col("ordinal").isin(list(ordinals)))
-    else:
-        f = fm.filter(F.col("ordinal") < n_features)
-    g = (f.groupBy("entity_id", "date", y)
-          .agg(F.array_sort(F.collect_list(F.struct("ordinal", "feature", "value"))).alias("_f")))
-    return g.select("entity_id", "date", F.col(y).alias("y"),
-                    F.transform("_f", lambda s: s["feature"]).alias("features"),
-                    F.transform("_f", lambda s: s["value"]).alias("x"))
+    known = F.lit(True)
+    for j in range(1, target_lags + 1):
+        known = known & F.col(f"_t{j}").isNotNull()
+    whole = rows.groupBy("entity_id", "date").agg(
+        F.min(F.forall("_f", lambda f: f["value"].isNotNull())).alias("_whole"), F.max("P").alias("P"))
+    dates = tlag.filter(known).join(whole.filter("_whole"), ["entity_id", "date"])
+    tl = [_feat(F.lit(f"mom_pct_lag{j}"), F.col("P") + F.col("P") * L + (j - 1), F.col(f"_t{j}"))
+          for j in range(1, target_lags + 1)]
+    out = (rows.drop("P").join(dates.select("entity_id", "date", "y"), ["entity_id", "date"])
+           .unionByName(dates.select("entity_id", "date", F.array(*tl).alias("_f"), "y")))
+    return out.select("entity_id", "date", F.col("y").alias("mom_pct"), F.inline("_f"))

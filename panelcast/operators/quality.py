@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.windows import SERIES_KEYS
 from panelcast.operators.quantiles import exact_quantiles
+from panelcast.session import materialize
 
 # The quality rule threshold and issue texts.
 SHORT_SPAN_DAYS = 365
@@ -31,6 +32,7 @@ def value_stats(df: DataFrame, value: str = "value", keys: Sequence[str] = SERIE
 
 def describe(df: DataFrame, value: str = "value", keys: Sequence[str] = SERIES_KEYS) -> DataFrame:
     """A3: count, mean, std, min, 25 / 50 / 75 % (exact, interpolated), max."""
+    df = materialize(df.select(*keys, value))
     q = exact_quantiles(df, keys, value, (0.25, 0.5, 0.75))
     return value_stats(df, value, keys).join(q, list(keys), "left")
 
@@ -60,20 +62,20 @@ def null_count(df: DataFrame) -> F.Column:
 
 
 def quality_report(df: DataFrame, catalog: DataFrame | None = None,
-                   name: str = "series_id", date: str = "date") -> DataFrame:
-    """One row per series: name, status, rows, date_range, issues[].
+                   keys: Sequence[str] = SERIES_KEYS, date: str = "date") -> DataFrame:
+    """One row per series of an entity: entity_id, name, status, rows, date_range, issues[].
 
     Issues: missing cells, span under 365 days, duplicate rows; otherwise
-    ``No issues detected``. Series listed in ``catalog`` without rows get
-    status ``empty`` and ``No data available``.
+    ``No issues detected``. Series (entity_id, series_id) listed in ``catalog``
+    without rows get status ``empty`` and ``No data available``.
     """
-    agg = df.groupBy(name).agg(
+    keys = list(keys)
+    agg = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(null_count(df)).alias("_nulls"),
         F.min(date).alias("_first"), F.max(date).alias("_last"),
         F.count_distinct(_row_struct(df)).alias("_distinct"))
     if catalog is not None:           # read twice below: keep the small aggregate
-        from panelcast.session import materialize
         agg = materialize(agg)
     span = F.datediff("_last", "_first")
     dups = F.col("rows") - F.col("_distinct")
@@ -83,14 +85,14 @@ def quality_report(df: DataFrame, catalog: DataFrame | None = None,
         F.when(dups > 0, F.format_string("Duplicate rows: %d", dups)),
     ), lambda x: x.isNotNull())
     rep = agg.select(
-        F.col(name).alias("name"), F.lit("ok").alias("status"), F.col("rows").cast("bigint"),
+        "entity_id", F.col("series_id").alias("name"), F.lit("ok").alias("status"), F.col("rows").cast("bigint"),
         F.concat_ws(" to ", F.col("_first").cast("string"), F.col("_last").cast("string")).alias("date_range"),
         F.when(F.size(issues) == 0, F.array(F.lit(NO_ISSUES))).otherwise(issues).alias("issues"))
     if catalog is None:
         return rep
-    empty = (catalog.select(F.col("series_id").alias("name")).distinct()
-             .join(rep.select("name"), "name", "left_anti")
-             .select("name", F.lit("empty").alias("status"), F.lit(0).cast("bigint").alias("rows"),
+    empty = (catalog.select("entity_id", F.col("series_id").alias("name")).distinct()
+             .join(rep.select("entity_id", "name"), ["entity_id", "name"], "left_anti")
+             .select("entity_id", "name", F.lit("empty").alias("status"), F.lit(0).cast("bigint").alias("rows"),
                      F.lit(None).cast("string").alias("date_range"),
                      F.array(F.lit(NO_DATA)).alias("issues")))
     return rep.unionByName(empty)

@@ -1,12 +1,13 @@
-"""Exact grouped quantiles without collecting a group.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-task; a group holding a third of the data would not fit. Here each wanted
-rank is located by range refinement: every pass is a partial + final
-aggregate of (group, target, bucket) counts, so a hot group is combined
-map-side. A target whose interval holds at most ``finish_rows`` values is
-resolved by ranking just those values. Interpolation follows
-``percentile_cont`` / pandas ``describe``: h = (n - 1) p.
+"""Exact grouped quantiles without gathering a group.
+
+Equal values are counted first (a partial + final aggregate, so a value that
+holds a large share of the rows is combined map-side). The distinct values are
+range-partitioned by (group, value): a group of any size spreads over as many
+tasks as its values need. A value's rank is its running count within its task
+plus the counts of the group in earlier tasks, a small table. One path for
+groups of every size; infinities are ordinary values, NULL and NaN are left
+out. Interpolation follows ``percentile_cont`` / pandas ``describe``:
+h = (n - 1) p.
 """
 
 from __future__ import annotations
@@ -16,101 +17,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.session import materialize
+
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Sequence[float], buckets: int = 4096,
-                    finish_rows: int = 20_000, max_passes: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Returns ``keys`` + one DOUBLE column ``q{int(p*100)}`` per probability."""
     keys = list(keys)
     clean = df.select(*keys, F.col(value).cast("double").alias("_v")) \
               .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= finish_rows:
-        return _ranked_quantiles(clean, keys, probs)
-    data = clean.persist()
-    stats = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # one target per (group, wanted 0-based rank)
-    parts = []
-    for p in probs:
-        h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        for side, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            parts.append(stats.select(*keys, F.lit(float(p)).alias("_p"), F.lit(side).alias("_side"),
-                                      r.cast("bigint").alias("_rank"), (h - F.floor(h)).alias("_frac"),
-                                      F.col("_lo").alias("_a"), F.col("_hi").alias("_b"),
-                                      F.lit(0).cast("bigint").alias("_below"),
-                                      F.col("_n").alias("_cnt")))
-    targets = parts[0]
-    for t in parts[1:]:
-        targets = targets.unionByName(t)
-    targets = targets.withColumn("_tid", F.concat_ws(":", F.col("_p").cast("string"), "_side"))
-    done = None
-    cached = []
-    for it in range(max_passes):
-        # pass 0 is one aggregate of the cached data; later passes cut lineage
-        targets = targets.persist() if it == 0 else targets.checkpoint(eager=True)
-        cached.append(targets)
-        resolved = targets.filter((F.col("_a") == F.col("_b")) | (F.col("_cnt") <= finish_rows))
-        exact = targets.filter(F.col("_a") == F.col("_b")).select(*keys, "_p", "_side", "_frac",
-                                                                  F.col("_a").alias("_val"))
-        small = resolved.filter(F.col("_a") != F.col("_b"))
-        # finish: rank the few values inside the interval
-        fin_rows = data.join(small, keys).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
-        wr = Window.partitionBy(*keys, "_tid").orderBy("_v")
-        fin = (fin_rows.withColumn("_r", F.row_number().over(wr) - 1 + F.col("_below"))
-               .filter(F.col("_r") == F.col("_rank"))
-               .select(*keys, "_p", "_side", "_frac", F.col("_v").alias("_val")))
-        got = exact.unionByName(fin)
-        done = got if done is None else done.unionByName(got)
-        active = targets.filter((F.col("_a") != F.col("_b")) & (F.col("_cnt") > finish_rows))
-        if active.isEmpty():
-            break
-        width = F.col("_b") - F.col("_a")
-        bucket = F.least(F.floor((F.col("_v") - F.col("_a")) / width * F.lit(float(buckets))),
-                         F.lit(float(buckets - 1))).cast("int")
-        hist = (data.join(active, keys)
-                .filter(F.col("_v").between(F.col("_a"), F.col("_b")))
-                .select(*keys, "_tid", "_p", "_side", "_rank", "_frac", "_below", "_v",
-                        bucket.alias("_bk"))
-                .groupBy(*keys, "_tid", "_p", "_side", "_rank", "_frac", "_below", "_bk")
-                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_mn"),
-                     F.max("_v").alias("_mx")))
-        wb = Window.partitionBy(*keys, "_tid").orderBy("_bk")
-        cum = hist.withColumn("_cum", F.sum("_c").over(
-            wb.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_below"))
-        # the bucket holding the wanted rank: first with cum > rank
-        pick = cum.filter((F.col("_cum") > F.col("_rank")) &
-                          (F.col("_cum") - F.col("_c") <= F.col("_rank")))
-        targets = pick.select(*keys, "_p", "_side", "_rank", "_frac",
-                              F.col("_mn").alias("_a"), F.col("_mx").alias("_b"),
-                              (F.col("_cum") - F.col("_c")).alias("_below"),
-                              F.col("_c").alias("_cnt"), "_tid")
-    lo = done.filter(F.col("_side") == "lo").select(*keys, "_p", "_frac", F.col("_val").alias("_vlo"))
-    hi = done.filter(F.col("_side") == "hi").select(*keys, "_p", F.col("_val").alias("_vhi"))
-    both = lo.join(hi, keys + ["_p"]).withColumn(
-        "_q", F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-    out = both.groupBy(*keys).pivot("_p", [float(p) for p in probs]).agg(F.first("_q"))
-    for p in probs:
-        out = out.withColumnRenamed(str(float(p)), f"q{int(round(p * 100))}")
-    out = out.persist()
-    out = out.checkpoint(eager=True)
-    for t in cached:
-        t.unpersist(blocking=False)
-    data.unpersist(blocking=False)
-    return out
-
-
-def _ranked_quantiles(clean: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    """Every group holds at most ``finish_rows`` values (checked by the
-    caller): rank each group in one window pass and interpolate."""
-    w = Window.partitionBy(*keys).orderBy("_v")
-    r = clean.select(*keys, "_v", (F.row_number().over(w) - 1).alias("_r"),
-                     F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("_n"))
+    # written once: a recomputed range exchange could cut its partitions elsewhere
+    d = materialize(clean.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+                    .repartitionByRange(*keys, "_v").withColumn("_t", F.spark_partition_id()))
+    in_task = Window.partitionBy("_t", *keys).orderBy("_v")
+    group = Window.partitionBy(*keys)
+    tasks = d.groupBy("_t", *keys).agg(F.sum("_c").alias("_tc")).select(
+        "_t", *keys, F.sum("_tc").over(group).alias("_n"),
+        F.coalesce(F.sum("_tc").over(group.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"))
+    r = d.withColumn("_in", F.sum("_c").over(in_task)).join(tasks, ["_t", *keys])
+    r = r.withColumn("_hi", F.col("_in") + F.col("_before")).withColumn("_lo", F.col("_hi") - F.col("_c"))
+
+    def at(rank):
+        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_v")))
     aggs = []
     for p in probs:
         h = (F.col("_n") - 1).cast("double") * F.lit(float(p))
-        lo = F.max(F.when(F.col("_r") == F.floor(h), F.col("_v")))
-        hi = F.max(F.when(F.col("_r") == F.ceil(h), F.col("_v")))
-        frac = F.first(h - F.floor(h))
-        aggs.append((lo + (hi - lo) * frac).alias(f"q{int(round(p * 100))}"))
+        lo, hi, frac = at(F.floor(h)), at(F.ceil(h)), F.first(h - F.floor(h))
+        infinite = F.greatest(F.abs(lo), F.abs(hi)) == F.lit(float("inf"))
+        aggs.append(F.when((lo == hi) | (frac == 0), lo)
+                    .when(infinite, lo * (F.lit(1.0) - frac) + hi * frac)
+                    .otherwise(lo + (hi - lo) * frac).alias(f"q{int(round(p * 100))}"))
     return r.groupBy(*keys).agg(*aggs)

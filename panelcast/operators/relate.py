@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.functions.ieee import pearson
-from panelcast.operators.features import predictor_features, target_features
+from panelcast.operators.features import predictor_features
+from panelcast.session import materialize
 
 # Predictor feature suffixes, in their column order.
 FEATURE_SUFFIXES = ("level", "mom_pct", "ma3", "vol3")
@@ -33,20 +34,21 @@ def role_split(panel: DataFrame, target_series: str) -> tuple[DataFrame, DataFra
     return panel.filter(is_target), panel.filter(~is_target)
 
 
-def predictors_long(pred_features: DataFrame) -> DataFrame:
+def predictors_long(pred_features: DataFrame, *carry: str) -> DataFrame:
     """Unpivot level / mom_pct / ma3 / vol3 into rows:
-    (entity_id, series_id, date, feature_idx, variable, x)."""
+    (entity_id, series_id, date, feature_idx, variable, x). A variable is
+    identified by (series_id, feature_idx); ``variable`` is its shown name."""
     key = series_key("series_id")
     pairs = F.array(*[F.struct(F.lit(i).alias("feature_idx"), F.col(s).cast("double").alias("x"))
                       for i, s in enumerate(FEATURE_SUFFIXES)])
     names = F.array(*[F.lit(s) for s in FEATURE_SUFFIXES])
     return (pred_features
-            .select("entity_id", "series_id", "date", F.inline(pairs))
+            .select("entity_id", "series_id", "date", *carry, F.inline(pairs))
             .withColumn("variable", F.concat_ws("_", key, F.element_at(names, F.col("feature_idx") + 1))))
 
 
 def complete_dates(pred_features: DataFrame, target_y: DataFrame) -> DataFrame:
-    """(entity_id, date, mom_pct) where the target change is non-null and every
+    """(entity_id, date, y) where the target change is non-null and every
     predictor series of the entity has a row with all four features non-null
     (the inner join of the target with the full outer join of all predictors,
     then drop-nulls). NaN and inf are values, not nulls, and are kept."""
@@ -60,34 +62,41 @@ def complete_dates(pred_features: DataFrame, target_y: DataFrame) -> DataFrame:
     return (ok.join(n_pred, "entity_id")
               .filter(F.col("n_ok") == F.col("n_pred"))
               .join(target_y.filter(F.col("mom_pct").isNotNull()), ["entity_id", "date"])
-              .select("entity_id", "date", "mom_pct"))
+              .select("entity_id", "date", F.col("mom_pct").alias("y")))
 
 
-def analysis_frame(panel: DataFrame, target_series: str, materialize: bool = True) -> DataFrame:
-    """Complete-case analysis frame in long form:
-    (entity_id, date, mom_pct, series_id, feature_idx, variable, x).
+def analysis_series(panel: DataFrame, target_series: str) -> DataFrame:
+    """Complete-case analysis frame, one row per (entity, series, date):
+    (entity_id, series_id, date, y, level, mom_pct, ma3, vol3), y being the
+    target's change. Nothing is unpivoted yet.
 
-    The per-series feature frame feeds four branches (target, predictor
-    count, complete dates, long unpivot); it is materialized once so the
-    landed tables are read once."""
+    The per-series feature frame feeds three branches (target, complete dates,
+    predictors); it is written once, so the landed tables are read once."""
     # one Window stage for every series; the target's change uses the same
     # formula, so target and predictors are split after it (one scan, one sort)
-    feats = predictor_features(panel)
-    if materialize:
-        from panelcast.session import materialize as _mat
-        feats = _mat(feats)
+    feats = materialize(predictor_features(panel))
     is_target = F.col("series_id") == F.lit(target_series)
     ty = feats.filter(is_target).select("entity_id", "date", "mom_pct")
     pf = feats.filter(~is_target)
-    dates = complete_dates(pf, ty)
-    return predictors_long(pf).join(dates, ["entity_id", "date"])
+    return pf.join(complete_dates(pf, ty), ["entity_id", "date"]).select(
+        "entity_id", "series_id", "date", "y", *FEATURE_SUFFIXES)
 
 
-def correlations(analysis: DataFrame, y: str = "mom_pct") -> DataFrame:
+def analysis_frame(panel: DataFrame, target_series: str) -> DataFrame:
+    """The complete-case analysis frame in long form:
+    (entity_id, date, mom_pct, series_id, feature_idx, variable, x)."""
+    long = predictors_long(analysis_series(panel, target_series), "y")
+    return long.withColumnRenamed("y", "mom_pct")
+
+
+def correlations(analysis: DataFrame, y: str = "y") -> DataFrame:
     """Pearson correlation of the target with every variable (null pairs
-    skipped; NULL / NaN results dropped)."""
-    return (analysis.groupBy("entity_id", "series_id", "feature_idx", "variable")
-            .agg(pearson(y, "x").alias("correlation"))
+    skipped; NULL / NaN results dropped): four aggregates per series, the
+    results unpivoted."""
+    r = analysis.groupBy("entity_id", "series_id").agg(
+        *[pearson(y, s).alias(s) for s in FEATURE_SUFFIXES])
+    r = r.withColumn("date", F.lit(None).cast("date"))
+    return (predictors_long(r).drop("date").withColumnRenamed("x", "correlation")
             .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation")))
 
 
@@ -104,39 +113,44 @@ def rank_correlations(corr: DataFrame, top_k: int | None = None) -> DataFrame:
 
 def corr_rank(panel: DataFrame, target_series: str, top_k: int | None = None) -> DataFrame:
     """Flagship: (entity_id, rank, variable, correlation)."""
-    ranked = rank_correlations(correlations(analysis_frame(panel, target_series)), top_k)
+    ranked = rank_correlations(correlations(analysis_series(panel, target_series)), top_k)
     return ranked.select("entity_id", "rank", "variable", "correlation")
 
 
-def lead_lag(analysis: DataFrame, max_lag: int = 6, y: str = "mom_pct") -> DataFrame:
+def lead_lag(analysis: DataFrame, max_lag: int = 6, y: str = "y") -> DataFrame:
     """For lag in -L..L, lag > 0 pairs y_t with x_{t-lag}, lag < 0 pairs
     y_{t-|lag|} with x_t. Shifts are row positions of the complete-case frame,
-    per (entity, variable). Output (entity_id, series_id, feature_idx,
-    variable, lag, correlation)."""
-    w = Window.partitionBy("entity_id", "variable").orderBy("date")
-    # shifted columns first (a generator cannot hold window functions), then stack
-    lagged = analysis.select(
-        "entity_id", "series_id", "feature_idx", "variable", F.col(y).alias("_y"), "x",
+    per (entity, series, feature). One aggregate per shift, the results
+    unpivoted. Input: long rows (entity_id, series_id, feature_idx, variable,
+    date, y, x); output (entity_id, series_id, feature_idx, variable, lag,
+    correlation)."""
+    of = ["entity_id", "series_id", "feature_idx"]
+    w = Window.partitionBy(*of).orderBy("date")
+    shifted = analysis.select(
+        *of, "variable", F.col(y).alias("_y"), "x",
         *[F.lag("x", k).over(w).alias(f"_x{k}") for k in range(1, max_lag + 1)],
         *[F.lag(y, k).over(w).alias(f"_y{k}") for k in range(1, max_lag + 1)])
-    pairs = [F.struct(F.lit(0).alias("lag"), F.col("_y").alias("yy"), F.col("x").alias("xx"))]
+    pairs = {0: ("_y", "x")}
     for k in range(1, max_lag + 1):
-        pairs.append(F.struct(F.lit(k).alias("lag"), F.col("_y").alias("yy"), F.col(f"_x{k}").alias("xx")))
-        pairs.append(F.struct(F.lit(-k).alias("lag"), F.col(f"_y{k}").alias("yy"), F.col("x").alias("xx")))
-    stacked = lagged.select("entity_id", "series_id", "feature_idx", "variable",
-                            F.inline(F.array(*pairs)))
-    return (stacked.groupBy("entity_id", "series_id", "feature_idx", "variable", "lag")
-            .agg(pearson("yy", "xx").alias("correlation"))
-            .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
-            .withColumn("lag", F.col("lag").cast("bigint")))
+        pairs[k], pairs[-k] = ("_y", f"_x{k}"), (f"_y{k}", "x")
+    r = shifted.groupBy(*of, "variable").agg(
+        *[pearson(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs.values())])
+    rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"_r{i}").alias("correlation"))
+                     for i, k in enumerate(pairs)])
+    return (r.select(*of, "variable", F.inline(rows))
+            .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation")))
 
 
 def lead_lag_top(panel: DataFrame, target_series: str, top_k: int = 5,
                  max_lag: int = 6) -> DataFrame:
-    """Lead-lag correlations for the top-k ranked variables of each entity."""
-    analysis = analysis_frame(panel, target_series)
-    top = rank_correlations(correlations(analysis), top_k).select("entity_id", "variable")
-    return lead_lag(analysis.join(top, ["entity_id", "variable"], "left_semi"), max_lag)
+    """Lead-lag correlations for the top-k ranked variables of each entity;
+    only the rows of their series are unpivoted."""
+    analysis = materialize(analysis_series(panel, target_series))
+    top = materialize(rank_correlations(correlations(analysis), top_k)
+                      .select("entity_id", "series_id", "feature_idx"))
+    rows = analysis.join(top.select("entity_id", "series_id"), ["entity_id", "series_id"], "left_semi")
+    return lead_lag(predictors_long(rows, "y").join(top, ["entity_id", "series_id", "feature_idx"], "left_semi"),
+                    max_lag)
 
 
 def full_join_pair(a: DataFrame, b: DataFrame, on: Sequence[str] = ("entity_id", "date")) -> DataFrame:
@@ -147,14 +161,18 @@ def full_join_pair(a: DataFrame, b: DataFrame, on: Sequence[str] = ("entity_id",
 def wide(long: DataFrame, variables: Sequence[str] | None = None,
          keys: Sequence[str] = ("entity_id", "date")) -> DataFrame:
     """J1 (K-way): one pivot instead of K chained full joins; equal to the
-    chained joins because (entity, variable, date) is unique. Variable names
-    are listed explicitly (sorted in column order) to avoid an extra job."""
+    chained joins because (entity, variable, date) is unique, which is checked:
+    two series whose names make one column name are an error. The columns are
+    the variables of the data in column order unless they are listed."""
     if variables is None:
         variables = [r["variable"] for r in
                      long.select("series_id", "feature_idx", "variable").distinct()
-                     .orderBy("series_id", "feature_idx").collect()]
-    return (long.groupBy(*keys).pivot("variable", list(variables))
-            .agg(F.first("x")))
+                     .orderBy("series_id", "feature_idx").collect()]       # they become the columns
+        if len(set(variables)) < len(variables):
+            raise ValueError("two series share a column name")
+    one = F.when(F.count_distinct("series_id") > 1, F.raise_error(F.lit("two series share a column name"))
+                 .cast("double")).otherwise(F.max("x"))
+    return long.groupBy(*keys).pivot("variable", list(variables)).agg(one)
 
 
 def predictors_wide(panel: DataFrame, target_series: str,
@@ -167,10 +185,11 @@ def predictors_wide(panel: DataFrame, target_series: str,
 
 def target_join(panel: DataFrame, target_series: str,
                 variables: Sequence[str] | None = None) -> DataFrame:
-    """Target mom_pct inner-joined with the wide predictor frame on date."""
-    target, _ = role_split(panel, target_series)
-    ty = target_features(target).select("entity_id", "date", "mom_pct")
-    return ty.join(predictors_wide(panel, target_series, variables), ["entity_id", "date"])
+    """Target mom_pct inner-joined with the wide predictor frame on date.
+    Both sides come from one feature stage, written once."""
+    target, preds = role_split(materialize(predictor_features(panel)), target_series)
+    ty = target.select("entity_id", "date", "mom_pct")
+    return ty.join(wide(predictors_long(preds), variables), ["entity_id", "date"])
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -67,11 +67,3 @@ def expanding_folds(df: DataFrame, keys: Sequence[str] = SERIES_KEYS, min_train_
         F.col("rn").alias("n_train"), F.lit(horizon).cast("bigint").alias("n_test"),
         "train_start", "train_end", F.col("_d").alias("test_start"), "test_end")
 
-
-def fold_of_row(df_with_rn: DataFrame, n_folds_col: str = "n_folds", min_train_size: int = 60,
-                step: int = 12) -> DataFrame:
-    """Test-fold id of each row (each row tests in at most one fold); rows
-    before the first boundary get NULL."""
-    f = F.floor((F.col("rn") - min_train_size) / step).cast("bigint")
-    return df_with_rn.withColumn(
-        "test_fold", F.when((F.col("rn") >= min_train_size) & (f < F.col(n_folds_col)), f))

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators.evaluate import metrics
-from panelcast.operators.linear import dot
+from panelcast.operators.linear import dot, solve_each
+from panelcast.session import materialize
 
 
 def _prefix_sums(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
@@ -26,6 +27,12 @@ def _prefix_sums(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     x = [F.col("x")[i] for i in range(p)]
     y = F.col("y")
+    # centred by the series' mean first: covariances do not change, cancellation stays small
+    every = Window.partitionBy(*keys)
+    rows = rows.withColumns({"m_x": F.array(*[F.avg(x[i]).over(every) for i in range(p)]),
+                             "m_y": F.avg("y").over(every)})
+    x = [F.col("x")[i] - F.col("m_x")[i] for i in range(p)]
+    y = F.col("y") - F.col("m_y")
     return rows.select(
         "*", (F.row_number().over(w) - 1).cast("bigint").alias("rn"),
         F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"),
@@ -45,11 +52,11 @@ def fold_fits(rows: DataFrame, keys: Sequence[str], p: int, min_train: int = 60,
     if horizon > step:
         raise ValueError("horizon must not exceed step (each row tests in at most one fold)")
     keys = list(keys)
-    ps = _prefix_sums(rows, keys, p)
+    ps = _prefix_sums(materialize(rows), keys, p)        # read for the folds and for the tests
     e = F.col("rn") + 1                           # prefix at rn covers rows 0..rn -> trains fold e
     is_end = (e >= min_train) & ((e - min_train) % step == 0) & (e < F.col("n") - horizon)  # fold rule
     fold = ((e - min_train) / step).cast("bigint")
-    folds = ps.filter(is_end).select(*keys, fold.alias("fold"), "s_n", "s_x", "s_y", "s_xx", "s_xy")
+    folds = ps.filter(is_end).select(*keys, fold.alias("fold"), "s_n", "s_x", "s_y", "s_xx", "s_xy", "m_x", "m_y")
     schema = T.StructType([rows.schema[k] for k in keys] + [
         T.StructField("fold", T.LongType()), T.StructField("n_train", T.LongType()),
         T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType())])
@@ -65,14 +72,12 @@ def fold_fits(rows: DataFrame, keys: Sequence[str], p: int, min_train: int = 60,
             sxy = np.stack(pdf["s_xy"].map(np.asarray).to_numpy()).astype(float)
             c = sxx - np.einsum("ni,nj->nij", sx, sx) / n[:, None, None]
             b = sxy - sx * (sy / n)[:, None]
-            try:
-                coef = np.linalg.solve(c, b[..., None])[..., 0]
-            except np.linalg.LinAlgError:
-                coef = np.stack([np.linalg.lstsq(ci, bi, rcond=None)[0] for ci, bi in zip(c, b)])
+            coef = solve_each(c, b)
             out = pdf[keys + ["fold"]].copy()
             out["n_train"] = n.astype("int64")
             out["coef"] = list(coef)
-            out["intercept"] = sy / n - np.einsum("ni,ni->n", sx, coef) / n
+            mx = np.stack(pdf["m_x"].map(np.asarray).to_numpy()).astype(float)
+            out["intercept"] = sy / n + pdf["m_y"].to_numpy(float) - ((sx / n[:, None] + mx) * coef).sum(1)
             yield out
 
     fits = folds.mapInPandas(solve, schema)
@@ -112,11 +117,12 @@ def ridge_fold_fits(rows: DataFrame, keys: Sequence[str], p: int, alpha: float =
     and the block Grams are merged cumulatively per group (at most n / step
     small rows), giving every fold's training Gram. Returns (tagged rows,
     fold coefficients in original units)."""
-    from panelcast.operators.linear import _solve, gram
+    from panelcast.operators.linear import gram
     if horizon > step:
         raise ValueError("horizon must not exceed step")
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("date")
+    rows = materialize(rows)
     tagged = rows.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("rn"),
                          F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
     k = F.col("rn") - min_train
@@ -141,7 +147,7 @@ def ridge_fold_fits(rows: DataFrame, keys: Sequence[str], p: int, alpha: float =
                     scale = np.sqrt(np.clip(np.diag(cxx) / n, 0.0, None))
                     scale[scale == 0.0] = 1.0
                     a = cxx / np.outer(scale, scale) + alpha * np.eye(p)
-                    coef = _solve(a, cxy / scale) / scale
+                    coef = solve_each(a[None], (cxy / scale)[None])[0] / scale
                     rec = {c: getattr(r, c) for c in keys}
                     rec.update(fold=b, n_train=int(n), coef=coef.tolist(), intercept=float(my - mx @ coef))
                     out.append(rec)

@@ -1,8 +1,9 @@
 """Model comparison (M8-M10): features -> chronological split -> AR(3),
-ridge and forest fitted on train -> scored on validation and test.
+ridge and forest fitted on train -> scored on train, validation and test.
 
-One lazy plan per model; only metric rows (one per entity, model and split)
-and forest importances are small enough to be looked at on the driver.
+Every feature and predictor is used unless a cap is asked for. Only metric
+rows (one per entity, model and split) and forest importances are small enough
+to be looked at on the driver.
 """
 
 from __future__ import annotations
@@ -14,38 +15,45 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import evaluate as EV, forest as FR, linear as LN, matrix as MX
 from panelcast.operators import relate as RL, split as SP
+from panelcast.session import materialize
 
-# Feature caps of the reference (predictor columns, ridge, forest).
-N_PREDICTORS = 10
 MAX_LAGS = 3
+# The optional caps that the reference runs with (ridge, forest features).
 RIDGE_FEATURES = 20
 FOREST_FEATURES = 15
 AR_FEATURES = ("mom_pct_lag1", "mom_pct_lag2", "mom_pct_lag3")
 KEYS = ["entity_id"]
+SPLITS = ("train", "validation", "test")
+NO_ROWS = "No complete rows"
+OTHER_FEATURES = "Feature count differs from the pooled model"
 
 
 @dataclass
 class Comparison:
     metrics: DataFrame            # entity, model, split, rmse, mae, dir. acc., n
-    fits: DataFrame               # linear coefficients per entity and model
+    fits: DataFrame               # entity, model, status, n_train, n_features: one row for each pair
     importance: DataFrame | None  # forest importances (pooled)
 
 
-def split_matrix(panel: DataFrame, target: str, n_predictors: int = N_PREDICTORS,
+def split_matrix(panel: DataFrame, target: str, n_predictors: int | None = None,
                  max_lags: int = MAX_LAGS) -> DataFrame:
-    """Long feature matrix with the 70 / 15 / 15 split of each entity's dates."""
-    fm = MX.feature_matrix(RL.analysis_frame(panel, target), n_predictors, max_lags)
-    # date position per entity without a self-join: dense rank over the
-    # entity's rows (dates x features, bounded by the calendar and the cap)
-    w = Window.partitionBy(*KEYS).orderBy("date")
-    ranked = fm.withColumn("rn", (F.dense_rank().over(w) - 1).cast("bigint"))
-    ranked = ranked.withColumn("n", F.max("rn").over(Window.partitionBy(*KEYS)) + 1)
-    return SP.assign_split(ranked).drop("rn", "n")
+    """Long feature matrix with the 70 / 15 / 15 split of each entity's dates,
+    written once."""
+    fm = materialize(MX.feature_matrix(RL.analysis_series(panel, target), n_predictors, max_lags))
+    dates = fm.select(*KEYS, "date").distinct()
+    split = SP.assign_split(SP.positions(dates, KEYS, "date")).drop("rn", "n")
+    return materialize(fm.join(split, [*KEYS, "date"]))
 
 
 def vectors(fm: DataFrame, n_features: int | None = None,
             names: tuple[str, ...] | None = None) -> DataFrame:
-    f = fm.filter(F.col("feature").isin(list(names))) if names else fm.filter(F.col("ordinal") < n_features)
+    """One row per (entity, date) with its features in order: all, the first
+    ``n_features``, or those of ``names`` that exist."""
+    f = fm
+    if names is not None:
+        f = f.filter(F.col("feature").isin(list(names)))
+    if n_features is not None:
+        f = f.filter(F.col("ordinal") < n_features)
     g = (f.groupBy("entity_id", "date", "mom_pct", "split")
           .agg(F.array_sort(F.collect_list(F.struct("ordinal", "feature", "value"))).alias("_f")))
     return g.select("entity_id", "date", "split", F.col("mom_pct").alias("y"),
@@ -53,62 +61,73 @@ def vectors(fm: DataFrame, n_features: int | None = None,
                     F.transform("_f", lambda s: s["value"]).alias("x"))
 
 
-def compare(panel: DataFrame, target: str, with_forest: bool = True,
-            n_trees: int = FR.N_TREES) -> Comparison:
-    from panelcast.session import materialize
-    fm = materialize(split_matrix(panel, target))
-    scored = []
-    fits = []
-    for model, vec, p in (("ar", vectors(fm, names=AR_FEATURES), len(AR_FEATURES)),
-                          ("ridge", vectors(fm, RIDGE_FEATURES), RIDGE_FEATURES)):
+def compare(panel: DataFrame, target: str, with_forest: bool = True, n_trees: int = FR.N_TREES,
+            n_predictors: int | None = None, ridge_features: int | None = None,
+            forest_features: int | None = None) -> Comparison:
+    """Fits and scores the models; every entity of the panel gets a row in
+    ``fits`` for each of them."""
+    panel = materialize(panel)
+    fm = split_matrix(panel, target, n_predictors)
+    scored, fits = [], []
+    for model, vec in (("ar", vectors(fm, names=AR_FEATURES)), ("ridge", vectors(fm, ridge_features))):
+        vec = materialize(vec)
         train = vec.filter(F.col("split") == "train")
-        fit = (LN.fit_ar(train, KEYS, p) if model == "ar"
-               else LN.fit_ridge(train, KEYS, p))
-        fits.append(fit)
-        scored.append(LN.predict(vec.filter(F.col("split") != "train"), fit, KEYS)
-                      .select("entity_id", "split", "y", "prediction", F.lit(model).alias("model")))
+        fit = materialize(LN.fit_ar(train, KEYS, None) if model == "ar" else LN.fit_ridge(train, KEYS))
+        fits.append(fit.select("entity_id", "model", "status", "n_train",
+                               F.size("features").cast("bigint").alias("n_features")))
+        scored.append(LN.predict(vec, fit, KEYS).select("entity_id", "split", "y", "prediction", "model"))
     imp = None
     if with_forest:
-        vec = vectors(fm, FOREST_FEATURES).filter(F.size("x") == FOREST_FEATURES)
+        vec = materialize(vectors(fm, forest_features))
         train = vec.filter(F.col("split") == "train")
-        n_train = train.count()
-        if n_train >= LN.MIN_ROWS["forest"]:
-            m = FR.fit_forest(train, n_trees=n_trees)
-            scored.append(FR.predict_forest(m, vec.filter(F.col("split") != "train"))
+        usual = train.groupBy(F.size("x").alias("p")).count().orderBy(F.desc("count"), "p").first()
+        pooled = train.filter(F.size("x") == (usual.p if usual else 0))
+        enough = bool(usual) and usual["count"] >= LN.MIN_ROWS["forest"]
+        status = (F.when(F.max("_p") != (usual.p if usual else 0), F.lit(OTHER_FEATURES))
+                  .otherwise(F.lit(LN.OK if enough else LN.INSUFFICIENT)))
+        fits.append(train.withColumn("_p", F.size("x")).groupBy("entity_id").agg(
+            F.lit("forest").alias("model"), status.alias("status"), F.count(F.lit(1)).alias("n_train"),
+            F.max("_p").cast("bigint").alias("n_features")))
+        if enough:
+            m = FR.fit_forest(pooled, n_trees=n_trees)
+            scored.append(FR.predict_forest(m, vec.filter(F.size("x") == usual.p))
                           .select("entity_id", "split", "y", "prediction", "model"))
-            names = train.select("features").first()["features"]
-            imp = FR.importances(m, list(names), panel.sparkSession)
-    allp = scored[0]
+            imp = FR.importances(m, list(pooled.select("features").first()["features"]), panel.sparkSession)
+    allp, all_fits = scored[0], fits[0]
     for s in scored[1:]:
         allp = allp.unionByName(s)
-    met = EV.metrics(allp, ["entity_id", "model", "split"])
-    fit_all = fits[0].unionByName(fits[1])
-    return Comparison(met, fit_all, imp)
-
-
-def model_table(cmp: Comparison, split: str = "test") -> DataFrame:
-    """Per entity and model: test metrics, n_features, n_train,
-    best model (minimum RMSE) and the skill flag (dir. acc. > 0.5)."""
-    m = cmp.metrics.filter(F.col("split") == split)
-    nf = {"ar": len(AR_FEATURES), "ridge": RIDGE_FEATURES, "forest": FOREST_FEATURES}
-    n_features = F.create_map(*[x for k, v in nf.items() for x in (F.lit(k), F.lit(v))])
-    w = Window.partitionBy("entity_id").orderBy("rmse", "model")
-    return (m.withColumn("n_features", n_features[F.col("model")].cast("bigint"))
-             .withColumn("best", F.row_number().over(w) == 1)
-             .withColumn("skill", F.when(F.col("directional_accuracy") > 0.5,
-                                         F.lit("has predictive power"))
-                                   .otherwise(F.lit("no directional skill"))))
-
-
-def best_model(metrics: DataFrame, split: str = "test") -> DataFrame:
-    """T4: the minimum-RMSE model per entity (``min_by``)."""
-    m = metrics.filter(F.col("split") == split)
-    return m.groupBy("entity_id").agg(F.min_by("model", F.struct("rmse", "model")).alias("best_model"),
-                                      F.min("rmse").alias("rmse"))
-
-
-def metrics_long(table: DataFrame) -> DataFrame:
-    """(entity, model, metric, value) chart table via ``stack``."""
-    return table.select("entity_id", "model", F.expr(
+    for f in fits[1:]:
+        all_fits = all_fits.unionByName(f)
+    models = F.explode(F.array(*[F.lit(m) for m in ("ar", "ridge", *(["forest"] if with_forest else []))]))
+    pairs = panel.select("entity_id").distinct().select("entity_id", models.alias("model"))
+    whole = pairs.join(all_fits, ["entity_id", "model"], "left").withColumn(
+        "status", F.coalesce("status", F.lit(NO_ROWS))).withColumn("n_train", F.coalesce("n_train", F.lit(0)))
+    return Comparison(materialize(EV.metrics(allp, ["entity_id", "model", "split"])), materialize(whole), imp)
+
+
+def model_table(cmp: Comparison) -> DataFrame:
+    """One row per entity and model: status, training rows,
+    feature count, metrics of each split in columns of their own, the best
+    model (minimum test RMSE) and the skill flag (test dir. acc. > 0.5)."""
+    names = ("rmse", "mae", "directional_accuracy", "n_predictions")
+    m = cmp.metrics.groupBy("entity_id", "model").agg(*[
+        F.max(F.when(F.col("split") == s, F.col(c))).alias(f"{s}_{c}") for s in SPLITS for c in names])
+    w = Window.partitionBy("entity_id").orderBy(F.col("test_rmse").asc_nulls_last(), "model")
+    return (cmp.fits.join(m, ["entity_id", "model"], "left")
+            .withColumn("best", (F.row_number().over(w) == 1) & F.col("test_rmse").isNotNull())
+            .withColumn("skill", F.when(F.col("test_directional_accuracy") > 0.5, F.lit("has predictive power"))
+                        .when(F.col("test_rmse").isNotNull(), F.lit("no directional skill"))))
+
+
+def best_model(cmp: Comparison) -> DataFrame:
+    """T4: the minimum test RMSE model per entity; NULL where none was scored."""
+    t = model_table(cmp)
+    return t.groupBy("entity_id").agg(F.max(F.when(F.col("best"), F.col("model"))).alias("best_model"),
+                                      F.max(F.when(F.col("best"), F.col("test_rmse"))).alias("rmse"))
+
+
+def metrics_long(metrics: DataFrame) -> DataFrame:
+    """(entity, model, split, metric, value) chart table via ``stack``."""
+    return metrics.select("entity_id", "model", "split", F.expr(
         "stack(3, 'rmse', rmse, 'mae', mae, 'directional_accuracy', directional_accuracy)"
         " AS (metric, value)"))

@@ -156,8 +156,8 @@ def dirty_ctes() -> list[str]:
     ]
 
 
-def feature_matrix_ctes(view: str, target: str, n_pred: int = 10, L: int = 3, TL: int = 3) -> list[str]:
-    k = "entity_id, variable"
+def feature_matrix_ctes(view: str, target: str, n_pred: int | None = None, L: int = 3, TL: int = 3) -> list[str]:
+    k = "entity_id, series_id, feature_idx"
     wv = f"OVER (PARTITION BY {k} ORDER BY date)"
 
     def fr(n):
@@ -186,9 +186,9 @@ def feature_matrix_ctes(view: str, target: str, n_pred: int = 10, L: int = 3, TL
         "vars AS (SELECT entity_id, series_id, feature_idx, variable, row_number() OVER"
         " (PARTITION BY entity_id ORDER BY series_id, feature_idx) - 1 AS pidx"
         " FROM (SELECT DISTINCT entity_id, series_id, feature_idx, variable FROM al))",
-        f"vsel AS (SELECT entity_id, variable, pidx, count(*) OVER (PARTITION BY entity_id) AS P"
-        f" FROM vars WHERE pidx < {n_pred})",
-        "sel AS (SELECT al.*, vsel.pidx, vsel.P FROM al JOIN vsel USING (entity_id, variable))",
+        f"vsel AS (SELECT entity_id, series_id, feature_idx, pidx, count(*) OVER (PARTITION BY entity_id) AS P"
+        f" FROM vars {'' if n_pred is None else f'WHERE pidx < {n_pred}'})",
+        "sel AS (SELECT al.*, vsel.pidx, vsel.P FROM al JOIN vsel USING (entity_id, series_id, feature_idx))",
         "fr AS (" + "\nUNION ALL\n".join(parts) + ")",
         "fm AS (SELECT * FROM fr QUALIFY count(value) OVER (PARTITION BY entity_id, date)"
         " = count(*) OVER (PARTITION BY entity_id, date))",
@@ -230,29 +230,28 @@ def ar_ctes(view: str) -> list[str]:
 
 
 def cv_ctes(view: str, m: int, step: int, horizon: int) -> list[str]:
-    """Prefix-sum expanding CV of AR(3) per series; fold coefficients by Cramer."""
+    """Expanding CV of AR(3) per series from the definition: a fold's training
+    rows are joined to it and aggregated; coefficients by Cramer."""
     k = "entity_id, series_id"
-    wr = f"OVER (PARTITION BY {k} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
-    sums = ", ".join([f"sum(x{i}) {wr} AS sx{i}" for i in (1, 2, 3)]
-                     + [f"sum(x{i} * x{j}) {wr} AS s{i}{j}" for i, j in pairs]
-                     + [f"sum(x{i} * y) {wr} AS s{i}y" for i in (1, 2, 3)])
-    cen = ", ".join([f"s{i}{j} - sx{i} * sx{j} / s_n AS a{i}{j}" for i, j in pairs]
-                    + [f"s{i}y - sx{i} * sy / s_n AS b{i}" for i in (1, 2, 3)])
+    cov = ", ".join([f"covar_pop(x{i}, x{j}) * count(*) AS a{i}{j}" for i, j in pairs]
+                    + [f"covar_pop(x{i}, y) * count(*) AS b{i}" for i in (1, 2, 3)]
+                    + [f"avg(x{i}) AS m{i}" for i in (1, 2, 3)])
     det = "a11*(a22*a33 - a23*a23) - a12*(a12*a33 - a23*a13) + a13*(a12*a23 - a22*a13)"
     return ar_ctes(view)[:4] + [
         f"ps AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY date) - 1 AS rn,"
-        f" count(*) OVER (PARTITION BY {k}) AS n, CAST(count(*) {wr} AS DOUBLE) AS s_n,"
-        f" sum(y) {wr} AS sy, {sums} FROM ar)",
-        f"fe AS (SELECT entity_id, series_id, (rn + 1 - {m}) // {step} AS fold, s_n, sx1, sx2, sx3, sy, {cen}"
-        f" FROM ps WHERE rn + 1 >= {m} AND (rn + 1 - {m}) % {step} = 0 AND rn + 1 < n - {horizon})",
+        f" count(*) OVER (PARTITION BY {k}) AS n FROM ar)",
+        f"fs AS (SELECT {k}, unnest(range({m}, max(n) - {horizon}, {step})) AS e FROM ps GROUP BY 1, 2)",
+        f"fe AS (SELECT fs.entity_id, fs.series_id, (e - {m}) // {step} AS fold, CAST(count(*) AS DOUBLE) AS s_n,"
+        f" avg(y) AS my, {cov} FROM fs JOIN ps ON fs.entity_id = ps.entity_id AND fs.series_id = ps.series_id"
+        f" AND ps.rn < fs.e GROUP BY 1, 2, 3)",
         f"fd AS (SELECT *, {det} AS det FROM fe)",
         "fc AS (SELECT *,"
         " (b1*(a22*a33 - a23*a23) - a12*(b2*a33 - a23*b3) + a13*(b2*a23 - a22*b3)) / det AS c1,"
         " (a11*(b2*a33 - a23*b3) - b1*(a12*a33 - a23*a13) + a13*(a12*b3 - b2*a13)) / det AS c2,"
         " (a11*(a22*b3 - b2*a23) - a12*(a12*b3 - b2*a13) + b1*(a12*a23 - a22*a13)) / det AS c3 FROM fd)",
         "ff AS (SELECT entity_id, series_id, fold, c1, c2, c3,"
-        " sy / s_n - (c1 * sx1 + c2 * sx2 + c3 * sx3) / s_n AS intercept FROM fc)",
+        " my - (c1 * m1 + c2 * m2 + c3 * m3) AS intercept FROM fc)",
         f"cvp AS (SELECT ps.entity_id, ps.series_id, ff.fold, ps.y,"
         f" ff.intercept + (((0.0 + ps.x1 * ff.c1) + ps.x2 * ff.c2) + ps.x3 * ff.c3) AS prediction"
         f" FROM ps JOIN ff ON ps.entity_id = ff.entity_id AND ps.series_id = ff.series_id"
@@ -267,9 +266,9 @@ METRICS_SELECT = ("sqrt(avg((y - prediction) * (y - prediction))) AS rmse, avg(a
 
 
 def ridge_cv_ctes(view: str, m: int, step: int, horizon: int, alpha: float = 1.0) -> list[str]:
-    """Expanding-fold standardised ridge (3 features): prefix sums, population
-    std scaling (zero std -> 1), (Z'Z + alpha I) w = Z'y by Cramer."""
-    base = cv_ctes(view, m, step, horizon)[:6]           # ... ps, fe (centred sums per fold)
+    """Expanding-fold standardised ridge (3 features): a fold's centred sums,
+    population std scaling (zero std -> 1), (Z'Z + alpha I) w = Z'y by Cramer."""
+    base = cv_ctes(view, m, step, horizon)[:7]           # ... ps, fs, fe (centred sums per fold)
     d = ", ".join(f"CASE WHEN a{i}{i} <= 0 THEN 1.0 ELSE sqrt(a{i}{i} / s_n) END AS d{i}" for i in (1, 2, 3))
     r = ", ".join([f"a{i}{j} / (d{i} * d{j}){' + ' + repr(alpha) if i == j else ''} AS r{i}{j}"
                    for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
@@ -284,10 +283,113 @@ def ridge_cv_ctes(view: str, m: int, step: int, horizon: int, alpha: float = 1.0
         " (r11*(q2*r33 - r23*q3) - q1*(r12*r33 - r23*r13) + r13*(r12*q3 - q2*r13)) / rdet / d2 AS c2,"
         " (r11*(r22*q3 - q2*r23) - r12*(r12*q3 - q2*r13) + q1*(r12*r23 - r22*r13)) / rdet / d3 AS c3 FROM rd)",
         "rf AS (SELECT entity_id, series_id, fold, c1, c2, c3,"
-        " sy / s_n - (c1 * sx1 + c2 * sx2 + c3 * sx3) / s_n AS intercept FROM rw)",
+        " my - (c1 * m1 + c2 * m2 + c3 * m3) AS intercept FROM rw)",
         f"rcv AS (SELECT ps.entity_id, ps.series_id, rf.fold, ps.y,"
         f" rf.intercept + (((0.0 + ps.x1 * rf.c1) + ps.x2 * rf.c2) + ps.x3 * rf.c3) AS prediction"
         f" FROM ps JOIN rf ON ps.entity_id = rf.entity_id AND ps.series_id = rf.series_id"
         f" AND rf.fold = (ps.rn - {m}) // {step}"
         f" WHERE ps.rn >= {m} AND (ps.rn - {m}) % {step} < {horizon})",
     ]
+
+
+def elimination_ctes(src: str, keep: str, p: int) -> list[str]:
+    """Gauss elimination of p equations a{i}_{j} w{j} = b{i} for each row of
+    ``src`` (symmetric positive definite, so without pivoting), one CTE for each
+    step; ends in ``solved`` with w0..w{p-1} and the columns ``keep``."""
+    out, name = [], src
+    for k in range(p):
+        cols = [f"a{k}_{j}" for j in range(k, p)] + [f"b{k}"]
+        for i in range(k + 1, p):
+            f = f"(a{i}_{k} / a{k}_{k})"
+            cols += [f"a{i}_{j} - {f} * a{k}_{j} AS a{i}_{j}" for j in range(k + 1, p)] + [f"b{i} - {f} * b{k} AS b{i}"]
+        done = [f"a{i}_{j}" for i in range(k) for j in range(i, p)] + [f"b{i}" for i in range(k)]
+        out.append(f"e{k} AS MATERIALIZED (SELECT {keep}, {', '.join(done + cols)} FROM {name})")
+        name = f"e{k}"
+    for k in range(p - 1, -1, -1):
+        right = "".join(f" - a{k}_{j} * w{j}" for j in range(k + 1, p))
+        out.append(f"w{k}s AS MATERIALIZED (SELECT *, (b{k}{right}) / a{k}_{k} AS w{k} FROM {name})")
+        name = f"w{k}s"
+    out.append(f"solved AS (SELECT {keep}, {', '.join(f'w{i}' for i in range(p))} FROM {name})")
+    return out
+
+
+def ridge_ctes(view: str, target: str, p: int, alpha: float = 1.0) -> list[str]:
+    """Standardised ridge on the first ``p`` features of each entity's training
+    dates, from the definition."""
+    rows = ", ".join(f"max(value) FILTER (WHERE ordinal = {i}) AS x{i}" for i in range(p))
+    sums = ", ".join([f"covar_pop(x{i}, x{j}) * count(*) AS s{i}_{j}" for i in range(p) for j in range(i, p)]
+                     + [f"covar_pop(x{i}, y) * count(*) AS t{i}, avg(x{i}) AS m{i},"
+                        f" CASE WHEN var_pop(x{i}) = 0 THEN 1.0 ELSE sqrt(var_pop(x{i})) END AS d{i}" for i in range(p)])
+    std = ", ".join([f"s{min(i, j)}_{max(i, j)} / (d{i} * d{j}){f' + {alpha}' if i == j else ''} AS a{i}_{j}"
+                     for i in range(p) for j in range(p)] + [f"t{i} / d{i} AS b{i}" for i in range(p)])
+    keep = "entity_id, n_train, my, " + ", ".join(f"m{i}, d{i}" for i in range(p))
+    return feature_matrix_ctes(view, target) + [
+        "dt AS (SELECT entity_id, date, row_number() OVER (PARTITION BY entity_id ORDER BY date) - 1 AS rn,"
+        " count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, date FROM fm) q)",
+        f"tr AS (SELECT fm.entity_id, fm.date, max(mom_pct) AS y, {rows} FROM fm JOIN dt"
+        " ON fm.entity_id = dt.entity_id AND fm.date = dt.date WHERE rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT)"
+        " GROUP BY 1, 2)",
+        f"gs AS MATERIALIZED (SELECT entity_id, count(*) AS n_train, avg(y) AS my, {sums} FROM tr GROUP BY 1)",
+        f"st AS MATERIALIZED (SELECT {keep}, {std} FROM gs)",
+        *elimination_ctes("st", keep, p),
+        "ridge AS (SELECT entity_id, n_train, CASE WHEN n_train >= 20 THEN 'ok' ELSE 'Insufficient training data' END"
+        " AS status, " + ", ".join(f"CASE WHEN n_train >= 20 THEN w{i} / d{i} END AS c{i}" for i in range(p))
+        + ", CASE WHEN n_train >= 20 THEN my - (" + " + ".join(f"m{i} * w{i} / d{i}" for i in range(p))
+        + ") END AS intercept FROM solved)",
+    ]
+
+
+def var_ctes(view: str, p: int) -> list[str]:
+    """VAR(1) per entity with ``p`` series: OLS of each series' change on all
+    series' changes of the row before, over dates where all are known."""
+    k = "entity_id, series_id"
+    x = ", ".join(f"max(l) FILTER (WHERE i = {j}) AS x{j}" for j in range(p))
+    cov = ", ".join([f"covar_pop(x{i}, x{j}) * count(*) AS a{i}_{j}" for i in range(p) for j in range(p)]
+                    + [f"covar_pop(x{i}, y) * count(*) AS b{i}, avg(x{i}) AS m{i}" for i in range(p)])
+    keep = "entity_id, equation, n_train, my, " + ", ".join(f"m{i}" for i in range(p))
+    long = " UNION ALL ".join(
+        f"SELECT s.entity_id, s.equation, n_train, {j} AS i, CASE WHEN n_train >= {p + 2} THEN w{j} END AS coef,"
+        f" CASE WHEN n_train >= {p + 2} THEN my - ({' + '.join(f'm{i} * w{i}' for i in range(p))}) END AS intercept"
+        " FROM solved s" for j in range(p))
+    return [
+        panel_cte(view),
+        f"m AS (SELECT {k}, date, {mom_expr()} AS c FROM panel)",
+        f"lg AS (SELECT {k}, date, c, lag(c) OVER (PARTITION BY {k} ORDER BY date) AS l FROM m)",
+        "nm AS (SELECT entity_id, series_id, row_number() OVER (PARTITION BY entity_id ORDER BY series_id) - 1 AS i"
+        " FROM (SELECT DISTINCT entity_id, series_id FROM panel) q)",
+        "ok AS (SELECT lg.*, nm.i FROM lg JOIN nm USING (entity_id, series_id) WHERE c IS NOT NULL AND l IS NOT NULL)",
+        f"wd AS (SELECT entity_id, date, {x} FROM ok GROUP BY 1, 2 HAVING count(*) = {p})",
+        "ds AS (SELECT ok.entity_id, ok.series_id AS equation, ok.c AS y, wd.* EXCLUDE (entity_id) FROM ok"
+        " JOIN wd ON ok.entity_id = wd.entity_id AND ok.date = wd.date)",
+        f"st AS MATERIALIZED (SELECT entity_id, equation, count(*) AS n_train, avg(y) AS my, {cov} FROM ds GROUP BY 1, 2)",
+        *elimination_ctes("st", keep, p),
+        f"ll AS ({long})",
+        f"var_long AS (SELECT ll.entity_id, equation, CASE WHEN n_train >= {p + 2} THEN 'ok' ELSE"
+        " 'Insufficient training data' END AS status, n_train, intercept, nm.series_id || '_lag1' AS feature, coef"
+        " FROM ll JOIN nm ON ll.entity_id = nm.entity_id AND ll.i = nm.i)",
+    ]
+
+
+def chow_ctes(view: str) -> list[str]:
+    """Chow F of AR(3) at the midpoint: residual sums of squares of the pooled
+    sample and of both halves, each by its own regression (Cramer)."""
+    k = "entity_id, series_id"
+    pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+    cov = ", ".join([f"covar_pop(x{i}, x{j}) * count(*) AS a{i}{j}" for i, j in pairs]
+                    + [f"covar_pop(x{i}, y) * count(*) AS b{i}" for i in (1, 2, 3)])
+    det = "(a11*(a22*a33 - a23*a23) - a12*(a12*a33 - a23*a13) + a13*(a12*a23 - a22*a13))"
+    c = ["(b1*(a22*a33 - a23*a23) - a12*(b2*a33 - a23*b3) + a13*(b2*a23 - a22*b3))",
+         "(a11*(b2*a33 - a23*b3) - b1*(a12*a33 - a23*a13) + a13*(a12*b3 - b2*a13))",
+         "(a11*(a22*b3 - b2*a23) - a12*(a12*b3 - b2*a13) + b1*(a12*a23 - a22*a13))"]
+    return ar_ctes(view)[:4] + [
+        f"h AS (SELECT *, CASE WHEN 2 * row_number() OVER (PARTITION BY {k} ORDER BY date)"
+        f" > count(*) OVER (PARTITION BY {k}) THEN 1 ELSE 0 END AS half FROM ar)",
+        "hh AS (SELECT * FROM h UNION ALL SELECT * REPLACE (-1 AS half) FROM h)",
+        f"g AS (SELECT {k}, half, count(*) AS n, var_pop(y) * count(*) AS yy, {cov} FROM hh GROUP BY 1, 2, 3)",
+        f"r AS (SELECT {k}, half, n, yy - (b1 * {c[0]} + b2 * {c[1]} + b3 * {c[2]}) / {det} AS ssr FROM g)",
+        "z AS (SELECT p.entity_id, p.series_id, p.n, p.ssr AS sp, a.ssr + b.ssr AS sh FROM r p"
+        " JOIN r a ON p.entity_id = a.entity_id AND p.series_id = a.series_id AND a.half = 0"
+        " JOIN r b ON p.entity_id = b.entity_id AND p.series_id = b.series_id AND b.half = 1 WHERE p.half = -1)",
+        "chow AS (SELECT entity_id, series_id, n, CASE WHEN n > 8 AND sh > 0 THEN ((sp - sh) / 4) / (sh / (n - 8)) END"
+        " AS chow_f FROM z)",
+    ]

@@ -21,7 +21,7 @@ from panelcast.sources.views import panel_view
 # The flagship target series and the other four order priorities.
 TARGET = "1-URGENT"
 PRIORITY_KEYS = ("2_high", "3_medium", "4_not_specified", "5_low")
-WIDE_VARS = tuple(f"{k}_{f}" for k in PRIORITY_KEYS for f in RL.FEATURE_SUFFIXES)
+WIDE_VARS = tuple(f"{k}_{f}" for k in PRIORITY_KEYS for f in RL.FEATURE_SUFFIXES)    # result columns shown
 
 
 @dataclass(frozen=True)
@@ -83,7 +83,7 @@ def _mom_pct(spark, d):
           + " FROM ty JOIN pl ON ty.entity_id = pl.entity_id AND ty.date = pl.date"
             " GROUP BY 1, 2, 3")
 def _target_join(spark, d):
-    return RL.target_join(panel_view(spark, d, "monthly_orders"), TARGET, WIDE_VARS)
+    return RL.target_join(panel_view(spark, d, "monthly_orders"), TARGET)
 
 
 @register("corr_rank", [("entity_id", "s"), ("rank", "i"), ("variable", "s"), ("correlation", 6)],
@@ -134,11 +134,11 @@ CAT_SPEC = [("series_id", "s"), ("date", "d"), ("value", 2), ("category", "s"),
 
 @register("catalog_join", CAT_SPEC,
           S.with_(*S.collected_ctes())
-          + " SELECT cp.series_id, cp.date, cp.value, cat.category, cat.role, cat.key"
-            " FROM cp JOIN cat ON cp.series_id = cat.series_id")
+          + " SELECT series_id, date, value, category, CASE category WHEN 'target' THEN 'target' ELSE 'predictor' END"
+            " AS role, category || '_' || lower(series_id) AS key FROM cp")
 def _catalog_join(spark, d):
     cp = materialize(CT.collected_panel(spark, d))
-    return CT.catalog_join(cp.drop("category", "entity_id"), CT.catalog(cp))
+    return CT.catalog_join(cp.drop("entity_id"), CT.catalog(cp))
 
 
 @register("panel_union", PANEL_SPEC + [("category", "s")],
@@ -155,12 +155,12 @@ def _panel_keys(spark, d):
 
 @register("role_split", CAT_SPEC,
           S.with_(*S.collected_ctes())
-          + " SELECT cp.series_id, cp.date, cp.value, cat.category, cat.role, cat.key"
-            " FROM cp JOIN cat ON cp.series_id = cat.series_id WHERE NOT starts_with(cat.key, 'target_')")
+          + " SELECT series_id, date, value, category, 'predictor' AS role, category || '_' || lower(series_id) AS key"
+            " FROM cp WHERE category <> 'target'")
 def _role_split(spark, d):
     from pyspark.sql import functions as F
     cp = materialize(CT.collected_panel(spark, d))
-    joined = CT.role_of_key(CT.catalog_join(cp.drop("category", "entity_id"), CT.catalog(cp)))
+    joined = CT.role_of_key(CT.catalog_join(cp.drop("entity_id"), CT.catalog(cp)))
     return joined.filter(F.col("role") == "predictor")
 
 
@@ -172,20 +172,26 @@ def _role_split(spark, d):
           + ", ".join(f"max(CASE WHEN variable = '{v}' THEN x END) AS \"{v}\"" for v in WIDE_VARS[:10])
           + " FROM ty JOIN pl ON ty.entity_id = pl.entity_id AND ty.date = pl.date GROUP BY 1, 2, 3")
 def _project_cols(spark, d):
-    tj = RL.target_join(panel_view(spark, d, "monthly_orders"), TARGET, WIDE_VARS)
+    tj = RL.target_join(panel_view(spark, d, "monthly_orders"), TARGET)
     return tj.select("entity_id", "date", "mom_pct", *[f"`{v}`" for v in WIDE_VARS[:10]])
 
 
 @register("nested_export",
           [("category", "s"), ("series_id", "s"), ("block", "i"), ("n_records", "i"),
-           ("first_date", "d"), ("last_date", "d"), ("value_sum", 2)],
+           ("first_date", "d"), ("last_date", "d"), ("value_sum", 2), ("records_md5", "s")],
           S.with_(*S.collected_ctes())
           + " SELECT category, series_id, block, count(*) AS n_records, min(date) AS first_date,"
-            " max(date) AS last_date, sum(value) AS value_sum FROM (SELECT *, CAST(floor((row_number()"
+            " max(date) AS last_date, sum(value) AS value_sum, md5(string_agg(strftime(date, '%Y-%m-%d') || '=' ||"
+            " CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '=' || series_id, ',' ORDER BY date)) AS records_md5"
+            " FROM (SELECT *, CAST(floor((row_number()"
             " OVER (PARTITION BY category, series_id ORDER BY date) - 1) / 512) AS BIGINT) AS block"
             " FROM cp) b GROUP BY 1, 2, 3")
 def _nested_export(spark, d):
-    return SK.nested_blocks(CT.collected_panel(spark, d), 512)
+    from pyspark.sql import functions as F
+    blocks = SK.nested_blocks(CT.collected_panel(spark, d), 512)
+    text = F.array_join(F.transform("records", lambda r: F.concat_ws(
+        "=", r["date"].cast("string"), F.round(r["value"] * 100).cast("bigint").cast("string"), r["series_id"])), ",")
+    return blocks.withColumn("records_md5", F.md5(F.encode(text, "UTF-8")))
 
 
 # --------------------------------------------------------------- step 3: statistics and quality
@@ -250,30 +256,42 @@ def _distinct_rows(spark, d):
 
 
 @register("quality_report",
-          [("name", "s"), ("status", "s"), ("rows", "i"), ("date_range", "s"), ("issues", "a")],
+          [("entity_id", "s"), ("name", "s"), ("status", "s"), ("rows", "i"), ("date_range", "s"), ("issues", "a")],
           S.with_(*S.dirty_ctes(), S.panel_cte("user_daily", "ud"),
                   "src AS (SELECT * FROM dirty UNION ALL SELECT * FROM ud)",
-                  "agg AS (SELECT series_id AS name, count(*) AS rows,"
+                  "agg AS (SELECT entity_id, series_id AS name, count(*) AS rows,"
                   " sum(CAST(entity_id IS NULL AS INT) + CAST(series_id IS NULL AS INT)"
                   " + CAST(date IS NULL AS INT) + CAST(value IS NULL AS INT)) AS nulls,"
                   " min(date) AS f, max(date) AS l,"
-                  " count(DISTINCT (entity_id, series_id, date, value)) AS dist FROM src GROUP BY 1)",
+                  " count(DISTINCT (entity_id, series_id, date, value)) AS dist FROM src GROUP BY 1, 2)",
                   "iss AS (SELECT *, list_filter([CASE WHEN nulls > 0 THEN 'Missing values: ' || nulls END,"
                   " CASE WHEN date_diff('day', f, l) < 365 THEN 'Short time series: '"
                   " || date_diff('day', f, l) || ' days' END,"
                   " CASE WHEN rows - dist > 0 THEN 'Duplicate rows: ' || (rows - dist) END],"
                   " lambda x: x IS NOT NULL) AS lst FROM agg)")
-          + " SELECT name, 'ok' AS status, rows, CAST(f AS VARCHAR) || ' to ' || CAST(l AS VARCHAR)"
+          + " SELECT entity_id, name, 'ok' AS status, rows, CAST(f AS VARCHAR) || ' to ' || CAST(l AS VARCHAR)"
             " AS date_range, CASE WHEN len(lst) = 0 THEN ['No issues detected'] ELSE lst END AS issues"
-            " FROM iss UNION ALL SELECT 'NO-OBSERVATIONS', 'empty', 0, NULL, ['No data available']")
+            " FROM iss UNION ALL SELECT 'all', 'NO-OBSERVATIONS', 'empty', 0, NULL, ['No data available']")
 def _quality_report(spark, d):
     src = QL.dirty_panel(panel_view(spark, d, "monthly_orders")).unionByName(
         panel_view(spark, d, "user_daily"))
-    cat = src.select("series_id").distinct().unionByName(
-        spark.createDataFrame([(CT.EMPTY_SERIES,)], "series_id string"))
+    cat = src.select("entity_id", "series_id").distinct().unionByName(
+        spark.createDataFrame([("all", CT.EMPTY_SERIES)], "entity_id string, series_id string"))
     return QL.quality_report(src, cat)
 
 
+@register("quality_report_entities",
+          [("entity_id", "s"), ("name", "s"), ("status", "s"), ("rows", "i"), ("date_range", "s"), ("issues", "a")],
+          S.with_(S.panel_cte("nation_priority"),
+                  "agg AS (SELECT entity_id, series_id AS name, count(*) AS rows, min(date) AS f, max(date) AS l"
+                  " FROM panel GROUP BY 1, 2)")
+          + " SELECT entity_id, name, 'ok' AS status, rows, CAST(f AS VARCHAR) || ' to ' || CAST(l AS VARCHAR)"
+            " AS date_range, [CASE WHEN date_diff('day', f, l) < 365 THEN 'Short time series: '"
+            " || date_diff('day', f, l) || ' days' ELSE 'No issues detected' END] AS issues FROM agg")
+def _quality_entities(spark, d):
+    return QL.quality_report(panel_view(spark, d, "nation_priority"))
+
+
 @register("collection_summary", [("category", "s"), ("n_series", "i")],
           S.with_(*S.collected_ctes())
           + " SELECT coalesce(category, 'total') AS category, count(DISTINCT series_id) AS n_series"
@@ -380,7 +398,14 @@ FM_SPEC = [("entity_id", "s"), ("date", "d"), ("mom_pct", 6), ("feature", "s"),
           S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET))
           + " SELECT entity_id, date, mom_pct, feature, ordinal, value FROM fm")
 def _fm(spark, d):
-    return MX.feature_matrix(RL.analysis_frame(panel_view(spark, d, "monthly_orders"), TARGET))
+    return MX.feature_matrix(RL.analysis_series(panel_view(spark, d, "monthly_orders"), TARGET))
+
+
+@register("feature_matrix_first10", FM_SPEC,
+          S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET, 10))
+          + " SELECT entity_id, date, mom_pct, feature, ordinal, value FROM fm")
+def _fm10(spark, d):
+    return MX.feature_matrix(RL.analysis_series(panel_view(spark, d, "monthly_orders"), TARGET), n_predictors=10)
 
 # --------------------------------------------------------------- step 5: relate
 
@@ -394,7 +419,8 @@ PRI_SERIES = ("1-URGENT", "2-HIGH")
             " USING (entity_id, date)")
 def _full_join_pair(spark, d):
     from pyspark.sql import functions as F
-    p = materialize(panel_view(spark, d, "nation_priority"))
+    p = panel_view(spark, d, "nation_priority")
+    p = materialize(p.filter(F.col("series_id").isin(list(PRI_SERIES))))
     a = p.filter(F.col("series_id") == PRI_SERIES[0]).select("entity_id", "date", F.col("value").alias("urgent"))
     b = p.filter(F.col("series_id") == PRI_SERIES[1]).select("entity_id", "date", F.col("value").alias("high"))
     return RL.full_join_pair(a, b)
@@ -407,7 +433,7 @@ def _full_join_pair(spark, d):
           + ", ".join(f"max(CASE WHEN variable = '{v}' THEN x END) AS \"{v}\"" for v in WIDE_VARS)
           + " FROM pl GROUP BY 1, 2")
 def _predictors_wide(spark, d):
-    return RL.predictors_wide(panel_view(spark, d, "nation_priority"), TARGET, WIDE_VARS)
+    return RL.predictors_wide(panel_view(spark, d, "nation_priority"), TARGET)
 
 
 @register("complete_cases",
@@ -502,7 +528,7 @@ SER = ["entity_id", "series_id"]
 
 def _ar_split(spark, d):
     rows = LN.ar_rows(panel_view(spark, d, "supplier_monthly"))
-    return SP.ts_split(rows, keys=SER).drop("rn", "n")
+    return materialize(SP.ts_split(rows, keys=SER).drop("rn", "n"))     # read to fit and to score
 
 
 def _ar_fits(spark, d):
@@ -582,50 +608,56 @@ MET_SPEC = [("entity_id", "s"), ("model", "s"), ("split", "s"), ("rmse", 6), ("m
             ("directional_accuracy", 6), ("n_predictions", "i")]
 
 
+N_RIDGE = CMP.RIDGE_FEATURES
+
+
 @register("ridge_fit",
-          [("entity_id", "s"), ("model", "s"), ("status", "s"), ("n_train", "i"), ("intercept", 6)],
-          notes="20x20 standardised ridge per entity; checked against numpy in tests")
+          [("entity_id", "s"), ("model", "s"), ("status", "s"), ("n_train", "i"), ("intercept", 4)]
+          + [(f"c{i}", 4) for i in range(N_RIDGE)],
+          S.with_(*S.ridge_ctes("nation_priority", TARGET, N_RIDGE))
+          + " SELECT entity_id, 'ridge' AS model, status, n_train, intercept, "
+          + ", ".join(f"c{i}" for i in range(N_RIDGE)) + " FROM ridge")
 def _ridge_fit(spark, d):
     fm = CMP.split_matrix(panel_view(spark, d, "nation_priority"), TARGET)
-    v = CMP.vectors(fm, CMP.RIDGE_FEATURES)
-    return LN.fit_ridge(v.filter(_F.col("split") == "train"), ["entity_id"], CMP.RIDGE_FEATURES)
+    v = CMP.vectors(fm, N_RIDGE)
+    fit = LN.fit_ridge(v.filter(_F.col("split") == "train"), ["entity_id"])
+    return fit.select("*", *[_F.col("coef")[i].alias(f"c{i}") for i in range(N_RIDGE)])
 
 
 @register("forest_fit", MET_SPEC, notes="pooled Spark ML forest; not bit-comparable to other engines")
 def _forest_fit(spark, d):
     fm = CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)
-    vec = CMP.vectors(fm, CMP.FOREST_FEATURES)
+    vec = materialize(CMP.vectors(fm))
     m = FR.fit_forest(vec.filter(_F.col("split") == "train"))
-    return EV.metrics(FR.predict_forest(m, vec.filter(_F.col("split") != "train")),
-                      ["entity_id", "model", "split"])
+    return EV.metrics(FR.predict_forest(m, vec), ["entity_id", "model", "split"])
 
 
 @register("top_importance", [("rank", "i"), ("feature", "s"), ("importance", 6)],
-          notes="forest importances; rows-only")
+          notes="forest importances; their sum and order are tested")
 def _top_importance(spark, d):
     cmp = CMP.compare(panel_view(spark, d, "monthly_orders"), TARGET)
     return FR.top_importance(cmp.importance, 10)
 
 
-@register("model_compare", MET_SPEC, notes="AR + ridge + forest metrics; rows-only")
+@register("model_compare", MET_SPEC, notes="AR + ridge + forest metrics; ridge and AR against NumPy in tests")
 def _model_compare(spark, d):
     return CMP.compare(panel_view(spark, d, "monthly_orders"), TARGET).metrics
 
 
-@register("model_table",
-          [("entity_id", "s"), ("model", "s"), ("rmse", 6), ("mae", 6), ("directional_accuracy", 6),
-           ("n_predictions", "i"), ("n_features", "i"), ("best", "b"), ("skill", "s")],
-          notes="linear models per nation; rows-only")
+TABLE_SPEC = [("entity_id", "s"), ("model", "s"), ("status", "s"), ("n_train", "i"), ("n_features", "i")] + [
+    (f"{s}_{m}", k) for s in CMP.SPLITS for m, k in (("rmse", 6), ("mae", 6), ("directional_accuracy", 6),
+                                                     ("n_predictions", "i"))] + [("best", "b"), ("skill", "s")]
+
+
+@register("model_table", TABLE_SPEC, notes="linear models per nation on all features; against NumPy in tests")
 def _model_table(spark, d):
-    cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
-    return CMP.model_table(cmp)
+    return CMP.model_table(CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False))
 
 
 @register("best_model", [("entity_id", "s"), ("best_model", "s"), ("rmse", 6)],
-          notes="minimum test RMSE per nation; rows-only")
+          notes="minimum test RMSE per nation; follows from model_table")
 def _best_model(spark, d):
-    cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
-    return CMP.best_model(cmp.metrics)
+    return CMP.best_model(CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False))
 
 # --------------------------------------------------------------- step 9: second tier
 
@@ -717,7 +749,7 @@ PAIRS = (("2_high_mom_pct", "3_medium_vol3"), ("4_not_specified_level", "5_low_m
           + " SELECT entity_id, date, " + ", ".join(f"\"{a}\" * \"{b}\" AS \"{a}_x_{b}\"" for a, b in PAIRS)
           + " FROM wd")
 def _interactions(spark, d):
-    w = RL.predictors_wide(panel_view(spark, d, "monthly_orders"), TARGET, WIDE_VARS)
+    w = RL.predictors_wide(panel_view(spark, d, "monthly_orders"), TARGET)
     return DV.interactions(w, PAIRS)
 
 
@@ -737,7 +769,8 @@ def _calendar_effects(spark, d):
             " FROM panel a JOIN panel b ON a.entity_id = b.entity_id AND a.date = b.date"
             " WHERE a.series_id = '1-URGENT' AND b.series_id = '5-LOW'")
 def _spread(spark, d):
-    return DV.spread(materialize(panel_view(spark, d, "nation_priority")), "1-URGENT", "5-LOW")
+    two = panel_view(spark, d, "nation_priority").filter(_F.col("series_id").isin("1-URGENT", "5-LOW"))
+    return DV.spread(materialize(two), "1-URGENT", "5-LOW")
 
 # --------------------------------------------------------------- step 9: second tier
 
@@ -747,29 +780,32 @@ from panelcast.streaming import incremental as INC  # noqa: E402
 
 def _pooled(spark, d, kind):
     fm = CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)
-    vec = CMP.vectors(fm, CMP.RIDGE_FEATURES).filter(_F.size("x") == CMP.RIDGE_FEATURES)
+    vec = materialize(CMP.vectors(fm))
     m = FR.fit_pooled(vec.filter(_F.col("split") == "train"), kind)
-    return EV.metrics(FR.predict_pooled(m, vec.filter(_F.col("split") != "train"), kind),
-                      ["entity_id", "model", "split"])
+    return EV.metrics(FR.predict_pooled(m, vec, kind), ["entity_id", "model", "split"])
 
 
-@register("lasso_fit", MET_SPEC, notes="pooled L1 linear regression (pyspark.ml); rows-only")
+@register("lasso_fit", MET_SPEC, notes="pooled L1 linear regression (pyspark.ml); optimality tested")
 def _lasso(spark, d):
     return _pooled(spark, d, "lasso")
 
 
-@register("gbt_fit", MET_SPEC, notes="pooled gradient-boosted trees (pyspark.ml); rows-only")
+@register("gbt_fit", MET_SPEC, notes="pooled gradient-boosted trees (pyspark.ml); invariants tested")
 def _gbt(spark, d):
     return _pooled(spark, d, "gbt")
 
 
 @register("var_fit",
-          [("entity_id", "s"), ("equation", "s"), ("status", "s"), ("n_train", "i"), ("intercept", 6)],
-          notes="VAR(1) per nation, one OLS per equation on shared lags; numpy-checked in tests")
+          [("entity_id", "s"), ("equation", "s"), ("status", "s"), ("n_train", "i"), ("intercept", 4),
+           ("feature", "s"), ("coef", 4)],
+          S.with_(*S.var_ctes("nation_priority", 5))
+          + " SELECT entity_id, equation, status, n_train, intercept, feature, coef FROM var_long")
 def _var(spark, d):
     rows = LN.var_rows(panel_view(spark, d, "nation_priority"))
-    fits = LN.fit_linear(rows, ["entity_id", "equation"], "var", 5)
-    return fits
+    fits = LN.fit_linear(rows, ["entity_id", "equation"], "var")
+    pairs = _F.transform(_F.sequence(_F.lit(0), _F.size("features") - 1), lambda i: _F.struct(
+        _F.get("features", i).alias("feature"), _F.get("coef", i).alias("coef")))
+    return fits.select("entity_id", "equation", "status", "n_train", "intercept", _F.inline(pairs))
 
 
 CV_SPEC = [("entity_id", "s"), ("series_id", "s"), ("fold", "i"), ("rmse", 6), ("mae", 6),
@@ -809,17 +845,43 @@ def _corr_matrix(spark, d):
     return DG.correlation_matrix(panel_view(spark, d, "nation_monthly"))
 
 
+@register("corr_matrix_entities", [("entity_id", "s"), ("a", "s"), ("b", "s"), ("n", "i"), ("correlation", 6)],
+          S.with_(S.panel_cte("nation_priority"))
+          + " SELECT x.entity_id, x.series_id AS a, y.series_id AS b, count(*) AS n,"
+            " CASE WHEN isnan(corr(x.value, y.value)) THEN NULL ELSE corr(x.value, y.value) END AS correlation"
+            " FROM panel x JOIN panel y ON x.entity_id = y.entity_id AND x.date = y.date"
+            " AND x.series_id < y.series_id GROUP BY 1, 2, 3")
+def _corr_matrix_entities(spark, d):
+    return DG.correlation_matrix(panel_view(spark, d, "nation_priority"))
+
+
 @register("winsorize",
           PANEL_SPEC + [("lower", 4), ("upper", 4), ("clipped", 4), ("is_outlier", "b")],
           S.with_(S.panel_cte("supplier_monthly"),
                   "q AS (SELECT entity_id, series_id, quantile_cont(value, 0.05) AS lower,"
                   " quantile_cont(value, 0.95) AS upper FROM panel GROUP BY 1, 2)")
-          + " SELECT p.*, lower, upper, least(greatest(value, lower), upper) AS clipped,"
-            " value < lower OR value > upper AS is_outlier FROM panel p JOIN q USING (entity_id, series_id)")
+          + " SELECT p.*, lower, upper, CASE WHEN value < lower THEN lower WHEN value > upper THEN upper ELSE value END"
+            " AS clipped, value < lower OR value > upper AS is_outlier FROM panel p JOIN q USING (entity_id, series_id)")
 def _winsorize(spark, d):
     return DG.winsorize(panel_view(spark, d, "supplier_monthly"), 0.05, 0.95)
 
 
+@register("winsorize_missing",
+          PANEL_SPEC + [("lower", 4), ("upper", 4), ("clipped", 4), ("is_outlier", "b")],
+          S.with_(S.panel_cte("nation_priority", "full_panel"),
+                  "panel AS (SELECT entity_id, series_id, date, CASE WHEN month(date) = 6 OR entity_id = '3'"
+                  " THEN NULL ELSE value END AS value FROM full_panel)",
+                  "q AS (SELECT entity_id, series_id, quantile_cont(value, 0.05) AS lower,"
+                  " quantile_cont(value, 0.95) AS upper FROM panel WHERE value IS NOT NULL GROUP BY 1, 2)")
+          + " SELECT p.*, lower, upper, CASE WHEN value < lower THEN lower WHEN value > upper THEN upper ELSE value END"
+            " AS clipped, value < lower OR value > upper AS is_outlier"
+            " FROM panel p LEFT JOIN q USING (entity_id, series_id)")
+def _winsorize_missing(spark, d):
+    p = panel_view(spark, d, "nation_priority")
+    gone = (_F.month("date") == 6) | (_F.col("entity_id") == "3")
+    return DG.winsorize(p.withColumn("value", _F.when(~gone, _F.col("value"))), 0.05, 0.95)
+
+
 @register("decompose", PANEL_SPEC + [("trend", "f"), ("seasonal", "f"), ("resid", "f")],
           S.with_(S.panel_cte("supplier_monthly"),
                   "t0 AS (SELECT *, CASE WHEN count(value) OVER (PARTITION BY entity_id, series_id ORDER BY date"
@@ -862,8 +924,8 @@ def _resid_autocorr(spark, d):
     return DG.residual_autocorr(pred, SER)
 
 
-@register("chow_break", [("entity_id", "s"), ("series_id", "s"), ("n", "i"), ("chow_f", 6)],
-          notes="Chow F at the midpoint from Gram sums of halves; numpy-checked in tests")
+@register("chow_break", [("entity_id", "s"), ("series_id", "s"), ("n", "i"), ("chow_f", 4)],
+          S.with_(*S.chow_ctes("supplier_monthly")) + " SELECT entity_id, series_id, n, chow_f FROM chow")
 def _chow(spark, d):
     return LN.chow_test(LN.ar_rows(panel_view(spark, d, "supplier_monthly")), SER, 3)
 
@@ -874,7 +936,8 @@ def _chow(spark, d):
           S.with_(S.panel_cte("monthly_orders", "pa"),
                   "pb AS (SELECT 'all' AS entity_id, o_orderpriority AS series_id,"
                   " CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS date,"
-                  " sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)) AS value"
+                  " CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 + CAST(l_tax AS DECIMAL(4,2)))"
+                  " * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS value"
                   " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3)")
           + " SELECT entity_id, series_id, date, pa.value AS value_a, pb.value AS value_b,"
             " pa.value - pb.value AS diff, CASE WHEN pa.value IS NULL THEN 'missing_a'"
@@ -884,12 +947,13 @@ def _cross_check(spark, d):
     a = panel_view(spark, d, "monthly_orders")
     li = VW.read_table(spark, d, "lineitem", ["l_orderkey", "l_extendedprice", "l_tax", "l_discount"])
     # pre-aggregate line revenue per order before the order join (fewer shuffled rows)
-    rev = li.groupBy("l_orderkey").agg(
-        _F.sum(_F.col("l_extendedprice") * (1 + _F.col("l_tax")) * (1 - _F.col("l_discount"))).alias("rev"))
+    price, tax, off = (_F.col(c).cast(t) for c, t in (
+        ("l_extendedprice", "decimal(12,2)"), ("l_tax", "decimal(4,2)"), ("l_discount", "decimal(4,2)")))
+    rev = li.groupBy("l_orderkey").agg(_F.sum(price * (_F.lit(1) + tax) * (_F.lit(1) - off)).alias("rev"))
     o = VW.read_table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderdate"])
     j = rev.join(o, rev.l_orderkey == o.o_orderkey)
     b = j.groupBy(_F.lit("all").alias("entity_id"), _F.col("o_orderpriority").alias("series_id"),
-                  VW.month_of("o_orderdate").alias("date")).agg(_F.sum("rev").alias("value"))
+                  VW.month_of("o_orderdate").alias("date")).agg(_F.sum("rev").cast("double").alias("value"))
     return DG.cross_check(a, b, 0.01)
 
 
@@ -906,15 +970,14 @@ def _stream_hourly(spark, d):
             " WHERE regexp_matches(feature, '_lag[0-9]+$')) z"
             " QUALIFY count(value) OVER (PARTITION BY entity_id, date) = c")
 def _fm_lags(spark, d):
-    return MX.feature_matrix(RL.analysis_frame(panel_view(spark, d, "monthly_orders"), TARGET),
+    return MX.feature_matrix(RL.analysis_series(panel_view(spark, d, "monthly_orders"), TARGET),
                              lags_only=True)
 
 
-@register("metrics_long", [("entity_id", "s"), ("model", "s"), ("metric", "s"), ("value", 6)],
-          notes="chart table of the per-nation linear model metrics; rows-only")
+@register("metrics_long", [("entity_id", "s"), ("model", "s"), ("split", "s"), ("metric", "s"), ("value", 6)],
+          notes="chart table of model_table's metrics")
 def _metrics_long(spark, d):
-    cmp = CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False)
-    return CMP.metrics_long(CMP.model_table(cmp))
+    return CMP.metrics_long(CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False).metrics)
 
 
 @register("expanding_cv_ridge", CV_SPEC,

@@ -28,17 +28,3 @@ CACHED_SERIES = T.StructType([
     T.StructField("value", T.DoubleType(), True),
     T.StructField("series_id", T.StringType(), True),
 ])
-
-# Flat raw observations: value still text.
-RAW_OBSERVATIONS = T.StructType([
-    T.StructField("series_id", T.StringType(), True),
-    T.StructField("date", T.StringType(), True),
-    T.StructField("value", T.StringType(), True),
-])
-
-CATALOG = T.StructType([
-    T.StructField("series_id", T.StringType(), False),
-    T.StructField("category", T.StringType(), False),
-    T.StructField("role", T.StringType(), False),
-    T.StructField("key", T.StringType(), False),
-])

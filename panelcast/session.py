@@ -21,25 +21,29 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.ui.enabled": "false",
-    "spark.ui.showConsoleProgress": "false",
 }
+_LOCAL = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"}
 
 
 def get_spark(master: str | None = None, app: str = "panelcast",
               shuffle_partitions: int | None = None,
               extra: dict[str, str] | None = None) -> SparkSession:
-    """Return a session with panel defaults (UTC, AQE, Arrow, no UI)."""
+    """Return a session with panel defaults (UTC, AQE, Arrow) where the
+    cluster's configuration does not set them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
+        for k, v in _LOCAL.items():
+            builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in _DEFAULTS.items():
+        if not given.contains(k) and k not in (extra or {}):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark

@@ -42,27 +42,44 @@ def explode_payload(payload: DataFrame) -> DataFrame:
 
 
 def normalise(obs: DataFrame, series_id: str | None = None) -> DataFrame:
-    """SC1: drop missing markers, text -> DOUBLE (``try_cast``), text -> DATE,
-    optional series id literal. Output (series_id, date, value)."""
+    """SC1: drop missing markers, text -> DOUBLE, text -> DATE, optional series
+    id literal. Output (series_id, date, value). A row whose date does not
+    parse is kept aside (:func:`rejected`), never a failed job; a value that
+    does not parse is NULL."""
     if "observations" in obs.columns:
         obs = explode_payload(obs)
     sid = F.lit(series_id) if series_id is not None else F.col("series_id")
     return (obs.filter(F.col("value") != F.lit(MISSING_MARKER))
                .select(sid.cast("string").alias("series_id"),
-                       F.to_date(F.col("date")).alias("date"),
-                       F.col("value").try_cast("double").alias("value")))
+                       F.col("date").try_cast("date").alias("date"),
+                       F.col("value").try_cast("double").alias("value"))
+               .filter(F.col("date").isNotNull()))
 
 
-def date_range(df: DataFrame, start: str = "2000-01-01", end: str | None = None) -> DataFrame:
-    """SC2: inclusive date bounds; a plain filter Catalyst pushes to the scan."""
-    end = end or _dt.date.today().isoformat()
-    return df.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+def rejected(obs: DataFrame) -> DataFrame:
+    """The rows that :func:`normalise` keeps aside, as landed, with a reason:
+    a date or a value that does not parse."""
+    if "observations" in obs.columns:
+        obs = explode_payload(obs)
+    bad_date = F.col("date").try_cast("date").isNull()
+    bad_value = (F.col("value") != F.lit(MISSING_MARKER)) & F.col("value").try_cast("double").isNull()
+    return obs.withColumn("reason", F.when(bad_date, F.lit("date")).when(bad_value, F.lit("value"))) \
+              .filter(F.col("reason").isNotNull())
+
+
+def date_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """SC2: inclusive date bounds, each optional; a plain filter Catalyst pushes to the scan."""
+    if start is not None:
+        df = df.filter(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.filter(F.col("date") <= F.lit(end).cast("date"))
+    return df
 
 
 def repair_date(df: DataFrame, col: str = "date") -> DataFrame:
-    """SC8: parse ``date`` only when it arrives as text."""
+    """SC8: parse ``date`` only when it arrives as text (NULL if it does not parse)."""
     if isinstance(df.schema[col].dataType, T.StringType):
-        return df.withColumn(col, F.to_date(F.col(col)))
+        return df.withColumn(col, F.col(col).try_cast("date"))
     return df
 
 
@@ -104,12 +121,22 @@ def read_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """SC6: tolerant JSON-lines load. Returns (good rows, rejected raw lines);
     a malformed record is kept aside instead of failing the job."""
     schema = T.StructType(CACHED_SERIES.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)).cache()
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    df = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE",
+                                                    "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
     bad = F.col("_corrupt_record").isNotNull()
     return df.filter(~bad).drop("_corrupt_record"), df.filter(bad).select("_corrupt_record")
 
 
+def read_parquet_with_rejects(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """SC6: tolerant Parquet load. Returns (rows of the readable files, paths
+    of the files that gave none: unreadable or empty)."""
+    good = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    read = good.select(F.col("_metadata.file_path").alias("path")).distinct()
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return good, listed.join(read, "path", "left_anti")
+
+
 def require_source(spark: SparkSession, path: str, fmt: str = "parquet",
                    schema: T.StructType | None = None) -> DataFrame:
     """SC7: read a source or fail with a clear error when it is missing/empty."""

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.operators.joins import bounded_broadcast
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) -> DataFrame:
@@ -68,7 +67,7 @@ def _orders_by_nation(spark: SparkSession, sf_dir: str, entity: str, series: str
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
     if "n_name" in (entity, series):
         n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
-        c = c.join(bounded_broadcast(n, 10_000), c.c_nationkey == n.n_nationkey)
+        c = c.join(n, c.c_nationkey == n.n_nationkey)
     j = part.join(c, part.o_custkey == c.c_custkey)
     ent = _all() if entity == "all" else F.col(entity)
     return (j.groupBy(ent.cast("string").alias("entity_id"), F.col(series).cast("string").alias("series_id"),

@@ -1,12 +1,16 @@
 """Incremental data updates with Structured Streaming.
 
-New observation files land in a folder; a file-source stream deduplicates
-re-delivered events within a watermark, aggregates each micro-batch to
-additive partial sums per (series, period) and appends them with
-``foreachBatch`` into a per-batch folder (overwrite per batch id, so a
-replayed batch is idempotent). The current panel is the sum of all partials
-- reading it is one grouped aggregate, never a rewrite of history.
-Checkpoints and outputs live under the session's shared checkpoint folder.
+New observation files land in a folder; each micro-batch is reduced to the
+events not seen before, whose additive partial sums per (series, period) are
+written with ``foreachBatch`` into a folder of the batch (overwrite per batch
+id, so a replayed batch is idempotent). An event is known by its id and time:
+the ids of a batch are kept beside its sums, and a batch looks up only the days
+it holds. Nothing is dropped for being late: late events are summed like all
+others and counted in ``n_late``. So the panel does not depend on how files
+were dealt to batches.
+
+The current panel is the sum of all partials; :func:`compact` folds them into
+one table. Checkpoints and outputs live under the session's shared folder.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.session import checkpoint_dir
+from panelcast.session import Spool, checkpoint_dir
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -27,47 +31,98 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()),
     T.StructField("props", T.StringType()),
 ])
+IDS = "event_id long, day date, batch_id long"
+PARTIALS = ("entity_id string, series_id string, date timestamp_ntz, value_sum decimal(38,2), n_events long,"
+            " n_late long, batch_id long")
+
+
+def _fresh(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str) -> DataFrame:
+    """One row for each event of the batch that no earlier batch has."""
+    one = batch.groupBy("event_id", F.col("ts").cast("date").alias("day")).agg(
+        F.min(F.struct("ts", "event_type", "value")).alias("_e")).select("event_id", "day", "_e.*")
+    if batch_id == 0:
+        return one
+    days = [r.day for r in one.select("day").distinct().collect()]           # bounded by the calendar
+    seen = spark.read.schema(IDS).parquet(f"{out_dir}/ids").filter(
+        (F.col("batch_id") < batch_id) & F.col("day").isin(days))
+    return one.join(seen.select("event_id", "day"), ["event_id", "day"], "left_anti")
 
 
-def start_hourly_updates(spark: SparkSession, source_glob: str, out_dir: str,
-                         watermark: str = "1 day", max_files_per_trigger: int | None = None):
+def start_hourly_updates(spark: SparkSession, source_glob: str, out_dir: str, lateness: str = "1 day",
+                         max_files_per_trigger: int | None = None):
     """Start the stream (trigger ``availableNow``: process what has landed,
-    then stop). Returns the ``StreamingQuery``."""
+    then stop; the next start goes on from there). Returns the
+    ``StreamingQuery``."""
     reader = spark.readStream.schema(EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = reader.parquet(source_glob)
-    dedup = (ev.withColumn("_ts", F.col("ts").cast("timestamp"))
-               .withWatermark("_ts", watermark)
-               .dropDuplicatesWithinWatermark(["event_id"]))
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        partial = (batch.groupBy(F.lit("all").alias("entity_id"),
-                                 F.col("event_type").alias("series_id"),
-                                 F.date_trunc("hour", F.col("ts")).alias("date"))
-                   .agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("value_sum"),
-                        F.count(F.lit(1)).alias("n_events")))
-        partial.write.mode("overwrite").parquet(f"{out_dir}/partials/batch_id={batch_id}")
-
-    return (dedup.writeStream.foreachBatch(upsert)
+        own = batch.sparkSession
+        sp = Spool(own)
+        fresh = sp.put(_fresh(own, batch, batch_id, out_dir))
+        newest = None
+        if batch_id:
+            newest = partials(own, out_dir).filter(F.col("batch_id") < batch_id).agg(F.max("date")).first()[0]
+        late = (F.col("ts") < F.lit(newest) - F.expr(f"INTERVAL {lateness}")) if newest else F.lit(False)
+        fresh.select("event_id", "day").write.mode("overwrite").parquet(f"{out_dir}/ids/batch_id={batch_id}")
+        (fresh.groupBy(F.lit("all").alias("entity_id"), F.col("event_type").alias("series_id"),
+                       F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("date"))
+         .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,2)").alias("value_sum"),
+              F.count(F.lit(1)).alias("n_events"), F.sum(F.coalesce(late, F.lit(False)).cast("long")).alias("n_late"))
+         .write.mode("overwrite").parquet(f"{out_dir}/partials/batch_id={batch_id}"))
+        sp.drop()
+
+    return (reader.parquet(source_glob).writeStream.foreachBatch(upsert)
             .option("checkpointLocation", f"{out_dir}/_checkpoint")
             .trigger(availableNow=True).start())
 
 
+def partials(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema(PARTIALS).parquet(f"{out_dir}/partials")
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("entity_id", "series_id", "date").agg(
+        F.sum("value_sum").cast("decimal(38,2)").alias("value_sum"), F.sum("n_events").alias("n_events"),
+        F.sum("n_late").alias("n_late"))
+
+
+def compact(spark: SparkSession, out_dir: str) -> None:
+    """Fold all partials so far into the one of the newest batch; call between runs."""
+    parts = partials(spark, out_dir)
+    last = parts.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        return
+    sp = Spool(spark)
+    whole = sp.put(_summed(parts))
+    for b in [r.batch_id for r in parts.select("batch_id").distinct().collect() if r.batch_id < last]:
+        parts.limit(0).drop("batch_id").write.mode("overwrite").parquet(f"{out_dir}/partials/batch_id={b}")
+    whole.write.mode("overwrite").parquet(f"{out_dir}/partials/batch_id={last}")
+    sp.drop()
+
+
 def read_panel(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Current panel = sum of all appended partial sums."""
-    parts = spark.read.parquet(f"{out_dir}/partials")
-    return (parts.groupBy("entity_id", "series_id", "date")
-            .agg(F.sum("value_sum").cast("double").alias("value"),
-                 F.sum("n_events").alias("n_events")))
+    """Current panel = sum of all partial sums."""
+    return _summed(partials(spark, out_dir)).select(
+        "entity_id", "series_id", "date", F.col("value_sum").cast("double").alias("value"), "n_events", "n_late")
 
 
-def hourly_panel_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the incremental job over the landed ``events`` table to completion
-    and return the resulting panel (equal to the batch hourly view)."""
-    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = start_hourly_updates(spark, f"{sf_dir.rstrip('/')}/events*.parquet", out_dir)
+def run_updates(spark: SparkSession, source_glob: str, out_dir: str, **options) -> None:
+    q = start_hourly_updates(spark, source_glob, out_dir, **options)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return read_panel(spark, out_dir).drop("n_events")
+
+
+def hourly_panel_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run the incremental job over the landed ``events`` table to completion
+    and return the resulting panel (equal to the batch hourly view); the job's
+    own files are removed once the panel is written."""
+    out_dir = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    run_updates(spark, f"{sf_dir.rstrip('/')}/events*.parquet", out_dir)
+    sp = Spool(spark)
+    sp.append(out_dir)
+    panel = sp.put(read_panel(spark, out_dir).drop("n_events", "n_late"))
+    sp.drop(keep_last=1)
+    return panel

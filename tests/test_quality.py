@@ -19,7 +19,7 @@ def test_quality_report_issues(spark):
              for i in range(40)]
     rows += [rows[-1]]
     df = spark.createDataFrame(rows, "entity_id string, series_id string, date date, value double")
-    cat = spark.createDataFrame([("short",), ("long",), ("empty",)], "series_id string")
+    cat = spark.createDataFrame([("e", "short"), ("e", "long"), ("e", "empty")], "entity_id string, series_id string")
     rep = {r.name: r for r in QL.quality_report(df, cat).collect()}
     assert rep["short"].issues == ["Short time series: 29 days"]
     assert rep["long"].issues == ["Missing values: 1", "Duplicate rows: 1"]
@@ -35,9 +35,7 @@ def test_exact_quantiles_match_pandas_with_hot_group(spark):
     pdf = pd.concat([pd.DataFrame({"g": "hot", "v": hot}), pd.DataFrame({"g": "small", "v": small}),
                      pd.DataFrame({"g": "ties", "v": ties})])
     df = spark.createDataFrame(pdf)
-    # a small finishing threshold forces several refinement passes
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", (0.25, 0.5, 0.75), buckets=16,
-                                           finish_rows=100).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", (0.25, 0.5, 0.75)).collect()}
     for g, grp in pdf.groupby("g"):
         for p in (0.25, 0.5, 0.75):
             ref = grp["v"].quantile(p)

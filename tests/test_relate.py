@@ -55,7 +55,7 @@ def test_long_and_wide_agree(spark):
 def test_lead_lag_positions(spark):
     p = _panel(spark)
     ll = {(r.variable, r.lag): r.correlation
-          for r in RL.lead_lag(RL.analysis_frame(p, "T"), 3).collect()}
+          for r in RL.lead_lag(RL.predictors_long(RL.analysis_series(p, "T"), "y"), 3).collect()}
     a = _pandas_reference(p.toPandas()).reset_index(drop=True)
     for lag in range(-3, 4):
         if lag >= 0:
@@ -75,7 +75,7 @@ def test_constant_predictor_correlation_dropped(spark):
 
 def test_feature_matrix_shape(spark):
     p = _panel(spark, n=60)
-    fm = MX.feature_matrix(RL.analysis_frame(p, "T"), n_predictors=10, max_lags=3)
+    fm = MX.feature_matrix(RL.analysis_series(p, "T"), max_lags=3)
     per_date = fm.groupBy("date").count().select("count").distinct().collect()
     # 8 variables: 8 + 8*3 + 3 + 8*3 + 8*2 = 75 features per date
     assert [r[0] for r in per_date] == [75]
@@ -93,3 +93,36 @@ def test_pivot_equals_chained_full_joins(spark):
     chained = RL.full_join_pair(a, b).orderBy("date").collect()
     wide = RL.predictors_wide(p, "T", ["a_level", "b_level"]).orderBy("date").collect()
     assert [(r.date, r.a_level, r.b_level) for r in chained] == [(r.date, r.a_level, r.b_level) for r in wide]
+
+
+def _twins(spark, n=40):
+    """Predictors whose names make one column name."""
+    p = _panel(spark, n)
+    twin = p.filter("series_id = 'B'").withColumn("series_id", F.lit("A-B")).unionByName(
+        p.filter("series_id = 'A'").withColumn("series_id", F.lit("A B")))
+    return p.filter("series_id = 'T'").unionByName(twin)
+
+
+def test_series_with_one_shown_name_stay_apart(spark):
+    import pytest
+    p = _twins(spark)
+    fm = MX.feature_matrix(RL.analysis_series(p, "T"))
+    assert fm.groupBy("date", "ordinal").count().filter("count > 1").count() == 0
+    own = MX.feature_matrix(RL.analysis_series(p.filter("series_id <> 'A B'"), "T"))
+    mine = {(r.date, r.feature): r.value for r in own.filter("feature like 'a_b_level%'").collect()}
+    twins = [r for r in fm.filter("feature like 'a_b_level%'").collect()]
+    for (date, feature), value in mine.items():
+        assert value in [r.value for r in twins if (r.date, r.feature) == (date, feature)]
+    long = RL.predictors_long(RL.analysis_series(p, "T"), "y")
+    assert RL.lead_lag(long, 2).groupBy("series_id", "feature_idx", "lag").count().filter("count > 1").count() == 0
+    with pytest.raises(ValueError):
+        RL.predictors_wide(p, "T")
+    with pytest.raises(Exception, match="share a column name"):
+        RL.predictors_wide(p, "T", ["a_b_level"]).collect()
+
+
+def test_predictor_cap_is_opt_in(spark):
+    p = _panel(spark, n=40)
+    names = lambda fm: {r.feature for r in fm.select("feature").distinct().collect()}
+    every, few = (names(MX.feature_matrix(RL.analysis_series(p, "T"), n_predictors=k)) for k in (None, 2))
+    assert {"b_vol3", "b_vol3_mom6"} <= every and "b_vol3" not in few and "a_mom_pct" in few
