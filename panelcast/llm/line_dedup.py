@@ -250,14 +250,11 @@ def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
 def _candidates(index: LineIndex, postings: DataFrame) -> DataFrame:
     """Postings that their shard's filter knows."""
     rows = postings.withColumn("shard", _shard(index.shards))
-    per = (rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-           .select("shard", F.ceil(F.col("n") / F.lit(float(PROBE_ROWS))).cast("int").alias("salts")))
-    salts = {r.shard: r.salts for r in per.collect()}                # one number for each shard
-    most = F.lit(1)
-    for n in sorted(set(salts.values())):
-        most = F.when(F.col("shard").isin([s for s in salts if salts[s] == n]), F.lit(n)).otherwise(most)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), most).cast("int"))
-    bits = index.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), most - 1)))
+    salts = index.sp.put(rows.groupBy("shard").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(float(PROBE_ROWS))).cast("int").alias("salts")))    # a row for each shard
+    rows = rows.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    bits = index.filters.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rows, bits = rows.drop("salts"), bits.drop("salts")
 
     def probe(lines: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         if not len(lines) or not len(bits):
