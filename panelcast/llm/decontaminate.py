@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import spool
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: A-Z become lower case; bytes that are no letter, digit or part of a code point above U+007F become spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
              for c in range(256))
@@ -44,36 +44,46 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
+@dataclass
+class Depth:
+    """Distinct suffix keys of one length, sorted, and who owns them."""
+    depth: int
+    keys: np.ndarray                  # big-endian words as bytes, so byte order is word order
+    lead: np.ndarray                  # sorted distinct leading words (:func:`_lead`)
+    first: np.ndarray                 # first owner of each key, and the total
+    item: np.ndarray                  # owners by key: index of the item,
+    position: np.ndarray              # and the place of the window in it
+
+
 @dataclass
 class Block:
     """Benchmark items prepared for the search of one pass."""
     ids: list                         # item ids
     vocabulary: dict                  # word -> 1, 2, ...
-    depths: list                      # [(depth, keys, firsts, owners)]
+    depths: list[Depth]
 
 
 def prepare(items: list[tuple], window: int) -> Block:
-    """``items``: (item_id, text bytes). For every depth (the window, and the
-    length of each shorter item) the sorted distinct suffix keys, their
-    leading words, and the (item, position) pairs that own each key."""
+    """``items``: (item_id, text bytes). Depths are the window and the lengths
+    of the items that are shorter."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    ids = [i for i, _ in items]
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
     for at, (_, text) in enumerate(items):
         ws = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
-        if not ws:
-            continue
-        depth = min(window, len(ws))
-        arr = np.array(ws, ">u4")
-        for p in range(len(ws) - depth + 1):
-            found.setdefault(depth, {}).setdefault(arr[p:p + depth].tobytes(), []).append((at, p))
+        if ws:
+            found.setdefault(min(window, len(ws)), []).append((at, np.array(ws, ">u4")))
     depths = []
-    for depth, keys in sorted(found.items()):
-        order = sorted(keys)
-        grid = np.frombuffer(b"".join(order), ">u4").reshape(-1, depth)
-        lead = np.unique(_lead(grid.astype(np.int64), len(vocabulary)))
-        depths.append((depth, np.array(order, f"S{4 * depth}"), lead, [keys[k] for k in order]))
-    return Block(ids, vocabulary, depths)
+    for depth, owners in sorted(found.items()):
+        counts = [len(ws) - depth + 1 for _, ws in owners]
+        grid = np.concatenate([np.lib.stride_tricks.sliding_window_view(ws, depth) for _, ws in owners])
+        flat = grid.astype(">u4").view(f"S{4 * depth}").ravel()      # concatenate gives native byte order
+        keys, which = np.unique(flat, return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        item = np.repeat(np.array([at for at, _ in owners]), counts)
+        position = np.concatenate([np.arange(c) for c in counts])
+        depths.append(Depth(depth, keys, np.unique(_lead(grid.astype(np.int64), len(vocabulary))),
+                            np.searchsorted(which[order], np.arange(len(keys) + 1)), item[order], position[order]))
+    return Block([i for i, _ in items], vocabulary, depths)
 
 
 def _lead(grid: np.ndarray, base: int) -> np.ndarray:
@@ -84,11 +94,12 @@ def _lead(grid: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def search(block: Block, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(block: Block, tokens: np.ndarray) -> Iterator[tuple[Depth, np.ndarray, np.ndarray]]:
     """(depth, places in ``tokens``, key indices) of all occurrences."""
     n = len(tokens)
     wide = tokens.astype(np.int64)
-    for depth, keys, lead, _ in block.depths:
+    for at_depth in block.depths:
+        depth, keys, lead = at_depth.depth, at_depth.keys, at_depth.lead
         if n < depth:
             continue
         m = n - depth + 1
@@ -113,7 +124,7 @@ def search(block: Block, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             key = np.repeat(hit, count[hit])
             within = np.arange(len(key)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
             place = ok[order[lo[key] + within]]
-            yield depth, place, key
+            yield at_depth, place, key
 
 
 def longest(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -154,12 +165,13 @@ def _pass(docs: DataFrame, block_at, window: int) -> DataFrame:
             items = [set(x) for x in pick("_dc_items").to_pylist()]
             full = [[tuple(m.values()) for m in x] for x in pick("_dc_longest").to_pylist()]
             found: dict[int, list] = {}
-            for depth, place, key in search(block, tokens):
-                owners = next(d[3] for d in block.depths if d[0] == depth)
+            for at, place, key in search(block, tokens):
                 doc = np.searchsorted(bounds, place, "right") - 1
                 for d, q, k in zip(doc.tolist(), (place - bounds[doc]).tolist(), key.tolist()):
-                    spans[d].append((q, q + depth))
-                    found.setdefault(d, []).extend((at, p, q, depth) for at, p in owners[k])
+                    spans[d].append((q, q + at.depth))
+                    own = slice(at.first[k], at.first[k + 1])
+                    found.setdefault(d, []).extend((i, p, q, at.depth) for i, p in zip(
+                        at.item[own].tolist(), at.position[own].tolist()))
             for d, ms in found.items():
                 items[d] |= {str(block.ids[m[0]]) for m in ms}
                 full[d] += [(str(block.ids[at]), p, q, w) for at, p, q, w in longest(ms)]

@@ -168,7 +168,7 @@ def test_decontamination_against_brute_force(spark):
         expect.append((d, len(ws), len(hit), sorted(found), bool(hit)))
     frame = spark.createDataFrame([(i, t, "keep") for i, t in docs], DOCS + ", other string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (2_000_000, 40):                          # one block, then many
+    for block in (1_000_000, 40):                          # one block, then many
         got = decontaminate.match(spark, frame, bench, block_words=block)
         assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got.collect()) == sorted(expect)
     spans = [m for r in got.filter("doc_id = 52").collect() for m in r.longest if m["item"] == "0"]
