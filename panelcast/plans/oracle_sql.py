@@ -195,6 +195,17 @@ def feature_matrix_ctes(view: str, target: str, n_pred: int | None = None, L: in
     ]
 
 
+def split_date_ctes() -> list[str]:
+    """``sd``: the 70 / 15 / 15 split of each entity's complete dates in ``fm``."""
+    return [
+        "dt0 AS (SELECT entity_id, date, row_number() OVER (PARTITION BY entity_id ORDER BY date) - 1 AS rn,"
+        " count(*) OVER (PARTITION BY entity_id) AS n FROM (SELECT DISTINCT entity_id, date FROM fm) q)",
+        "sd AS (SELECT entity_id, date, CASE WHEN rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'"
+        " WHEN rn < CAST(trunc(n * 0.7::DOUBLE) AS BIGINT) + CAST(trunc(n * 0.15::DOUBLE) AS BIGINT)"
+        " THEN 'validation' ELSE 'test' END AS split FROM dt0)",
+    ]
+
+
 def ar_ctes(view: str) -> list[str]:
     """Per-series AR(3) rows, 70/15/15 split, Gram by covar_pop, Cramer solve."""
     k = "entity_id, series_id"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelcast.functions.present import Spec, present, present_sql
 from panelcast.plans import oracle_sql as S
 from panelcast.operators import features as FT, relate as RL
-from panelcast.session import materialize, ship_package
+from panelcast.session import Spool, materialize, ship_package
 from panelcast.sources.views import panel_view
 
 # The flagship target series and the other four order priorities.
@@ -194,6 +194,77 @@ def _nested_export(spark, d):
     return blocks.withColumn("records_md5", F.md5(F.encode(text, "UTF-8")))
 
 
+def _landed(spark, write) -> str:
+    """A folder of the shared area that ``write`` has filled; it goes when the driver ends."""
+    sp = Spool(spark)
+    sp.append(f"{sp.base}/landed")
+    write(sp[0])
+    return sp[0]
+
+
+@register("series_json", [("category", "s"), ("series_id", "s"), ("date", "d"), ("value", 2)],
+          S.with_(*S.collected_ctes()) + " SELECT category, series_id, date, value FROM cp",
+          notes="written as JSON records per category and read back with the freshness rule")
+def _series_json(spark, d):
+    from pyspark.sql import functions as F
+    path = _landed(spark, lambda p: SK.write_series_json(CT.collected_panel(spark, d), p))
+    fresh = OB.read_fresh_series(spark, path, multi_line=False)
+    return fresh.withColumn("category", F.regexp_extract(F.col("_metadata.file_path"), "category=([^/]+)/", 1))
+
+
+@register("panel_parquet", PANEL_SPEC + [("category", "s")],
+          S.with_(*S.collected_ctes()) + " SELECT * FROM cp",
+          notes="written as Parquet by category, then read as a required source")
+def _panel_parquet(spark, d):
+    return OB.require_source(spark, _landed(
+        spark, lambda p: SK.write_panel_parquet(CT.collected_panel(spark, d), p)))
+
+
+@register("series_files", [("key", "s"), ("series_id", "s"), ("n", "i"), ("first_date", "d"), ("value", 2)],
+          S.with_(S.panel_cte("daily_ship"))
+          + " SELECT 'part' AS key, series_id, count(*) AS n, min(date) AS first_date, sum(value) AS value"
+            " FROM panel GROUP BY 1, 2",
+          notes="multi-file scan keyed by file stem; text dates repaired")
+def _series_files(spark, d):
+    from pyspark.sql import functions as F
+    text = panel_view(spark, d, "daily_ship").withColumn("date", F.col("date").cast("string"))
+    path = _landed(spark, lambda p: text.repartition("series_id").write.parquet(p))
+    rows = OB.read_series_files(spark, path).withColumn("key", F.regexp_extract("key", "^([a-z]+)", 1))
+    return rows.groupBy("key", "series_id").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"),
+                                                F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
+
+
+@register("tolerant_json", [("series_id", "s"), ("n_good", "i"), ("n_rejected", "i")],
+          "SELECT event_type AS series_id, count(*) FILTER (WHERE event_id % 17 <> 0) AS n_good,"
+          " count(*) FILTER (WHERE event_id % 17 = 0) AS n_rejected FROM events GROUP BY 1",
+          notes="JSON lines of which every 17th is cut off; rejects are kept aside")
+def _tolerant_json(spark, d):
+    from pyspark.sql import functions as F
+    ev = VW.read_table(spark, d, "events", ["event_id", "event_type", "ts", "value"])
+    line = F.to_json(F.struct(F.col("event_type").alias("series_id"), F.col("ts").cast("date").alias("date"), "value"))
+    cut = F.when(F.col("event_id") % 17 == 0, F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
+    lines = ev.withColumn("line", line).select(cut.alias("value"))
+    good, bad = OB.read_with_rejects(spark, _landed(spark, lambda p: lines.write.text(p)))
+    name = F.regexp_extract("_corrupt_record", '"series_id":"([^"]*)"', 1)
+    both = good.select("series_id", F.lit(1).alias("g")).unionByName(bad.select(name.alias("series_id"), F.lit(0).alias("g")))
+    return both.groupBy("series_id").agg(F.sum("g").alias("n_good"), F.sum(1 - F.col("g")).alias("n_rejected"))
+
+
+@register("rejected_observations", [("series_id", "s"), ("reason", "s"), ("n", "i")],
+          "SELECT event_type AS series_id, CASE WHEN event_id % 13 = 0 THEN 'date' ELSE 'value' END AS reason,"
+          " count(*) AS n FROM events WHERE event_id % 13 = 0 OR (event_id % 11 = 0 AND event_id % 17 <> 0) GROUP BY 1, 2",
+          notes="observations whose date or value does not parse")
+def _rejected_obs(spark, d):
+    from pyspark.sql import functions as F
+    ev = VW.read_table(spark, d, "events", ["event_id", "event_type", "ts", "value"])
+    obs = ev.select(F.col("event_type").alias("series_id"),
+                    F.when(F.col("event_id") % 13 == 0, F.lit("2024-02-31")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+                    .alias("date"),
+                    F.when(F.col("event_id") % 17 == 0, F.lit(".")).when(F.col("event_id") % 11 == 0, F.lit("n/a"))
+                    .otherwise(F.col("value").cast("string")).alias("value"))
+    return OB.rejected(obs).groupBy("series_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --------------------------------------------------------------- step 3: statistics and quality
 
 from panelcast.operators import quality as QL  # noqa: E402
@@ -659,6 +730,41 @@ def _model_table(spark, d):
 def _best_model(spark, d):
     return CMP.best_model(CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False))
 
+
+def _table_sql(models: str) -> str:
+    """Status, training rows and feature counts that every (entity, model) must have."""
+    return (S.with_(*S.feature_matrix_ctes("nation_priority", TARGET), *S.split_date_ctes(),
+                    "en AS (SELECT DISTINCT entity_id FROM panel)",
+                    "nt AS (SELECT entity_id, count(*) FILTER (WHERE split = 'train') AS n_train,"
+                    " count(*) FILTER (WHERE split = 'test') AS n_test FROM sd GROUP BY 1)",
+                    "nf AS (SELECT entity_id, count(DISTINCT ordinal) AS n_all FROM fm GROUP BY 1)",
+                    f"md AS (SELECT * FROM (VALUES {models}) v(model, least_rows, few))")
+            + " SELECT entity_id, model, CASE WHEN coalesce(n_train, 0) = 0 THEN 'No complete rows' WHEN n_train"
+              " < least_rows THEN 'Insufficient training data' ELSE 'ok' END AS status, coalesce(n_train, 0) AS n_train,"
+              " CASE WHEN n_train > 0 THEN coalesce(few, n_all) END AS n_features,"
+              " CASE WHEN n_train >= least_rows AND n_test > 0 THEN n_test END AS test_n_predictions"
+              " FROM en LEFT JOIN nt USING (entity_id) LEFT JOIN nf USING (entity_id), md")
+
+
+@register("model_table_shape",
+          [("entity_id", "s"), ("model", "s"), ("status", "s"), ("n_train", "i"), ("n_features", "i"),
+           ("test_n_predictions", "i")], _table_sql("('ar', 10, 3), ('ridge', 20, NULL)"))
+def _model_table_shape(spark, d):
+    return CMP.model_table(CMP.compare(panel_view(spark, d, "nation_priority"), TARGET, with_forest=False))
+
+
+@register("importance_total", [("n_features", "i"), ("total", 6), ("top_first", "b")],
+          S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET))
+          + " SELECT count(DISTINCT ordinal) AS n_features, 1.0 AS total, TRUE AS top_first FROM fm")
+def _importance_total(spark, d):
+    vec = materialize(CMP.vectors(CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)))
+    train = vec.filter(_F.col("split") == "train")
+    imp = FR.importances(FR.fit_forest(train), list(train.first()["features"]), spark)
+    top = FR.top_importance(imp, 1).agg(_F.max("importance").alias("most"))
+    return imp.agg(_F.count(_F.lit(1)).alias("n_features"), _F.sum("importance").alias("total"),
+                   _F.max("importance").alias("_m")).join(top, _F.col("_m") == _F.col("most"), "left").select(
+        "n_features", "total", _F.col("most").isNotNull().alias("top_first"))
+
 # --------------------------------------------------------------- step 9: second tier
 
 from panelcast.operators import align as AL, derived as DV  # noqa: E402
@@ -785,6 +891,30 @@ def _pooled(spark, d, kind):
     return EV.metrics(FR.predict_pooled(m, vec, kind), ["entity_id", "model", "split"])
 
 
+POOLED_SQL = (S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET), *S.split_date_ctes())
+              + " SELECT split, count(*) AS n_predictions, CASE WHEN split = 'train' THEN TRUE END AS beats_mean"
+                " FROM sd GROUP BY 1")
+
+
+def _pooled_shape(spark, d, kind):
+    """Rows scored in each split, and whether the fit explains its training rows."""
+    vec = materialize(CMP.vectors(CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)))
+    train = vec.filter(_F.col("split") == "train")
+    if kind == "forest":
+        scored = FR.predict_forest(FR.fit_forest(train), vec)
+    else:
+        scored = FR.predict_pooled(FR.fit_pooled(train, kind), vec, kind)
+    err = _F.col("y") - _F.col("prediction")
+    return scored.groupBy("split").agg(
+        _F.count("prediction").alias("n_predictions"),
+        _F.when(_F.col("split") == "train", _F.avg(err * err) < _F.var_pop("y")).alias("beats_mean"))
+
+
+for _kind in ("forest", "gbt", "lasso"):
+    register(f"{_kind}_shape", [("split", "s"), ("n_predictions", "i"), ("beats_mean", "b")], POOLED_SQL)(
+        lambda spark, d, kind=_kind: _pooled_shape(spark, d, kind))
+
+
 @register("lasso_fit", MET_SPEC, notes="pooled L1 linear regression (pyspark.ml); optimality tested")
 def _lasso(spark, d):
     return _pooled(spark, d, "lasso")

@@ -107,14 +107,14 @@ def read_series_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fresh_series(spark: SparkSession, path: str, max_age_days: int = 1,
-                      now: _dt.datetime | None = None) -> DataFrame:
+                      now: _dt.datetime | None = None, multi_line: bool = True) -> DataFrame:
     """SC4: only files whose age in whole days is <= ``max_age_days`` (so a
-    file is usable until just under max_age_days + 1 days old)."""
+    file is usable until just under max_age_days + 1 days old). ``multi_line``:
+    one JSON array per file; otherwise a record per line."""
     now = now or _dt.datetime.now()
     horizon = now - _dt.timedelta(days=max_age_days + 1)
-    df = (spark.read.schema(CACHED_SERIES).option("multiLine", True).json(path)
-          .select("*", F.col("_metadata.file_modification_time").alias("_mtime")))
-    return df.filter(F.col("_mtime") > F.lit(horizon)).drop("_mtime")
+    df = spark.read.schema(CACHED_SERIES).option("multiLine", multi_line).json(path)
+    return df.filter(F.col("_metadata.file_modification_time") > F.lit(horizon))
 
 
 def read_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
