@@ -43,21 +43,35 @@ SHOWN = {"user": "User", "assistant": "Assistant", "system": "System"}
 def number_turns(spark: SparkSession, rows: DataFrame, sp: Spool | None = None) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as messages: node_id in
     turn order, parent_id the turn before. A range exchange spreads a
-    conversation of any length over many tasks; only the first row of a task
-    has to look up its parent in a small table of task ends."""
+    conversation of any length over many tasks; ids grow along that order, so
+    the turn before is the row before, and only the first row of a task looks at
+    a table that has one row for each task."""
     sp = sp or spool(spark)
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(),
              F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    r = sp.put(rows.select("conv_id", "turn", "role", "text").repartitionByRange(*order)
-               .sortWithinPartitions(*order).withColumn("node_id", F.monotonically_increasing_id()))
+    rows = rows.select("conv_id", "turn", "role", "text")
+    kind = dict(rows.dtypes)["conv_id"]
+
+    def opens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = object()
+        for b in batches:
+            convs = b.column(0).to_pylist()
+            first = [c != p for c, p in zip(convs, [last, *convs])]
+            last = convs[-1] if convs else last
+            yield pa.record_batch([*b.columns, pa.array(first, pa.bool_())], [*b.schema.names, "_first"])
+    r = sp.put(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+               .select("conv_id", "role", "text", F.monotonically_increasing_id().alias("node_id"))
+               .mapInArrow(opens, f"conv_id {kind}, role string, text string, node_id long, _first boolean"))
     task = F.shiftright("node_id", 33)
-    ends = r.groupBy("conv_id", task.alias("_t")).agg(F.min("node_id").alias("_lo"), F.max("node_id").alias("_hi"))
-    ends = ends.select(F.col("conv_id").alias("_c"), "_t", "_lo",
-                       F.lag("_hi").over(Window.partitionBy("conv_id").orderBy("_t")).alias("_prev"))
-    joined = r.join(ends, r.conv_id.eqNullSafe(F.col("_c")) & (task == F.col("_t")))
+    along = Window.orderBy("_t")
+    before = sp.put(r.groupBy(task.alias("_t")).agg(F.max(F.struct("node_id", "conv_id")).alias("_end")).select(
+        "_t", F.lag("_end").over(along).alias("_end")))
+    same_task = F.col("node_id") > F.shiftleft(F.col("_t"), 33)
+    joined = r.join(before, task == F.col("_t"))
     return joined.select("conv_id", "node_id",
-                         F.when(F.col("node_id") == F.col("_lo"), F.col("_prev"))
-                         .otherwise(F.col("node_id") - 1).alias("parent_id"),
+                         F.when(same_task & ~F.col("_first"), F.col("node_id") - 1)
+                         .when(~same_task & F.col("conv_id").eqNullSafe(F.col("_end.conv_id")) & F.col("_end").isNotNull(),
+                               F.col("_end.node_id")).alias("parent_id"),
                          "role", "text", F.lit(0.0).alias("score"))
 
 
