@@ -205,44 +205,53 @@ def build(spark: SparkSession, docs: DataFrame, min_chars: int = 10) -> LineInde
     return LineIndex(postings, refs, filters, shards, sp)
 
 
-def _update_filters(index: LineIndex, refs: DataFrame) -> DataFrame:
-    """Filters after ``refs`` replaced ``index.refs``: keys that became or
-    ceased to be duplicates are inserted and deleted shard by shard."""
-    was = index.refs.filter("lo <> hi").select(*KEY, F.lit(1).alias("was"))
-    now = refs.filter("lo <> hi").select(*KEY, F.lit(1).alias("now"))
-    change = (was.join(now, KEY, "full").filter("was IS NULL OR now IS NULL")
+def _update_filters(index: LineIndex, refs: DataFrame, touched: DataFrame) -> DataFrame:
+    """Filters after ``refs`` replaced ``index.refs`` for the ``touched`` keys:
+    those that became or ceased to be duplicates are inserted and deleted shard
+    by shard. A shard that overflows is built anew from its own keys."""
+    dup = lambda r, name: r.filter("lo <> hi").join(touched, KEY, "left_semi").select(
+        *KEY, F.lit(1).alias(name))
+    change = (dup(index.refs, "was").join(dup(refs, "now"), KEY, "full").filter("was IS NULL OR now IS NULL")
               .select(*KEY, _shard(index.shards).alias("shard"), F.col("now").isNotNull().alias("add")))
-    keep = now.select(*KEY, _shard(index.shards).alias("shard"), F.lit(None).cast("boolean").alias("add"))
 
     def apply(key, changes: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
+        if not len(changes):
+            return bits
         f = CuckooFilter.load(bits.bits.iloc[0] if len(bits) else None)
-        live = changes["add"].isna()
-        gone, new = changes[changes["add"] == False], changes[changes["add"] == True]  # noqa: E712
-        f.delete(gone.h1.to_numpy(), gone.h2.to_numpy())
-        if not f.insert(new.h1.to_numpy(), new.h2.to_numpy()):    # full: the shard grows
-            f = build_filter(changes.h1[live].to_numpy(), changes.h2[live].to_numpy())
-        return pd.DataFrame({"shard": [key[0]], "bits": [f.dump()]})
-    return (change.unionByName(keep).groupBy("shard").cogroup(index.filters.groupBy("shard"))
-            .applyInPandas(apply, "shard int, bits binary"))
-
-
-def _replace(index: LineIndex, postings: DataFrame) -> LineIndex:
-    postings = index.sp.put(postings)
-    refs = index.sp.put(_refs(postings))
-    filters = index.sp.put(_update_filters(index, refs))
-    return LineIndex(postings, refs, filters, index.shards, index.sp)
+        add = changes["add"].to_numpy(bool)
+        h1, h2 = changes.h1.to_numpy(), changes.h2.to_numpy()
+        f.delete(h1[~add], h2[~add])
+        return pd.DataFrame({"shard": [key[0]], "bits": [f.dump() if f.insert(h1[add], h2[add]) else None]})
+    filters = index.sp.put(change.groupBy("shard").cogroup(index.filters.groupBy("shard"))
+                           .applyInPandas(apply, "shard int, bits binary"))
+    full = filters.filter("bits IS NULL").select("shard")
+    if full.isEmpty():
+        return filters
+    keys = refs.filter("lo <> hi").withColumn("shard", _shard(index.shards)).join(full, "shard", "left_semi")
+    return index.sp.put(filters.filter("bits IS NOT NULL").unionByName(_filters(keys, index.shards)))
 
 
 def insert(index: LineIndex, docs: DataFrame, min_chars: int = 10) -> LineIndex:
-    """Adds documents whose ids are new to the index."""
-    return _replace(index, index.postings.union(postings_of(docs, min_chars)))
+    """Adds documents whose ids are new to the index. Earlier postings are not
+    read: the batch's counts are added to the reference table."""
+    batch = index.sp.put(postings_of(docs, min_chars))
+    new = index.sp.put(_refs(batch))
+    refs = index.sp.put(index.refs.unionByName(new).groupBy(*KEY).agg(
+        F.sum("refs").alias("refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    return LineIndex(index.postings.unionByName(batch), refs, _update_filters(index, refs, new.select(*KEY)),
+                     index.shards, index.sp)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """Removes the documents named in column ``doc_id``; lines that they alone
-    made duplicates come back at the next :func:`apply`."""
+    made duplicates come back at the next :func:`apply`. Only the keys of those
+    documents are counted again."""
     ids = doc_ids.select(F.col("doc_id").cast("long")).distinct()
-    return _replace(index, index.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"))
+    touched = index.sp.put(index.postings.join(ids, "doc_id", "left_semi").select(*KEY).distinct())
+    postings = index.sp.put(index.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"))
+    again = _refs(postings.join(touched, KEY, "left_semi"))
+    refs = index.sp.put(index.refs.join(touched, KEY, "left_anti").unionByName(again))
+    return LineIndex(postings, refs, _update_filters(index, refs, touched), index.shards, index.sp)
 
 
 # --------------------------------------------------------------- result

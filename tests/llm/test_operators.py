@@ -121,6 +121,10 @@ def test_line_dedup_is_reversible(spark):
     index = line_dedup.delete(index, frame([(1, ""), (6, "")]).select("doc_id"))
     left = [r for r in rows if r[0] not in (1, 6)]
     assert _lines_of(line_dedup.apply(index, frame(left))) == brute_lines(left)
+    many = [(100 + i, "\n".join("repeated line %d" % j for j in range(i, i + 40))) for i in range(60)]
+    index = line_dedup.insert(index, frame(many))                   # more duplicates than the first filter holds
+    left += many
+    assert _lines_of(line_dedup.apply(index, frame(left))) == brute_lines(left)
     whole = line_dedup.build(spark, frame(left))
     for a, b in ((index.refs, whole.refs), (index.postings, whole.postings)):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
