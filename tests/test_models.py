@@ -66,12 +66,14 @@ def _n_rows(spark, n):
 
 
 def test_split_truncation(spark):
-    c = {r.split: r.rows for r in SP.split_counts(SP.ts_split(_n_rows(spark, 222))).collect()}
-    assert (c["train"], c["validation"], c["test"]) == (155, 33, 34)
-    for n in range(1, 60):
-        c = {r.split: r.rows for r in SP.split_counts(SP.ts_split(_n_rows(spark, n))).collect()}
-        assert c.get("train", 0) == int(n * 0.7) and c.get("validation", 0) == int(n * 0.15)
-        assert sum(c.values()) == n
+    sizes = [222, *range(1, 60)]
+    rows = [(str(n), "s", dt.date(2000, 1, 1) + dt.timedelta(days=i), float(i)) for n in sizes for i in range(n)]
+    df = spark.createDataFrame(rows, "entity_id string, series_id string, date date, value double")
+    c = {(int(r.entity_id), r.split): r.rows for r in SP.split_counts(SP.ts_split(df)).collect()}
+    assert [c[222, s] for s in ("train", "validation", "test")] == [155, 33, 34]
+    for n in sizes:
+        assert c.get((n, "train"), 0) == int(n * 0.7) and c.get((n, "validation"), 0) == int(n * 0.15)
+        assert sum(v for (m, _), v in c.items() if m == n) == n
 
 
 def test_fold_bounds_match_python_range(spark):
