@@ -41,25 +41,24 @@ def feature_matrix(analysis: DataFrame, n_predictors: int | None = None, max_lag
     L = max_lags
     columns, feats = [], []
     for at, suffix in enumerate(FEATURE_SUFFIXES):
-        x = F.col(suffix)
+        x, i = F.col(suffix), f"(_s * {k} + {at})"
         own = {"": x} | {f"_lag{j}": F.lag(x, j).over(w) for j in range(1, L + 1)} | {
             "_ma3": strict_mean(x, w, 3), "_vol3": strict_std(x, w, 3), "_ma6": strict_mean(x, w, 6),
             "_mom3": x - F.lag(x, 3).over(w), "_mom6": ratio_minus_one(x, F.lag(x, 6).over(w))}
-        i = F.col("_s") * k + at
-        base_roll = F.col("P") + F.col("P") * L + target_lags
-        order = {"": i} | {f"_lag{j}": F.col("P") + i * L + (j - 1) for j in range(1, L + 1)} | {
-            "_ma3": base_roll + i * 3, "_vol3": base_roll + i * 3 + 1, "_ma6": base_roll + i * 3 + 2,
-            "_mom3": base_roll + 3 * F.col("P") + i * 2, "_mom6": base_roll + 3 * F.col("P") + i * 2 + 1}
+        roll = f"P + P * {L} + {target_lags}"
+        order = {"": i} | {f"_lag{j}": f"P + {i} * {L} + {j - 1}" for j in range(1, L + 1)} | {
+            "_ma3": f"{roll} + {i} * 3", "_vol3": f"{roll} + {i} * 3 + 1", "_ma6": f"{roll} + {i} * 3 + 2",
+            "_mom3": f"{roll} + 3 * P + {i} * 2", "_mom6": f"{roll} + 3 * P + {i} * 2 + 1"}
         for end, value in own.items():
             if lags_only and not end.startswith("_lag"):
                 continue                       # forecast setting: no same-period predictor values
             columns.append(value.alias(f"_{at}{end}"))
-            feats.append(F.when(i < F.col("P"), _feat(
-                F.concat_ws("_", series_key("series_id"), F.lit(suffix + end)), order[end], F.col(f"_{at}{end}"))))
+            feats.append(f"CASE WHEN {i} < P THEN named_struct('feature', concat(_key, '_{suffix}{end}'), 'ordinal',"
+                         f" CAST({order[end]} AS BIGINT), 'value', CAST(_{at}{end} AS DOUBLE)) END")
     # window columns first (a generator cannot hold window functions)
     rows = analysis.join(series, ["entity_id", "series_id"]).select(
-        "entity_id", "series_id", "date", "_s", P.cast("bigint").alias("P"), *columns)
-    rows = rows.select("entity_id", "date", "P", F.filter(F.array(*feats), lambda f: f.isNotNull()).alias("_f"))
+        "entity_id", "date", "_s", series_key("series_id").alias("_key"), P.cast("bigint").alias("P"), *columns)
+    rows = rows.select("entity_id", "date", "P", F.expr(f"filter(array({', '.join(feats)}), f -> f IS NOT NULL) AS _f"))
     rows = materialize(rows)
     wt = Window.partitionBy("entity_id").orderBy("date")
     tlag = analysis.select("entity_id", "date", "y").distinct().select(
