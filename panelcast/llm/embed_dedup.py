@@ -2,13 +2,18 @@
 tables, rerank with the original vectors.
 
 * **Fit.** On at most ``SAMPLE`` distinct vectors: centre, principal axes, and
-  the rotation that iterative quantisation learns by alternating signs and an
-  orthogonal Procrustes step. Every vector is coded in 64 bits.
-* **Retrieve.** Each of T tables keeps s of the code's bits; two vectors are
-  candidates if they agree in one table. s grows with log2 of the row count, so
-  buckets stay small; T follows from the recall aimed at, given the chance
-  arccos(threshold)/pi that one bit of a pair exactly at the threshold differs
-  (pairs above the threshold differ less).
+  the rotations that iterative quantisation learns by alternating signs and an
+  orthogonal Procrustes step. Every vector is coded in ``WORDS`` words of 64
+  bits, each from a rotation with its own start.
+* **Retrieve.** Each of T tables keeps s bits of one word; two vectors are
+  candidates if they agree in one table. s and T are measured, not assumed:
+  held-out vectors are moved to exactly the threshold, in random directions and
+  towards other vectors, and coded; for each s, tables are added until both
+  kinds of pairs are found at the recall aimed at, by all tables jointly. The
+  cheapest s counts, by copies and by candidates of the sample's own vectors;
+  s = 0, where every pair is compared, is always among the choices. The recall
+  is an expectation over pairs exactly at the threshold (pairs above it differ
+  less), not a guarantee for each pair.
 * **Rerank.** Candidates are compared in their bucket by cosine of the
   original vectors in double precision. No pair leaves a bucket: only partial
   link counts and an edge from each vector to the smallest one that its bucket
@@ -27,7 +32,7 @@ result. Only ``vec_id`` and ``embedding`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,12 @@ from panelcast.llm.common import (components, group_pairs, groups_of_sorted, map
 SAMPLE = 20_000               # vectors that the rotation is learned on
 ROUNDS = 30
 BITS = 64
+WORDS = 4                     # words of BITS bits in a code
 BLOCK = 1024
-RECALL = 0.97                 # aimed at for pairs exactly at the threshold
+RECALL = 0.999                # aimed at for pairs exactly at the threshold, by all tables jointly
+PROBES = 8192                 # pairs of each kind that the recall is measured on
+TABLES = 512                  # an s that needs more is not taken
+COMPARE = 0.01                # cost of comparing a pair, in copies of a row
 
 
 def fit_itq(x: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -64,18 +73,74 @@ def fit_itq(x: np.ndarray, rounds: int = ROUNDS, seed: int = 3) -> tuple[np.ndar
     return mean, np.concatenate(parts, axis=1)[:, :BITS]
 
 
-def table_masks(bits: int, n: int, threshold: float, recall: float = RECALL, seed: int = 4) -> list[int]:
-    """Bit masks of the tables, consecutive cuts of random bit orders."""
-    s = min(bits - 8, max(6, ceil(log2(max(n, 2)))))
-    agree = (1 - acos(threshold) / pi) ** s
-    tables = max(1, ceil(log(1 - recall) / log(1 - agree))) if agree < 1 else 1
-    rng, queue, masks = np.random.default_rng(seed), [], []
-    for _ in range(tables):
-        if len(queue) < s:
-            queue = rng.permutation(bits).tolist()
-        masks.append(sum(1 << b for b in queue[:s]))
-        queue = queue[s:]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+def probe_pairs(x: np.ndarray, threshold: float, seed: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors exactly at the threshold: vectors of ``x`` moved in
+    random directions, and towards other vectors of ``x``."""
+    rng = np.random.default_rng(seed)
+    a = x[rng.integers(0, len(x), PROBES)]
+    out = []
+    for e in (rng.normal(size=a.shape), x[rng.integers(0, len(x), PROBES)] - a):
+        e = e - (e * a).sum(1, keepdims=True) * a
+        size = np.linalg.norm(e, axis=1, keepdims=True)
+        b = threshold * a + np.sqrt(1 - threshold ** 2) * np.divide(e, size, out=np.zeros_like(e), where=size > 1e-9)
+        out.append((a, b / np.linalg.norm(b, axis=1, keepdims=True)))
+    return out
+
+
+def encode(x: np.ndarray, fits: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(rows, words) of signed 64-bit code words."""
+    weights = np.array([1 << b for b in range(BITS)], np.uint64)
+    return np.stack([((x - mean) @ proj > 0) @ weights for mean, proj in fits], 1).astype(np.uint64).view(np.int64)
+
+
+def _cuts(bits: int, s: int, words: int, seed: int) -> Iterator[int]:
+    """Signed masks of s bits, consecutive cuts of random bit orders; every word gets each in turn."""
+    rng = np.random.default_rng(seed)
+    queues: list[list[int]] = [[] for _ in range(words)]
+    while True:
+        for w in range(words):
+            if len(queues[w]) < s:
+                queues[w] = rng.permutation(bits).tolist()
+            m = sum(1 << b for b in queues[w][:s])
+            queues[w] = queues[w][s:]
+            yield m - (1 << 64) if m >= 1 << 63 else m
+
+
+def table_masks(bits: int, n: int, threshold: float, recall: float = RECALL, seed: int = 4,
+                differ: list[np.ndarray] | None = None, codes: np.ndarray | None = None) -> list[int]:
+    """Bit masks of the cheapest tables that find ``recall`` of every kind of
+    pair; table t reads word t % words.
+
+    ``differ``: for each kind, the differing bits (pairs, words) of pairs at the
+    threshold; ``codes``: the code words of sample vectors. Without them, one
+    word of independent bits is drawn."""
+    rng = np.random.default_rng(seed)
+    weights = np.array([1 << b for b in range(bits)], np.uint64)
+    if differ is None:
+        differ = [((rng.random((PROBES, bits)) < acos(threshold) / pi) @ weights).astype(np.uint64).view(np.int64)[:, None]]
+    words = differ[0].shape[1]
+    if codes is None:
+        codes = ((rng.random((PROBES, words, bits)) < 0.5) @ weights).astype(np.uint64).view(np.int64)
+    pairs = max(1, len(codes) * (len(codes) - 1))
+    best, least = [0], 1 + n * COMPARE                                                  # s = 0: every pair meets
+    for s in range(1, bits - 7):
+        found = [np.zeros(len(d), bool) for d in differ]
+        masks, crowd = [], []
+        for t, m in enumerate(_cuts(bits, s, words, seed)):
+            w = t % words
+            if t < words:                               # the share of the sample's own pairs that meet in this table
+                size = np.unique(codes[:, w] & m, return_counts=True)[1]
+                crowd.append(max(float((size * (size - 1)).sum()) / pairs, 2.0 ** -s))
+            cost = (t + 1) * (1 + n * COMPARE * sum(crowd) / len(crowd))
+            masks.append(m)
+            if cost >= least or t >= TABLES:
+                break
+            for f, d in zip(found, differ):
+                f |= (d[:, w] & m) == 0
+            if min(f.mean() for f in found) >= recall:
+                best, least = masks, cost
+                break
+    return best
 
 
 def unit(list_col: pa.Array, dim: int) -> np.ndarray:
@@ -99,7 +164,8 @@ def _verify(buckets: DataFrame, dim: int, threshold: float, masks: list[int]) ->
             t = t.combine_chunks()
             cols = [t.column(k).to_numpy() for k in keys]
             tab, gi, gj = cols[0], cols[2], cols[3]
-            rep, n, code, own = (t.column(c).to_numpy() for c in ("rep", "n", "code", "_b"))
+            rep, n, own = (t.column(c).to_numpy() for c in ("rep", "n", "_b"))
+            code = t.column("code").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             x = unit(t.column("embedding").combine_chunks(), dim)
             links = np.zeros(len(rep), np.int64)
             a, b = [], []
@@ -113,7 +179,7 @@ def _verify(buckets: DataFrame, dim: int, threshold: float, masks: list[int]) ->
                 first = (own[i] != own[j]) | (gi[i] == gj[i])
                 differ = code[i] ^ code[j]
                 for earlier in range(int(tab[i].max())):
-                    first &= (tab[i] <= earlier) | ((differ & kept[earlier]) != 0)
+                    first &= (tab[i] <= earlier) | ((differ[:, earlier % differ.shape[1]] & kept[earlier]) != 0)
                 np.add.at(links, i[first], n[j[first]])
                 np.add.at(links, j[first], n[i[first]])
             if not a:
@@ -146,19 +212,21 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         return _result(rows, None)
     fit = sample_rows(classes, None, "rep", sample).select("embedding").toArrow()
     fit = fit if fit.num_rows > 1 else classes.select("embedding").limit(2).toArrow()
-    mean, proj = fit_itq(unit(fit.column("embedding").combine_chunks(), dim))
-    bits = proj.shape[1]
-    masks = table_masks(bits, total, threshold)
-    weights = np.array([1 << b for b in range(bits)], np.uint64)
+    x = unit(fit.column("embedding").combine_chunks(), dim)
+    held = x[-PROBES:]
+    learned = x[:-PROBES] if len(x) >= 2 * PROBES else x           # few vectors are learned on and measured on
+    fits = [fit_itq(learned, seed=3 + w) for w in range(WORDS)]
+    masks = table_masks(BITS, total, threshold, codes=encode(held, fits),
+                        differ=[encode(a, fits) ^ encode(b, fits) for a, b in probe_pairs(held, threshold)])
 
     def code(b: pa.RecordBatch) -> pa.RecordBatch:
         at = b.schema.get_field_index("embedding")
-        c = ((unit(b.column(at), dim) - mean) @ proj > 0) @ weights
-        return pa.record_batch([*b.columns, pa.array(c.astype(np.uint64).view(np.int64))],
-                               [*b.schema.names, "code"])
+        words = encode(unit(b.column(at), dim), fits)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * WORDS), pa.array(words.ravel()))
+        return pa.record_batch([*b.columns, lists], [*b.schema.names, "code"])
     coded = sp.put(map_batches(classes.select("embedding", "rep", "n"), code,
-                               f"embedding {dict(rows.dtypes)['embedding']}, rep long, n long, code long"))
-    tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("code").bitwiseAND(F.lit(m)).alias("key"))
+                               f"embedding {dict(rows.dtypes)['embedding']}, rep long, n long, code array<long>"))
+    tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("code")[i % WORDS].bitwiseAND(F.lit(m)).alias("key"))
                        for i, m in enumerate(masks)])
     buckets = (coded.select("*", F.explode(tables).alias("t"))
                .select("t.tab", "t.key", "rep", "n", "code", "embedding"))

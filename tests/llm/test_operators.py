@@ -242,6 +242,41 @@ def test_embedding_recall_at_the_threshold():
     assert 0.3 < ca.mean(0).min() and ca.mean(0).max() < 0.7           # balanced bits
 
 
+def test_embedding_links_with_a_common_direction(spark):
+    """Vectors that share a direction and have uneven axes: centring widens the
+    angle of a pair, and the tables planned from measured pairs still find them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 32)) * np.linspace(1.5, 0.5, 32) + 8 * np.eye(32)[3]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = rng.normal(size=x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.952 * x + np.sqrt(1 - 0.952 ** 2) * e])
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(spark, frame).collect()}
+    near = (x @ x.T >= 0.95).sum(1) - 1
+    assert np.linalg.norm(x.mean(0)) > 0.7 and all(got[i] <= near[i] for i in got)
+    assert sum(got.values()) >= 0.99 * near.sum()
+
+
+def test_embedding_plans_keep_their_recall_as_tables_grow():
+    """Plans for 1e6 to 1e8 rows against brute force, on vectors that no plan was made from."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64)) * np.linspace(2, 0.2, 64) + 3 * np.eye(64)[5]
+    x[4000:] = x[:2000] + rng.normal(size=(2000, 64)) * 0.28 * np.linspace(2, 0.2, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    fits = [embed_dedup.fit_itq(x[2000:4000], seed=w) for w in range(embed_dedup.WORDS)]
+    probes = [embed_dedup.encode(a, fits) ^ embed_dedup.encode(b, fits)
+              for a, b in embed_dedup.probe_pairs(x[2000:4000], 0.95)]
+    i, j = np.nonzero(x[:2000] @ x[4000:].T >= 0.95)
+    code = embed_dedup.encode(x, fits)
+    differ = code[i] ^ code[4000 + j]
+    for n in (10 ** 6, 10 ** 7, 10 ** 8):
+        masks = embed_dedup.table_masks(64, n, 0.95, differ=probes, codes=code[2000:4000])
+        met = [(differ[:, t % embed_dedup.WORDS] & m) == 0 for t, m in enumerate(masks)]
+        assert len(i) > 500 and np.any(met, axis=0).mean() >= 0.995
+
+
 # ---------------------------------------------------------- html extraction
 
 def test_html_extraction_on_all_pages(spark, small, con):
