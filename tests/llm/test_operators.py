@@ -310,6 +310,21 @@ def test_html_wild_pages(spark):
     assert html_extract.extract(spark, df.limit(0)).count() == 0
 
 
+def _extracted(spark, *pages):
+    """Texts of (url, html) pages, in order."""
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(spark, df).orderBy("page_id").collect()]
+
+
+def test_html_frames_are_decided_for_each_page(spark):
+    """A page with an article element leaves its host's other pages alone."""
+    got = _extracted(spark, ("http://a.b/1", "<p>x</p><article><p>teaser</p></article>"),
+                     ("http://a.b/2", "<p>x</p><main><p>in main</p></main>"),
+                     ("http://a.b/3", "<nav>n</nav><div class=content><h1>T</h1><p>whole body</p></div>"),
+                     (None, "<article>one</article>"), (None, "<p>two</p>"), ("http://a.b/4", "<p>x</p><article></article>"))
+    assert got == ["teaser", "in main", "T\nwhole body", "one", "two", ""]
+
+
 def test_wrapper_inference_finds_groups():
     pages = ["<h1>a</h1><p>1</p><p>2</p>", "<h1>b</h1><p>3</p>", "<h1>c</h1><h2>new</h2><p>4</p><p>5</p><p>6</p>"]
     w = None
