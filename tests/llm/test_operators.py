@@ -325,6 +325,15 @@ def test_html_frames_are_decided_for_each_page(spark):
     assert got == ["teaser", "in main", "T\nwhole body", "one", "two", ""]
 
 
+def test_html_copies_of_a_page_are_no_template(spark):
+    """A page's text does not depend on its number of copies, also where only a part outside differs."""
+    page = "<nav>%d</nav><h1>T</h1><p>a</p><p>b</p>"
+    got = _extracted(spark, *[("http://a.b/%d" % i, page % i) for i in range(3)], ("http://c.d/", page),
+                     ("http://e.f/", "<h2>x</h2><p>1</p><h2>x</h2>"),
+                     *[("http://g.h/%d" % i, f"<h1>Site</h1><p>{i}</p>") for i in (1, 2, 2)])
+    assert got == ["T\na\nb"] * 4 + ["x\n1\nx", "1", "2", "2"]
+
+
 def test_wrapper_inference_finds_groups():
     pages = ["<h1>a</h1><p>1</p><p>2</p>", "<h1>b</h1><p>3</p>", "<h1>c</h1><h2>new</h2><p>4</p><p>5</p><p>6</p>"]
     w = None
