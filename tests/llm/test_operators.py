@@ -334,6 +334,13 @@ def test_html_copies_of_a_page_are_no_template(spark):
     assert got == ["T\na\nb"] * 4 + ["x\n1\nx", "1", "2", "2"]
 
 
+def test_html_equal_texts_among_differing_ones_are_template(spark):
+    """A notice between paragraphs of the same path goes, wherever it stands; what only some pages hold stays."""
+    got = _extracted(spark, *[("http://a.b/%d" % i, x) for i, x in enumerate(
+        ["<p>one</p><p>two</p><p>Notice</p>", "<p>Notice</p><p>three</p>", "<p>four</p><p>Notice</p><p>two</p>"])])
+    assert got == ["one\ntwo", "three", "four\ntwo"]
+
+
 def test_wrapper_inference_finds_groups():
     pages = ["<h1>a</h1><p>1</p><p>2</p>", "<h1>b</h1><p>3</p>", "<h1>c</h1><h2>new</h2><p>4</p><p>5</p><p>6</p>"]
     w = None
