@@ -341,6 +341,20 @@ def test_html_equal_texts_among_differing_ones_are_template(spark):
     assert got == ["one\ntwo", "three", "four\ntwo"]
 
 
+def test_html_marks_spare_the_article_and_most_of_the_text(spark):
+    body = "<h1>T</h1><p>A long enough paragraph of the article.</p>"
+    whole = "T\nA long enough paragraph of the article."
+    pages = [f"<html class='has-sidebar'><body class='sticky-header right-sidebar'><div>{body}</div></body></html>",
+             f"<div class='right-sidebar'>{body}</div>", f"<form action=x><div class=sidebar>{body}</div></form>",
+             f"<form><div id=side><article class='widget'>{body}</article></div></form><p>out</p>",
+             "<article><h2 id='related-work'>R</h2><section id='side-effects'><p>s</p></section><h2 class=header>S</h2>"
+             "<div id='comments-on-the-method'><p>m</p></div><div class='x comments'><p>c</p></div><p>The rest.</p></article>",
+             f"<div class='site-header'>h</div><div class='cookie-notice'>k</div><ul id=main_nav><li>n</ul>{body}"
+             "<div class='post-comments'>c</div><form>send</form><aside>" + "long aside " * 20 + "</aside>"]
+    got = _extracted(spark, *[("http://h%d.x/" % i, p) for i, p in enumerate(pages)])
+    assert got == [whole] * 4 + ["R\ns\nS\nm\nThe rest.", whole]
+
+
 def test_wrapper_inference_finds_groups():
     pages = ["<h1>a</h1><p>1</p><p>2</p>", "<h1>b</h1><p>3</p>", "<h1>c</h1><h2>new</h2><p>4</p><p>5</p><p>6</p>"]
     w = None
