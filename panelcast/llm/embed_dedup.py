@@ -22,9 +22,11 @@ tables, rerank with the original vectors.
 Equal vectors are one class from the start. A crowded bucket is cut into
 sub-block pairs (:func:`common.split_hot`), each a group of bounded size.
 
-Defined results: null, zero, null- or non-finite-holding vectors, and those
-whose length is not the most common one, link with nothing (n_links 0, their
-own component); a null ``vec_id`` stays unlinked with a null component; rows
+Vectors of each length have an index of their own; vectors of different lengths
+never link.
+
+Defined results: null, zero, and null- or non-finite-holding vectors link with
+nothing (n_links 0, their own component); a null ``vec_id`` stays unlinked with a null component; rows
 that repeat a ``vec_id`` each keep their row; an empty table gives an empty
 result. Only ``vec_id`` and ``embedding`` are read.
 """
@@ -32,6 +34,7 @@ result. Only ``vec_id`` and ``embedding`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import acos, pi
 
 import numpy as np
@@ -41,6 +44,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import (components, group_pairs, groups_of_sorted, map_batches, min_labels,
                                   sample_rows, split_hot, spool)
+from panelcast.session import Spool
 
 SAMPLE = 20_000               # vectors that the rotation is learned on
 ROUNDS = 30
@@ -200,16 +204,18 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     """(vec_id, n_links, component_id, kept) of every row."""
     sp = spool(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    size = (rows.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count()
-            .orderBy(F.desc("count"), "d").first())
-    if size is None:
-        return _result(rows, None)
-    dim = size.d
+    sizes = rows.filter(F.size("embedding") > 0).select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()
+    found = [m for r in sizes if (m := _index(rows, r.d, threshold, sample, sp)) is not None]
+    return _result(rows, reduce(DataFrame.union, found) if found else None)
+
+
+def _index(rows: DataFrame, dim: int, threshold: float, sample: int, sp: Spool) -> DataFrame | None:
+    """(embedding, n_links, component_id) of the distinct valid vectors of one length, None if there are none."""
     classes = sp.put(rows.filter(_valid(dim) & F.col("vec_id").isNotNull()).groupBy("embedding")
                      .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     total = classes.count()
     if not total:
-        return _result(rows, None)
+        return None
     fit = sample_rows(classes, None, "rep", sample).select("embedding").toArrow()
     fit = fit if fit.num_rows > 1 else classes.select("embedding").limit(2).toArrow()
     x = unit(fit.column("embedding").combine_chunks(), dim)
@@ -233,10 +239,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     found = sp.put(_verify(split_hot(buckets, ["tab", "key"], F.col("rep"), BLOCK, sp), dim, threshold, masks))
     near = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), sp)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    merged = sp.put(classes.join(links, "rep", "left").join(near, classes.rep == near.node, "left")
-                    .select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                            F.coalesce("component", "rep").alias("component_id")))
-    return _result(rows, merged)
+    return sp.put(classes.join(links, "rep", "left").join(near, classes.rep == near.node, "left")
+                  .select("embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                          F.coalesce("component", "rep").alias("component_id")))
 
 
 def _result(rows: DataFrame, merged: DataFrame | None) -> DataFrame:

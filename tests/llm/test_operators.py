@@ -259,6 +259,20 @@ def test_embedding_links_with_a_common_direction(spark):
     assert sum(got.values()) >= 0.99 * near.sum()
 
 
+def test_embeddings_of_every_length_link(spark):
+    """Two models in one table: the smaller one keeps its links, no pair crosses lengths."""
+    rng = np.random.default_rng(10)
+    long, short = rng.normal(size=(30, 8)), rng.normal(size=(5, 3))
+    rows = [*long.tolist(), *short.tolist(), short[0].tolist(), (2 * short[1]).tolist(), [1.0], [2.0], [0.0, 0.0]]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(spark, frame).collect()}
+    for i, v in enumerate(rows):
+        near = [j for j, w in enumerate(rows) if j != i and len(w) == len(v) and any(v) and any(w)
+                and np.dot(v, w) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w)]
+        assert got[i][0] == len(near) and got[i][1] <= min([i, *near])
+    assert got[35][1] == 30 and got[36][1] == 31 and got[38] == (1, 37) and got[39] == (0, 39)
+
+
 def test_embedding_plans_keep_their_recall_as_tables_grow():
     """Plans for 1e6 to 1e8 rows against brute force, on vectors that no plan was made from."""
     rng = np.random.default_rng(9)
