@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import (chat_format, decontaminate, embed_dedup, html_extract, lang_crf, line_dedup,
-                           mix_sources, quality_rules, simhash_dedup, token_count)
+from panelcast.llm import (chat_format, decontaminate, embed_dedup, hilbert_kmeans, html_extract, lang_crf, line_dedup,
+                           mix_sources, quality_rules, simhash_dedup, token_count, topk_pivots, turn_repair)
 from panelcast.llm.common import doc_mod, spool, table
 
 
@@ -74,10 +74,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_pivots.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_kmeans.summarise(spark, *hilbert_kmeans.cluster(spark, table(spark, sf_dir, "embeddings")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.digests(turn_repair.repair(spark, turn_repair.damage(given)))
+    ids = given.select(F.col("conv_id").alias("_id")).distinct()
+    empty = F.sha2(F.encode(F.lit(""), "UTF-8"), 256)
+    return ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in turn_repair.COUNTS],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_decontaminate, op3_embedding_near_dedup, op4_html_extract, op5_chat_format, op6_mix_sources, op7_language_id, op8_token_counts,
-    op9_simhash_near_dedup, op10_quality_rules)}
+    op9_simhash_near_dedup, op10_quality_rules, op11_exact_top_k, op12_centroid_clustering, op13_conversation_repair)}
 
 ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op2_decontaminate": decontaminate.ORACLE,
            "op3_embedding_near_dedup": embed_dedup.ORACLE, "op5_chat_format": chat_format.ORACLE,
-           "op6_mix_sources": mix_sources.ORACLE}
+           "op6_mix_sources": mix_sources.ORACLE, "op11_exact_top_k": topk_pivots.ORACLE,
+           "op12_centroid_clustering": hilbert_kmeans.ORACLE, "op13_conversation_repair": turn_repair.ORACLE}
