@@ -1,9 +1,8 @@
 """Model comparison (M8-M10): features -> chronological split -> AR(3),
 ridge and forest fitted on train -> scored on train, validation and test.
 
-Every feature and predictor is used unless a cap is asked for. Only metric
-rows (one per entity, model and split) and forest importances are small enough
-to be looked at on the driver.
+Every model is fitted for each entity of its own; every feature and predictor is used
+unless a cap is asked for. Nothing but table sizes reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import evaluate as EV, forest as FR, linear as LN, matrix as MX
-from panelcast.operators import relate as RL, split as SP
+from panelcast.operators import evaluate as EV, linear as LN, matrix as MX
+from panelcast.operators import relate as RL, split as SP, trees as TR
 from panelcast.session import materialize
 
 MAX_LAGS = 3
@@ -25,14 +24,13 @@ AR_FEATURES = ("mom_pct_lag1", "mom_pct_lag2", "mom_pct_lag3")
 KEYS = ["entity_id"]
 SPLITS = ("train", "validation", "test")
 NO_ROWS = "No complete rows"
-OTHER_FEATURES = "Feature count differs from the pooled model"
 
 
 @dataclass
 class Comparison:
     metrics: DataFrame            # entity, model, split, rmse, mae, dir. acc., n
     fits: DataFrame               # entity, model, status, n_train, n_features: one row for each pair
-    importance: DataFrame | None  # forest importances (pooled)
+    importance: DataFrame | None  # forest importances: entity, feature, importance, rank
 
 
 def split_matrix(panel: DataFrame, target: str, n_predictors: int | None = None,
@@ -61,7 +59,7 @@ def vectors(fm: DataFrame, n_features: int | None = None,
                     F.transform("_f", lambda s: s["value"]).alias("x"))
 
 
-def compare(panel: DataFrame, target: str, with_forest: bool = True, n_trees: int = FR.N_TREES,
+def compare(panel: DataFrame, target: str, with_forest: bool = True, n_trees: int = TR.N_TREES,
             n_predictors: int | None = None, ridge_features: int | None = None,
             forest_features: int | None = None) -> Comparison:
     """Fits and scores the models; every entity of the panel gets a row in
@@ -80,19 +78,11 @@ def compare(panel: DataFrame, target: str, with_forest: bool = True, n_trees: in
     if with_forest:
         vec = materialize(vectors(fm, forest_features))
         train = vec.filter(F.col("split") == "train")
-        usual = train.groupBy(F.size("x").alias("p")).count().orderBy(F.desc("count"), "p").first()
-        pooled = train.filter(F.size("x") == (usual.p if usual else 0))
-        enough = bool(usual) and usual["count"] >= LN.MIN_ROWS["forest"]
-        status = (F.when(F.max("_p") != (usual.p if usual else 0), F.lit(OTHER_FEATURES))
-                  .otherwise(F.lit(LN.OK if enough else LN.INSUFFICIENT)))
-        fits.append(train.withColumn("_p", F.size("x")).groupBy("entity_id").agg(
-            F.lit("forest").alias("model"), status.alias("status"), F.count(F.lit(1)).alias("n_train"),
-            F.max("_p").cast("bigint").alias("n_features")))
-        if enough:
-            m = FR.fit_forest(pooled, n_trees=n_trees)
-            scored.append(FR.predict_forest(m, vec.filter(F.size("x") == usual.p))
-                          .select("entity_id", "split", "y", "prediction", "model"))
-            imp = FR.importances(m, list(pooled.select("features").first()["features"]), panel.sparkSession)
+        nodes, fit = TR.fit_forest(train, n_trees)
+        fits.append(fit.select("entity_id", F.lit("forest").alias("model"), "status", "n_train", "n_features"))
+        scored.append(vec.join(TR.predict(nodes, vec, ["entity_id", "date"]), ["entity_id", "date"])
+                      .select("entity_id", "split", "y", "prediction", F.lit("forest").alias("model")))
+        imp = materialize(TR.importances(nodes, train.groupBy("entity_id").agg(F.first("features").alias("features"))))
     allp, all_fits = scored[0], fits[0]
     for s in scored[1:]:
         allp = allp.unionByName(s)

@@ -404,3 +404,149 @@ def chow_ctes(view: str) -> list[str]:
         "chow AS (SELECT entity_id, series_id, n, CASE WHEN n > 8 AND sh > 0 THEN ((sp - sh) / 4) / (sh / (n - 8)) END"
         " AS chow_f FROM z)",
     ]
+
+
+# ------------------------------------------------------------------ trees
+
+def poisson_sql(seed: int) -> str:
+    """The bootstrap weight of ``operators.trees.poisson_weight``, from its definition."""
+    a = f"((row * 7919 + tree * 104729 + {seed * 1299709 + 12345}) % 2147483647)"
+    for c in (1013904223, 362437):
+        a = f"(({a} * {a} + {c}) % 2147483647)"
+    cdf = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
+    return "CASE " + " ".join(f"WHEN {a} / 2147483647.0::DOUBLE < {p}::DOUBLE THEN {k}" for k, p in enumerate(cdf)) + f" ELSE {len(cdf)} END"
+
+
+def training_ctes(view: str, target: str, min_rows: int) -> list[str]:
+    """``tx``: (entity_id, row, y, f, bin, x) of the training rows of entities with enough of them; ``nf``: names."""
+    return feature_matrix_ctes(view, target) + split_date_ctes() + [
+        "td AS (SELECT entity_id, date, row_number() OVER (PARTITION BY entity_id ORDER BY date) - 1 AS row,"
+        " count(*) OVER (PARTITION BY entity_id) AS n FROM sd WHERE split = 'train')",
+        "tx AS MATERIALIZED (SELECT fm.entity_id, row, mom_pct AS y, ordinal AS f, value AS x, dense_rank() OVER"
+        " (PARTITION BY fm.entity_id, ordinal ORDER BY value) AS bin FROM fm JOIN td ON fm.entity_id = td.entity_id"
+        f" AND fm.date = td.date WHERE n >= {min_rows})",
+        "tr AS (SELECT DISTINCT entity_id, row, y FROM tx)",
+        "nf AS (SELECT DISTINCT entity_id, ordinal AS f, feature FROM fm)",
+    ]
+
+
+def level_ctes(at: str, tag: str) -> list[str]:
+    """Nodes ``n{tag}`` of a level from its rows ``at`` (entity_id, row, tree, w, yi, node), each with its
+    best cut, and the rows of the next level ``r{tag}``."""
+    k = "entity_id, tree, node"
+    on = "USING (entity_id, tree, node)"
+    return [
+        f"s{tag} AS MATERIALIZED (SELECT {k}, sum(w) AS n, sum(w * yi) AS s, min(yi) < max(yi) AS mixed FROM {at} GROUP BY {k})",
+        f"h{tag} AS (SELECT a.entity_id, a.tree, a.node, f, bin, sum(w) AS w, sum(w * yi) AS s, min(x) AS lo, max(x) AS hi"
+        f" FROM {at} a JOIN s{tag} {on} JOIN tx ON tx.entity_id = a.entity_id AND tx.row = a.row WHERE mixed GROUP BY ALL)",
+        f"c{tag} AS (SELECT {k}, f, bin, hi, lead(lo) OVER w AS nxt, CAST(sum(w) OVER w AS DOUBLE) AS wl,"
+        f" CAST(sum(s) OVER w AS DOUBLE) AS sl, CAST(sum(w) OVER v AS DOUBLE) AS wa, CAST(sum(s) OVER v AS DOUBLE) AS sa"
+        f" FROM h{tag} WINDOW w AS (PARTITION BY {k}, f ORDER BY bin), v AS (PARTITION BY {k}, f))",
+        f"g{tag} AS (SELECT {k}, f, bin, CASE WHEN (hi + nxt) / 2 < nxt THEN (hi + nxt) / 2 ELSE hi END AS thr,"
+        f" sl * sl / wl + (sa - sl) * (sa - sl) / (wa - wl) AS g FROM c{tag} WHERE wl < wa)",
+        f"b{tag} AS (SELECT *, 2 * (row_number() OVER (PARTITION BY entity_id, tree ORDER BY node) - 1) AS l FROM (SELECT * FROM g{tag}"
+        f" QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY g DESC, f, bin) = 1))",
+        f"n{tag} AS MATERIALIZED (SELECT {k}, n, CAST(s AS DOUBLE) / n / 1000000.0::DOUBLE AS value, f, thr, l,"
+        f" (g - CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / n) / 1e12::DOUBLE AS gain FROM s{tag} LEFT JOIN b{tag} {on})",
+        f"r{tag} AS MATERIALIZED (SELECT a.entity_id, a.row, a.tree, a.w, a.yi, l + CASE WHEN x > thr THEN 1 ELSE 0 END AS node"
+        f" FROM {at} a JOIN b{tag} {on} JOIN tx ON tx.entity_id = a.entity_id AND tx.row = a.row AND tx.f = b{tag}.f)",
+    ]
+
+
+def leaf_nodes_cte(at: str, tag: str) -> str:
+    """Nodes of a level at which the trees end."""
+    return (f"n{tag} AS (SELECT entity_id, tree, node, sum(w) AS n, CAST(sum(w * yi) AS DOUBLE) / sum(w) / 1000000.0::DOUBLE AS value,"
+            f" NULL AS f, NULL AS thr, NULL AS l, NULL AS gain FROM {at} GROUP BY ALL)")
+
+
+def forest_ctes(view: str, target: str, n_trees: int, depth: int, seed: int, min_rows: int) -> list[str]:
+    """``nodes``: a bootstrap forest grown to a fixed depth for each entity."""
+    out = training_ctes(view, target, min_rows) + [
+        "a0 AS MATERIALIZED (SELECT *, CAST(0 AS BIGINT) AS node FROM (SELECT entity_id, row, tree, CAST(round(y * 1000000) AS BIGINT) AS yi,"
+        f" {poisson_sql(seed)} AS w FROM tr, range({n_trees}) t(tree)) WHERE w > 0)"]
+    at = "a0"
+    for k in range(depth):
+        out += level_ctes(at, str(k))
+        at = f"r{k}"
+    out.append(leaf_nodes_cte(at, str(depth)))
+    union = " UNION ALL ".join(f"SELECT entity_id, tree, {k} AS level, node, n, value, f, thr, gain FROM n{k}" for k in range(depth + 1))
+    return out + [
+        f"nodes AS MATERIALIZED (SELECT u.*, feature FROM ({union}) u LEFT JOIN nf ON nf.entity_id = u.entity_id AND nf.f = u.f)",
+        "sh AS (SELECT entity_id, tree, feature, sum(gain) AS g, sum(sum(gain)) OVER (PARTITION BY entity_id, tree) AS t FROM nodes"
+        " WHERE f IS NOT NULL GROUP BY 1, 2, 3)",
+        "tn AS (SELECT entity_id, count(DISTINCT tree) AS k FROM sh GROUP BY 1)",
+        "im AS (SELECT tn.entity_id, nf.feature, coalesce(sum(sh.g / sh.t) / max(k), 0.0) AS importance FROM tn JOIN nf USING (entity_id)"
+        " LEFT JOIN sh ON sh.entity_id = nf.entity_id AND sh.feature = nf.feature GROUP BY 1, 2)"]
+
+
+def stump_ctes(view: str, target: str, rounds: int, rate: float, min_rows: int) -> list[str]:
+    """``nodes``: boosting with depth-1 trees: each fitted on the residual of those before."""
+    out = training_ctes(view, target, min_rows) + [
+        "m0 AS (SELECT entity_id, count(*) AS n, CAST(sum(CAST(round(y * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0::DOUBLE AS value"
+        " FROM tr GROUP BY 1)",
+        "e0 AS MATERIALIZED (SELECT tr.entity_id, row, y - value AS e FROM tr JOIN m0 USING (entity_id))"]
+    for r in range(rounds):
+        out.append(f"q{r} AS MATERIALIZED (SELECT entity_id, row, CAST({r} AS BIGINT) AS tree, 1 AS w, CAST(round(e * 1000000) AS BIGINT) AS yi,"
+                   f" CAST(0 AS BIGINT) AS node FROM e{r})")
+        out += level_ctes(f"q{r}", f"x{r}")
+        out.append(leaf_nodes_cte(f"rx{r}", f"y{r}"))
+        out.append(f"p{r} AS (SELECT a.entity_id, a.row, CAST(CAST(n.value * {rate}::DOUBLE AS DECIMAL(38,12)) AS DOUBLE) AS p FROM rx{r} a JOIN ny{r} n"
+                   f" USING (entity_id, tree, node) UNION ALL SELECT q.entity_id, q.row, CAST(CAST(n.value * {rate}::DOUBLE AS DECIMAL(38,12)) AS DOUBLE)"
+                   f" FROM q{r} q JOIN nx{r} n USING (entity_id, tree, node) WHERE n.f IS NULL)")
+        out.append(f"e{r + 1} AS MATERIALIZED (SELECT entity_id, row, e - p AS e FROM e{r} JOIN p{r} USING (entity_id, row))")
+    union = " UNION ALL ".join(
+        ["SELECT entity_id, -1 AS tree, 0 AS level, 0 AS node, n, value, CAST(NULL AS BIGINT) AS f, CAST(NULL AS DOUBLE) AS thr FROM m0"]
+        + [f"SELECT entity_id, tree, {i}, node, n, value * {rate}::DOUBLE, f, thr FROM n{c}{r}" for r in range(rounds) for i, c in enumerate("xy")])
+    return out + [f"nodes AS (SELECT u.*, feature FROM ({union}) u LEFT JOIN nf ON nf.entity_id = u.entity_id AND nf.f = u.f)"]
+
+
+def _solved_fit(model: str, p: int, where: str, least: int, alpha: float) -> list[str]:
+    """Coefficients of the first ``p`` of the features numbered in ``k{model}``, by elimination of the centred sums;
+    ``alpha`` = 0 is least squares. Ends in ``p{model}``: predictions of every complete date."""
+    m = model
+    rows = ", ".join(f"max(value) FILTER (WHERE k = {i}) AS x{i}" for i in range(p))
+    sums = ", ".join([f"covar_pop(x{i}, x{j}) * count(*) AS s{i}_{j}" for i in range(p) for j in range(i, p)]
+                     + [f"covar_pop(x{i}, y) * count(*) AS t{i}, avg(x{i}) AS m{i}, "
+                        + (f"CASE WHEN var_pop(x{i}) = 0 THEN 1.0 ELSE sqrt(var_pop(x{i})) END" if alpha else "1.0") + f" AS d{i}"
+                        for i in range(p)])
+    std = ", ".join([f"s{min(i, j)}_{max(i, j)} / (d{i} * d{j}){f' + {alpha}' if i == j and alpha else ''} AS a{i}_{j}"
+                     for i in range(p) for j in range(p)] + [f"t{i} / d{i} AS b{i}" for i in range(p)])
+    keep = "entity_id, n_train, my, " + ", ".join(f"m{i}, d{i}" for i in range(p))
+    names = {f"e{k}": f"{m}_e{k}" for k in range(p)} | {f"w{k}s": f"{m}_w{k}s" for k in range(p)} | {"solved": f"{m}_solved"}
+    steps = []
+    for c in elimination_ctes(f"st{m}", keep, p):
+        head, body = c.split(" AS ", 1)
+        for old, new in names.items():
+            body = body.replace(f" FROM {old})", f" FROM {new})")
+        steps.append(f"{names[head]} AS {body}")
+    return [
+        f"k{m} AS (SELECT entity_id, date, mom_pct, value, k FROM ({where}) WHERE k < {p})",
+        f"xr{m} AS MATERIALIZED (SELECT q.entity_id, q.date, split, max(mom_pct) AS y, {rows} FROM k{m} q JOIN sd"
+        f" ON q.entity_id = sd.entity_id AND q.date = sd.date GROUP BY 1, 2, 3)",
+        f"gs{m} AS MATERIALIZED (SELECT entity_id, count(*) AS n_train, avg(y) AS my, {sums} FROM xr{m} WHERE split = 'train'"
+        f" GROUP BY 1 HAVING count(*) >= {least})",
+        f"st{m} AS MATERIALIZED (SELECT {keep}, {std} FROM gs{m})", *steps,
+        f"p{m} AS (SELECT x.entity_id, '{m}' AS model, split, y, my + " + " + ".join(f"(x{i} - m{i}) * w{i} / d{i}" for i in range(p))
+        + f" AS prediction FROM xr{m} x JOIN {m}_solved USING (entity_id))"]
+
+
+def comparison_ctes(view: str, target: str, n_pred: int, p: int) -> list[str]:
+    """``mt``: AR(3) and ridge (first ``p`` features) metrics of every split; ``tb``: the comparison table."""
+    names = ("rmse", "mae", "directional_accuracy", "n_predictions")
+    wide = ", ".join(f"max(CASE WHEN split = '{s}' THEN {c} END) AS {s}_{c}" for s in ("train", "validation", "test") for c in names)
+    lags = "SELECT *, CAST(right(feature, 1) AS INT) - 1 AS k FROM fm WHERE regexp_matches(feature, '^mom_pct_lag[123]$')"
+    return feature_matrix_ctes(view, target, n_pred) + split_date_ctes() + [
+        *_solved_fit("ar", 3, lags, 10, 0.0), *_solved_fit("ridge", p, "SELECT *, ordinal AS k FROM fm", 20, 1.0),
+        f"mt AS MATERIALIZED (SELECT entity_id, model, split, {METRICS_SELECT} FROM (SELECT * FROM par UNION ALL SELECT * FROM pridge)"
+        " GROUP BY 1, 2, 3)",
+        "en AS (SELECT DISTINCT entity_id FROM panel)",
+        "nt AS (SELECT entity_id, count(*) FILTER (WHERE split = 'train') AS n_train FROM sd GROUP BY 1)",
+        f"mw AS (SELECT entity_id, model, {wide} FROM mt GROUP BY 1, 2)",
+        "t0 AS (SELECT entity_id, model, CASE WHEN coalesce(n_train, 0) = 0 THEN 'No complete rows' WHEN n_train < least THEN"
+        " 'Insufficient training data' ELSE 'ok' END AS status, coalesce(n_train, 0) AS n_train, CASE WHEN n_train > 0 THEN few END AS n_features,"
+        " * EXCLUDE (entity_id, model, n_train, least, few) FROM en LEFT JOIN nt USING (entity_id)"
+        f" CROSS JOIN (VALUES ('ar', 10, 3), ('ridge', 20, {p})) v(model, least, few) LEFT JOIN mw USING (entity_id, model))",
+        "tb AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY test_rmse NULLS LAST, model) = 1 AND test_rmse IS NOT NULL AS best,"
+        " CASE WHEN test_directional_accuracy > 0.5 THEN 'has predictive power' WHEN test_rmse IS NOT NULL THEN 'no directional skill' END AS skill"
+        " FROM t0)",
+    ]

@@ -673,7 +673,7 @@ def _standardise(spark, d):
 # --------------------------------------------------------------- step 8: forest and comparison
 
 from panelcast.plans import comparison as CMP  # noqa: E402
-from panelcast.operators import forest as FR  # noqa: E402
+from panelcast.operators import forest as FR, trees as TR  # noqa: E402
 
 MET_SPEC = [("entity_id", "s"), ("model", "s"), ("split", "s"), ("rmse", 6), ("mae", 6),
             ("directional_accuracy", 6), ("n_predictions", "i")]
@@ -695,19 +695,62 @@ def _ridge_fit(spark, d):
     return fit.select("*", *[_F.col("coef")[i].alias(f"c{i}") for i in range(N_RIDGE)])
 
 
-@register("forest_fit", MET_SPEC, notes="pooled Spark ML forest; not bit-comparable to other engines")
+def _training(spark, d, view):
+    vec = materialize(CMP.vectors(CMP.split_matrix(panel_view(spark, d, view), TARGET)))
+    return vec, vec.filter(_F.col("split") == "train")
+
+
+@register("forest_fit", MET_SPEC, notes="100 trees of unlimited depth; the same trees as a recursive NumPy fit in tests")
 def _forest_fit(spark, d):
-    fm = CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)
-    vec = materialize(CMP.vectors(fm))
-    m = FR.fit_forest(vec.filter(_F.col("split") == "train"))
-    return EV.metrics(FR.predict_forest(m, vec), ["entity_id", "model", "split"])
+    vec, train = _training(spark, d, "monthly_orders")
+    nodes, _ = TR.fit_forest(train)
+    scored = vec.join(TR.predict(nodes, vec, ["entity_id", "date"]), ["entity_id", "date"])
+    return EV.metrics(scored.withColumn("model", _F.lit("forest")), ["entity_id", "model", "split"])
+
+
+NODE_SPEC = [("entity_id", "s"), ("tree", "i"), ("level", "i"), ("node", "i"), ("n", "i"), ("value", 4), ("feature", "s"),
+             ("threshold", 4)]
+FEW_ROWS = 5            # training rows that the two checks on small panels need
+
+
+def _feature_names(train):
+    return train.groupBy("entity_id").agg(_F.first("features").alias("features"))
+
+
+def _named_nodes(nodes, train):
+    return nodes.join(_feature_names(train), "entity_id").withColumn("feature", _F.expr("features[feature]"))
+
+
+@register("forest_depth2", NODE_SPEC,
+          S.with_(*S.forest_ctes("nation_priority", TARGET, 3, 2, TR.SEED, FEW_ROWS))
+          + " SELECT entity_id, tree, level, node, n, value, feature, thr AS threshold FROM nodes")
+def _forest_depth2(spark, d):
+    _, train = _training(spark, d, "nation_priority")
+    return _named_nodes(TR.fit_forest(train, 3, 2, min_rows=FEW_ROWS)[0], train)
+
+
+@register("importance_depth2", [("entity_id", "s"), ("rank", "i"), ("feature", "s"), ("importance", 6)],
+          S.with_(*S.forest_ctes("nation_priority", TARGET, 3, 2, TR.SEED, FEW_ROWS))
+          + " SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY round(importance, 9) DESC, feature) AS rank, feature, importance"
+            " FROM im")
+def _importance_depth2(spark, d):
+    _, train = _training(spark, d, "nation_priority")
+    return TR.importances(TR.fit_forest(train, 3, 2, min_rows=FEW_ROWS)[0], _feature_names(train))
+
+
+@register("boosted_stumps", NODE_SPEC,
+          S.with_(*S.stump_ctes("nation_priority", TARGET, 3, 0.3, FEW_ROWS))
+          + " SELECT entity_id, tree, level, node, n, value, feature, thr AS threshold FROM nodes")
+def _boosted_stumps(spark, d):
+    _, train = _training(spark, d, "nation_priority")
+    return _named_nodes(TR.boost(train, 3, 1, 0.3, min_rows=FEW_ROWS)[0], train)
 
 
 @register("top_importance", [("rank", "i"), ("feature", "s"), ("importance", 6)],
           notes="forest importances; their sum and order are tested")
 def _top_importance(spark, d):
-    cmp = CMP.compare(panel_view(spark, d, "monthly_orders"), TARGET)
-    return FR.top_importance(cmp.importance, 10)
+    _, train = _training(spark, d, "monthly_orders")
+    return FR.top_importance(TR.importances(TR.fit_forest(train)[0], _feature_names(train)), 10)
 
 
 @register("model_compare", MET_SPEC, notes="AR + ridge + forest metrics; ridge and AR against NumPy in tests")
@@ -757,13 +800,47 @@ def _model_table_shape(spark, d):
           S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET))
           + " SELECT count(DISTINCT ordinal) AS n_features, 1.0 AS total, TRUE AS top_first FROM fm")
 def _importance_total(spark, d):
-    vec = materialize(CMP.vectors(CMP.split_matrix(panel_view(spark, d, "monthly_orders"), TARGET)))
-    train = vec.filter(_F.col("split") == "train")
-    imp = FR.importances(FR.fit_forest(train), list(train.first()["features"]), spark)
-    top = FR.top_importance(imp, 1).agg(_F.max("importance").alias("most"))
+    _, train = _training(spark, d, "monthly_orders")
+    imp = materialize(TR.importances(TR.fit_forest(train, 10)[0], _feature_names(train)))
+    top = imp.agg(_F.max("importance")).first()[0]
     return imp.agg(_F.count(_F.lit(1)).alias("n_features"), _F.sum("importance").alias("total"),
-                   _F.max("importance").alias("_m")).join(top, _F.col("_m") == _F.col("most"), "left").select(
-        "n_features", "total", _F.col("most").isNotNull().alias("top_first"))
+                   _F.max((_F.col("rank") == 1) & (_F.col("importance") == top)).alias("top_first"))
+
+
+# The run as the reference has it: 10 predictors, 20 ridge features. Metrics of all models, checked in SQL.
+CAPPED = dict(n_predictors=10, ridge_features=CMP.RIDGE_FEATURES, with_forest=False)
+
+
+def _capped(spark, d, view="nation_priority"):
+    return CMP.compare(panel_view(spark, d, view), TARGET, **CAPPED)
+
+
+def _capped_sql(select: str, view: str = "nation_priority") -> str:
+    return S.with_(*S.comparison_ctes(view, TARGET, CAPPED["n_predictors"], CMP.RIDGE_FEATURES)) + select
+
+
+@register("compare_capped", MET_SPEC, _capped_sql(" SELECT * FROM mt", "monthly_orders"))
+def _compare_capped(spark, d):
+    return _capped(spark, d, "monthly_orders").metrics
+
+
+@register("model_table_capped", TABLE_SPEC, _capped_sql(" SELECT * FROM tb"))
+def _model_table_capped(spark, d):
+    return CMP.model_table(_capped(spark, d))
+
+
+@register("best_model_capped", [("entity_id", "s"), ("best_model", "s"), ("rmse", 6)],
+          _capped_sql(" SELECT entity_id, max(CASE WHEN best THEN model END) AS best_model,"
+                      " max(CASE WHEN best THEN test_rmse END) AS rmse FROM tb GROUP BY 1"))
+def _best_model_capped(spark, d):
+    return CMP.best_model(_capped(spark, d))
+
+
+@register("metrics_long_capped", [("entity_id", "s"), ("model", "s"), ("split", "s"), ("metric", "s"), ("value", 6)],
+          _capped_sql(" SELECT entity_id, model, split, unnest(['rmse', 'mae', 'directional_accuracy']) AS metric,"
+                      " unnest([rmse, mae, directional_accuracy]) AS value FROM mt", "monthly_orders"))
+def _metrics_long_capped(spark, d):
+    return CMP.metrics_long(_capped(spark, d, "monthly_orders").metrics)
 
 # --------------------------------------------------------------- step 9: second tier
 
@@ -892,8 +969,8 @@ def _pooled(spark, d, kind):
 
 
 POOLED_SQL = (S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET), *S.split_date_ctes())
-              + " SELECT split, count(*) AS n_predictions, CASE WHEN split = 'train' THEN TRUE END AS beats_mean"
-                " FROM sd GROUP BY 1")
+              + " SELECT split, count(*) AS n_predictions, CASE WHEN split = 'train' THEN var_pop(mom_pct) > 0 END AS beats_mean"
+                " FROM sd JOIN (SELECT DISTINCT entity_id, date, mom_pct FROM fm) USING (entity_id, date) GROUP BY 1")
 
 
 def _pooled_shape(spark, d, kind):

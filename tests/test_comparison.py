@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.operators import evaluate as EV, forest as FR, linear as LN
+from panelcast.operators import evaluate as EV, forest as FR, linear as LN, trees as TR
 from panelcast.plans import comparison as CMP
 
 
@@ -35,7 +35,7 @@ def test_model_table_has_a_row_with_a_reason_for_every_pair(spark, compared):
     assert t["b", "ridge"].n_features == 39
     assert t["c", "ar"].status == CMP.NO_ROWS and t["c", "ar"].n_train == 0
     assert t["d", "ridge"].status == LN.INSUFFICIENT and t["d", "ridge"].test_rmse is None
-    assert {t["a", "forest"].status, t["b", "forest"].status} <= {"ok", CMP.OTHER_FEATURES}
+    assert t["a", "forest"].status == t["b", "forest"].status == "ok" and t["b", "forest"].n_features == 39
     for r in t.values():
         if r.status == "ok" and r.model != "forest":
             assert r.train_n_predictions == r.n_train and r.test_n_predictions > 0 and r.train_rmse > 0
@@ -126,3 +126,103 @@ def test_lasso_meets_its_optimality_conditions(spark, pooled):
     assert (np.abs(grad) <= lam + 5e-3).all()
     on = np.abs(beta) > 1e-6
     assert np.allclose(grad[on], lam * np.sign(beta[on]), atol=5e-3)
+
+
+# ------------------------------------------------------------- trees
+
+def _weight(row, tree, seed=TR.SEED):
+    a = (row * 7919 + tree * 104729 + seed * 1299709 + 12345) % TR.PRIME
+    for c in (1013904223, 362437):
+        a = (a * a + c) % TR.PRIME
+    return sum(a / TR.PRIME >= p for p in TR.POISSON)
+
+
+def _tree(x, t, w, depth=None):
+    """A recursive fit: (position, left, right) or the value, and what it finds for a row."""
+    s, n = int((w * t).sum()), int(w.sum())
+    if t.min() == t.max() or depth == 0:
+        return s / n / 1e6
+    best = None
+    for f in range(x.shape[1]):
+        v = np.unique(x[:, f])
+        for a, b in zip(v, v[1:]):
+            left = x[:, f] <= a
+            wl, sl = float(w[left].sum()), float((w * t)[left].sum())
+            g = sl * sl / wl + (s - sl) * (s - sl) / (n - wl)
+            if best is None or g > best[0]:
+                mid = (a + b) / 2
+                best = (g, f, mid if mid < b else a)
+    if best is None:
+        return s / n / 1e6
+    left = x[:, best[1]] <= best[2]
+    more = None if depth is None else depth - 1
+    return best[1], best[2], _tree(x[left], t[left], w[left], more), _tree(x[~left], t[~left], w[~left], more)
+
+
+def _value(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def _vectors(spark, entities, p=4, seed=5):
+    rng = np.random.default_rng(seed)
+    rows, data = [], {}
+    for e, n in entities.items():
+        x = np.round(rng.normal(size=(n, p)), 2)
+        x[:, 1] = np.round(x[:, 1])                      # ties
+        x[0, 2], x[1, 2] = np.inf, -np.inf
+        y = np.round(x[:, 0] * 2 + (x[:, 1] > 0) * 3 + rng.normal(size=n) * 0.3, 4)
+        x[2], y[2] = x[3], y[3] + 1                      # rows that nothing tells apart
+        data[e] = x, y
+        rows += [(e, dt.date(2000, 1, 1) + dt.timedelta(days=i), float(y[i]), x[i].tolist(), [f"f{j}" for j in range(p)]) for i in range(n)]
+    return spark.createDataFrame(rows, "entity_id string, date date, y double, x array<double>, features array<string>"), data
+
+
+def test_forest_of_unlimited_depth_is_the_recursive_one(spark):
+    df, data = _vectors(spark, {"a": 40, "b": 33, "few": 10})
+    nodes, fits = TR.fit_forest(df, n_trees=3)
+    assert {r.entity_id: r.status for r in fits.collect()} == {"a": "ok", "b": "ok", "few": LN.INSUFFICIENT}
+    assert nodes.agg(F.max("level")).first()[0] > 5
+    got = {(r.entity_id, (r.date - dt.date(2000, 1, 1)).days): r.prediction for r in TR.predict(nodes, df, ["entity_id", "date"]).collect()}
+    assert {e for e, _ in got} == {"a", "b"}
+    for e in "ab":
+        x, y = data[e]
+        t = np.round(y * 1e6).astype(np.int64)
+        want = np.zeros(len(y))
+        for k in range(3):
+            w = np.array([_weight(i, k) for i in range(len(y))])
+            tree = _tree(x[w > 0], t[w > 0], w[w > 0])
+            want += np.array([_value(tree, r) for r in x]) / 3
+        assert np.allclose([got[e, i] for i in range(len(y))], want, atol=1e-9)
+
+
+def test_importances_per_entity_sum_to_one(spark):
+    df, _ = _vectors(spark, {"a": 40, "b": 33})
+    nodes, _ = TR.fit_forest(df, n_trees=3)
+    imp = TR.importances(nodes, df.groupBy("entity_id").agg(F.first("features").alias("features"))).collect()
+    for e in "ab":
+        own = sorted((r for r in imp if r.entity_id == e), key=lambda r: r["rank"])
+        assert len(own) == 4 and abs(sum(r.importance for r in own) - 1) < 1e-9 and own[0].feature == "f0"
+        assert [r.importance for r in own] == sorted((r.importance for r in own), reverse=True)
+
+
+def test_boosting_adds_trees_on_the_residual(spark):
+    df, data = _vectors(spark, {"a": 35, "b": 31})
+    nodes, _ = TR.boost(df, rounds=2, max_depth=2, rate=0.5)
+    got = {(r.entity_id, (r.date - dt.date(2000, 1, 1)).days): r.prediction for r in TR.predict_boosted(nodes, df, ["entity_id", "date"]).collect()}
+    for e in "ab":
+        x, y = data[e]
+        p = np.full(len(y), np.round(y * 1e6).mean() / 1e6)
+        for _ in range(2):
+            tree = _tree(x, np.round((y - p) * 1e6).astype(np.int64), np.ones(len(y), np.int64), 2)
+            p = p + 0.5 * np.array([_value(tree, r) for r in x])
+        assert np.allclose([got[e, i] for i in range(len(y))], p, atol=1e-6)
+
+
+def test_trees_share_bins_beyond_the_limit_and_take_no_rows(spark):
+    df, data = _vectors(spark, {"a": 60})
+    cells = TR.binned(TR.positions(df), 8).collect()
+    assert {c.bin for r in cells for c in r.cells} == set(range(1, 9))
+    nodes, fits = TR.fit_forest(df.limit(0), n_trees=2)
+    assert nodes.count() == 0 and fits.count() == 0 and TR.predict(nodes, df, ["entity_id", "date"]).count() == 0
