@@ -44,6 +44,7 @@ SAMPLE = 4096                 # rows that pivots are chosen from
 CHUNK_BYTES = 8 << 20         # of queries broadcast at once
 CELLS = 1 << 20               # components of candidates taken at once
 TILE = 64                     # queries whose bounds are held at once
+STEPS = (128, 512, 2048)      # candidates of a block scored before the threshold is looked at again
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 
@@ -89,13 +90,15 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def bound(dq: np.ndarray, dx: np.ndarray, q2: np.ndarray, x2: np.ndarray) -> np.ndarray:
     """(queries, rows) upper bounds of the scores from distances to the same pivots,
     widened by more than the rounding of float32 distances."""
-    low = np.zeros((len(dq), len(dx)), np.float32)
+    low, gap = np.zeros((len(dq), len(dx)), np.float32), np.empty((len(dq), len(dx)), np.float32)
+    across = np.ascontiguousarray(dx.T)
     with np.errstate(over="ignore", invalid="ignore"):
         for p in range(dq.shape[1]):
-            a, b = dq[:, p, None], dx[None, :, p]
-            np.fmax(low, np.abs(a - b) - np.float32(1e-6) * (a + b), out=low)
-        total = q2[:, None] + x2[None, :]
-        out = (total * (1 + 1e-9) + 1 - low.astype(np.float64) ** 2) / 2
+            np.subtract(dq[:, p, None], across[p][None, :], out=gap)
+            np.fmax(low, np.abs(gap, out=gap), out=low)
+        low -= np.float32(1e-6) * (dq.max(1, initial=0)[:, None] + dx.max(1, initial=0)[None, :])
+        low = np.fmax(low, 0)
+        out = ((q2[:, None] + x2[None, :]) * (1 + 1e-9) + 1 - low.astype(np.float64) ** 2) / 2
     return np.where(np.isnan(out), np.inf, out)
 
 
@@ -127,15 +130,24 @@ class Best:
 
 def evaluate(best: Best, q: np.ndarray, own: int, x: np.ndarray, ub: np.ndarray, null: np.ndarray,
              ids: np.ndarray, uid: np.ndarray) -> int:
-    """Candidates in bound order until the next bound is below the k-th best; returns how many were scored."""
+    """Candidates in bound order until the next bound is below the k-th best, ``STEPS`` of them at a time and at last
+    all that are left above it; returns how many were scored."""
     at = np.flatnonzero((ub >= best.least) & (uid != own))
-    at = at[np.argsort(-ub[at], kind="stable")]
-    done, step = 0, 128
-    while done < len(at) and ub[at[done]] >= best.least:
+    done, head = 0, sum(STEPS)
+    if len(at) > head:
+        at = at[np.argpartition(-ub[at], head)]
+    at = np.concatenate([at[:head][np.argsort(-ub[at[:head]])], at[head:]])
+    for step in STEPS:
         part = at[done:done + step]
+        if not len(part) or ub[part[0]] < best.least:
+            return done
         best.add(products(x[part], q), null[part], ids[part], uid[part])
-        done, step = done + len(part), step * 4
-    return done
+        done += len(part)
+    part = at[done:][ub[at[done:]] >= best.least]
+    if len(part):
+        scores = products(x, q)[part] if 2 * len(part) > len(x) else products(x[part], q)
+        best.add(scores, null[part], ids[part], uid[part])
+    return done + len(part)
 
 
 def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
