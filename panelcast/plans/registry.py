@@ -1170,6 +1170,12 @@ def _stream_hourly(spark, d):
     return INC.hourly_panel_incremental(spark, d)
 
 
+@register("stream_state_hourly", [("entity_id", "s"), ("series_id", "s"), ("date", "t"), ("value", 2)],
+          S.with_(S.panel_cte("hourly_events")) + " SELECT * FROM panel")
+def _stream_state_hourly(spark, d):
+    return INC.hourly_panel_incremental(spark, d, state=True)
+
+
 @register("feature_matrix_lags_only", FM_SPEC,
           S.with_(*S.feature_matrix_ctes("monthly_orders", TARGET))
           + " SELECT entity_id, date, mom_pct, feature, ordinal, value FROM"

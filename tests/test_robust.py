@@ -171,6 +171,70 @@ def test_stream_goes_on_replays_and_compacts(spark, tmp_path):
     assert _panel_of(spark, out) == EXPECTED
 
 
+def _lose_last_commit(out):
+    last = max(int(f) for f in os.listdir(os.path.join(out, "_checkpoint", "commits")) if f.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        os.remove(os.path.join(out, "_checkpoint", "commits", name))
+
+
+@pytest.mark.parametrize("state", [False, True])
+def test_stream_compacts_with_a_lost_commit_and_crashes(spark, tmp_path, state):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    _event_files(src, [[(10 * i + j, DAY, "click", 1) for j in range(5)] for i in range(3)])
+    run = INC.run_state_updates if state else INC.run_updates
+    run(spark, str(src), out, max_files_per_trigger=1)
+    want = [("click", "2024-01-10 05:00:00", 15.0, 15)]
+    assert _panel_of(spark, out) == want
+    _lose_last_commit(out)                       # batch 2 has its partials, but will run again
+    INC.compact(spark, out)
+    assert _panel_of(spark, out) == want and os.listdir(os.path.join(out, "base")) != []
+    run(spark, str(src), out, max_files_per_trigger=1)
+    assert _panel_of(spark, out) == want
+    broken = os.path.join(out, "base", "upto=2")     # a compaction that crashed before its mark
+    os.makedirs(broken)
+    (tmp_path / "out" / "base" / "upto=2" / "part-0.parquet").write_bytes(b"half a file")
+    assert _panel_of(spark, out) == want
+    INC.compact(spark, out)
+    INC.compact(spark, out)
+    assert _panel_of(spark, out) == want
+    assert [n for n in os.listdir(os.path.join(out, "partials")) if n.startswith("batch_id=")] == []
+
+
+NULLS = [[(None, DAY, "click", 1), (None, DAY, "click", 2), (None, DAY, "click", 1)], [(None, DAY, "click", 2), (7, None, "view", 5)],
+         [(7, None, "view", 5), (8, DAY, "view", 3)]]
+
+
+def test_events_without_id_are_known_by_their_columns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    _event_files(tmp_path / "in", NULLS)
+    INC.run_updates(spark, str(tmp_path / "in"), str(tmp_path / "a"), max_files_per_trigger=1)
+    assert sorted(_panel_of(spark, str(tmp_path / "a"))) == [("click", "2024-01-10 05:00:00", 3.0, 2), ("view", "2024-01-10 05:00:00", 3.0, 1),
+                                                           ("view", "None", 5.0, 1)]
+    INC.run_state_updates(spark, str(tmp_path / "in"), str(tmp_path / "b"), max_files_per_trigger=1)
+    assert _panel_of(spark, str(tmp_path / "b")) == [("click", "2024-01-10 05:00:00", 3.0, 2), ("view", "2024-01-10 05:00:00", 3.0, 1)]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_state_does_not_depend_on_file_order_within_the_horizon(spark, tmp_path, order):
+    (tmp_path / "in").mkdir()
+    _event_files(tmp_path / "in", [BATCHES[i] for i in order])
+    got = INC.run_state_updates(spark, str(tmp_path / "in"), str(tmp_path / "out"), horizon="10 days", max_files_per_trigger=1)
+    assert _panel_of(spark, str(tmp_path / "out")) == EXPECTED
+    assert got["duplicates"] == 1 and got["rejected"] == 0
+
+
+def test_state_rejects_what_is_older_than_the_horizon_and_expires(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    far = [(9, DAY + dt.timedelta(days=40), "click", 32)]
+    _event_files(tmp_path / "in", [*BATCHES[:2], far, [(1, DAY, "click", 1), (20, DAY, "click", 64)]])
+    out = str(tmp_path / "out")
+    got = INC.run_state_updates(spark, str(tmp_path / "in"), out, horizon="1 day", max_files_per_trigger=1)
+    assert got["rejected"] >= 2 and got["ids"] == 1            # the replayed id 1 and the late 20; older ids have left the state
+    panel = {(r[0], r[1]): r[3] for r in _panel_of(spark, out)}
+    assert panel["click", "2024-01-10 05:00:00"] == 1 and panel["click", "2024-02-19 05:00:00"] == 1
+
+
 def test_workers_find_the_package_from_another_folder(tmp_path):
     code = (f"import sys; sys.path.insert(0, {REPO!r})\n"
             "from pyspark.sql import SparkSession\n"
