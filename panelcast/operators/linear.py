@@ -337,3 +337,52 @@ def chow_test(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
 
     r = g.mapInPandas(stat, schema)
     return r.withColumn("chow_f", F.when(~F.isnan("chow_f"), F.col("chow_f")))
+
+
+TRIM = 0.15
+
+
+def break_test(rows: DataFrame, keys: Sequence[str], p: int, trim: float = TRIM) -> DataFrame:
+    """Structural break at an unknown date. Every date that leaves at least ``trim`` of the rows (and 2k of them, k = p + 1) on
+    either side is tried: one window pass carries the running sums of products of (1, x, y), the group's sums less these are the
+    suffix, and each row is solved by itself, so all dates cost one pass. Returns (keys, n, break_date, sup_f): the largest Chow F
+    and the first row after that break (ties: the earliest); NULL where no date can be tried."""
+    keys = list(keys)
+    k = p + 1
+    # centred by the group's means, so that the running sums stay small
+    means = rows.groupBy(*keys).agg(F.avg("y").alias("_my"), *[F.avg(F.col("x")[i]).alias(f"_m{i}") for i in range(p)])
+    v = ["1.0", *[f"(x[{i}] - _m{i})" for i in range(p)], "(y - _my)"]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    along = Window.partitionBy(*keys).orderBy("date")
+    whole = Window.partitionBy(*keys)
+    parts = rows.join(means, keys).select(*keys, "date", F.row_number().over(along).alias("_r"), F.count(F.lit(1)).over(whole).alias("_n"),
+                                          F.lead("date").over(along).alias("_next"),
+                                          F.array(*[F.expr(f"{v[i]} * {v[j]}") for i, j in pairs]).alias("_q"))
+    sums = parts.select(*keys, "_r", "_n", "_next", F.array(*[F.sum(F.col("_q")[i]).over(along) for i in range(len(pairs))]).alias("_a"),
+                        F.array(*[F.sum(F.col("_q")[i]).over(whole) for i in range(len(pairs))]).alias("_t"))
+    least = F.greatest(F.lit(2 * k), F.ceil(F.col("_n") * F.lit(trim)))
+    tried = sums.filter((F.col("_r") >= least) & (F.col("_r") <= F.col("_n") - least))
+    schema = T.StructType([*[rows.schema[c] for c in keys], T.StructField("_next", rows.schema["date"].dataType), T.StructField("f", T.DoubleType())])
+
+    def rss(q: np.ndarray) -> np.ndarray:
+        m = np.zeros((len(q), k + 1, k + 1))
+        for at, (i, j) in enumerate(pairs):
+            m[:, i, j] = m[:, j, i] = q[:, at]
+        b = m[:, :k, k]
+        return m[:, k, k] - (solve_each(m[:, :k, :k], b) * b).sum(1)
+
+    def stat(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            a, t = _stack(pdf["_a"]), _stack(pdf["_t"])
+            n = pdf["_n"].to_numpy(float)
+            pooled, parted = rss(t), rss(a) + rss(t - a)
+            out = pdf[[*keys, "_next"]].copy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out["f"] = np.where((n > 2 * k) & (parted > 0), ((pooled - parted) / k) / (parted / (n - 2 * k)), np.nan)
+            yield out
+    f = tried.mapInPandas(stat, schema).filter(F.col("f").isNotNull() & ~F.isnan("f"))
+    best = f.groupBy(*keys).agg(F.max("f").alias("sup_f"), F.max_by("_next", F.struct("f", -F.datediff("_next", F.lit("1970-01-01").cast("date"))))
+                                .alias("break_date"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(best, keys, "left").select(*keys, "n", "break_date", "sup_f")

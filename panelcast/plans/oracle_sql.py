@@ -550,3 +550,77 @@ def comparison_ctes(view: str, target: str, n_pred: int, p: int) -> list[str]:
         " CASE WHEN test_directional_accuracy > 0.5 THEN 'has predictive power' WHEN test_rmse IS NOT NULL THEN 'no directional skill' END AS skill"
         " FROM t0)",
     ]
+
+
+# ------------------------------------------------------------------ selection, breaks
+
+def lasso_pair_ctes(view: str, target: str, share: float, min_rows: int) -> list[str]:
+    """``lp``: the two-feature lasso in closed form: both in with their signs, one alone, or none."""
+    return training_ctes(view, target, min_rows) + [
+        "w2 AS (SELECT entity_id, row, max(y) AS y, max(x) FILTER (WHERE f = 0) AS x0, max(x) FILTER (WHERE f = 1) AS x1 FROM tx WHERE f < 2 GROUP BY 1, 2)",
+        "st AS (SELECT entity_id, count(*) AS n, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1, stddev_pop(x0) AS d0, stddev_pop(x1) AS d1,"
+        " covar_pop(x0, y) / stddev_pop(x0) AS b0, covar_pop(x1, y) / stddev_pop(x1) AS b1, corr(x0, x1) AS r FROM w2 GROUP BY 1)",
+        f"la AS (SELECT *, {share}::DOUBLE * greatest(abs(b0), abs(b1)) AS lam FROM st)",
+        "bo AS (SELECT entity_id, (b0 - lam * s0 - r * (b1 - lam * s1)) / (1 - r * r) AS u0, (b1 - lam * s1 - r * (b0 - lam * s0)) / (1 - r * r) AS u1"
+        " FROM la, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) v(s0, s1) WHERE (b0 - lam * s0 - r * (b1 - lam * s1)) * s0 > 0"
+        " AND (b1 - lam * s1 - r * (b0 - lam * s0)) * s1 > 0)",
+        "so AS (SELECT la.*, u0, u1, sign(b0) * greatest(abs(b0) - lam, 0) AS a0, sign(b1) * greatest(abs(b1) - lam, 0) AS a1 FROM la LEFT JOIN bo USING (entity_id))",
+        "lw AS (SELECT *, CASE WHEN u0 IS NOT NULL THEN u0 WHEN abs(b1 - r * a0) <= lam THEN a0 ELSE 0 END AS w0,"
+        " CASE WHEN u0 IS NOT NULL THEN u1 WHEN abs(b1 - r * a0) <= lam THEN 0 ELSE a1 END AS w1 FROM so)",
+        "lp AS (SELECT entity_id, n AS n_train, lam AS penalty, w0 / d0 AS c0, w1 / d1 AS c1, my - m0 * w0 / d0 - m1 * w1 / d1 AS intercept FROM lw)",
+    ]
+
+
+def stepwise_ctes(view: str, target: str, steps: int, min_rows: int, f_enter: float) -> list[str]:
+    """``sw``: forward selection by sweeping the long table of centred products, one step for each CTE group."""
+    out = training_ctes(view, target, min_rows) + [
+        "al2 AS (SELECT entity_id, row, f, x FROM tx UNION ALL SELECT entity_id, row, -1, y FROM tr)",
+        "g0 AS MATERIALIZED (SELECT a.entity_id, a.f AS i, b.f AS j, covar_pop(a.x, b.x) * count(*) AS v FROM al2 a JOIN al2 b"
+        " ON a.entity_id = b.entity_id AND a.row = b.row GROUP BY 1, 2, 3)",
+        "dg AS (SELECT entity_id, i, v AS first FROM g0 WHERE i = j)",
+        "nn AS (SELECT entity_id, count(*) AS n FROM tr GROUP BY 1)"]
+    for s in range(1, steps + 1):
+        old = f"g{s - 1}"
+        gone = "".join(f" AND NOT EXISTS (FROM k{t} z WHERE z.entity_id = d.entity_id AND z.k = d.i)" for t in range(1, s))
+        out += [
+            f"k{s} AS MATERIALIZED (SELECT entity_id, k, rss, fs FROM (SELECT d.entity_id, d.i AS k, yy.v - c.v * c.v / d.v AS rss,"
+            f" (c.v * c.v / d.v) / ((yy.v - c.v * c.v / d.v) / (n - {s + 1})) AS fs, c.v * c.v / d.v AS gain FROM {old} d"
+            f" JOIN {old} c ON c.entity_id = d.entity_id AND c.i = d.i AND c.j = -1"
+            f" JOIN {old} yy ON yy.entity_id = d.entity_id AND yy.i = -1 AND yy.j = -1 JOIN nn ON nn.entity_id = d.entity_id"
+            f" JOIN dg ON dg.entity_id = d.entity_id AND dg.i = d.i WHERE d.i = d.j AND d.i >= 0 AND d.v > 1e-9 * first AND n - {s + 1} >= 1{gone}"
+            f" QUALIFY row_number() OVER (PARTITION BY d.entity_id ORDER BY gain DESC, d.i) = 1) WHERE fs >= {f_enter})",
+            f"g{s} AS MATERIALIZED (SELECT g.entity_id, g.i, g.j, g.v - a.v * b.v / p.v AS v FROM {old} g JOIN k{s} k USING (entity_id)"
+            f" JOIN {old} a ON a.entity_id = g.entity_id AND a.i = g.i AND a.j = k.k JOIN {old} b ON b.entity_id = g.entity_id AND b.i = k.k AND b.j = g.j"
+            f" JOIN {old} p ON p.entity_id = g.entity_id AND p.i = k.k AND p.j = k.k)"]
+    union = " UNION ALL ".join(f"SELECT entity_id, {s} AS step, k, rss, fs FROM k{s}" for s in range(1, steps + 1))
+    return out + [f"sw AS (SELECT u.entity_id, step, feature, rss, fs AS f FROM ({union}) u JOIN nf ON nf.entity_id = u.entity_id AND nf.f = u.k)"]
+
+
+def break_ctes(view: str, trim: float) -> list[str]:
+    """``bt``: sup-F of AR(3) per series: running and remaining sums of products, each solved by elimination."""
+    k = "entity_id, series_id"
+    v = ["1.0::DOUBLE", "z1", "z2", "z3", "zy"]
+    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+    run = ", ".join(f"sum({v[i]} * {v[j]}) OVER w AS p{i}_{j}, sum({v[i]} * {v[j]}) OVER t AS q{i}_{j}" for i, j in pairs)
+
+    def system(expr) -> str:
+        return ", ".join([f"{expr(min(i, j), max(i, j))} AS a{i}_{j}" for i in range(4) for j in range(4)]
+                         + [f"{expr(i, 4)} AS b{i}" for i in range(4)] + [f"{expr(i, 4)} AS h{i}" for i in range(4)] + [f"{expr(4, 4)} AS yy"])
+    sides = " UNION ALL ".join(
+        f"SELECT {k}, r, nxt, n, {side} AS side, {system(e)} FROM pf" for side, e in (
+            (0, lambda i, j: f"q{i}_{j}"), (1, lambda i, j: f"p{i}_{j}"), (2, lambda i, j: f"(q{i}_{j} - p{i}_{j})")))
+    return ar_ctes(view)[:4] + [
+        f"mn AS (SELECT {k}, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3 FROM ar GROUP BY 1, 2)",
+        "cn AS (SELECT ar.entity_id, ar.series_id, date, x1 - m1 AS z1, x2 - m2 AS z2, x3 - m3 AS z3, y - my AS zy FROM ar JOIN mn"
+        " ON ar.entity_id = mn.entity_id AND ar.series_id = mn.series_id)",
+        f"pf AS MATERIALIZED (SELECT * FROM (SELECT {k}, row_number() OVER w AS r, lead(date) OVER w AS nxt, count(*) OVER t AS n, {run} FROM cn"
+        f" WINDOW w AS (PARTITION BY {k} ORDER BY date), t AS (PARTITION BY {k}))"
+        f" WHERE r >= greatest(8, ceil(n * {trim}::DOUBLE)) AND r <= n - greatest(8, ceil(n * {trim}::DOUBLE)))",
+        f"sd3 AS MATERIALIZED ({sides})",
+        *elimination_ctes("sd3", f"{k}, r, nxt, n, side, yy, h0, h1, h2, h3", 4),
+        f"rs AS (SELECT {k}, r, max(nxt) AS nxt, max(n) AS n, sum(yy - (h0 * w0 + h1 * w1 + h2 * w2 + h3 * w3)) FILTER (WHERE side = 0) AS sp,"
+        " sum(yy - (h0 * w0 + h1 * w1 + h2 * w2 + h3 * w3)) FILTER (WHERE side > 0) AS sh FROM solved GROUP BY 1, 2, 3)",
+        f"fs AS (SELECT {k}, nxt, ((sp - sh) / 4) / (sh / (n - 8)) AS f FROM rs WHERE n > 8 AND sh > 0)",
+        f"bt AS (SELECT a.entity_id, a.series_id, a.n, b.break_date, b.sup_f FROM (SELECT {k}, count(*) AS n FROM ar GROUP BY 1, 2) a LEFT JOIN"
+        f" (SELECT {k}, max(f) AS sup_f, arg_max(nxt, f) AS break_date FROM fs GROUP BY 1, 2) b USING (entity_id, series_id))",
+    ]

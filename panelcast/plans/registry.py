@@ -890,6 +890,52 @@ def _latest_vintage(spark, d):
     return AL.latest_vintage(obs, vintage="vintage", tie="event_id")
 
 
+# Vintages of a day's value: every event is a revision, published 6 hours to 4 days after it happened.
+VINTAGE_SQL = ("vt AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, ts + INTERVAL 6 HOUR + (event_id % 5) * INTERVAL 22 HOUR AS known,"
+               " event_id, CAST(value AS DOUBLE) AS value FROM events)",
+               "v1 AS (SELECT series_id, date, known, arg_max(value, event_id) AS value FROM vt GROUP BY ALL)")
+KNOWN_SPEC = [("series_id", "s"), ("known", "t"), ("value", 2), ("source_date", "d"), ("source_known", "t")]
+
+
+def _vintages(spark, d):
+    ev = VW.read_table(spark, d, "events", ["event_id", "event_type", "ts", "value"])
+    wait = _F.expr("ts + INTERVAL 6 HOUR + (event_id % 5) * INTERVAL 22 HOUR")
+    return ev.select(_F.col("event_type").alias("series_id"), _F.col("ts").cast("date").alias("date"), wait.alias("known"),
+                     _F.col("value").cast("double").alias("value"), "event_id")
+
+
+@register("known_latest", KNOWN_SPEC,
+          S.with_(*VINTAGE_SQL, S.panel_cte("hourly_events"), "rq AS (SELECT series_id, date AS known FROM panel)",
+                  "j AS (SELECT rq.series_id, rq.known, max(CASE WHEN v1.known IS NOT NULL THEN struct_pack(a := v1.date, b := v1.known, c := v1.value) END) AS m"
+                  " FROM rq LEFT JOIN v1 ON v1.series_id = rq.series_id AND v1.known <= rq.known GROUP BY 1, 2)")
+          + " SELECT series_id, known, m.c AS value, m.a AS source_date, m.b AS source_known FROM j")
+def _known_latest(spark, d):
+    asked = panel_view(spark, d, "hourly_events").select("series_id", _F.col("date").alias("known"))
+    return AL.known_then(asked, _vintages(spark, d), tie="event_id")
+
+
+@register("known_exact", [("series_id", "s"), ("date", "d")] + KNOWN_SPEC[1:],
+          S.with_(*VINTAGE_SQL, "rq AS (SELECT DISTINCT series_id, date, CAST(date AS TIMESTAMP) + INTERVAL 2 DAY AS known FROM vt)")
+          + " SELECT rq.series_id, rq.date, rq.known, v1.value, v1.date AS source_date, v1.known AS source_known FROM rq ASOF LEFT JOIN v1"
+            " ON v1.series_id = rq.series_id AND v1.date = rq.date AND rq.known >= v1.known")
+def _known_exact(spark, d):
+    v = _vintages(spark, d)
+    asked = v.select("series_id", "date").distinct().withColumn("known", _F.expr("CAST(date AS TIMESTAMP_NTZ) + INTERVAL 2 DAY"))
+    return AL.known_then(asked, v, valid="exact", tie="event_id")
+
+
+@register("known_upto", [("series_id", "s"), ("date", "d")] + KNOWN_SPEC[1:],
+          S.with_(*VINTAGE_SQL, "rq AS (SELECT DISTINCT series_id, date, CAST(date AS TIMESTAMP) + INTERVAL 36 HOUR AS known FROM vt)",
+                  "j AS (SELECT rq.series_id, rq.date, rq.known, max(CASE WHEN v1.known IS NOT NULL THEN struct_pack(a := v1.date, b := v1.known,"
+                  " c := v1.value) END) AS m FROM rq LEFT JOIN v1 ON v1.series_id = rq.series_id AND v1.known <= rq.known AND v1.date <= rq.date"
+                  " GROUP BY 1, 2, 3)")
+          + " SELECT series_id, date, known, m.c AS value, m.a AS source_date, m.b AS source_known FROM j")
+def _known_upto(spark, d):
+    v = _vintages(spark, d)
+    asked = v.select("series_id", "date").distinct().withColumn("known", _F.expr("CAST(date AS TIMESTAMP_NTZ) + INTERVAL 36 HOUR"))
+    return AL.known_then(asked, v, valid="upto", tie="event_id")
+
+
 @register("lags12", PANEL_SPEC + [(f"value_lag{k}", 2) for k in range(1, 13)],
           _win_sql("nation_monthly", [(f"value_lag{k}", f"lag(value, {k}) {S.w()}") for k in range(1, 13)]))
 def _lags12(spark, d):
@@ -957,7 +1003,7 @@ def _spread(spark, d):
 
 # --------------------------------------------------------------- step 9: second tier
 
-from panelcast.operators import diagnostics as DG, validation as VL  # noqa: E402
+from panelcast.operators import diagnostics as DG, selection as SL, validation as VL  # noqa: E402
 from panelcast.streaming import incremental as INC  # noqa: E402
 
 
@@ -997,6 +1043,40 @@ def _lasso(spark, d):
     return _pooled(spark, d, "lasso")
 
 
+LASSO_SHARE = 0.3
+
+
+@register("lasso_pair", [("entity_id", "s"), ("n_train", "i"), ("penalty", 6), ("c0", 6), ("c1", 6), ("intercept", 4)],
+          S.with_(*S.lasso_pair_ctes("nation_priority", TARGET, LASSO_SHARE, FEW_ROWS)) + " SELECT * FROM lp")
+def _lasso_pair(spark, d):
+    vec = CMP.vectors(CMP.split_matrix(panel_view(spark, d, "nation_priority"), TARGET), 2)
+    fit = SL.fit_lasso(vec.filter(_F.col("split") == "train"), share=LASSO_SHARE, min_rows=FEW_ROWS)
+    return fit.filter("status = 'ok'").select("*", _F.col("coef")[0].alias("c0"), _F.col("coef")[1].alias("c1"))
+
+
+@register("lasso_entities", MET_SPEC, notes="lasso per nation on all features; optimality conditions in tests")
+def _lasso_entities(spark, d):
+    vec, train = _training(spark, d, "nation_priority")
+    fit = SL.fit_lasso(train, min_rows=FEW_ROWS)
+    return EV.metrics(LN.predict(vec, fit, ["entity_id"]), ["entity_id", "model", "split"])
+
+
+STEPS, F_ENTER = 3, 4.0
+
+
+@register("stepwise_order", [("entity_id", "s"), ("step", "i"), ("feature", "s"), ("rss", 4), ("f", 4)],
+          S.with_(*S.stepwise_ctes("monthly_orders", TARGET, STEPS, 10, F_ENTER)) + " SELECT entity_id, step, feature, rss, f FROM sw")
+def _stepwise_order(spark, d):
+    _, train = _training(spark, d, "monthly_orders")
+    return SL.forward_stepwise(train, max_steps=STEPS, f_enter=F_ENTER)
+
+
+@register("break_date", [("entity_id", "s"), ("series_id", "s"), ("n", "i"), ("break_date", "d"), ("sup_f", 4)],
+          S.with_(*S.break_ctes("supplier_monthly", LN.TRIM)) + " SELECT entity_id, series_id, n, break_date, sup_f FROM bt")
+def _break_date(spark, d):
+    return LN.break_test(LN.ar_rows(panel_view(spark, d, "supplier_monthly")), SER, 3)
+
+
 @register("gbt_fit", MET_SPEC, notes="pooled gradient-boosted trees (pyspark.ml); invariants tested")
 def _gbt(spark, d):
     return _pooled(spark, d, "gbt")

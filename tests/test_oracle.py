@@ -43,6 +43,7 @@ TESTED_ELSEWHERE = {
     "gbt_fit": "test_comparison.py::test_pooled_models_beat_the_mean_on_train",
     "lasso_fit": "test_comparison.py::test_lasso_meets_its_optimality_conditions",
     "top_importance": "test_comparison.py::test_importances_per_entity_sum_to_one",
+    "lasso_entities": "test_selection.py::test_lasso_meets_its_optimality_conditions_per_entity",
     "model_compare": "test_comparison.py::test_comparison_against_numpy",
     "model_table": "test_comparison.py::test_model_table_has_a_row_with_a_reason_for_every_pair",
     "best_model": "test_comparison.py::test_best_model_is_the_smallest_test_rmse",
