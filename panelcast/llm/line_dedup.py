@@ -44,6 +44,7 @@ from panelcast.session import Spool
 
 SLOTS = 4                    # of a filter bucket
 SHARD_KEYS = 1 << 16         # duplicated keys a shard is planned for
+GROWN = 2                    # an index with so many times its planned keys is dealt into more shards
 PROBE_ROWS = 1 << 18         # postings in one probe group
 KEY = ["h1", "h2"]
 
@@ -98,8 +99,12 @@ class CuckooFilter:
         return self.table.tobytes()
 
     def _place(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        fp = ((h2.view(np.uint64) >> np.uint64(20)).astype(np.uint16) | np.uint16(1))
-        return fp, (h1.view(np.uint64) & np.uint64(len(self.table) - 1)).astype(np.int64)
+        """Fingerprints from the high bits of h2, buckets from its low ones: h1 has chosen the shard."""
+        h = h2.view(np.uint64)
+        return (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1), (h & np.uint64(len(self.table) - 1)).astype(np.int64)
+
+    def load_factor(self) -> float:
+        return float((self.table > 0).mean())
 
     def _other(self, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
         return at ^ ((fp.astype(np.int64) * 0x5BD1E995) & (len(self.table) - 1))
@@ -126,18 +131,14 @@ class CuckooFilter:
         """False if the table is too full; the caller then rebuilds a larger one."""
         fp, at = self._place(h1, h2)
         rng = np.random.default_rng(7)
+        left = self._fill(fp, at)
+        fp, at = fp[left], self._other(fp[left], at[left])
         for _ in range(400):
-            if not len(fp):
-                return True
-            left = self._fill(fp, at)
-            fp, at = fp[left], self._other(fp[left], at[left])
-            if not len(fp):
-                return True
             left = self._fill(fp, at)
             fp, at = fp[left], at[left]
             if not len(fp):
                 return True
-            _, one = np.unique(at, return_index=True)    # one eviction for each full bucket
+            _, one = np.unique(at, return_index=True)    # one eviction for each full bucket; what went moves on
             slot = rng.integers(0, SLOTS, len(one))
             out = self.table[at[one], slot].copy()
             self.table[at[one], slot] = fp[one]
@@ -233,13 +234,18 @@ def _update_filters(index: LineIndex, refs: DataFrame, touched: DataFrame) -> Da
 
 def insert(index: LineIndex, docs: DataFrame, min_chars: int = 10) -> LineIndex:
     """Adds documents whose ids are new to the index. Earlier postings are not
-    read: the batch's counts are added to the reference table."""
+    read: the batch's counts are added to the reference table, which is written anew. An index that has
+    outgrown its shards gets more of them."""
     batch = index.sp.put(postings_of(docs, min_chars))
     new = index.sp.put(_refs(batch))
     refs = index.sp.put(index.refs.unionByName(new).groupBy(*KEY).agg(
         F.sum("refs").alias("refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    return LineIndex(index.postings.unionByName(batch), refs, _update_filters(index, refs, new.select(*KEY)),
-                     index.shards, index.sp)
+    postings = index.postings.unionByName(batch)
+    dups = refs.filter("lo <> hi").count()
+    if dups > GROWN * index.shards * SHARD_KEYS:             # past its plan: more shards, filters from the exact counts
+        shards = -(-dups // SHARD_KEYS)
+        return LineIndex(postings, refs, index.sp.put(_filters(refs.filter("lo <> hi"), shards)), shards, index.sp)
+    return LineIndex(postings, refs, _update_filters(index, refs, new.select(*KEY)), index.shards, index.sp)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
