@@ -35,6 +35,7 @@ from panelcast.llm.common import spool
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+CACHE = 1 << 18                       # answers about keys that a task keeps
 #: A-Z become lower case; bytes that are no letter, digit or part of a code point above U+007F become spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
              for c in range(256))
@@ -51,8 +52,35 @@ class Depth:
     keys: np.ndarray                  # big-endian words as bytes, so byte order is word order
     lead: np.ndarray                  # sorted distinct leading words (:func:`_lead`)
     first: np.ndarray                 # first owner of each key, and the total
-    item: np.ndarray                  # owners by key: index of the item,
-    position: np.ndarray              # and the place of the window in it
+    code: np.ndarray                  # owners by key, ascending: index of the item << 32 | place of the window in it
+    cache: dict                       # what has been asked of the keys so far
+
+    def owners(self, k: int) -> np.ndarray:
+        return self.code[self.first[k]:self.first[k + 1]]
+
+    def remembered(self, question: tuple, answer) -> list:
+        got = self.cache.get(question)
+        if got is None:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            got = self.cache[question] = answer()
+        return got
+
+    def items(self, k: int) -> list[int]:
+        """Distinct items that hold a key."""
+        return self.remembered(("i", k), lambda: np.unique(self.owners(k) >> 32).tolist())
+
+    def begin(self, before: int, k: int) -> list[int]:
+        """Owners of ``k`` that do not continue one of ``before`` (-1: no key), the key one place earlier."""
+        own = self.owners(k)
+        return self.remembered(("b", before, k), lambda: (
+            own if before < 0 else own[~np.isin(own, self.owners(before) + 1)]).tolist())
+
+    def end(self, k: int, after: int) -> list[int]:
+        """Owners of ``k`` that are not continued by one of ``after``, the key one place later."""
+        own = self.owners(k)
+        return self.remembered(("e", k, after), lambda: (
+            own if after < 0 else own[~np.isin(own, self.owners(after) - 1)]).tolist())
 
 
 @dataclass
@@ -82,7 +110,8 @@ def prepare(items: list[tuple], window: int) -> Block:
         item = np.repeat(np.array([at for at, _ in owners]), counts)
         position = np.concatenate([np.arange(c) for c in counts])
         depths.append(Depth(depth, keys, np.unique(_lead(grid.astype(np.int64), len(vocabulary))),
-                            np.searchsorted(which[order], np.arange(len(keys) + 1)), item[order], position[order]))
+                            np.searchsorted(which[order], np.arange(len(keys) + 1)),
+                            (item.astype(np.int64) << 32 | position)[order], {}))
     return Block([i for i, _ in items], vocabulary, depths)
 
 
@@ -127,15 +156,23 @@ def search(block: Block, tokens: np.ndarray) -> Iterator[tuple[Depth, np.ndarray
             yield at_depth, place, key
 
 
-def longest(matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Joins (item, item position, document position, words) along diagonals."""
-    out: list[tuple[int, int, int, int]] = []
-    for item, p, q, w in sorted(set(matches), key=lambda x: (x[0], x[2] - x[1], x[1])):
-        if out and out[-1][0] == item and out[-1][2] - out[-1][1] == q - p and p <= out[-1][1] + out[-1][3]:
-            out[-1] = (item, out[-1][1], out[-1][2], max(out[-1][3], p + w - out[-1][1]))
-        else:
-            out.append((item, p, q, w))
-    return out
+def longest(at: Depth, place: np.ndarray, key: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(item, item position, place, words) of the longest matches among ascending ``place`` with their ``key``.
+
+    A match starts where an owner of a key does not continue one of the key before, and ends where none of
+    the next continues it; starts and ends pair up along each diagonal. So a repetitive text costs its
+    matches, not its places times the owners of their keys."""
+    starts: list[tuple[int, int, int]] = []
+    ends: list[tuple[int, int, int]] = []
+    places, keys = place.tolist(), key.tolist()
+    for i, (q, k) in enumerate(zip(places, keys)):
+        before = keys[i - 1] if i and places[i - 1] == q - 1 else -1
+        after = keys[i + 1] if i + 1 < len(keys) and places[i + 1] == q + 1 else -1
+        starts += [(c >> 32, q - (c & 0xFFFFFFFF), q) for c in at.begin(before, k)]
+        ends += [(c >> 32, q - (c & 0xFFFFFFFF), q) for c in at.end(k, after)]
+    starts.sort()
+    ends.sort()
+    return [(item, q - diagonal, q, stop - q + at.depth) for (item, diagonal, q), (_, _, stop) in zip(starts, ends)]
 
 
 def _pass(docs: DataFrame, block_at, window: int) -> DataFrame:
@@ -164,17 +201,19 @@ def _pass(docs: DataFrame, block_at, window: int) -> DataFrame:
             spans = [[(s["start"], s["stop"]) for s in x] for x in pick("_dc_spans").to_pylist()]
             items = [set(x) for x in pick("_dc_items").to_pylist()]
             full = [[tuple(m.values()) for m in x] for x in pick("_dc_longest").to_pylist()]
-            found: dict[int, list] = {}
+            hit = set()
             for at, place, key in search(block, tokens):
+                order = np.argsort(place)
+                place, key = place[order], key[order]
                 doc = np.searchsorted(bounds, place, "right") - 1
-                for d, q, k in zip(doc.tolist(), (place - bounds[doc]).tolist(), key.tolist()):
-                    spans[d].append((q, q + at.depth))
-                    own = slice(at.first[k], at.first[k + 1])
-                    found.setdefault(d, []).extend((i, p, q, at.depth) for i, p in zip(
-                        at.item[own].tolist(), at.position[own].tolist()))
-            for d, ms in found.items():
-                items[d] |= {str(block.ids[m[0]]) for m in ms}
-                full[d] += [(str(block.ids[at]), p, q, w) for at, p, q, w in longest(ms)]
+                cut = np.flatnonzero(np.diff(doc)) + 1
+                for d, q, k in zip(doc[np.r_[0, cut]].tolist(), np.split(place, cut), np.split(key, cut)):
+                    q = q - bounds[d]
+                    spans[d] += [(x, x + at.depth) for x in q.tolist()]
+                    items[d].update(str(block.ids[i]) for x in np.unique(k).tolist() for i in at.items(x))
+                    full[d] += [(str(block.ids[i]), p, x, w) for i, p, x, w in longest(at, q, k)]
+                    hit.add(d)
+            for d in hit:
                 spans[d] = _union(spans[d])
             cols = [pick(c) for c in carried]
             yield pa.record_batch(
