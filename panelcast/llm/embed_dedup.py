@@ -149,6 +149,7 @@ def table_masks(bits: int, n: int, threshold: float, recall: float = RECALL, see
 
 def unit(list_col: pa.Array, dim: int) -> np.ndarray:
     x = list_col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(1, keepdims=True)              # squares of very large or small components stay in range
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
