@@ -21,7 +21,7 @@ Defined results: null or empty text has fingerprint 0 and links like any
 other; fewer words than a shingle: the whole sequence is the only shingle; a
 null ``doc_id`` takes its group's component (null if no member has an id) and
 makes no link of its own; rows that repeat a ``doc_id`` each keep their row;
-an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+an empty table gives an empty result. :func:`keep_one` judges rows, not ids. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -68,12 +68,15 @@ def fingerprint(text: bytes | None, k: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+def fingerprints(docs: DataFrame, k: int = 4, carried: str | None = None) -> DataFrame:
+    """(doc_id, fp long) of every row, and the long column ``carried``."""
+    more = [] if carried is None else [carried]
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, k) for t in b.column(1).cast(pa.binary()).to_pylist()]
-        return pa.record_batch([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+        return pa.record_batch([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *more])
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *more), run,
+                       "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 # ----------------------------------------------------- statistics, plan
@@ -221,13 +224,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, max_bits:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` without the near copies: of each component the document whose
-    id names it stays. Rows without an id stay; of rows that repeat an id the
-    smallest by its other columns stays."""
-    stay = (near_duplicates(spark, docs, k, max_bits).filter("doc_id = component_id")
-            .select(F.col("doc_id").alias("_sh_id")).distinct())
-    others = [c for c in docs.columns if c != "doc_id"]
-    named = docs.join(stay, F.col("doc_id").cast("long") == F.col("_sh_id"), "left_semi")
-    one = (named.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_sh_row"))
-           .select("doc_id", "_sh_row.*"))
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    """``docs`` without the near copies: of each component the row with the smallest id stays, of rows that
+    share it the first in the table's order. Every row is judged by its own fingerprint, so a
+    different text under a repeated id is a row of its own; rows without an id are judged alike and come last."""
+    sp = spool(spark)
+    rows = sp.put(docs.withColumn("_sh_row", F.monotonically_increasing_id()))
+    # the operator links rows, each under an id of its own
+    prints = sp.put(fingerprints(rows.select(F.col("_sh_row").alias("doc_id"), "text", F.col("doc_id").cast("long").alias("own")), k, "own"))
+    linked = sp.put(link(spark, prints, max_bits, sp).select(F.col("doc_id").alias("row"), "own", "component_id"))
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "row")).alias("_f")).select(
+        F.col("_f.row").alias("row"))
+    gone = linked.join(first, "row", "left_anti").select(F.col("row").alias("_sh_row"))
+    return rows.join(sp.put(gone), "_sh_row", "left_anti").select(*docs.columns)
