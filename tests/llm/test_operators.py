@@ -142,6 +142,35 @@ def test_cuckoo_filter_inserts_finds_and_deletes():
     assert f.contains(h[:10_000, 0], h[:10_000, 1]).mean() < 0.002
 
 
+@pytest.mark.parametrize("shards", [1, 16, 64])
+def test_cuckoo_filters_are_as_full_whatever_the_number_of_shards(shards):
+    rng = np.random.default_rng(12)
+    h = rng.integers(-2**63, 2**63 - 1, (40_000 * shards, 2), dtype=np.int64)
+    own = h[h[:, 0] % shards == shards // 2]                  # the keys of one shard
+    f = line_dedup.build_filter(own[:, 0], own[:, 1])
+    assert f.load_factor() >= 0.4 and f.contains(own[:, 0], own[:, 1]).all()
+    other = h[h[:, 0] % shards != shards // 2] if shards > 1 else rng.integers(-2**63, 2**63 - 1, (40_000, 2), dtype=np.int64)
+    assert f.contains(other[:200_000, 0], other[:200_000, 1]).mean() < 0.002
+
+
+def test_line_dedup_is_reversible_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    frame = lambda x: spark.createDataFrame(x, DOCS)
+    rows = [(i, "\n".join("shared line %d" % j for j in range(i, i + 6))) for i in range(20)]
+    index = line_dedup.build(spark, frame(rows))
+    assert index.shards > 1
+    more = [(100 + i, "\n".join("shared line %d" % j for j in range(15 + 3 * i, 24 + 3 * i))) for i in range(30)]
+    before = index.shards
+    index = line_dedup.insert(index, frame(more))
+    assert index.shards > 2 * before                          # dealt anew
+    rows += more
+    assert _lines_of(line_dedup.apply(index, frame(rows))) == brute_lines(rows)
+    index = line_dedup.delete(index, frame(rows[::3]).select("doc_id"))
+    index = line_dedup.insert(index, frame([(500, "shared line 3\nshared line 90\nnew and only here")]))
+    rows = [r for i, r in enumerate(rows) if i % 3] + [(500, "shared line 3\nshared line 90\nnew and only here")]
+    assert _lines_of(line_dedup.apply(index, frame(rows))) == brute_lines(rows)
+
+
 # ---------------------------------------------------------- decontamination
 
 def test_decontamination_against_brute_force(spark):
@@ -569,8 +598,11 @@ def test_simhash_against_brute_force(spark, monkeypatch):
         assert got == expect
     kept = simhash_dedup.keep_one(spark, frame)
     assert kept.columns == frame.columns
-    want = [i for i, _, c in expect if i == str(c)]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(set(want)) + ["None"]
+    stays = {}
+    for row, l in sorted(zip(rows, lab), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        stays.setdefault(l, row)                              # (3, "same id") is a text of its own
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(i), t) for i, t in stays.values())
+    assert ("3", "same id") in {(str(i), t) for i, t in stays.values()}
     assert simhash_dedup.near_duplicates(spark, frame.limit(0)).count() == 0
     assert simhash_dedup.keep_one(spark, frame.limit(0)).count() == 0
 
@@ -587,6 +619,44 @@ def test_pigeonhole_plans_are_complete_at_every_size(n):
         assert any(d & m == 0 for m in masks)
 
 
+def test_longest_matches_of_repetitive_texts_are_few(spark):
+    import time
+    block = decontaminate.prepare([(1, b"a " * 400), (2, b"a b " * 30)], 10)
+    tokens = np.full(20_000, block.vocabulary[b"a"], np.int32)
+    t = time.perf_counter()
+    (at, place, key), = decontaminate.search(block, tokens)
+    order = np.argsort(place)
+    got = decontaminate.longest(at, place[order], key[order])
+    assert time.perf_counter() - t < 1.5 and len(got) == 20_000 - 9 + 391 - 1
+    assert max(w for *_, w in got) == 400
+    rng = np.random.default_rng(13)                          # against a plain walk along the diagonals
+    items = [(i, " ".join(rng.choice(list("abc"), 25)).encode()) for i in range(4)]
+    block = decontaminate.prepare(items, 3)
+    words = rng.choice(list("abc"), 120).tolist()
+    tokens = np.array([block.vocabulary[w.encode()] for w in words], np.int32)
+    (at, place, key), = decontaminate.search(block, tokens)
+    order = np.argsort(place)
+    want = []
+    for i, (_, t) in enumerate(items):
+        own = t.decode().split()
+        for d in range(-len(own), len(words)):
+            run = 0
+            for p in range(len(own) + 1):
+                if p < len(own) and 0 <= p + d < len(words) and own[p] == words[p + d]:
+                    run += 1
+                else:
+                    want += [(i, p - run, p - run + d, run)] * (run >= 3)
+                    run = 0
+    assert sorted(decontaminate.longest(at, place[order], key[order])) == sorted(want)
+
+
+def test_embeddings_of_extreme_size_link(spark):
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [3.0, 6.0]), (3, [-1.0, 5.0]), (4, [5e-324, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(
+        spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4)}
+
+
 # ------------------------------------------------------------------- quality
 
 def test_quality_accuracy_and_edge_cases(spark):
