@@ -398,14 +398,42 @@ def test_html_marks_spare_the_article_and_most_of_the_text(spark):
     assert got == [whole] * 4 + ["R\ns\nS\nm\nThe rest.", whole]
 
 
+def test_html_comments_headers_and_side_articles(spark):
+    body = "<p>A body that is long enough to be the article of this page.</p>"
+    text = "A body that is long enough to be the article of this page."
+    pages = [f"<article>{body}<section class=comments><article class=comment>{'Reader says. ' * 30}</article></section></article>",
+             f"<article class=post><header><h1>Head</h1><p>Standfirst</p></header>{body}<footer>by</footer></article>"
+             "<section id=comments><article class='comment odd'>a</article><article class=comment>b</article></section>",
+             f"<div><h1>T</h1>{body}</div><div class=sidebar><article>side</article></div>",
+             f"<div><h1>T</h1>{body}</div><div class=related><article>teaser</article><article>teaser two</article></div>",
+             f"<script src=/a/>var leak=1;</script><article>{body}</article><script src=/b/ />",
+             f"<header>Site</header><div class=content>{body}</div><div class=comments><p>{'More than the body says. ' * 30}</p></div>",
+             "<div>" * 800 + body + "</div>" * 800]
+    got = _extracted(spark, *[("http://s%d.x/" % i, p) for i, p in enumerate(pages)])
+    assert got == [text, f"Head\nStandfirst\n{text}", f"T\n{text}", f"T\n{text}", text, text, text]
+
+
+def test_html_slots_of_the_wrapper_decide(spark):
+    """The same words are template in the slot where every page has them, and text where they fill another one."""
+    page = "<div class=top><p>Daily news</p></div><h1>{0}</h1><div class=body><p>Text {0}</p>{1}</div><div>Find us</div>"
+    more = ["", "<p>Daily news</p>", "<p>Find us</p><p>b</p>"]
+    urls = [f"http://a.b/{i}" for i in range(3)]
+    got = _extracted(spark, *zip(urls, [page.format(i, m) for i, m in enumerate(more)]))
+    assert got == ["0\nText 0", "1\nText 1\nDaily news", "2\nText 2\nFind us\nb"]
+    assert html_extract.Matcher(None).text(page.format(0, "")) == "Daily news\n0\nText 0\nFind us"      # without the wrapper
+    order = [html_extract.expression(page.format(i, m)) for i, m in enumerate(more)]
+    w = html_extract.aligned({str(i): html_extract.counted(x) for i, x in enumerate(order)})
+    assert html_extract.loaded(html_extract.dumped(w)) == w
+
+
 def test_wrapper_inference_finds_groups():
     pages = ["<h1>a</h1><p>1</p><p>2</p>", "<h1>b</h1><p>3</p>", "<h1>c</h1><h2>new</h2><p>4</p><p>5</p><p>6</p>"]
     w = None
     for p in pages:
-        e = html_extract.expression(p)
+        e = html_extract.counted(html_extract.expression(p))
         w = e if w is None else html_extract.align(w, e)
     assert html_extract.shape(w) == "h1 (h2)? (p)+"
-    long = html_extract.expression("".join(f"<p>{i}</p><h3>x</h3><div>y</div><h4>z</h4><h5>u</h5><h6>v</h6>" for i in range(300)))
+    long = html_extract.counted(html_extract.expression("".join(f"<p>{i}</p><h3>x</h3><div>y</div><h4>z</h4><h5>u</h5><h6>v</h6>" for i in range(300))))
     assert {s[0] for s in html_extract.slots(html_extract._align_in_order(long, w))} >= {"p", "h1", "h2", "h6"}
 
 
