@@ -16,7 +16,7 @@ Defined results: null text is empty; null turns come last, ties by role and
 text; a null conv_id is a conversation of its own; a parent that is missing or
 is the node itself makes the node a root; nodes on or under a cycle have no
 root-to-leaf path and are left out; rows that repeat a node id are turns at the
-same depth; an empty table gives an empty result; other columns are ignored.
+same depth, in the order of their pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,7 +97,8 @@ def chosen_paths(messages: DataFrame, sp: Spool, best: int = 1) -> DataFrame:
         if step.isEmpty():
             break
         steps.append(step)
-        above = (done.select("_conv", F.col("node_id").alias("up"), F.lit(None).cast("long").alias("up2"),
+        open_ = sp.put(step.select("_conv").distinct())          # the conversations that this round is about
+        above = (done.join(open_, "_conv", "left_semi").select("_conv", F.col("node_id").alias("up"), F.lit(None).cast("long").alias("up2"),
                              "depth", F.col("total").alias("more"))
                  .unionByName(step.select("_conv", F.col("node_id").alias("up"), F.col("up").alias("up2"),
                                           F.lit(None).cast("long").alias("depth"), F.col("score").alias("more"))))
@@ -211,7 +212,7 @@ def read_back(pieces: DataFrame) -> DataFrame:
         if out:
             yield batch(out, kind)
     return (pieces.withColumn("_conv", _conv()).repartition("_conv")
-            .sortWithinPartitions("_conv", "path_rank", "depth").drop("_conv")
+            .sortWithinPartitions("_conv", "path_rank", "depth", "piece").drop("_conv")
             .mapInArrow(run, f"conv_id {conv_type}, path_rank int, n_turns long, turns_sha256 string, "
                              "loss_chars long, loss_sha256 string, formatted_chars long"))
 

@@ -36,7 +36,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame(chat_format.PROBE, rows.schema))
-    messages = sp.put(chat_format.number_turns(spark, rows, sp))
+    messages = chat_format.number_turns(spark, rows, sp)          # written before the turns are numbered
     out = chat_format.read_back(chat_format.format_paths(spark, messages))
     return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
