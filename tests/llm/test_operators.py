@@ -465,6 +465,18 @@ def test_chat_rows_against_brute_force(spark):
     assert chat_format.read_back(empty).count() == 0
 
 
+def test_chat_rows_that_repeat_a_node_have_an_order(spark):
+    rows = [(1, 0, None, "user", "top", 0.0)] + [(1, 1, 0, "assistant", f"reply {k % 7}", 0.0) for k in range(21)]
+    want = None
+    for parts in (1, 3, 5):
+        frame = spark.createDataFrame(rows[::-1 if parts == 3 else 1], "conv_id long, node_id long, parent_id long, role string, text string, score double")
+        got = chat_format.read_back(chat_format.format_paths(spark, frame.repartition(parts))).collect()[0]
+        said = ["user\ntop\n"] + [f"assistant\nreply {k}\n" for k in range(7) for _ in range(3)]
+        assert got.n_turns == 22 and got.turns_sha256 == hashlib.sha256("".join(said).encode()).hexdigest()
+        assert want in (None, got)
+        want = got
+
+
 def test_reply_trees_enumerate_and_rank_paths(spark):
     rng = np.random.default_rng(6)
     nodes = [(1, 0, None, 1.0)] + [(1, i, int(rng.integers(0, i)), float(rng.integers(0, 5))) for i in range(1, 60)]
