@@ -65,10 +65,18 @@ def _gram_schema(df: DataFrame, keys: list[str], with_names: bool = True) -> T.S
 def gram_any(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """As :func:`gram` for any number of features, taken from each group's own
     rows. A group whose rows differ in their feature count gets a row with
-    NULL sums."""
+    NULL sums. A batch sends the co-moments of a group, or its rows where these are
+    smaller (fewer rows than features)."""
     keys = list(keys)
     schema = _gram_schema(df, keys)
-    names = [f.name for f in schema.fields]
+    sent = T.StructType([*schema.fields, T.StructField("p", T.LongType()), T.StructField("rows", T.ArrayType(T.DoubleType()))])
+    names, sent_names = [f.name for f in schema.fields], [f.name for f in sent.fields]
+
+    def moments(x: np.ndarray, y: np.ndarray) -> tuple:
+        mx, my = x.mean(0), y.mean()
+        with np.errstate(invalid="ignore"):                # inf stays visible in the sums
+            xc, yc = x - mx, y - my
+            return len(y), mx, my, xc.T @ xc, xc.T @ yc, float(yc @ yc)
 
     def partial(batches):
         for pdf in batches:
@@ -79,39 +87,45 @@ def gram_any(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             for key, g in pdf.groupby([*keys, "_p"], sort=False, dropna=False):
                 x = np.stack(g["x"].map(np.asarray).to_numpy()).astype(float).reshape(-1, key[-1])
                 y = g["y"].to_numpy(float)
-                mx, my = x.mean(0), y.mean()
-                with np.errstate(invalid="ignore"):        # inf stays visible in the sums
-                    xc, yc = x - mx, y - my
-                    rec = dict(zip(keys, key))
-                    rec.update(n=len(y), mean_y=my, mean_x=mx.tolist(), features=list(g["features"].iloc[0]),
-                               xtx=(xc.T @ xc).ravel().tolist(), xty=(xc.T @ yc).tolist(), yty=float(yc @ yc))
+                rec = dict.fromkeys(sent_names) | dict(zip(keys, key)) | {
+                    "n": len(y), "p": key[-1], "features": list(g["features"].iloc[0])}
+                if len(y) < key[-1]:
+                    rec["rows"] = np.column_stack([x, y]).ravel().tolist()
+                else:
+                    _, mx, my, xtx, xty, yty = moments(x, y)
+                    rec.update(mean_y=my, mean_x=mx.tolist(), xtx=xtx.ravel().tolist(), xty=xty.tolist(), yty=yty)
                 out.append(rec)
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=sent_names)
 
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        n_b = parts["n"].to_numpy(float)
         rec = dict.fromkeys(names) | {k: parts.iloc[0][k] for k in keys}
-        sizes = {len(m) for m in parts["mean_x"]}
-        if len(sizes) > 1:
-            rec.update(n=int(n_b.sum()))
+        if parts["p"].nunique() > 1:
+            rec.update(n=int(parts["n"].sum()))
             return pd.DataFrame([rec], columns=names)
-        p = sizes.pop()
-        mx_b = np.stack(parts["mean_x"].map(np.asarray).to_numpy()).astype(float)
-        my_b = parts["mean_y"].to_numpy(float)
+        p = int(parts["p"].iloc[0])
+        whole = parts[parts["rows"].isna()]
+        each = [(r.n, np.asarray(r.mean_x, float), r.mean_y, np.asarray(r.xtx, float).reshape(p, p), np.asarray(r.xty, float), r.yty)
+                for r in whole.itertuples()]
+        raw = [np.asarray(r, float).reshape(-1, p + 1) for r in parts["rows"].dropna()]
+        if raw:
+            rows = np.concatenate(raw)
+            each.append(moments(rows[:, :p], rows[:, p]))
+        n_b = np.array([e[0] for e in each], float)
+        mx_b, my_b = np.stack([e[1] for e in each]), np.array([e[2] for e in each])
         n = n_b.sum()
         with np.errstate(invalid="ignore"):
             mx, my = (n_b[:, None] * mx_b).sum(0) / n, (n_b * my_b).sum() / n
             dx, dy = mx_b - mx, my_b - my
-            xtx = sum(np.asarray(a, float).reshape(p, p) for a in parts["xtx"]) + (n_b[:, None] * dx).T @ dx
-            xty = sum(np.asarray(a, float) for a in parts["xty"]) + (n_b[:, None] * dx).T @ dy
-            yty = parts["yty"].sum() + (n_b * dy) @ dy
+            xtx = sum(e[3] for e in each) + (n_b[:, None] * dx).T @ dx
+            xty = sum(e[4] for e in each) + (n_b[:, None] * dx).T @ dy
+            yty = sum(e[5] for e in each) + (n_b * dy) @ dy
         rec.update(n=int(n), mean_y=my, mean_x=mx.tolist(), features=list(parts["features"].iloc[0]),
                    xtx=xtx.ravel().tolist(), xty=xty.tolist(), yty=float(yty))
         return pd.DataFrame([rec], columns=names)
 
     vec = df.select(*keys, "y", "x", "features")
     # one partial row per (group, Arrow batch); the merge group is that small
-    return vec.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merge, schema)
+    return vec.mapInPandas(partial, sent).groupBy(*keys).applyInPandas(merge, schema)
 
 
 def _fit_schema(keys_schema: T.StructType) -> T.StructType:

@@ -234,6 +234,42 @@ def _series_files(spark, d):
                                                 F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
 
 
+@register("series_stems", [("key", "s"), ("series_id", "s"), ("n", "i"), ("first_date", "d"), ("value", 2)],
+          S.with_(S.panel_cte("daily_ship"))
+          + " SELECT 'market_' || lower(series_id) AS key, series_id, count(*) AS n, min(date) AS first_date, sum(value) AS value"
+            " FROM panel GROUP BY 1, 2",
+          notes="a file for each series, named by its key; the key is read back from the name")
+def _series_stems(spark, d):
+    from pyspark.sql import functions as F
+    p = panel_view(spark, d, "daily_ship").withColumn("date", F.col("date").cast("string"))
+    p = p.withColumn("key", F.concat(F.lit("market_"), F.lower("series_id")))
+    rows = OB.read_series_files(spark, _landed(spark, lambda path: SK.write_series_files(p, path)))
+    return rows.groupBy("key", "series_id").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"),
+                                                F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
+
+
+def _age_files(spark, folder: str, days: float) -> None:
+    """Makes the files of a folder look ``days`` old."""
+    import time
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(top):
+        if f.isFile():
+            fs.setTimes(f.getPath(), int((time.time() - days * 86400) * 1000), -1)
+
+
+@register("fresh_files", [("category", "s"), ("series_id", "s"), ("date", "d"), ("value", 2)],
+          S.with_(*S.collected_ctes()) + " SELECT category, series_id, date, value FROM cp WHERE category <> 'bond_market'",
+          notes="one category's files are 2.1 days old and refused, another's are 1.9 days old and used")
+def _fresh_files(spark, d):
+    from pyspark.sql import functions as F
+    path = _landed(spark, lambda p: SK.write_series_json(CT.collected_panel(spark, d), p))
+    _age_files(spark, f"{path}/category=bond_market", 2.1)
+    _age_files(spark, f"{path}/category=macro_indicators", 1.9)
+    fresh = OB.read_fresh_series(spark, path, multi_line=False)
+    return fresh.withColumn("category", F.regexp_extract(F.col("_metadata.file_path"), "category=([^/]+)/", 1))
+
+
 @register("tolerant_json", [("series_id", "s"), ("n_good", "i"), ("n_rejected", "i")],
           "SELECT event_type AS series_id, count(*) FILTER (WHERE event_id % 17 <> 0) AS n_good,"
           " count(*) FILTER (WHERE event_id % 17 = 0) AS n_rejected FROM events GROUP BY 1",

@@ -19,6 +19,36 @@ def write_panel_parquet(panel: DataFrame, path: str, mode: str = "overwrite") ->
     panel.write.mode(mode).partitionBy("category").parquet(path)
 
 
+def write_series_files(panel: DataFrame, path: str, key: str = "key") -> None:
+    """One Parquet file for each value of ``key``, named by it (``<key>.parquet``), as file-per-series consumers and
+    :func:`sources.observations.read_series_files` expect them. Files are written by the executors, one task for
+    each key, and only renamed here; for many series :func:`write_panel_parquet` is the better layout."""
+    spark = panel.sparkSession
+    staged = f"{path.rstrip('/')}/_staged"
+    panel.repartition(key).write.mode("overwrite").partitionBy(key).parquet(staged)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = where(staged)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(top):
+        if folder.isDirectory() and "=" in (name := folder.getPath().getName()):
+            parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+            for i, part in enumerate(parts):
+                stem = name.split("=", 1)[1] + (f".{i}" if i else "")
+                fs.rename(part, where(f"{path.rstrip('/')}/{stem}.parquet"))
+    fs.delete(top, True)
+
+
+def write_bucketed(panel: DataFrame, table: str, path: str, buckets: int = 64, mode: str = "overwrite") -> DataFrame:
+    """SK3 / SC5 for repeated use: a table bucketed by (entity_id, series_id) and sorted by date within. Windows per series and joins on
+    the series key read it without an exchange; with ``spark.sql.requireAllClusterKeysForCoPartition=false``
+    so do joins that also match the date. One file for each bucket, so that its order is known. ``buckets`` is for the caller to
+    choose by size (a bucket is a task); two tables join in place if they have the same number."""
+    keys = ["entity_id", "series_id"]
+    (panel.repartition(buckets, *keys).sortWithinPartitions(*keys, "date").write.mode(mode)
+     .bucketBy(buckets, *keys).sortBy(*keys, "date").option("path", path).saveAsTable(table))
+    return panel.sparkSession.table(table)
+
+
 def nested_blocks(panel: DataFrame, block_size: int = 512) -> DataFrame:
     """SK2: the nested ``{category: {series: [records]}}`` export as bounded
     blocks. Each output row holds at most ``block_size`` date-ordered records
