@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelcast.functions.ieee import pearson
 from panelcast.operators.features import predictor_features
@@ -141,6 +144,62 @@ def lead_lag(analysis: DataFrame, max_lag: int = 6, y: str = "y") -> DataFrame:
             .filter(F.col("correlation").isNotNull() & ~F.isnan("correlation")))
 
 
+def lead_lag_all(analysis: DataFrame, max_lag: int) -> DataFrame:
+    """W11 for wide ranges: as :func:`lead_lag`, for every series and feature of the analysis frame
+    (:func:`analysis_series`) and all lags -max_lag..max_lag at once. Products at all shifts come from one Fourier transform of each
+    series, the other sums of the overlapping rows from running sums: n log n for any number of
+    lags. A group is one series of one entity, bounded by the calendar; a feature with non-finite
+    values is correlated shift by shift."""
+    keys = ["entity_id", "series_id"]
+    schema = T.StructType([*[analysis.schema[k] for k in keys], T.StructField("feature_idx", T.LongType()),
+                           T.StructField("variable", T.StringType()), T.StructField("lag", T.LongType()),
+                           T.StructField("correlation", T.DoubleType())])
+
+    def series(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        y = pdf["y"].to_numpy(float)
+        name = pdf["_key"].iloc[0]
+        top = min(max_lag, len(y) - 2)
+        lags = np.arange(-top, top + 1) if top >= 0 else np.arange(0)
+        out = []
+        for i, feature in enumerate(FEATURE_SUFFIXES):
+            r = correlations_at(y, pdf[feature].to_numpy(float), lags)
+            keep = np.isfinite(r)
+            out.append(pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "feature_idx": i, "variable": f"{name}_{feature}",
+                                     "lag": lags[keep], "correlation": r[keep]}))
+        return pd.concat(out)[[f.name for f in schema.fields]]
+    return (analysis.withColumn("_key", series_key("series_id")).groupBy(*keys).applyInPandas(series, schema))
+
+
+def correlations_at(y: np.ndarray, x: np.ndarray, lags: np.ndarray) -> np.ndarray:
+    """Pearson correlation of y[t] with x[t - lag] (lag > 0) or y[t - |lag|] with x[t], over the rows that
+    overlap; NaN where a side is constant or holds a non-finite value."""
+    n, out = len(y), np.full(len(lags), np.nan)
+    if not len(lags):
+        return out
+    if not (np.isfinite(y).all() and np.isfinite(x).all()):
+        for i, k in enumerate(lags):
+            a, b = (y[k:], x[:n - k]) if k >= 0 else (y[:n + k], x[-k:])
+            if np.isfinite(a).all() and np.isfinite(b).all():
+                out[i] = correlations_at(a, b, np.zeros(1, int))[0]
+        return out
+    sy, sx = y.std() or 1.0, x.std() or 1.0
+    y, x = (y - y.mean()) / sy, (x - x.mean()) / sx                 # sums stay near n
+    size = 1 << (2 * n - 1).bit_length()
+    both = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)      # at k: sum of y[t] x[t - k]
+    run = lambda v: np.concatenate([[0.0], np.cumsum(v)])
+    cy, cx, cyy, cxx = run(y), run(x), run(y * y), run(x * x)
+    shift = np.abs(lags)
+    m = n - shift
+    lead = lags >= 0
+    part = lambda c, late: np.where(late, c[n] - c[shift], c[m])
+    a, aa, b, bb = part(cy, lead), part(cyy, lead), part(cx, ~lead), part(cxx, ~lead)
+    va, vb = aa - a * a / m, bb - b * b / m
+    ok = (va > 1e-12 * n) & (vb > 1e-12 * n)
+    out[ok] = ((both[lags] - a * b / m)[ok]) / np.sqrt(va[ok] * vb[ok])
+    return out
+
+
 def lead_lag_top(panel: DataFrame, target_series: str, top_k: int = 5,
                  max_lag: int = 6) -> DataFrame:
     """Lead-lag correlations for the top-k ranked variables of each entity;

@@ -573,6 +573,19 @@ def _lead_lag(spark, d):
     return RL.lead_lag_top(panel_view(spark, d, "nation_priority"), TARGET, top_k=5, max_lag=LL)
 
 
+WIDE_LAGS = 24
+
+
+@register("lead_lag_wide", [("entity_id", "s"), ("variable", "s"), ("lag", "i"), ("correlation", 6)],
+          S.with_(*S.analysis_ctes("monthly_orders", TARGET),
+                  "nb AS (SELECT *, row_number() OVER (PARTITION BY entity_id, variable ORDER BY date) AS t FROM al)",
+                  f"sh AS (SELECT a.entity_id, a.variable, a.t - b.t AS lag, corr(a.mom_pct, b.x) AS correlation FROM nb a JOIN nb b"
+                  f" ON a.entity_id = b.entity_id AND a.variable = b.variable AND abs(a.t - b.t) <= {WIDE_LAGS} GROUP BY 1, 2, 3)")
+          + " SELECT * FROM sh WHERE correlation IS NOT NULL AND NOT isnan(correlation)")
+def _lead_lag_wide(spark, d):
+    return RL.lead_lag_all(RL.analysis_series(panel_view(spark, d, "monthly_orders"), TARGET), WIDE_LAGS)
+
+
 @register("topk_predictors", [("entity_id", "s"), ("rank", "i"), ("variable", "s"), ("correlation", 6)],
           S.with_(*S.corr_ctes("nation_priority", TARGET))
           + " SELECT entity_id, rank, variable, correlation FROM rk WHERE rank <= 5")
@@ -880,7 +893,7 @@ def _metrics_long_capped(spark, d):
 
 # --------------------------------------------------------------- step 9: second tier
 
-from panelcast.operators import align as AL, derived as DV  # noqa: E402
+from panelcast.operators import align as AL, derived as DV, hidden as HD  # noqa: E402
 
 
 @register("align_monthly",
@@ -1001,6 +1014,24 @@ def _regime_stats(spark, d):
     return DV.regime_stats(DV.regimes(FT.mom_pct(panel_view(spark, d, "supplier_monthly"))), "mom_pct")
 
 
+@register("hidden_regime", [("entity_id", "s"), ("series_id", "s"), ("date", "d"), ("y", 6), ("filtered", 6)],
+          S.with_(S.panel_cte("supplier_monthly"), f"m AS (SELECT *, {S.mom_expr()} AS y FROM panel)",
+                  "s AS (SELECT entity_id, series_id, date, y, row_number() OVER (PARTITION BY entity_id, series_id ORDER BY date) AS t FROM m"
+                  " WHERE y IS NOT NULL)",
+                  "pr AS (SELECT entity_id, series_id, avg(y) - 0.5 * sqrt(var_pop(y)) AS m0, avg(y) + 0.5 * sqrt(var_pop(y)) AS m1, var_pop(y) AS v"
+                  " FROM s GROUP BY 1, 2 HAVING var_pop(y) > 0)",
+                  "b AS (SELECT s.*, exp(l0 - greatest(l0, l1)) AS b0, exp(l1 - greatest(l0, l1)) AS b1 FROM (SELECT s.*,"
+                  " -0.5 * (y - m0) * (y - m0) / v AS l0, -0.5 * (y - m1) * (y - m1) / v AS l1 FROM s JOIN pr USING (entity_id, series_id)) s)",
+                  "f AS (SELECT entity_id, series_id, t, date, y, b1 / (b0 + b1) AS p FROM b WHERE t = 1 UNION ALL"
+                  " SELECT b.entity_id, b.series_id, b.t, b.date, b.y, (0.1 * (1 - f.p) + 0.9 * f.p) * b1"
+                  " / ((0.9 * (1 - f.p) + 0.1 * f.p) * b0 + (0.1 * (1 - f.p) + 0.9 * f.p) * b1) FROM f JOIN b ON b.entity_id = f.entity_id"
+                  " AND b.series_id = f.series_id AND b.t = f.t + 1)").replace("WITH ", "WITH RECURSIVE ", 1)
+          + " SELECT entity_id, series_id, date, y, p AS filtered FROM f")
+def _hidden_regime(spark, d):
+    rows = materialize(FT.mom_pct(panel_view(spark, d, "supplier_monthly"), out="y").filter("y IS NOT NULL"))
+    return HD.probabilities(rows, HD.start_params(rows), block=16)
+
+
 PAIRS = (("2_high_mom_pct", "3_medium_vol3"), ("4_not_specified_level", "5_low_mom_pct"))
 
 
