@@ -303,7 +303,7 @@ def _rejected_obs(spark, d):
 
 # --------------------------------------------------------------- step 3: statistics and quality
 
-from panelcast.operators import quality as QL  # noqa: E402
+from panelcast.operators import quality as QL, sketches as SKT  # noqa: E402
 
 STAT_SQL = ("SELECT entity_id, series_id, count({v}) AS count, avg({v}) AS mean,"
             " stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max FROM {src} GROUP BY 1, 2")
@@ -339,6 +339,16 @@ def _describe_quartiles(spark, d):
     return QL.describe(panel_view(spark, d, "supplier_monthly"))
 
 
+@register("sketch_extent", [("series_id", "s"), ("n", "i"), ("n_missing", "i"), ("min", 2), ("max", 2)],
+          "SELECT event_type AS series_id, count(value) AS n, 0 AS n_missing, min(value) AS min, max(value) AS max FROM events GROUP BY 1",
+          notes="daily sketches, written and merged over all days; the parts of a sketch that are exact")
+def _sketch_extent(spark, d):
+    from pyspark.sql import functions as F
+    ev = VW.read_table(spark, d, "events", ["event_type", "ts", "value"]).withColumnRenamed("event_type", "series_id")
+    daily = materialize(SKT.day_sketches(ev, ["series_id"], F.col("ts")))
+    return SKT.quantiles(SKT.merged(daily, ["series_id"]), (0.25, 0.5, 0.75), ["series_id"])
+
+
 @register("date_ranges", [("entity_id", "s"), ("series_id", "s"), ("first_date", "d"),
                           ("last_date", "d")],
           S.with_(S.panel_cte("nation_priority"))

@@ -3,6 +3,8 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from panelcast.operators import quality as QL
 from panelcast.operators.quantiles import exact_quantiles
 
@@ -47,3 +49,31 @@ def test_head_sample_is_per_series(spark):
     df = spark.createDataFrame(rows, "entity_id string, series_id string, date date, value double")
     h = QL.head_sample(df, 5).collect()
     assert len(h) == 10 and max(r.value for r in h) == 4.0
+
+
+def test_sketches_merge_within_their_rank_error(spark):
+    import numpy as np
+    from panelcast.operators import sketches as SK
+    rng = np.random.default_rng(11)
+    values = {"a": rng.normal(size=30_000), "hot": np.where(rng.random(20_000) < 0.4, 7.0, rng.exponential(size=20_000) * 10), "few": np.arange(9.0)}
+    import pandas as pd
+    pdf = pd.concat([pd.DataFrame({"entity_id": "e", "series_id": s, "date": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(len(v)) % 20, "D"),
+                                   "value": v}) for s, v in values.items()])
+    pdf = pd.concat([pdf, pd.DataFrame({"entity_id": "e", "series_id": "none", "date": pd.Timestamp("2024-01-01"), "value": [float("nan")] * 3})])
+    df = spark.createDataFrame(pdf).repartition(5)
+    daily = SK.day_sketches(df)
+    assert daily.count() == 20 + 20 + 9 + 1
+    probs = (0.05, 0.25, 0.5, 0.75, 0.95)
+    got = {r.series_id: r for r in SK.quantiles(SK.merged(daily), probs).collect()}
+    assert got["none"].n == 0 and got["none"].n_missing == 3 and got["none"].q50 is None
+    for s, v in values.items():
+        r = got[s]
+        assert (r.n, r.min, r.max) == (len(v), v.min(), v.max())
+        for p in probs:
+            q = r[f"q{round(p * 100)}"]
+            low, high = (v < q).mean(), (v <= q).mean()                       # ranks that ties share
+            assert low - SK.rank_error() - 1 / len(v) <= p <= high + SK.rank_error() + 1 / len(v), (s, p, q)
+    part = {r.series_id: r for r in SK.merged(daily, ["entity_id"], "2024-01-03", "2024-01-04").select(
+        F.lit("all").alias("series_id"), "n").collect()}
+    assert part["all"].n == 2 * (1500 + 1000 + 1)
+    assert SK.merged(daily.limit(0)).count() == 0
