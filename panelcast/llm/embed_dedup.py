@@ -14,10 +14,13 @@ tables, rerank with the original vectors.
   s = 0, where every pair is compared, is always among the choices. The recall
   is an expectation over pairs exactly at the threshold (pairs above it differ
   less), not a guarantee for each pair.
-* **Rerank.** Candidates are compared in their bucket by cosine of the
-  original vectors in double precision. No pair leaves a bucket: only partial
+* **Filter.** Tables carry ids and codes alone. Within a bucket, pairs whose codes differ in more bits than
+  those of any probe pair (and a margin) are left out; so is a pair in every table but the first where it meets. Rows without a
+  partner go.
+* **Rerank.** Only for what is left the vectors are fetched, once for each of its buckets, and compared
+  by cosine in double precision. No pair leaves a bucket: only partial
   link counts and an edge from each vector to the smallest one that its bucket
-  connects it to. A pair is counted in the first table where it meets.
+  connects it to.
 
 Equal vectors are one class from the start. A crowded bucket is cut into
 sub-block pairs (:func:`common.split_hot`), each a group of bounded size.
@@ -54,6 +57,7 @@ BLOCK = 1024
 RECALL = 0.999                # aimed at for pairs exactly at the threshold, by all tables jointly
 PROBES = 8192                 # pairs of each kind that the recall is measured on
 TABLES = 512                  # an s that needs more is not taken
+MARGIN = 4                    # bits that candidates may differ in beyond the farthest probe pair
 COMPARE = 0.01                # cost of comparing a pair, in copies of a row
 
 
@@ -159,35 +163,66 @@ def _valid(dim: int):
     return F.col("embedding").isNotNull() & (F.size("embedding") == dim) & good & some
 
 
-def _verify(buckets: DataFrame, dim: int, threshold: float, masks: list[int]) -> DataFrame:
-    """(rep, links, root): partial link counts and one edge for each linked class."""
-    keys = ["tab", "key", "_i", "_j"]
+GROUP = ["tab", "key", "_i", "_j"]
+
+
+class Pairs:
+    """The pairs of sorted bucket rows that are near by their codes, each only in the first table where it meets."""
+
+    def __init__(self, t: pa.Table, masks: np.ndarray, reach: int):
+        self.cols = [t.column(k).to_numpy() for k in GROUP]
+        self.own = t.column("_b").to_numpy()
+        self.code = t.column("code").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        self.masks, self.reach = masks, reach
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        tab, gi, gj = self.cols[0], self.cols[2], self.cols[3]
+        for i, j in group_pairs(self.cols, 1 << 16):
+            differ = self.code[i] ^ self.code[j]
+            near = np.bitwise_count(differ).sum(1) <= self.reach
+            near &= (self.own[i] != self.own[j]) | (gi[i] == gj[i])
+            i, j, differ = i[near], j[near], differ[near]
+            first = np.ones(len(i), bool)
+            for earlier in range(int(tab[i].max(initial=0))):
+                first &= (tab[i] <= earlier) | ((differ[:, earlier % differ.shape[1]] & self.masks[earlier]) != 0)
+            if first.any():
+                yield i[first], j[first]
+
 
+def _live(buckets: DataFrame, masks: list[int], reach: int) -> DataFrame:
+    """The bucket rows that have a partner: all that vectors are fetched for."""
+    names = [*GROUP, "_b", "rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.array(masks, np.int64)
+        for t in groups_of_sorted(batches, GROUP):
+            live = np.zeros(t.num_rows, bool)
+            for i, j in Pairs(t.combine_chunks(), kept, reach):
+                live[i] = live[j] = True
+            if live.any():
+                yield from t.filter(pa.array(live)).select(names).combine_chunks().to_batches()
+    return (buckets.repartition(*GROUP).sortWithinPartitions(*GROUP)
+            .mapInArrow(run, "tab int, key long, _i int, _j int, _b int, rep long"))
+
+
+def _verify(rows: DataFrame, dim: int, threshold: float, masks: list[int], reach: int) -> DataFrame:
+    """(rep, links, root): partial link counts and one edge for each linked class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = np.array(masks, np.int64)
-        for t in groups_of_sorted(batches, keys):
+        for t in groups_of_sorted(batches, GROUP):
             t = t.combine_chunks()
-            cols = [t.column(k).to_numpy() for k in keys]
-            tab, gi, gj = cols[0], cols[2], cols[3]
-            rep, n, own = (t.column(c).to_numpy() for c in ("rep", "n", "_b"))
-            code = t.column("code").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            rep, n = (t.column(c).to_numpy() for c in ("rep", "n"))
             x = unit(t.column("embedding").combine_chunks(), dim)
             links = np.zeros(len(rep), np.int64)
             a, b = [], []
-            for i, j in group_pairs(cols, 1 << 16):
+            for i, j in Pairs(t, kept, reach):
                 near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
                 i, j = i[near], j[near]
-                if not len(i):
-                    continue
                 a.append(i)
                 b.append(j)
-                first = (own[i] != own[j]) | (gi[i] == gj[i])
-                differ = code[i] ^ code[j]
-                for earlier in range(int(tab[i].max())):
-                    first &= (tab[i] <= earlier) | ((differ[:, earlier % differ.shape[1]] & kept[earlier]) != 0)
-                np.add.at(links, i[first], n[j[first]])
-                np.add.at(links, j[first], n[i[first]])
-            if not a:
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+            if not sum(map(len, a)):
                 continue
             lab = min_labels(len(rep), np.concatenate(a), np.concatenate(b))
             low = np.full(len(rep), np.iinfo(np.int64).max)
@@ -196,7 +231,7 @@ def _verify(buckets: DataFrame, dim: int, threshold: float, masks: list[int]) ->
             out = (links > 0) | (root != rep)
             yield pa.record_batch([pa.array(rep[out]), pa.array(links[out]), pa.array(root[out])],
                                   ["rep", "links", "root"])
-    return (buckets.repartition(*keys).sortWithinPartitions(*keys)
+    return (rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
             .mapInArrow(run, "rep long, links long, root long"))
 
 
@@ -223,8 +258,9 @@ def _index(rows: DataFrame, dim: int, threshold: float, sample: int, sp: Spool)
     held = x[-PROBES:]
     learned = x[:-PROBES] if len(x) >= 2 * PROBES else x           # few vectors are learned on and measured on
     fits = [fit_itq(learned, seed=3 + w) for w in range(WORDS)]
-    masks = table_masks(BITS, total, threshold, codes=encode(held, fits),
-                        differ=[encode(a, fits) ^ encode(b, fits) for a, b in probe_pairs(held, threshold)])
+    probes = [encode(a, fits) ^ encode(b, fits) for a, b in probe_pairs(held, threshold)]
+    masks = table_masks(BITS, total, threshold, codes=encode(held, fits), differ=probes)
+    reach = max(int(np.bitwise_count(d).sum(1).max(initial=0)) for d in probes) + MARGIN
 
     def code(b: pa.RecordBatch) -> pa.RecordBatch:
         at = b.schema.get_field_index("embedding")
@@ -235,9 +271,9 @@ def _index(rows: DataFrame, dim: int, threshold: float, sample: int, sp: Spool)
                                f"embedding {dict(rows.dtypes)['embedding']}, rep long, n long, code array<long>"))
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("code")[i % WORDS].bitwiseAND(F.lit(m)).alias("key"))
                        for i, m in enumerate(masks)])
-    buckets = (coded.select("*", F.explode(tables).alias("t"))
-               .select("t.tab", "t.key", "rep", "n", "code", "embedding"))
-    found = sp.put(_verify(split_hot(buckets, ["tab", "key"], F.col("rep"), BLOCK, sp), dim, threshold, masks))
+    buckets = coded.select("rep", "code", F.explode(tables).alias("t")).select("t.tab", "t.key", "rep", "code")
+    live = sp.put(_live(split_hot(buckets, ["tab", "key"], F.col("rep"), BLOCK, sp), masks, reach))
+    found = sp.put(_verify(live.join(coded, "rep"), dim, threshold, masks, reach))
     near = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), sp)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     return sp.put(classes.join(links, "rep", "left").join(near, classes.rep == near.node, "left")
