@@ -205,8 +205,7 @@ def lead_lag_top(panel: DataFrame, target_series: str, top_k: int = 5,
     """Lead-lag correlations for the top-k ranked variables of each entity;
     only the rows of their series are unpivoted."""
     analysis = materialize(analysis_series(panel, target_series))
-    top = materialize(rank_correlations(correlations(analysis), top_k)
-                      .select("entity_id", "series_id", "feature_idx"))
+    top = rank_correlations(correlations(analysis), top_k).select("entity_id", "series_id", "feature_idx")
     rows = analysis.join(top.select("entity_id", "series_id"), ["entity_id", "series_id"], "left_semi")
     return lead_lag(predictors_long(rows, "y").join(top, ["entity_id", "series_id", "feature_idx"], "left_semi"),
                     max_lag)

@@ -1311,13 +1311,14 @@ def _cross_check(spark, d):
     a = panel_view(spark, d, "monthly_orders")
     li = VW.read_table(spark, d, "lineitem", ["l_orderkey", "l_extendedprice", "l_tax", "l_discount"])
     # pre-aggregate line revenue per order before the order join (fewer shuffled rows)
-    price, tax, off = (_F.col(c).cast(t) for c, t in (
+    # cents, and hundredths that the tax adds and the discount leaves: one exact product of longs for each line
+    cents, tax, off = ((_F.col(c).cast(t) * 100).cast("long") for c, t in (
         ("l_extendedprice", "decimal(12,2)"), ("l_tax", "decimal(4,2)"), ("l_discount", "decimal(4,2)")))
-    rev = li.groupBy("l_orderkey").agg(_F.sum(price * (_F.lit(1) + tax) * (_F.lit(1) - off)).alias("rev"))
+    rev = li.groupBy("l_orderkey").agg(_F.sum((cents * (100 + tax) * (100 - off)).cast("decimal(18,0)")).alias("rev"))
     o = VW.read_table(spark, d, "orders", ["o_orderkey", "o_orderpriority", "o_orderdate"])
     j = rev.join(o, rev.l_orderkey == o.o_orderkey)
     b = j.groupBy(_F.lit("all").alias("entity_id"), _F.col("o_orderpriority").alias("series_id"),
-                  VW.month_of("o_orderdate").alias("date")).agg(_F.sum("rev").cast("double").alias("value"))
+                  VW.month_of("o_orderdate").alias("date")).agg((_F.sum("rev") / 1000000).cast("double").alias("value"))
     return DG.cross_check(a, b, 0.01)
 
 
