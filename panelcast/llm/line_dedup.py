@@ -14,6 +14,10 @@ document only and stays without a look-up. The few that it knows (true
 duplicates and a false-positive rate of about 2^-13) are settled exactly
 against ``refs``.
 
+Changes: an insert or a delete writes only the counts of the keys it touches; they stand above the rows they
+replace, and deleted ids above their postings, until ``LAYERS`` such changes are written as one table. Earlier
+rows are read, not rewritten.
+
 Scale: the reference counts are one partial + final aggregate. Filters are
 probed by cogrouping them with the postings of their shard, cut further by
 measured row counts (a line that a third of all documents share spreads over
@@ -45,6 +49,7 @@ from panelcast.session import Spool
 SLOTS = 4                    # of a filter bucket
 SHARD_KEYS = 1 << 16         # duplicated keys a shard is planned for
 GROWN = 2                    # an index with so many times its planned keys is dealt into more shards
+LAYERS = 8                   # changes kept as tables of their own before the index is written as one again
 PROBE_ROWS = 1 << 18         # postings in one probe group
 KEY = ["h1", "h2"]
 
@@ -170,12 +175,15 @@ def build_filter(h1: np.ndarray, h2: np.ndarray) -> CuckooFilter:
 
 @dataclass
 class LineIndex:
-    """The tables named above and the shard count they were made with."""
+    """The tables named above, the shard count they were made with, the number of keys that two or more documents
+    hold, and how many changes stand above the last whole table."""
     postings: DataFrame
     refs: DataFrame
     filters: DataFrame
     shards: int
+    dups: int
     sp: Spool
+    layers: int = 0
 
 
 def _shard(shards: int):
@@ -203,17 +211,13 @@ def build(spark: SparkSession, docs: DataFrame, min_chars: int = 10) -> LineInde
     dups = refs.filter("lo <> hi").count()
     shards = max(1, -(-dups // SHARD_KEYS))
     filters = sp.put(_filters(refs.filter("lo <> hi"), shards))
-    return LineIndex(postings, refs, filters, shards, sp)
+    return LineIndex(postings, refs, filters, shards, dups, sp)
 
 
-def _update_filters(index: LineIndex, refs: DataFrame, touched: DataFrame) -> DataFrame:
-    """Filters after ``refs`` replaced ``index.refs`` for the ``touched`` keys:
-    those that became or ceased to be duplicates are inserted and deleted shard
+def _update_filters(index: LineIndex, refs: DataFrame, changed: DataFrame) -> DataFrame:
+    """Filters after ``changed`` came: keys that became or ceased to be duplicates are inserted and deleted shard
     by shard. A shard that overflows is built anew from its own keys."""
-    dup = lambda r, name: r.filter("lo <> hi").join(touched, KEY, "left_semi").select(
-        *KEY, F.lit(1).alias(name))
-    change = (dup(index.refs, "was").join(dup(refs, "now"), KEY, "full").filter("was IS NULL OR now IS NULL")
-              .select(*KEY, _shard(index.shards).alias("shard"), F.col("now").isNotNull().alias("add")))
+    change = changed.filter("was <> now").select(*KEY, _shard(index.shards).alias("shard"), F.col("now").alias("add"))
 
     def apply(key, changes: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         if not len(changes):
@@ -232,32 +236,47 @@ def _update_filters(index: LineIndex, refs: DataFrame, touched: DataFrame) -> Da
     return index.sp.put(filters.filter("bits IS NOT NULL").unionByName(_filters(keys, index.shards)))
 
 
+def _changed(index: LineIndex, postings: DataFrame, counts: DataFrame) -> LineIndex:
+    """The index with the ``counts`` (h1, h2, refs, lo, hi, was) of touched keys in place of their earlier rows; a key
+    without references is gone. ``was`` tells whether the key was a duplicate before."""
+    changed = index.sp.put(counts.withColumn("now", F.expr("refs > 0 AND lo <> hi")))
+    refs = index.refs.join(changed.select(*KEY), KEY, "left_anti").unionByName(
+        changed.filter("refs > 0").select(*KEY, "refs", "lo", "hi"))
+    layers = index.layers + 1
+    if layers >= LAYERS:
+        refs, postings, layers = index.sp.put(refs), index.sp.put(postings), 0
+    dups = index.dups + changed.agg(F.coalesce(F.sum(F.col("now").cast("long") - F.col("was").cast("long")),
+                                               F.lit(0))).first()[0]
+    if dups > GROWN * index.shards * SHARD_KEYS:            # past its plan: more shards, filters from the exact counts
+        shards = -(-dups // SHARD_KEYS)
+        filters = index.sp.put(_filters(refs.filter("lo <> hi"), shards))
+    else:
+        shards, filters = index.shards, _update_filters(index, refs, changed)
+    return LineIndex(postings, refs, filters, shards, dups, index.sp, layers)
+
+
 def insert(index: LineIndex, docs: DataFrame, min_chars: int = 10) -> LineIndex:
     """Adds documents whose ids are new to the index. Earlier postings are not
-    read: the batch's counts are added to the reference table, which is written anew. An index that has
-    outgrown its shards gets more of them."""
+    read: the batch's counts are added to those of its keys. An index that has outgrown its shards gets more of them."""
     batch = index.sp.put(postings_of(docs, min_chars))
     new = index.sp.put(_refs(batch))
-    refs = index.sp.put(index.refs.unionByName(new).groupBy(*KEY).agg(
-        F.sum("refs").alias("refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    postings = index.postings.unionByName(batch)
-    dups = refs.filter("lo <> hi").count()
-    if dups > GROWN * index.shards * SHARD_KEYS:             # past its plan: more shards, filters from the exact counts
-        shards = -(-dups // SHARD_KEYS)
-        return LineIndex(postings, refs, index.sp.put(_filters(refs.filter("lo <> hi"), shards)), shards, index.sp)
-    return LineIndex(postings, refs, _update_filters(index, refs, new.select(*KEY)), index.shards, index.sp)
+    before = index.refs.join(new.select(*KEY), KEY, "left_semi").withColumn("was", F.expr("lo <> hi"))
+    counts = before.unionByName(new.withColumn("was", F.lit(False))).groupBy(*KEY).agg(
+        F.sum("refs").alias("refs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("was").alias("was"))
+    return _changed(index, index.postings.unionByName(batch), counts)
 
 
 def delete(index: LineIndex, doc_ids: DataFrame) -> LineIndex:
     """Removes the documents named in column ``doc_id``; lines that they alone
     made duplicates come back at the next :func:`apply`. Only the keys of those
-    documents are counted again."""
-    ids = doc_ids.select(F.col("doc_id").cast("long")).distinct()
+    documents are counted again. Ids that the index does not hold, and null ids, change nothing."""
+    ids = index.sp.put(doc_ids.select(F.col("doc_id").cast("long")).distinct())
     touched = index.sp.put(index.postings.join(ids, "doc_id", "left_semi").select(*KEY).distinct())
-    postings = index.sp.put(index.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id"))
-    again = _refs(postings.join(touched, KEY, "left_semi"))
-    refs = index.sp.put(index.refs.join(touched, KEY, "left_anti").unionByName(again))
-    return LineIndex(postings, refs, _update_filters(index, refs, touched), index.shards, index.sp)
+    postings = index.postings.join(ids, "doc_id", "left_anti").select(*KEY, "doc_id")
+    before = index.refs.join(touched, KEY, "left_semi").select(*KEY, F.expr("lo <> hi").alias("was"))
+    counts = before.join(_refs(postings.join(touched, KEY, "left_semi")), KEY, "left").withColumn(
+        "refs", F.coalesce("refs", F.lit(0)))
+    return _changed(index, postings, counts)
 
 
 # --------------------------------------------------------------- result

@@ -171,6 +171,39 @@ def test_line_dedup_is_reversible_over_several_shards(spark, monkeypatch):
     assert _lines_of(line_dedup.apply(index, frame(rows))) == brute_lines(rows)
 
 
+@pytest.mark.parametrize("layers", [2, 8])
+def test_line_dedup_over_many_changes(spark, monkeypatch, layers):
+    monkeypatch.setattr(line_dedup, "LAYERS", layers)
+    frame = lambda x: spark.createDataFrame(x, DOCS)
+    text = lambda i: "\n".join("shared line %d" % ((i * 7 + j * j) % 23) for j in range(5))
+    rows = [(i, text(i)) for i in range(12)]
+    index = line_dedup.build(spark, frame(rows))
+    for step in range(3):
+        more = [(100 * (step + 1) + i, text(i + step)) for i in range(4)] + [(100 * (step + 1) + 50, None)]
+        index, rows = line_dedup.insert(index, frame(more)), rows + more
+        gone = {r[0] for r in rows[step::5]}
+        index = line_dedup.delete(index, frame([(i, "") for i in gone] + [(None, ""), (9_999, "")]).select("doc_id"))
+        rows = [r for r in rows if r[0] not in gone]
+    again = [(1, "shared line 1\nan id that went comes back")] if all(r[0] != 1 for r in rows) else []
+    index, rows = line_dedup.insert(index, frame(again)) if again else index, rows + again
+    assert _lines_of(line_dedup.apply(index, frame(rows))) == brute_lines(rows)
+    whole = line_dedup.build(spark, frame(rows))
+    for a, b in ((index.refs, whole.refs), (index.postings, whole.postings)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert index.dups == whole.dups and index.layers < layers
+
+
+def test_line_dedup_changes_write_their_own_keys_only(spark):
+    frame = lambda x: spark.createDataFrame(x, DOCS)
+    index = line_dedup.build(spark, frame([(i, "line number %d\nanother line %d" % (i, i)) for i in range(200)]))
+    start = len(index.sp)
+    after = line_dedup.insert(index, frame([(500, "line number 3\na line of its own")]))
+    after = line_dedup.delete(after, frame([(7, "")]).select("doc_id"))
+    written = [spark.read.parquet(path) for path in index.sp[start:]]
+    assert max(w.count() for w in written if "h1" in w.columns) == 2          # of 400 keys and postings
+    assert after.refs.count() == 399 and after.dups == 1
+
+
 # ---------------------------------------------------------- decontamination
 
 def test_decontamination_against_brute_force(spark):
