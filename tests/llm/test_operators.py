@@ -4,6 +4,7 @@ and long texts, ties, repeated rows, clashing column names, empty tables."""
 import hashlib
 import html
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -417,6 +418,38 @@ def test_html_equal_texts_among_differing_ones_are_template(spark):
     assert got == ["one\ntwo", "three", "four\ntwo"]
 
 
+def test_html_names_with_odd_characters(spark):
+    got = _extracted(spark, ("http://a.b/1", "<div><o:p>office</o:p><p>text</p><x(y)+>odd</x(y)+><b!>bang</b!></div>"),
+                     ("http://c.d/1", "<article><svg:g>in</svg:g><o:p>side</o:p></article><o:p>out</o:p>"))
+    assert got == ["office\ntext\nodd\nbang", "in\nside"]
+
+
+def test_html_deep_and_long_pages_take_linear_time(spark):
+    def seconds(page, lines):
+        start = time.perf_counter()
+        got = html_extract.Matcher(None).text(page)
+        assert got == "\n".join(lines)
+        return time.perf_counter() - start
+    for one, n in (("<div>text %d", 20_000), ("<p>text %d</p>", 40_000),
+                   ("<li><span>text %d", 10_000), ("</b></section>text %d<br>", 20_000)):
+        lines = ["text %d" % i for i in range(n)]
+        assert seconds("".join(one % i for i in range(n)), lines) < 10
+    assert seconds("<div class=sidebar>" * 20_000 + "all of the text", ["all of the text"]) < 10
+    deep = "<div>" * 3_000 + "<article>" + "<section>" * 3_000 + "<p>main</p></article><p>after</p>"
+    pages = [("http://a.b/%d" % i, deep.replace("main", "main %d" % i)) for i in range(2)]
+    assert _extracted(spark, *pages) == ["main 0", "main 1"]
+
+
+def test_html_repeats_merge_the_same_by_halves():
+    """A folded run is what merging its repeats one by one gives."""
+    for n in range(2, 9):
+        parts = [[["p", [i], 1, 1, frozenset([i])], ["b", [n + i], 1, 1, frozenset([-i])]] for i in range(n)]
+        one = parts[0]
+        for x in parts[1:]:
+            one = [html_extract.merged(a, b, True) for a, b in zip(one, x)]
+        assert html_extract._halved(parts) == one and html_extract.fold(sum(parts, []), True) == [["+", one]]
+
+
 def test_html_marks_spare_the_article_and_most_of_the_text(spark):
     body = "<h1>T</h1><p>A long enough paragraph of the article.</p>"
     whole = "T\nA long enough paragraph of the article."
