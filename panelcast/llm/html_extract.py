@@ -41,9 +41,9 @@ from __future__ import annotations
 import heapq
 import html as references
 import json
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm.common import spool
 
-WIDE = 1_000_000              # cells of an alignment table, beyond which items are paired in order
+MASKS = 1 << 29               # bits of ready masks that an alignment keeps
 CHUNKS = 16                   # groups of a host's distinct expressions
 SALTS = 64                    # groups of map tasks in the first merge
 SHAPES = 64                   # expressions of one host that a task sends as they are; beyond, it aligns them itself
@@ -331,49 +331,115 @@ def fold(items: list, one_page: bool = False) -> list:
     return items
 
 
-def align(a: list, b: list) -> list:
-    """One expression that both match: longest common items merge, the rest becomes optional."""
-    n, m = len(a), len(b)
-    if n * m > WIDE:
-        return _align_in_order(a, b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+def _core(item: list) -> str:
+    """The shape of an item without runs and optional groups of a single one: equal for items that are :func:`same`."""
+    while item[0] in ("+", "?") and len(item[1]) == 1:
+        item = item[1][0]
+    return f"({' '.join(map(_core, item[1]))}){item[0]}" if item[0] in ("+", "?") else item[0]
+
+
+def _partners(a: list, b: list) -> tuple[list[str], list[str], dict[str, list[str]]]:
+    """The items' shapes, and for each shape of ``a`` those of ``b`` that can stand for it."""
+    left, right = ([shape([x]) for x in items] for items in (a, b))
+    cores: dict[str, list[str]] = defaultdict(list)
+    ofs = dict(zip(right, b))
+    for s, y in ofs.items():
+        cores[_core(y)].append(s)
+    return left, right, {s: [t for t in cores.get(_core(x), ()) if same(x, ofs[t])] for s, x in dict(zip(left, a)).items()}
+
+
+def steps(a: list, b: list) -> Iterator[tuple[int | None, int | None]]:
+    """Walks two expressions along their longest common items: (i, j) of items that stand for each other, (i, None) and
+    (None, j) of those without a partner.
+
+    Of several such ways it takes the one that pairs items as early as it can and then leaves ``a`` first. The table of
+    lengths is kept as one bit for each cell, 1 where the length is that of the cell to the right; a row is made of the one
+    below by a few operations on whole numbers, and only every sqrt(n)-th row is kept, the others are made again."""
+    at = 0
+    while at < min(len(a), len(b)) and same(a[at], b[at]):
+        yield at, at
+        at += 1
+    n, m = len(a) - at, len(b) - at
+    if not (n and m):
+        yield from ((i, None) for i in range(at, len(a)))
+        yield from ((None, j) for j in range(at, len(b)))
+        return
+    left, right, partners = _partners(a[at:], b[at:])
+    spots: dict[str, list[int]] = defaultdict(list)      # bits of a shape: the last item of b has bit 0
+    for k, s in enumerate(reversed(right)):
+        spots[s].append(k)
+    full = (1 << m) - 1
+    masks: dict[str, int] = {}
+
+    def mask(s: str) -> int:
+        if s in masks:
+            return masks[s]
+        places = [k for t in partners[s] for k in spots[t]]
+        if len(places) <= 8:
+            return sum(1 << k for k in places)
+        bits = bytearray(m // 8 + 1)
+        for k in places:
+            bits[k >> 3] |= 1 << (k & 7)
+        got = int.from_bytes(bits, "little")
+        if len(masks) * m < MASKS:
+            masks[s] = got
+        return got
+
+    def above(row: int, s: str) -> int:
+        if not partners[s]:
+            return row
+        u = row & mask(s)
+        return ((row + u) | (row - u)) & full
+    width = isqrt(n) + 1
+    kept = {n: full}
+    row = full
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if same(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
+        row = above(row, left[i])
+        if i % width == 0:
+            kept[i] = row
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and same(a[i], b[j]):
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(a[i] if a[i][0] == "?" else ["?", [a[i]]])
-            i += 1
+    low = full                                           # the bits of the items of b from j on
+    rows: list[int] = []                                 # from row ``i`` of a block down to the next kept one, last first
+    while i < n and j < m:
+        if right[j] in partners[left[i]]:
+            yield at + i, at + j
+            i, j, low = i + 1, j + 1, low >> 1
         else:
-            out.append(b[j] if b[j][0] == "?" else ["?", [b[j]]])
-            j += 1
-    return fold(out)
+            if not rows:
+                end = min((i // width + 1) * width, n)
+                rows = [kept[end]]
+                for r in range(end - 1, i - 1, -1):
+                    rows.append(above(rows[-1], left[r]))
+            if rows[-1] is rows[-2] or (rows[-1] & low).bit_count() == (rows[-2] & low).bit_count():
+                yield at + i, None                       # as long without this item
+                i += 1
+            else:
+                yield None, at + j
+                j, low = j + 1, low >> 1
+                continue
+        if rows:
+            rows.pop()
+            if len(rows) == 1:
+                rows = []
+    yield from ((i, None) for i in range(at + i, len(a)))
+    yield from ((None, j) for j in range(at + j, len(b)))
+
+
+def align(a: list, b: list) -> list:
+    """One expression that both match: longest common items merge, the rest becomes optional."""
+    return fold(_align_in_order(a, b))
 
 
 def _align_in_order(a: list, b: list) -> list:
-    """As :func:`align` for very long expressions, in linear time: each item
-    takes its next equal partner. Places and their statistics are the same,
-    only groups may be cut differently."""
-    where: dict[str, list[int]] = {}
-    for j, x in enumerate(b):
-        where.setdefault(shape([x]), []).append(j)
+    """The items of both, merged and optional ones, in the order of :func:`steps`."""
     out: list = []
-    j = 0
-    for x in a:
-        spots = where.get(shape([x]), [])
-        k = bisect_left(spots, j)
-        if k < len(spots) and spots[k] - j <= 64:
-            out += [y if y[0] == "?" else ["?", [y]] for y in b[j:spots[k]]]
-            out.append(merged(x, b[spots[k]]))
-            j = spots[k] + 1
+    for i, j in steps(a, b):
+        if i is not None and j is not None:
+            out.append(merged(a[i], b[j]))
         else:
+            x = b[j] if i is None else a[i]
             out.append(x if x[0] == "?" else ["?", [x]])
-    return fold(out + [y if y[0] == "?" else ["?", [y]] for y in b[j:]])
+    return out
 
 
 def expression(page: str | None) -> list:
@@ -448,7 +514,6 @@ def verdicts(items: list) -> list:
 
 def matched(wrapper: list, items: list) -> list[tuple[list, list | None]]:
     """(page slot, wrapper slot or None) of every slot of a page's expression: the longest common items."""
-    n, m = len(wrapper), len(items)
     pairs: list[tuple[list, list | None]] = []
 
     def pair(w: list, x: list) -> None:
@@ -457,35 +522,11 @@ def matched(wrapper: list, items: list) -> list[tuple[list, list | None]]:
                 pair(w[1][i] if w[0] == "+" else w, y)
         else:
             pairs.append((x, w[1][0] if w[0] == "+" else w))
-    if n * m > WIDE:                                     # each item takes its next equal partner
-        first: dict[str, list[int]] = defaultdict(list)  # equal items begin with the same slot
-        for k, w in enumerate(wrapper):
-            first[next(slots([w]))[0]].append(k)
-        j = 0
-        for x in items:
-            near = first[next(slots([x]))[0]]
-            k = next((near[q] for q in range(bisect_left(near, j), len(near)) if same(wrapper[near[q]], x)), None)
-            if k is None:
-                pairs += [(y, None) for y in slots([x])]
-            else:
-                pair(wrapper[k], x)
-                j = k + 1
-        return pairs
-    equal = [[same(w, x) for x in items] for w in wrapper]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if equal[i][j] else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while j < m:
-        if i < n and equal[i][j] and best[i][j] == best[i + 1][j + 1] + 1:
+    for i, j in steps(wrapper, items):
+        if i is not None and j is not None:
             pair(wrapper[i], items[j])
-            i, j = i + 1, j + 1
-        elif i < n and best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
+        elif j is not None:
             pairs += [(y, None) for y in slots([items[j]])]
-            j += 1
     return pairs
 
 

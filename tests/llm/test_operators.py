@@ -3,6 +3,7 @@ and long texts, ties, repeated rows, clashing column names, empty tables."""
 
 import hashlib
 import html
+import random
 import re
 import time
 
@@ -503,6 +504,54 @@ def test_wrapper_inference_finds_groups():
     assert {s[0] for s in html_extract.slots(html_extract._align_in_order(long, w))} >= {"p", "h1", "h2", "h6"}
 
 
+def _walked(a, b):
+    """The steps of two expressions by the plain table of lengths."""
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    equal = [[html_extract.same(x, y) for y in b] for x in a]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if equal[i][j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and equal[i][j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+
+
+def test_html_alignment_is_that_of_the_plain_table_at_any_size():
+    def item(r, deep=2):
+        if deep and r.random() < .3:
+            return [r.choice("?+"), [item(r, deep - 1)]]
+        if deep and r.random() < .1:
+            return ["+", [item(r, deep - 1), item(r, deep - 1)]]
+        return [r.choice("abcd"), 1, 1, 2, frozenset([1])]
+    for seed in range(2_000):
+        r = random.Random(seed)
+        a, b = ([item(r) for _ in range(r.randrange(14))] for _ in range(2))
+        assert list(html_extract.steps(a, b)) == list(_walked(a, b))
+    for kinds in (3, 40, 2_000):                         # more than a million cells
+        r = random.Random(kinds)
+        a, b = ([["t%d" % r.randrange(kinds), 1, 1, 2, frozenset([1])] for _ in range(n)] for n in (1_100, 1_000))
+        assert list(html_extract.steps(a, b)) == list(_walked(a, b))
+
+
+def test_html_template_texts_go_from_long_pages_too(spark):
+    """A headline that stands elsewhere does not shift the slots, whatever the pages' length."""
+    def page(i, n):
+        rounds = ["".join(f"<{t}>{t} {i} {k}</{t}>" for t in ("p", "h2", "h3", "h5", "h6")) + f"<h4>Part {k}</h4>" for k in range(n)]
+        return "".join([*rounds[:0 if i % 2 else 10], f"<h1>Headline {i}</h1>", *rounds[0 if i % 2 else 10:]])
+    for n in (20, 200):
+        for text in _extracted(spark, *[("http://a.b/%d" % i, page(i, n)) for i in range(4)]):
+            assert "Part" not in text and len(text.split("\n")) == 5 * n + 1
+
+
 # ---------------------------------------------------------- chat formatting
 
 def test_chat_rows_against_brute_force(spark):
