@@ -24,8 +24,9 @@ id words; a mark by such a word falls where it would leave a page without its ar
 inside an article belong to it; articles inside marked parts (reader comments, teasers) do not count.
 
 Scale: pages shrink to (host, expression) rows with slot statistics inside each
-map task, so a host with a third of all pages sends a few rows from each task;
-expressions are aligned in chunks and the chunks' wrappers again, and page
+map task, so a host with a third of all pages sends a row for each of its
+expressions from a task; expressions are aligned in chunks by their hash and the
+chunks' wrappers again, in the same order however the pages are split, and page
 texts never shuffle unless the wrappers outgrow the session's broadcast
 threshold, when the join is an ordinary one that AQE may split.
 
@@ -42,8 +43,10 @@ import heapq
 import html as references
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 from math import isqrt
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -55,9 +58,9 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import spool
 
 MASKS = 1 << 29               # bits of ready masks that an alignment keeps
-CHUNKS = 16                   # groups of a host's distinct expressions
-SALTS = 64                    # groups of map tasks in the first merge
-SHAPES = 64                   # expressions of one host that a task sends as they are; beyond, it aligns them itself
+CHUNKS = (4096, 16, 16)       # groups of a host's distinct expressions, then of their wrappers
+HELD = 100_000                # blocks of distinct expressions that a task holds before it sends them
+SHAPES = 64                   # expressions whose blocks' slots a wrapper keeps ready
 MATCHERS = 256                # wrappers that a task keeps ready
 LONG_PATH = 400               # characters of a slot's path, beyond which its beginning is a hash
 #: Fixed values of HTML: elements without an end tag, elements whose content is not markup,
@@ -521,7 +524,9 @@ def matched(wrapper: list, items: list) -> list[tuple[list, list | None]]:
             for i, y in enumerate(x[1]):
                 pair(w[1][i] if w[0] == "+" else w, y)
         else:
-            pairs.append((x, w[1][0] if w[0] == "+" else w))
+            while w[0] == "+":                           # a run of what was a run in some pages, too
+                w = w[1][0]
+            pairs.append((x, w))
     for i, j in steps(wrapper, items):
         if i is not None and j is not None:
             pair(wrapper[i], items[j])
@@ -560,10 +565,10 @@ def _host() -> F.Column:
 
 
 def page_shapes(pages: DataFrame) -> DataFrame:
-    """(_hx_host, shape, items): one row for each distinct expression of a
-    host and task, or the alignment of all where a host has more than ``SHAPES``."""
+    """(_hx_host, shape, items): a row for each distinct expression of a host and task, or several where a task holds much."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[str, list]] = {}
+        size = 0
 
         def out() -> pa.RecordBatch:
             rows = [(h, s, dumped(i)) for h, own in held.items() for s, i in own.items()]
@@ -571,14 +576,17 @@ def page_shapes(pages: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], ["_hx_host", "shape", "items"])
         for b in batches:
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                items = counted(page_items(*parse(page))[0])
+                items, texts = page_items(*parse(page))
+                items = counted(items)
                 own, s = held.setdefault(host, {}), shape(items)
-                own[s] = [merged(x, y) for x, y in zip(own[s], items)] if s in own else items
-                if len(own) > SHAPES:
-                    w = aligned(own)
-                    held[host] = {shape(w): w}
-            if len(held) > 2_000:
-                yield out()
+                if s in own:
+                    own[s] = [merged(x, y) for x, y in zip(own[s], items)]
+                    continue
+                own[s] = items
+                size += 1 + len(texts)
+                if size > HELD:
+                    yield out()
+                    size = 0
         if held:
             yield out()
     return pages.select(_host().alias("_hx_host"), "html").mapInArrow(run, "_hx_host string, shape string, items string")
@@ -588,26 +596,37 @@ def infer(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(_hx_host, wrapper, verdicts): each host's wrapper as JSON, and what matching needs of it."""
     kind = "_hx_host string, shape string, items string"
 
-    def merge(pdf: pd.DataFrame) -> list:
+    def merge(rows: Iterable[tuple[str, str]]) -> list:
         own: dict[str, list] = {}
-        for s, items in zip(pdf["shape"], pdf["items"]):
+        for s, items in rows:
             got = loaded(items)
             own[s] = [merged(x, y) for x, y in zip(own[s], got)] if s in own else got
         return aligned(own)
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = merge(pdf)
-        return pd.DataFrame({"_hx_host": pdf["_hx_host"].iloc[:1], "shape": [shape(w)], "items": [dumped(w)]})
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            got = pa.record_batch([pa.array(c, pa.string()) for c in zip(*done)], ["_hx_host", "shape", "items"])
+            done.clear()
+            return got
+        done: list[tuple[str, str, str]] = []
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+        for (host, _), group in groupby(rows, itemgetter(0, 1)):
+            w = merge(row[2:] for row in group)
+            done.append((host, shape(w), dumped(w)))
+            if len(done) >= 500:
+                yield out()
+        if done:
+            yield out()
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = merge(pdf)
+        w = merge(zip(pdf["shape"], pdf["items"]))
         return pd.DataFrame({"_hx_host": pdf["_hx_host"].iloc[:1], "wrapper": [dumped(w)], "verdicts": [json.dumps(verdicts(w))]})
-    # rows of a host: tasks x shapes; each level merges a bounded share of them
-    rows = page_shapes(pages).select("*", F.pmod(F.xxhash64("shape"), F.lit(CHUNKS)).alias("_c"),
-                                     F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_t"))
-    first = rows.groupBy("_hx_host", "_c", "_t").applyInPandas(part, kind)
-    second = first.groupBy("_hx_host", F.pmod(F.xxhash64("shape"), F.lit(CHUNKS)).alias("_c")).applyInPandas(part, kind)
-    return second.groupBy("_hx_host").applyInPandas(whole, "_hx_host string, wrapper string, verdicts string")
+    # rows that merge are those of equal shapes or hashes, whatever tasks they come from
+    rows = page_shapes(pages)
+    for k in CHUNKS:
+        rows = rows.select("_hx_host", F.pmod(F.xxhash64("shape"), F.lit(k)).alias("_c"), "shape", "items") \
+            .repartition("_hx_host", "_c").sortWithinPartitions("_hx_host", "_c").mapInArrow(part, kind)
+    return rows.groupBy("_hx_host").applyInPandas(whole, "_hx_host string, wrapper string, verdicts string")
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:

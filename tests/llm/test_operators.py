@@ -552,6 +552,23 @@ def test_html_template_texts_go_from_long_pages_too(spark):
             assert "Part" not in text and len(text.split("\n")) == 5 * n + 1
 
 
+def test_html_texts_do_not_depend_on_how_the_pages_are_split(spark):
+    """A host with more expressions than a task used to keep, in one, two and seven tasks."""
+    def page(i):
+        r = random.Random(i)
+        return "".join(f"<{t}>{t} {i} {k}</{t}>" if r.random() < .7 else f"<{t}>Read on</{t}>"
+                       for k in range(12) for t in [r.choice(["p", "h2", "h3", "div"])])
+    df = spark.createDataFrame([(i, "http://a.b/%d" % i, page(i)) for i in range(150)], "page_id long, url string, html string")
+    got = [{r.page_id: r.text for r in html_extract.extract(spark, df.repartition(k, "page_id")).collect()} for k in (1, 2, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 150
+
+
+def test_html_a_run_in_a_run_of_the_wrapper_is_matched():
+    wrapper = [["+", [["+", [["p", True]]]]], ["h2", False]]
+    assert html_extract.matched(wrapper, [["p", [0], 1, 1, frozenset()], ["h2", [1], 1, 1, frozenset()]]) == [
+        (["p", [0], 1, 1, frozenset()], ["p", True]), (["h2", [1], 1, 1, frozenset()], ["h2", False])]
+
+
 # ---------------------------------------------------------- chat formatting
 
 def test_chat_rows_against_brute_force(spark):
